@@ -1,0 +1,38 @@
+"""Cutting lineage: intermediate tables in the folder that all executors share."""
+
+from __future__ import annotations
+
+import atexit
+import contextlib
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_written: dict[str, SparkSession] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; only where that is unset (tests), an own temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="bitloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows of df, written once: later stages, and stages run again after a loss, read the files."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/bitloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written[path] = spark
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clear() -> None:
+    for path, spark in _written.items():
+        with contextlib.suppress(Exception):
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
