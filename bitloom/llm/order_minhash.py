@@ -33,15 +33,18 @@ def fingerprints(texts: DataFrame, keys: list[str], text_col: str = "text", k: i
     packed = tokens.select(*keys, F.expr(f"""sort_array(if(size(tok) = 0, cast(array() as array<bigint>),
         transform(sequence(0, greatest(size(tok) - {k}, 0)), i -> shiftleft(xxhash64({gram}), 24) | cast(i as bigint))))""").alias("s"))
     # s: k-mers by hash, then position; a k-mer's number is its distance from the first equal one
-    numbered = packed.select(*keys, F.expr("""transform(s, (x, i) -> struct(
+    numbered = packed.select(*keys, F.expr("""if(size(s) = 0, array(struct(0L as e, -1L as pos)), transform(s, (x, i) -> struct(
         xxhash64(shiftright(x, 24), if(i > 0 and shiftright(x, 24) = shiftright(s[greatest(i - 1, 0)], 24),
             aggregate(sequence(1, 24), struct(0 as lo, i as hi),
                 (a, step) -> if(a.lo >= a.hi, a, if(shiftright(s[(a.lo + a.hi) div 2], 24) < shiftright(x, 24),
                     struct(cast((a.lo + a.hi) div 2 + 1 as int) as lo, a.hi as hi), struct(a.lo as lo, cast((a.lo + a.hi) div 2 as int) as hi))),
-                a -> i - a.lo), 0)) as e, x & 16777215 as pos))""").alias("e"))
-    rows = numbered.select(*keys, F.explode_outer("e").alias("e")).select(*keys, F.col("e.e").alias("e"), F.col("e.pos").alias("pos"))
-    order = lambda j: F.expr(f"(xxhash64(e, {j}) & -16777216L) | pos")  # noqa: E731  unique: position in the low bits
-    ends = rows.groupBy(*keys).agg(*(x for j in range(m) for x in (F.min(order(j)).alias(f"a{j}"), F.max(order(j)).alias(f"b{j}"))))
+                a -> i - a.lo), 0)) as e, x & 16777215L as pos)))""").alias("e"))
+    # explode would add a filter on the array, and with it compute the array twice
+    rows = numbered.select(*keys, F.explode_outer("e").alias("e")).select(*keys, F.coalesce("e.e", F.lit(0)).alias("e"), F.coalesce("e.pos", F.lit(-1)).alias("pos"))
+    # each order's value has the position in its low bits and so is there once; orders are columns, not
+    # expressions inside the aggregates, which keeps the generated code small
+    orders = rows.select(*keys, "pos", *(F.expr(f"(xxhash64(e, {j}) & -16777216L) | pos").alias(f"o{j}") for j in range(m)))
+    ends = orders.groupBy(*keys).agg(F.max("pos").alias("top"), *(x for j in range(m) for x in (F.min(f"o{j}").alias(f"a{j}"), F.max(f"o{j}").alias(f"b{j}"))))
 
     def entry(j: int) -> Column:
         a, b = F.col(f"a{j}"), F.col(f"b{j}")
@@ -49,7 +52,7 @@ def fingerprints(texts: DataFrame, keys: list[str], text_col: str = "text", k: i
         x, y = F.shiftright(a, 24), F.shiftright(b, 24)
         return F.when(first, F.xxhash64(x, y)).otherwise(F.xxhash64(y, x))
 
-    return ends.select(*keys, F.when(F.col("a0").isNull(), F.array().cast("array<long>")).otherwise(F.array(*map(entry, range(m)))).alias("omh"))
+    return ends.select(*keys, F.when(F.col("top") < 0, F.array().cast("array<long>")).otherwise(F.array(*map(entry, range(m)))).alias("omh"))
 
 
 def likeness(a: str, b: str) -> Column:
