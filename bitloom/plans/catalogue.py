@@ -1,9 +1,445 @@
-"""The query catalogue."""
+"""The query catalogue: (Spark, DuckDB SQL or None) by name."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from bitloom.functions import text as X
+from bitloom.operators import align, corpus, leverage, near_dup, qa, terms
+from bitloom.plans import views as V
+
+Query = Callable[[SparkSession, str], DataFrame]
+_ALL: dict[str, tuple[Query, str | None]] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _ALL[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return {name: f for name, (f, _) in _ALL.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
+
+
+def _checked(spark, sf_dir, view=V.segments, **kw):
+    return qa.check(view(spark, sf_dir), **{"ratio": 1.0, "numbers": False} | kw)
+
+
+def _flag(code: str, view=V.segments, **kw) -> Query:
+    return lambda spark, sf_dir: _checked(spark, sf_dir, view, **kw).filter(F.array_contains("qa_issues", code)).select("ord", "src_text", "tgt_text")
+
+
+# SQL building blocks over a view v(ord, src_text, tgt_text, ...): stripped texts and the column checks.
+_BLANK = r"[\s\x1c-\x1f\x{a0}\x{3000}]+"
+
+
+def _strip(c: str) -> str:
+    return f"regexp_replace(regexp_replace(coalesce({c}, ''), '^{_BLANK}', ''), '{_BLANK}$', '')"
+
+
+def _nolen(c: str) -> str:
+    return f"length(regexp_replace({c}, '{_BLANK}', '', 'g'))"
+
+
+def _base(v: str) -> str:
+    return f"base AS (SELECT *, {_strip('src_text')} AS s, {_strip('tgt_text')} AS t FROM {v})"
+
+
+_PH = r"'\{[A-Za-z0-9_.]{1,50}\}|%\(\w+\)[sdfgxX]|%[sdfgxX]'"
+
+
+def _odd(c: str) -> str:
+    n = lambda x: f"(length({c}) - length(replace({c}, '{x}', '')))"
+    return "(" + " OR ".join((f"{n(p[0])} > {n(p[1])}" if p == "‘’" else f"{n(p[0])} <> {n(p[1])}") for p in X.PAIRS) + ")"
+
+
+def _wide(c: str) -> str:
+    return "(" + " OR ".join(f"(contains({c}, '{a}') AND contains({c}, '{b}'))" for a, b in X.WIDTHS) + ")"
+
+
+def _set(c: str, pattern: str) -> str:
+    return f"list_sort(list_distinct(regexp_extract_all({c}, {pattern})))"
+
+
+_TESTS = {
+    "EMPTY_SOURCE": "s = ''",
+    "EMPTY_TARGET": "t = ''",
+    "LEADING_TRAILING_SPACE": "(coalesce(src_text, '') <> s OR coalesce(tgt_text, '') <> t)",
+    "LENGTH_RATIO_OUTLIER": f"(s <> '' AND t <> '' AND ({_nolen('t')} / greatest({_nolen('s')} / {{ratio}}, 1e-6) < 0.3 OR {_nolen('t')} / greatest({_nolen('s')} / {{ratio}}, 1e-6) > 3.0))",
+    "PLACEHOLDER_MISMATCH": f"(s <> '' AND t <> '' AND {_set('s', _PH)} <> {_set('t', _PH)})",
+    "URL_MISMATCH": "(s <> '' AND t <> '' AND list_sort(list_distinct(regexp_extract_all(s, '(?i)https?://\\S+'))) <> list_sort(list_distinct(regexp_extract_all(t, '(?i)https?://\\S+'))))",
+    "PUNCTUATION_UNBALANCED": f"(s <> '' AND t <> '' AND ({_odd('s')} OR {_odd('t')}))",
+    "WIDTH_MIXING": f"(s <> '' AND t <> '' AND ({_wide('s')} OR {_wide('t')}))",
+    "SOURCE_CONFLICT": "(s IN (SELECT s FROM base WHERE s <> '' AND t <> '' GROUP BY s HAVING count(DISTINCT t) > 1))",
+    "TARGET_CONFLICT": "(t IN (SELECT t FROM base WHERE s <> '' AND t <> '' GROUP BY t HAVING count(DISTINCT s) > 1))",
+}
+
+
+def _test(code: str) -> str:
+    return _TESTS[code].replace("{ratio}", "1.0") if code == "LENGTH_RATIO_OUTLIER" else _TESTS[code]
+
+
+def _flag_sql(code: str, view: str = V.SEGMENTS, v: str = "segments") -> str:
+    return f"WITH {view}, {_base(v)} SELECT ord, src_text, tgt_text FROM base WHERE {_test(code)}"
+
+
+for _name, _code, _view, _sql, _v in (
+    ("qa_empty_source", "EMPTY_SOURCE", V.segments, V.SEGMENTS, "segments"),
+    ("qa_empty_target", "EMPTY_TARGET", V.segments, V.SEGMENTS, "segments"),
+    ("qa_edge_space", "LEADING_TRAILING_SPACE", V.segments, V.SEGMENTS, "segments"),
+    ("qa_length_outlier", "LENGTH_RATIO_OUTLIER", V.segments, V.SEGMENTS, "segments"),
+    ("qa_placeholder", "PLACEHOLDER_MISMATCH", V.segments, V.SEGMENTS, "segments"),
+    ("qa_punctuation", "PUNCTUATION_UNBALANCED", V.segments, V.SEGMENTS, "segments"),
+    ("qa_width", "WIDTH_MIXING", V.segments, V.SEGMENTS, "segments"),
+    ("qa_source_conflict", "SOURCE_CONFLICT", V.segments, V.SEGMENTS, "segments"),
+    ("qa_target_conflict", "TARGET_CONFLICT", V.parts, V.PARTS, "parts"),
+):
+    _ALL[_name] = (_flag(_code, _view), _flag_sql(_code, _sql, _v))
+
+_CODES = list(_TESTS)
+_LIST = "list_filter([" + ", ".join(f"CASE WHEN {_test(c)} THEN '{c}' END" for c in _CODES) + "], lambda x: x IS NOT NULL)"
+
+
+def _checked_sql(view: str, v: str) -> str:
+    return f"WITH {view}, {_base(v)}, checked AS (SELECT *, {_LIST} AS issues FROM base)"
+
+
+@_query(_checked_sql(V.PAIRS, "pairs") + " SELECT issue, count(*)::BIGINT AS units FROM (SELECT unnest(issues) AS issue FROM checked) GROUP BY issue")
+def qa_summary(spark, sf_dir):
+    return qa.by_type(_checked(spark, sf_dir, V.pairs))
+
+
+@_query(_checked_sql(V.SEGMENTS, "segments") + " SELECT count(*)::BIGINT AS total, count_if(len(issues) > 0)::BIGINT AS flagged FROM checked")
+def qa_totals(spark, sf_dir):
+    return qa.totals(_checked(spark, sf_dir))
+
+
+@_query(_checked_sql(V.SEGMENTS, "segments") + " SELECT ord, array_to_string(issues, '|') AS issues, greatest(0.0, 1 - 0.25 * len(issues))::DOUBLE AS confidence, CASE WHEN len(issues) = 0 THEN 'HIGH' WHEN 1 - 0.25 * len(issues) < 0.5 THEN 'LOW' ELSE 'MEDIUM' END AS status FROM checked")
+def qa_confidence(spark, sf_dir):
+    d = _checked(spark, sf_dir)
+    return d.select("ord", F.array_join("qa_issues", "|").alias("issues"), F.col("qa_confidence").alias("confidence"), qa.status_of(F.col("qa_issues"), F.col("qa_confidence")).alias("status"))
+
+
+@_query(_checked_sql(V.SEGMENTS, "segments") + " SELECT ord, src_text FROM checked WHERE 1 - 0.25 * len(issues) >= 0.75")
+def min_confidence_filter(spark, sf_dir):
+    return qa.confident(_checked(spark, sf_dir), 0.75).select("ord", "src_text")
+
+
+@_query(_checked_sql(V.SEGMENTS, "segments") + " SELECT ord, array_to_string(issues, '|') AS issues FROM checked WHERE len(issues) > 0 ORDER BY ord LIMIT 500")
+def review_top500(spark, sf_dir):
+    return qa.review(_checked(spark, sf_dir), ["ord"]).select("ord", F.array_join("qa_issues", "|").alias("issues"))
+
+
+@_query(f"WITH {V.PAIRS} SELECT round(sum({_nolen('src_text')}) / greatest(sum({_nolen('tgt_text')}), 1), 6) AS length_ratio FROM pairs")
+def length_ratio(spark, sf_dir):
+    return qa.length_ratio(V.pairs(spark, sf_dir)).select(F.round("length_ratio", 6).alias("length_ratio"))
+
+
+@_query("SELECT page_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(url || ', ' || upper(url) || '.', '(?i)https?://\\S+'), lambda x: rtrim(x, '" + X.URL_TAIL.replace("'", "''") + "')))), ' ') AS urls FROM pages")
+def qa_url(spark, sf_dir):
+    return V.table(spark, sf_dir, "pages").select("page_id", F.array_join(X.urls(F.concat("url", F.lit(", "), F.upper("url"), F.lit("."))), " ").alias("urls"))
+
+
+@_query("""WITH m AS (SELECT p_partkey, ['<b id="' || p_size || '">', '</b>', '<br/>'] AS a, CASE WHEN p_size % 2 = 0 THEN ['<b>', '</b>', '<br/>'] ELSE ['<i>', '</i>', '<br/>'] END AS b FROM part),
+n AS (SELECT p_partkey, list_sort(list_transform(a, lambda x: coalesce(nullif(regexp_extract(x, '<\\s*([a-zA-Z][\\w:-]*)', 1), ''), '?'))) AS a, list_sort(list_transform(b, lambda x: coalesce(nullif(regexp_extract(x, '<\\s*([a-zA-Z][\\w:-]*)', 1), ''), '?'))) AS b FROM m)
+SELECT p_partkey, array_to_string(a, ' ') AS src_tags, array_to_string(b, ' ') AS tgt_tags FROM n WHERE a <> b""")
+def tag_mismatch(spark, sf_dir):
+    node = lambda *xs: F.array(*(F.struct(F.lit("tag").alias("kind"), x.alias("content")) for x in xs))
+    d = V.table(spark, sf_dir, "part")
+    src = node(F.concat(F.lit('<b id="'), F.col("p_size").cast("string"), F.lit('">')), F.lit("</b>"), F.lit("<br/>"))
+    tgt = F.when(F.col("p_size") % 2 == 0, node(F.lit("<b>"), F.lit("</b>"), F.lit("<br/>"))).otherwise(node(F.lit("<i>"), F.lit("</i>"), F.lit("<br/>")))
+    d = d.select("p_partkey", X.tag_names(src).alias("a"), X.tag_names(tgt).alias("b")).filter("a <> b")
+    return d.select("p_partkey", F.array_join("a", " ").alias("src_tags"), F.array_join("b", " ").alias("tgt_tags"))
+
+
+# profiles
+
+_S = f"WITH {V.SEGMENTS}, {_base('segments')}"
+
+
+@_query(_S + " SELECT count(*)::BIGINT AS total, count(DISTINCT (s, t))::BIGINT AS \"unique\", count_if(s = '')::BIGINT AS empty_source, count_if(t = '')::BIGINT AS empty_target, sum(length(s))::BIGINT AS src_chars, sum(length(t))::BIGINT AS tgt_chars, (count(*) - count(DISTINCT (s, t)))::BIGINT AS duplicate FROM base")
+def stats_totals(spark, sf_dir):
+    return corpus.stats(V.segments(spark, sf_dir))
+
+
+@_query(f"WITH {V.SEGMENTS} SELECT src_lang || '-' || tgt_lang AS pair, count(*)::BIGINT AS units FROM segments GROUP BY ALL")
+def stats_lang_pairs(spark, sf_dir):
+    return V.segments(spark, sf_dir).groupBy(F.concat_ws("-", "src_lang", "tgt_lang").alias("pair")).agg(F.count("*").alias("units"))
+
+
+@_query(f"WITH {V.DATED} SELECT coalesce(nullif(regexp_extract(modified_at, '^(\\d{{4}})', 1), ''), 'unknown') AS year, count(*)::BIGINT AS units FROM dated GROUP BY ALL")
+def stats_aging(spark, sf_dir):
+    return corpus.aging(V.dated(spark, sf_dir))
+
+
+@_query(f"WITH {V.PAIRS} SELECT 'en->en' AS pair, string_split(source_file, '/')[-1] AS domain, count(*)::BIGINT AS units FROM pairs GROUP BY ALL")
+def stats_domain_crosstab(spark, sf_dir):
+    return corpus.by_domain(V.pairs(spark, sf_dir))
+
+
+# cleaning and merging
+
+_CLEAN = f"""WITH {V.SEGMENTS}, norm AS (SELECT ord, src_text AS s0, tgt_text AS t0, trim(regexp_replace(nfc_normalize(src_text), '\\s+', ' ', 'g')) AS s, trim(regexp_replace(nfc_normalize(tgt_text), '\\s+', ' ', 'g')) AS t FROM segments),
+why AS (SELECT *, CASE WHEN s = '' OR t = '' THEN 'empty' {{ident}} END AS w FROM norm),
+done AS (SELECT *, coalesce(w, CASE WHEN ord <> min(CASE WHEN w IS NULL THEN ord END) OVER (PARTITION BY s, t) THEN 'duplicate' END) AS removed FROM why)"""
+
+
+@_query(_CLEAN.format(ident="") + " SELECT ord, s AS src_text, t AS tgt_text FROM done WHERE removed IS NULL")
+def clean_units(spark, sf_dir):
+    return corpus.kept(corpus.clean(V.segments(spark, sf_dir))).select("ord", "src_text", "tgt_text")
+
+
+@_query(_CLEAN.format(ident="WHEN s = t THEN 'identical'") + " SELECT count(*)::BIGINT AS input, count_if(s <> s0 OR t <> t0)::BIGINT AS normalized, count_if(removed = 'empty')::BIGINT AS removed_empty, count_if(removed = 'identical')::BIGINT AS removed_identical, count_if(removed = 'duplicate')::BIGINT AS removed_duplicate, count_if(removed IS NULL)::BIGINT AS output FROM done")
+def clean_report(spark, sf_dir):
+    return corpus.clean_report(corpus.clean(V.segments(spark, sf_dir), remove_identical=True))
+
+
+@_query(_CLEAN.format(ident="WHEN s = t THEN 'identical'") + " SELECT ord, s AS src_text FROM done WHERE removed = 'identical'")
+def clean_identical(spark, sf_dir):
+    return corpus.clean(V.segments(spark, sf_dir), remove_identical=True).filter("removed = 'identical'").select("ord", "src_text")
+
+
+_MERGE = f"WITH {V.DATED} SELECT src_text, tgt_text, modified_at, ord, (dense_rank() OVER (ORDER BY {{first}}))::BIGINT AS place FROM (SELECT *, row_number() OVER (PARTITION BY src_text ORDER BY {{walk}}) AS n, {{low}} FROM dated) WHERE n = 1"
+
+
+def _merged(strategy: str) -> Query:
+    from pyspark.sql import Window
+
+    def run(spark, sf_dir):
+        d = corpus.merge(V.dated(spark, sf_dir), strategy)
+        # for the comparison only: places as numbers (one row a source)
+        return d.select("src_text", "tgt_text", "modified_at", "ord", F.dense_rank().over(Window.orderBy("merged_ord")).cast("long").alias("place"))
+
+    return run
+
+
+_ALL["merge_prefer_first"] = (_merged("prefer-first"), _MERGE.format(walk="ord", low="max(ord) OVER (PARTITION BY src_text) AS f", first="f DESC"))
+_ALL["merge_prefer_last"] = (_merged("prefer-last"), _MERGE.format(walk="ord DESC", low="min(ord) OVER (PARTITION BY src_text) AS f", first="f"))
+_ALL["merge_prefer_newer"] = (_merged("prefer-newer"), _MERGE.format(walk="coalesce(modified_at, '') DESC, ord DESC", low="min((coalesce(modified_at, ''), ord)) OVER (PARTITION BY src_text) AS f", first="f"))
+
+
+@_query(f"WITH {V.DATED}, {V.PARTS} SELECT ord, src_text, tgt_text FROM dated UNION ALL SELECT ord + 100000000, src_text, tgt_text FROM parts")
+def merge_keep_all(spark, sf_dir):
+    a, b = V.dated(spark, sf_dir), V.parts(spark, sf_dir)
+    return corpus.merge(a.select("ord", "src_text", "tgt_text").unionByName(b.select((F.col("ord") + 100000000).alias("ord"), "src_text", "tgt_text"))).drop("merged_ord")
+
+
+@_query(f"WITH {V.DATED} SELECT count_if(p <> tgt_text)::BIGINT AS conflicts_resolved FROM (SELECT tgt_text, lag(tgt_text) OVER (PARTITION BY src_text ORDER BY coalesce(modified_at, ''), ord) AS p FROM dated)")
+def merge_conflicts_resolved(spark, sf_dir):
+    return corpus.conflicts_resolved(V.dated(spark, sf_dir), "prefer-newer")
+
+
+_COMPARE = f"WITH {V.SEGMENTS}, {_base('segments')}, c AS (SELECT s, count(DISTINCT label) AS o, count(DISTINCT t) AS n, min(ord) AS first, min(label) AS label, string_agg(DISTINCT label, ',' ORDER BY label) AS owners FROM base GROUP BY s)"
+
+
+@_query(_COMPARE + " SELECT label, count(*)::BIGINT AS segments FROM c WHERE o = 1 GROUP BY label")
+def compare_unique(spark, sf_dir):
+    return corpus.compare(V.segments(spark, sf_dir)).filter("kind = 'unique'").groupBy(F.col("owners")[0].alias("label")).agg(F.count("*").alias("segments"))
+
+
+@_query(_COMPARE + " SELECT s AS src, owners, first FROM c WHERE o > 1 AND n <= 1")
+def compare_shared(spark, sf_dir):
+    return corpus.compare(V.segments(spark, sf_dir)).filter("kind = 'shared'").select("src", F.array_join("owners", ",").alias("owners"), "first")
+
+
+@_query(_COMPARE + " SELECT s AS src, owners, n::INT AS targets, first FROM c WHERE o > 1 AND n > 1")
+def compare_conflicts(spark, sf_dir):
+    return corpus.compare(V.segments(spark, sf_dir)).filter("kind = 'conflict'").select("src", F.array_join("owners", ",").alias("owners"), F.size("targets").alias("targets"), "first")
+
+
+_LABELS = ["src0", "src1", "src2"]
+
+
+@_query(f"WITH {V.SEGMENTS}, {_base('segments')} SELECT s AS source, {', '.join(f'''coalesce(string_agg(DISTINCT CASE WHEN label = '{x}' THEN t END, ';' ORDER BY CASE WHEN label = '{x}' THEN t END), '') AS {x}''' for x in _LABELS)} FROM base WHERE label IN ('src0', 'src1', 'src2') GROUP BY s HAVING count(DISTINCT label) > 1 AND count(DISTINCT t) > 1")
+def compare_pivot(spark, sf_dir):
+    return corpus.conflict_table(V.segments(spark, sf_dir).filter(F.col("label").isin(*_LABELS)), _LABELS)
+
+
+# leverage and quotes
+
+_NORM = "lower(trim(regexp_replace(nfc_normalize({c}), '\\s+', ' ', 'g')))"
+_LEV = f"""WITH {V.SEGMENTS}, {V.MEMORY}, c AS (SELECT *, {_NORM.format(c='src_text')} AS n FROM segments), m AS (SELECT DISTINCT lang, {_NORM.format(c='src_text')} AS n FROM memory),
+r AS (SELECT c.*, n <> '' AND row_number() OVER (PARTITION BY {{file}} n ORDER BY ord) > 1 AS rep, (lang, n) IN (SELECT lang, n FROM m) AS hit FROM (SELECT *, src_lang AS lang FROM c) c),
+w AS (SELECT *, len(list_filter(string_split_regex(src_text, '\\s+'), lambda x: x <> ''))::BIGINT AS words, CASE WHEN rep THEN 'repetition' WHEN hit AND n <> '' THEN 'exact' ELSE 'no_match' END AS band FROM r)"""
+
+
+def _exact_only(spark, sf_dir, file: list[str] | None = None):
+    """Bands by equal texts alone: a least ratio of 1."""
+    return leverage.analyze(V.memory(spark, sf_dir), V.segments(spark, sf_dir), 1.0, file)
+
+
+@_query(_LEV.format(file="") + " SELECT ord, band, CASE band WHEN 'no_match' THEN 0.0 ELSE 100.0 END::DOUBLE AS pct FROM w")
+def leverage_exact(spark, sf_dir):
+    return _exact_only(spark, sf_dir).select("ord", F.col("leverage_band").alias("band"), F.col("leverage_match_pct").alias("pct"))
+
+
+@_query(_LEV.format(file="label,") + " SELECT ord, label FROM w WHERE rep")
+def leverage_repetition(spark, sf_dir):
+    return _exact_only(spark, sf_dir, ["label"]).filter("leverage_repetition").select("ord", "label")
+
+
+@_query(_LEV.format(file="") + " SELECT ord, words FROM w")
+def leverage_words(spark, sf_dir):
+    d = V.segments(spark, sf_dir)
+    return d.select("ord", X.word_count(X.py_strip(F.col("src_text")), F.col("src_lang")).alias("words"))
+
+
+_BANDS_SQL = "(VALUES " + ", ".join(f"('{b}', {i}, {w})" for i, (b, w) in enumerate(leverage.BANDS.items())) + ") b(band, band_ord, weight)"
+
+
+@_query(_LEV.format(file="") + f" SELECT b.band, b.band_ord, count(w.ord)::BIGINT AS segments, coalesce(sum(w.words), 0)::BIGINT AS words, round((coalesce(sum(w.words), 0) * b.weight / 100)::DOUBLE, 3) AS weighted FROM {_BANDS_SQL} LEFT JOIN w ON w.band = b.band GROUP BY b.band, b.band_ord, b.weight")
+def report_bands_zero_fill(spark, sf_dir):
+    return leverage.summarize(_exact_only(spark, sf_dir)).withColumn("weighted", F.round("weighted", 3))
+
+
+@_query(_LEV.format(file="label,") + f" SELECT label AS file, w.band, count(*)::BIGINT AS segments, sum(words)::BIGINT AS words, round((sum(words) * any_value(b.weight) / 100)::DOUBLE, 3) AS weighted FROM w JOIN {_BANDS_SQL} ON w.band = b.band GROUP BY GROUPING SETS ((label, w.band), (w.band))")
+def quote_rollup(spark, sf_dir):
+    return leverage.quote_of(_exact_only(spark, sf_dir, ["label"]), "label").withColumn("weighted", F.round("weighted", 3))
+
+
+def _short(view, most: int):
+    return view.filter(F.length("src_text").between(1, most))
+
+
+@_query()
+def leverage_fuzzy(spark, sf_dir):
+    d = leverage.analyze(V.memory(spark, sf_dir), V.segments(spark, sf_dir), 0.75)
+    return d.select("ord", "leverage_band", "leverage_match_pct", "leverage_repetition")
+
+
+# near duplicates
+
+@_query(f"WITH {V.SEGMENTS} SELECT min(ord) AS cluster_id, count(*)::BIGINT AS cluster_size FROM (SELECT ord, {_NORM.format(c='src_text')} AS n FROM segments) WHERE n <> '' GROUP BY n HAVING count(*) > 1")
+def near_dup_exact(spark, sf_dir):
+    return near_dup.clusters(V.segments(spark, sf_dir), 1.0).groupBy("cluster_id", "cluster_size").count().select("cluster_id", "cluster_size")
+
+
+@_query()
+def near_dup_clusters(spark, sf_dir):
+    return near_dup.clusters(V.parts(spark, sf_dir), 0.85)
+
+
+@_query(f"WITH {V.SEGMENTS} SELECT ord FROM (SELECT ord, row_number() OVER (PARTITION BY {_NORM.format(c='src_text')} ORDER BY ord) AS n FROM segments WHERE {_NORM.format(c='src_text')} <> '') WHERE n > 1")
+def adjudicate_keep_first(spark, sf_dir):
+    return corpus.keep_one(near_dup.clusters(V.segments(spark, sf_dir), 1.0)).select("ord")
+
+
+# terminology
+
+_TERM = f"""WITH {V.PARTS}, g(entry_ord, st, tt, status) AS (VALUES (0, 'blue', 'LARGE', 'forbidden'), (1, 'green', 'SMALL', 'forbidden'), (2, 'red', 'PROMO', 'approved'), (3, 'small', 'ECONOMY', 'approved')),
+h AS (SELECT ord, st, tt, status FROM parts, g WHERE regexp_matches(src_text, '(?i)\\b' || st || '\\b') AND regexp_matches(tgt_text, '(?i)\\b' || tt || '\\b') = (status = 'forbidden') AND trim(tgt_text) <> '')"""
+
+
+def _term_checked(spark, sf_dir, approved=True):
+    return terms.check(V.parts(spark, sf_dir), V.glossary(spark, sf_dir), approved)
+
+
+@_query(_TERM + " SELECT ord, st AS src_term, tt AS tgt_term FROM h WHERE status = 'forbidden'")
+def term_check_forbidden(spark, sf_dir):
+    return _term_checked(spark, sf_dir, False).select("ord", F.explode("term_issues").alias("h")).select("ord", "h.src_term", "h.tgt_term")
+
+
+@_query(_TERM + " SELECT ord, st AS src_term, tt AS tgt_term FROM h WHERE status = 'approved'")
+def term_check_approved(spark, sf_dir):
+    return _term_checked(spark, sf_dir).select("ord", F.explode("term_issues").alias("h")).filter("h.status = 'approved'").select("ord", "h.src_term", "h.tgt_term")
+
+
+@_query(_TERM + " SELECT status, count(*)::BIGINT AS hits FROM h GROUP BY status")
+def term_check_summary(spark, sf_dir):
+    return terms.check_summary(_term_checked(spark, sf_dir))
+
+
+@_query(f"WITH {V.SEGMENTS}, t AS (SELECT ord, regexp_extract_all(src_text, '[\\p{{L}}]+(?:[''’][\\p{{L}}]+)*') AS t FROM segments), n AS (SELECT array_to_string(t[i : i + k - 1], ' ') AS text, k FROM (SELECT t, k, unnest(range(1, len(t) - k + 2)) AS i FROM t, range(1, 3) r(k))) SELECT text, k::INT AS length, count(*)::BIGINT AS freq FROM n GROUP BY ALL")
+def ngram_freq(spark, sf_dir):
+    return terms.frequencies(V.segments(spark, sf_dir), False, "src", 2).select("text", "length", "freq")
+
+
+@_query("WITH t AS (SELECT replace(p_name, ' ', '') AS t FROM part), n AS (SELECT t[i : i + k - 1] AS text, k FROM (SELECT t, k, unnest(range(1, length(t) - k + 2)) AS i FROM t, range(1, 4) r(k))) SELECT text, k::INT AS length, count(*)::BIGINT AS freq FROM n GROUP BY ALL")
+def cjk_ngram_freq(spark, sf_dir):
+    return terms.frequencies(V.parts(spark, sf_dir), True, "src", 3).select("text", "length", "freq")
+
+
+@_query()
+def term_candidates(spark, sf_dir):
+    return terms.candidates(V.parts(spark, sf_dir), "en", "src", 5).drop("score")
+
+
+@_query()
+def term_pairs(spark, sf_dir):
+    return terms.pairs(V.parts(spark, sf_dir), "en", "en", 5, 2, 20, 2, 1.1)
+
+
+# alignment, text functions, exports
+
+def _paragraphs(spark, sf_dir):
+    d = V.pairs(spark, sf_dir)
+    return d.select("source_file", F.lit(0).alias("file_ord"), F.col("ord").alias("para_ord"), F.col("ord").cast("string").alias("key"), "src_text", "tgt_text")
+
+
+@_query()
+def align_units(spark, sf_dir):
+    return align.align(_paragraphs(spark, sf_dir), "en", "en").select("para_ord", "unit_ord", "src_text", "tgt_text", "alignment_cost", "align_move", "align_gap")
+
+
+@_query()
+def align_summary(spark, sf_dir):
+    return align.moves(align.align(_paragraphs(spark, sf_dir), "en", "en"))
+
+
+@_query()
+def qa_number_mismatch(spark, sf_dir):
+    return _checked(spark, sf_dir, numbers=True).filter(F.array_contains("qa_issues", "NUMBER_MISMATCH")).select("ord")
+
+
+@_query()
+def highlight_spans(spark, sf_dir):
+    d = _checked(spark, sf_dir, numbers=True).filter(F.size("qa_issues") > 0)
+    return d.select("ord", F.to_json(X.highlight_spans("src_text", "qa_issues")).alias("spans"))
+
+
+@_query()
+def fnv1a64(spark, sf_dir):
+    return V.parts(spark, sf_dir).select("ord", X.fnv1a64("src_text").alias("hash"))
+
+
+@_query(f"WITH {V.SEGMENTS}, {_base('segments')} SELECT ord, src_lang, tgt_lang, src_text AS src, tgt_text AS tgt FROM base WHERE s <> '' AND t <> ''")
+def jsonl_export(spark, sf_dir):
+    from bitloom.sinks import tables
+
+    return tables.jsonl_rows(V.segments(spark, sf_dir), "ord")
+
+
+@_query(_checked_sql(V.SEGMENTS, "segments") + " SELECT ord AS \"No\", src_text AS src, tgt_text AS tgt, printf('%.2f', greatest(0.0, 1 - 0.25 * len(issues))) AS confidence, CASE WHEN len(issues) = 0 THEN 'HIGH' WHEN 1 - 0.25 * len(issues) < 0.5 THEN 'LOW' ELSE 'MEDIUM' END AS status, array_to_string(issues, '; ') AS issues FROM checked")
+def review_csv_projection(spark, sf_dir):
+    from bitloom.sinks import tables
+
+    return tables.review_rows(_checked(spark, sf_dir).withColumn("No", F.col("ord")), "No")
+
+
+@_query("WITH s AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS l FROM documents)) SELECT doc_id, (i - 1) // 2 AS pair, l[i] AS src_text, l[i + 1] AS tgt_text FROM s WHERE i % 2 = 1 AND i < len(l)")
+def alternating_pairs(spark, sf_dir):
+    d = V.table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split("text", "\n"), lambda x: x != "").alias("l"))
+    d = d.select("doc_id", "l", F.explode(F.when(F.size("l") > 1, F.sequence(F.lit(0), F.floor(F.size("l") / 2).cast("long") - 1))).alias("pair"))
+    return d.select("doc_id", "pair", F.expr("l[cast(2 * pair as int)]").alias("src_text"), F.expr("l[cast(2 * pair + 1 as int)]").alias("tgt_text"))
+
+
+@_query("SELECT a.c_custkey AS n, a.c_name AS src_text, b.o_orderpriority AS tgt_text FROM customer a JOIN (SELECT o_custkey, min(o_orderpriority) AS o_orderpriority FROM orders GROUP BY o_custkey) b ON a.c_custkey = b.o_custkey")
+def numbered_join(spark, sf_dir):
+    a, b = V.table(spark, sf_dir, "customer"), V.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderpriority").alias("tgt_text"))
+    return a.join(b, a.c_custkey == b.o_custkey).select(F.col("c_custkey").alias("n"), F.col("c_name").alias("src_text"), "tgt_text")
+
+
+@_query("SELECT p_partkey, (length(p_name) <= 20 AND NOT regexp_matches(p_name, '[.!?。！？]') AND length(p_type) <= 20 AND NOT regexp_matches(p_type, '[.!?。！？]')) AS header FROM part")
+def header_sniff(spark, sf_dir):
+    cells = F.array("p_name", "p_type")
+    return V.table(spark, sf_dir, "part").select("p_partkey", F.forall(cells, lambda c: (F.length(c) <= 20) & ~c.rlike("[.!?。！？]")).alias("header"))
