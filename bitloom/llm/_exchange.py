@@ -26,6 +26,11 @@ def partitions(df: DataFrame) -> int:
     return max(2, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def buckets(groups: int) -> int:
+    """Value buckets: fewer than groups, as each group sends up to one message to each bucket."""
+    return max(2, groups // 3)
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """(doc_id, text, text_hash, *more); null ids become LAST, null texts ''."""
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)

@@ -36,7 +36,7 @@ from bitloom.plans.lineage import kept
 from . import _exchange as X
 from . import _text as T
 
-BLOCK = 512
+BLOCK = 256
 SCAN = 8  # what one posting costs beside one subset key: it is met again in verification
 
 _DOC = "doc_id long, text_hash long, n int, class long, keys array<long>"
@@ -218,14 +218,14 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
     d, groups = X.dealt(docs, id_col, text_col)
 
     def ask(t: pa.Table) -> pa.Table:
-        return X.ask(t["pid"][0].as_py(), _Sets(t, k).values, groups)
+        return X.ask(t["pid"][0].as_py(), _Sets(t, k).values, X.buckets(groups))
 
     def sign(t: pa.Table, said: pa.Table) -> pa.Table:
         if not t.num_rows:
             return X.none("doc_id long, text_hash long, n int, class long").append_column("keys", pa.array([], pa.list_(pa.int64())))
         g = _Sets(t, k)
         keys: list = [None] * t.num_rows
-        for r, x in zip(g.one, _keys(g, X.heard(said, g.values, groups), num, den)):
+        for r, x in zip(g.one, _keys(g, X.heard(said, g.values, X.buckets(groups)), num, den)):
             keys[r] = x.view(np.int64)
         return pa.table({"doc_id": t["doc_id"], "text_hash": t["text_hash"], "n": pa.array(g.n, pa.int32()), "class": pa.array(g.cls, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
 

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._text import mix
 from .pieces import MARK
 
 KEEP = 500_000  # words kept by a worker
@@ -40,28 +41,52 @@ def load_pieces(path: str) -> dict[str, int]:
 
 
 class Lattice:
-    """All pieces in words: edges (word, start, length, piece); piece 0 stands for a strange character."""
+    """All pieces in words: edges (word, start, length, piece); piece 0 stands for a strange character.
+
+    Substrings are looked up by rolling 64-bit hashes in a sorted table of the pieces' prefixes."""
+
+    BASE = 0x9E3779B97F4A7C15
 
     def __init__(self, pieces: dict[str, int]):
-        self.pieces = pieces
-        self.starts = {p[:n] for p in pieces for n in range(1, len(p) + 1)}
+        table: dict[int, int] = {}
+        for piece, i in pieces.items():
+            h = 0
+            for n, v in enumerate(self._values(np.array([ord(c) for c in piece], np.uint32)).tolist(), 1):
+                h = (h * self.BASE + v) % (1 << 64)
+                table[h] = i if n == len(piece) else table.get(h, -1)
+        self.keys = np.array(sorted(table), np.uint64)
+        self.piece = np.array([table[k] for k in sorted(table)], np.int64)
         self.longest = max(map(len, pieces), default=1)
 
+    @staticmethod
+    def _values(codes: np.ndarray) -> np.ndarray:
+        return mix(codes.astype(np.uint64) + np.uint64(1))
+
     def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        out: list[tuple[int, int, int, int]] = []
-        pieces, starts, longest = self.pieces, self.starts, self.longest
-        for w, word in enumerate(words):
-            word, n = MARK + word, len(word) + 1
-            for i in range(n):
-                if word[i] not in pieces:
-                    out.append((w, i, 1, 0))
-                for j in range(i + 1, min(n, i + longest) + 1):
-                    s = word[i:j]
-                    if s not in starts:
-                        break
-                    if (p := pieces.get(s)) is not None:
-                        out.append((w, i, j - i, p))
-        return tuple(np.array(out, dtype=np.int64).reshape(-1, 4).T)
+        size = np.array([len(w) + 1 for w in words])
+        codes = np.frombuffer((MARK + MARK.join(words)).encode("utf-32-le", "surrogatepass"), np.uint32)
+        values, ends = self._values(codes), np.cumsum(size)
+        word = np.repeat(np.arange(len(words)), size)
+        at, h, out = np.arange(len(codes)), np.zeros(len(codes), np.uint64), []
+        single = np.zeros(len(codes), bool)
+        for n in range(1, self.longest + 1):
+            ok = at + n <= ends[word[at]]
+            at, h = at[ok], h[ok]
+            if not len(at):
+                break
+            h = h * np.uint64(self.BASE) + values[at + n - 1]
+            slot = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            hit = self.keys[slot] == h if len(self.keys) else np.zeros(len(h), bool)
+            at, h, found = at[hit], h[hit], self.piece[slot[hit]]
+            whole = at[found >= 0]
+            if n == 1:
+                single[whole] = True
+            out.append((whole, np.full(len(whole), n), found[found >= 0]))
+        strange = np.flatnonzero(~single)
+        out.append((strange, np.ones(len(strange), np.int64), np.zeros(len(strange), np.int64)))
+        a, n, p = (np.concatenate(x) for x in zip(*out))
+        w = word[a]
+        return w, a - (ends - size)[w], n, p
 
     def forward(self, words: list[str], prob: np.ndarray) -> np.ndarray:
         """Log probabilities (words x languages); prob: (pieces x languages). Rescaled at each

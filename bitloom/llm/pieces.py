@@ -27,7 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-KEEP = 600_000  # words kept by a worker
+KEEP = 600_000  # words, and parts of words, kept by a worker
+SHORT = 32  # characters up to which the agenda is a list, not a heap
+NEVER = float("inf")
 LONG = 64  # longer words are encoded each time
 _WORD = re.compile(" +[^ ]*")
 
@@ -53,9 +55,9 @@ class Vocabulary:
                 self.text.append(piece.replace(MARK, " ").encode())
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece has a word mark inside; words can't be encoded apart")
-        joined = {c for p in self.ids if len(p) > 1 for c in p}
-        self.alone = re.compile(f"([^{re.escape(''.join(sorted(joined)))}])")  # characters that never merge
-        self.lines = bool(self.alone.fullmatch("\n"))
+        self.inner = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.lines = not any("\n" in p for p in self.inner)
+        self.parts: dict[str, list[int]] = {}
         self.packed: dict[str, bytes] = {}
         self.decoded: dict[str, bytes] = {}
 
@@ -64,7 +66,19 @@ class Vocabulary:
         n = len(sym)
         if n == 1:
             return sym
-        left, right, scores = list(range(-1, n - 1)), list(range(1, n + 1)), self.scores
+        scores = self.scores
+        if n <= SHORT:  # the agenda as a list by position: its smallest entry's first place is the next pair
+            agenda = [-scores[p] if (p := sym[i] + sym[i + 1]) in scores else NEVER for i in range(n - 1)]
+            while agenda and (best := min(agenda)) < NEVER:
+                i = agenda.index(best)
+                sym[i] += sym.pop(i + 1)
+                del agenda[i]
+                if i < len(agenda):
+                    agenda[i] = -scores[p] if (p := sym[i] + sym[i + 1]) in scores else NEVER
+                if i:
+                    agenda[i - 1] = -scores[p] if (p := sym[i - 1] + sym[i]) in scores else NEVER
+            return sym
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda = [(-scores[p], i, i + 1, len(p)) for i in range(n - 1) if (p := sym[i] + sym[i + 1]) in scores]
         heapq.heapify(agenda)
         while agenda:
@@ -82,17 +96,32 @@ class Vocabulary:
                 heapq.heappush(agenda, (-scores[p], l, i, len(p)))
         return [s for s in sym if s]
 
-    def encode_word(self, word: str) -> list[int]:
-        """word: with its leading word marks."""
+    def _part(self, part: str) -> list[int]:
         out: list[int] = []
-        for part in self.alone.split(word) if self.alone.search(word) else (word,):
-            for s in self._agenda(part) if part else ():
-                if (i := self.ids.get(s)) is not None:
-                    out.append(i)
-                elif self.bytes:
-                    out += (self.bytes[b] for b in s.encode())
-                else:
-                    out.append(self.unknown)
+        for s in self._agenda(part):
+            if (i := self.ids.get(s)) is not None:
+                out.append(i)
+            elif self.bytes:
+                out += (self.bytes[b] for b in s.encode())
+            else:
+                out.append(self.unknown)
+        return out
+
+    def encode_word(self, word: str) -> list[int]:
+        """word: with its leading word marks. Two characters that are side by side in no piece never
+        come together, so the parts on both sides are encoded (and kept) apart."""
+        inner, known, out, start = self.inner, self.parts, [], 0
+        if (ids := known.get(word)) is not None:
+            return ids
+        for i in range(1, len(word) + 1):
+            if i == len(word) or word[i - 1 : i + 1] not in inner:
+                part = word[start:i]
+                if (ids := known.get(part)) is None:
+                    ids = self._part(part)
+                    if len(part) <= LONG and len(known) < KEEP:
+                        known[part] = ids
+                out += ids
+                start = i
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -100,18 +129,17 @@ class Vocabulary:
         raw = b"".join(self.text[i] for i in ids)
         return raw[raw[:1] == b" " :].decode(errors="replace")
 
-    def _learn(self, words: Iterable[str], check: bool) -> dict[str, tuple[bytes, bytes]]:
-        """words: keys, see encode_text."""
-        new = {w: self.encode_word((w if w.lstrip(" ")[:1] == "\n" else " " + w).replace(" ", MARK)) for w in words}
-        if check:  # behind a letter, as the library puts a mark in front of a text
-            one = len(self.library.encode("a"))
-            for (w, ids), theirs in zip(new.items(), self.library.encode(["a" + (w if w.lstrip(" ")[:1] == "\n" else " " + w) for w in new], num_threads=1)):
-                if ids != theirs[one:]:
-                    raise ValueError(f"{w!r}: {ids}, but the library has {theirs[one:]}")
-        return {w: (array("I", ids).tobytes(), b"".join(self.text[i] for i in ids)) for w, ids in new.items()}
+    def check(self, words: list[str]) -> None:
+        """Raises where the library encodes one of the words (keys, see encode_text) otherwise."""
+        one = len(self.library.encode("a"))  # behind a letter, as the library puts a mark in front of a text
+        texts = [w if w.lstrip(" ")[:1] == "\n" else " " + w for w in words]
+        for w, theirs in zip(texts, self.library.encode(["a" + w for w in texts], num_threads=1)):
+            if (ids := self.encode_word(w.replace(" ", MARK))) != theirs[one:]:
+                raise ValueError(f"{w!r}: {ids}, but the library has {theirs[one:]}")
 
-    def encode_text(self, text: str, check: bool) -> tuple[bytes, bytes]:
-        """(ids without begin and end as little-endian 32-bit numbers, decoded text in UTF-8).
+    def encode_text(self, text: str, fresh: list[str]) -> tuple[bytes, bytes]:
+        """(ids without begin and end as little-endian 32-bit numbers, decoded text in UTF-8); words met
+        for the first time are added to fresh.
 
         Keys of words: the characters after the first word mark, further marks as spaces; and, as
         a line's end never merges, from a line's end on, with the marks in front of it as spaces."""
@@ -119,17 +147,22 @@ class Vocabulary:
             return b"", b""
         text = text.replace(MARK, " ").replace("\n", " \n" if self.lines else "\n")
         words = text.split(" ") if "  " not in text and text[0] != " " and text[-1] != " " else [w[1:] for w in _WORD.findall(" " + text)]
-        try:
-            return b"".join(map(self.packed.__getitem__, words)), b"".join(map(self.decoded.__getitem__, words))[1:]
-        except KeyError:
-            pass
-        if len(self.packed) > KEEP:  # the words met first are the frequent ones
-            self.packed, self.decoded = (dict(islice(d.items(), KEEP // 2)) for d in (self.packed, self.decoded))
-        new = self._learn({w for w in words if w not in self.packed}, check)
-        for w, (ids, raw) in new.items():
-            if len(w) <= LONG:
-                self.packed[w], self.decoded[w] = ids, raw
-        return b"".join(new[w][0] if w in new else self.packed[w] for w in words), b"".join(new[w][1] if w in new else self.decoded[w] for w in words)[1:]
+        packed, decoded = self.packed, self.decoded
+        if new := [w for w in set(words) if w not in packed]:
+            if len(packed) > KEEP:  # the words met first are the frequent ones
+                packed, decoded = self.packed, self.decoded = (dict(islice(d.items(), KEEP // 2)) for d in (packed, decoded))
+                new = [w for w in set(words) if w not in packed]
+            piece = self.text
+            for w in new:
+                ids = self.encode_word((w if w.lstrip(" ")[:1] == "\n" else " " + w).replace(" ", MARK))
+                packed[w] = array("I", ids).tobytes()
+                decoded[w] = b"".join([piece[i] for i in ids])
+            fresh += new
+        out = b"".join(map(packed.__getitem__, words)), b"".join(map(decoded.__getitem__, words))[1:]
+        for w in new:
+            if len(w) > LONG:
+                del packed[w], decoded[w]
+        return out
 
 
 @lru_cache(maxsize=4)
@@ -149,10 +182,11 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
         v = vocabulary(model)
         begin, end = array("I", [v.begin]).tobytes(), array("I", [v.end]).tobytes()
         for b in batches:
+            fresh: list[str] = []
             cols: list[list] = [[] for _ in range(3 + 2 * keep)]
             for i in range(b.num_rows):
                 text = b["text"][i].as_py() or ""
-                packed, raw = v.encode_text(text, check == "words")
+                packed, raw = v.encode_text(text, fresh)
                 packed = begin + packed + end
                 if check == "texts" and list(array("I", packed)) != v.library.encode(text, add_bos=True, add_eos=True):
                     raise ValueError(f"{text[:80]!r}: other ids than the library's")
@@ -161,6 +195,8 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 cols[2].append(hashlib.sha256(raw).hexdigest())
                 if keep:
                     cols[3].append(array("I", packed).tolist()), cols[4].append(raw.decode(errors="replace"))
+            for at in range(0, len(fresh) if check == "words" else 0, 10_000):
+                v.check(fresh[at : at + 10_000])
             kinds = [pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int64()), pa.string()] * keep
             names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * keep
             yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", *names])

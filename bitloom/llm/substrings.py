@@ -5,8 +5,8 @@ Every window of ``k`` consecutive words is an edge between two nodes of ``k - 1`
 1. Edges that occur in one group of documents and once there are dropped (``_exchange``).
 2. Nodes whose every occurrence has the same edge before and the same edge after are plain; each
    document's runs of repeated edges are cut at all other nodes into nonbranching paths.
-3. Equal paths meet in Spark: one aggregation finds each path's first source (smallest document,
-   then position), one join gives it to all occurrences. The key of a path is a 128-bit digest of
+3. Equal paths meet in Spark: aggregations, first within groups of documents, find each path's first
+   source (smallest document, then position), one join gives it back to the groups. The key of a path is a 128-bit digest of
    its source words, so a path counts as repeated only where the words at both coordinates agree.
 4. Words under paths whose first source is an earlier document go.
 
@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bitloom.plans.lineage import kept
+
 from . import _exchange as X
 from . import _text as T
 
-_PATH = "path binary, n_words int, doc_id long, text_hash long, start int"
+_PATH = "pid int, path binary, n_words int, doc_id long, text_hash long, start int"
 _RESULT = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
 
 
@@ -103,31 +105,32 @@ def _paths(g: _Group, t: pa.Table, plain: np.ndarray, node: np.ndarray, mine: np
             keys.append(hashlib.blake2b(b" ".join(span.split()), digest_size=16).digest())
         where = to
     hashes = t["text_hash"].to_numpy()
-    return pa.table({"path": pa.array(keys, pa.binary()), "n_words": pa.array(n + g.k - 1, pa.int32()), "doc_id": pa.array(g.ids[row], pa.int64()), "text_hash": pa.array(hashes[row], pa.int64()), "start": pa.array(at - g.first[row], pa.int32())})
+    return pa.table({"pid": pa.array([t["pid"][0].as_py()] * len(keys), pa.int32()), "path": pa.array(keys, pa.binary()), "n_words": pa.array(n + g.k - 1, pa.int32()), "doc_id": pa.array(g.ids[row], pa.int64()), "text_hash": pa.array(hashes[row], pa.int64()), "start": pa.array(at - g.first[row], pa.int32())})
 
 
 def repeated_paths(dealt: DataFrame, groups: int, k: int = 13) -> DataFrame:
     """(path, n_words, doc_id, text_hash, start) of every nonbranching path of repeated windows.
 
     dealt: (pid, doc_id, text, text_hash) in groups by pid."""
+    at_most = X.buckets(groups)
 
     def edges(t: pa.Table) -> pa.Table:
-        return X.ask(t["pid"][0].as_py(), _Group(t, k).values, groups)
+        return X.ask(t["pid"][0].as_py(), _Group(t, k).values, at_most)
 
     def nodes(t: pa.Table, said: pa.Table) -> pa.Table:
         if not t.num_rows:
             return X.none(X.ASK)
         g = _Group(t, k)
-        values, extra, _, _ = g.junctions(g.repeated(X.heard(said, g.values, groups)))
-        return X.ask(t["pid"][0].as_py(), values, groups, extra)
+        values, extra, _, _ = g.junctions(g.repeated(X.heard(said, g.values, at_most)))
+        return X.ask(t["pid"][0].as_py(), values, at_most, extra)
 
     def paths(t: pa.Table, said: pa.Table) -> pa.Table:
         if not t.num_rows:
             return X.none(_PATH)
         g = _Group(t, k)
         both = np.array(said["kind"].to_pylist(), dtype=np.int64) if said.num_rows else np.zeros(0, np.int64)
-        values, _, inverse, mine = g.junctions(g.repeated(X.heard(said.filter(pa.array(both == 0)), g.values, groups)))
-        plain = X.heard(said.filter(pa.array(both == 1)), values, groups)
+        values, _, inverse, mine = g.junctions(g.repeated(X.heard(said.filter(pa.array(both == 0)), g.values, at_most)))
+        plain = X.heard(said.filter(pa.array(both == 1)), values, at_most)
         return _paths(g, t, plain, inverse, mine)
 
     by = dealt.groupBy("pid")
@@ -137,12 +140,14 @@ def repeated_paths(dealt: DataFrame, groups: int, k: int = 13) -> DataFrame:
     return by.cogroup(told.groupBy("pid")).applyInArrow(paths, _PATH)
 
 
-def owned(paths: DataFrame) -> DataFrame:
-    """Adds owner and owner_start, the first source of each path: aggregated before it is joined, so
-    that a path in very many documents meets in one row; the join's skew is left to adaptive splitting."""
-    first = paths.groupBy("path", "n_words").agg(F.min(F.struct("doc_id", "start")).alias("o"))
-    first = first.select("path", "n_words", F.col("o.doc_id").alias("owner"), F.col("o.start").alias("owner_start"))
-    return paths.join(first, ["path", "n_words"])
+def owners(paths: DataFrame) -> DataFrame:
+    """(pid, path, owner, owner_start): the first source of each path, for each group that has the path.
+
+    A group asks once for a path, however often its documents have it, so a passage in a third of all
+    documents meets in as many rows as there are groups."""
+    asked = paths.groupBy("pid", "path", "n_words").agg(F.min(F.struct("doc_id", "start")).alias("o"))
+    first = asked.groupBy("path", "n_words").agg(F.min("o").alias("first"))
+    return asked.join(first, ["path", "n_words"]).select("pid", "path", F.col("first.doc_id").alias("owner"), F.col("first.start").alias("owner_start"))
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13) -> DataFrame:
@@ -161,29 +166,33 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _cut(d: DataFrame, groups: int, k: int, row: str = "") -> DataFrame:
-    narrow = d.drop("row")
-    gone = owned(repeated_paths(narrow, groups, k)).filter("owner < doc_id")
-    gone = gone.select(X.group_of(groups).alias("pid"), "doc_id", "text_hash", "start", "n_words")
+    found = kept(repeated_paths(d.drop("row"), groups, k))
+    blank = lambda kind: F.lit(None).cast(kind)
+    told = found.withColumn("owner", blank("long")).unionByName(owners(found).select("pid", "path", blank("int").alias("n_words"), blank("long").alias("doc_id"), blank("long").alias("text_hash"), blank("int").alias("start"), "owner"))
 
     def cut(t: pa.Table, spans: pa.Table) -> pa.Table:
         mine: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for i, h, a, n in zip(*(spans[c].to_pylist() for c in ("doc_id", "text_hash", "start", "n_words"))) if t.num_rows and spans.num_rows else ():
-            mine.setdefault((i, h), []).append((a, n))
+        if t.num_rows and spans.num_rows:
+            rows = list(zip(*(spans[c].to_pylist() for c in ("path", "owner", "doc_id", "text_hash", "start", "n_words"))))
+            owner = {r[0]: r[1] for r in rows if r[1] is not None}
+            for path, told, i, h, a, n in rows:
+                if told is None and owner[path] < i:
+                    mine.setdefault((i, h), []).append((a, n))
         ids, hashes, text = (t[c] for c in ("doc_id", "text_hash", "text")) if t.num_rows else ([], [], [])
         out: dict[str, list] = {c.split()[0]: [] for c in _RESULT.split(", ")}
         for r in range(t.num_rows):
-            i, kept = ids[r].as_py(), text[r].as_py().encode().split()
-            n = len(kept)
+            i, left = ids[r].as_py(), text[r].as_py().encode().split()
+            n = len(left)
             if found := mine.get((i, hashes[r].as_py())):
                 keep = np.ones(n, bool)
                 for a, m in found:
                     keep[a : a + m] = False
-                kept = [w for w, x in zip(kept, keep.tolist()) if x]
-            body = b" ".join(kept)
-            for c, v in zip(out, (None if i == X.LAST else i, n, n - len(kept), body.decode(), hashlib.sha256(body).hexdigest())):
+                left = [w for w, x in zip(left, keep.tolist()) if x]
+            body = b" ".join(left)
+            for c, v in zip(out, (None if i == X.LAST else i, n, n - len(left), body.decode(), hashlib.sha256(body).hexdigest())):
                 out[c].append(v)
         done = pa.table(out, schema=X.none(_RESULT).schema)
         return done.append_column("row", t["row"]) if row else done
 
     # the same exchange for all readers of the text; with row, its columns travel along
-    return d.groupBy("pid").cogroup(gone.groupBy("pid")).applyInArrow(cut, _RESULT + f", row {row}" * bool(row))
+    return d.groupBy("pid").cogroup(told.groupBy("pid")).applyInArrow(cut, _RESULT + f", row {row}" * bool(row))
