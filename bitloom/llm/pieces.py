@@ -150,7 +150,8 @@ class Vocabulary:
         packed, decoded = self.packed, self.decoded
         if new := [w for w in set(words) if w not in packed]:
             if len(packed) > KEEP:  # the words met first are the frequent ones
-                packed, decoded = self.packed, self.decoded = (dict(islice(d.items(), KEEP // 2)) for d in (packed, decoded))
+                packed, decoded = (dict(islice(d.items(), KEEP // 2)) for d in (packed, decoded))
+                self.packed, self.decoded = packed, decoded
                 new = [w for w in set(words) if w not in packed]
             piece = self.text
             for w in new:
