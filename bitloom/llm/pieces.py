@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-KEEP = 600_000  # words, and parts of words, kept by a worker
+KEEP = 1_000_000  # words kept by a worker, and half as many parts of words
 SHORT = 32  # characters up to which the agenda is a list, not a heap
 NEVER = float("inf")
 LONG = 64  # longer words are encoded each time
@@ -57,7 +57,7 @@ class Vocabulary:
             raise ValueError("a piece has a word mark inside; words can't be encoded apart")
         self.inner = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.lines = not any("\n" in p for p in self.inner)
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}
         self.packed: dict[str, bytes] = {}
         self.decoded: dict[str, bytes] = {}
 
@@ -111,14 +111,14 @@ class Vocabulary:
         """word: with its leading word marks. Two characters that are side by side in no piece never
         come together, so the parts on both sides are encoded (and kept) apart."""
         inner, known, out, start = self.inner, self.parts, [], 0
-        if (ids := known.get(word)) is not None:
-            return ids
+        if (whole := known.get(word)) is not None:
+            return list(whole)
         for i in range(1, len(word) + 1):
             if i == len(word) or word[i - 1 : i + 1] not in inner:
                 part = word[start:i]
                 if (ids := known.get(part)) is None:
-                    ids = self._part(part)
-                    if len(part) <= LONG and len(known) < KEEP:
+                    ids = tuple(self._part(part))
+                    if len(part) <= LONG and len(known) < KEEP // 2:
                         known[part] = ids
                 out += ids
                 start = i
@@ -129,15 +129,14 @@ class Vocabulary:
         raw = b"".join(self.text[i] for i in ids)
         return raw[raw[:1] == b" " :].decode(errors="replace")
 
-    def check(self, words: list[str]) -> None:
-        """Raises where the library encodes one of the words (keys, see encode_text) otherwise."""
+    def check(self, words: list[tuple[str, bytes]]) -> None:
+        """Raises where the library encodes one of the words (with marks as spaces, packed ids) otherwise."""
         one = len(self.library.encode("a"))  # behind a letter, as the library puts a mark in front of a text
-        texts = [w if w.lstrip(" ")[:1] == "\n" else " " + w for w in words]
-        for w, theirs in zip(texts, self.library.encode(["a" + w for w in texts], num_threads=1)):
-            if (ids := self.encode_word(w.replace(" ", MARK))) != theirs[one:]:
-                raise ValueError(f"{w!r}: {ids}, but the library has {theirs[one:]}")
+        for (w, ids), theirs in zip(words, self.library.encode(["a" + w for w, _ in words], num_threads=1)):
+            if ids != array("I", theirs[one:]).tobytes():
+                raise ValueError(f"{w!r}: {array('I', ids).tolist()}, but the library has {theirs[one:]}")
 
-    def encode_text(self, text: str, fresh: list[str]) -> tuple[bytes, bytes]:
+    def encode_text(self, text: str, fresh: list[tuple[str, bytes]]) -> tuple[bytes, bytes]:
         """(ids without begin and end as little-endian 32-bit numbers, decoded text in UTF-8); words met
         for the first time are added to fresh.
 
@@ -155,10 +154,11 @@ class Vocabulary:
                 new = [w for w in set(words) if w not in packed]
             piece = self.text
             for w in new:
-                ids = self.encode_word((w if w.lstrip(" ")[:1] == "\n" else " " + w).replace(" ", MARK))
+                marked = w if w.lstrip(" ")[:1] == "\n" else " " + w
+                ids = self.encode_word(marked.replace(" ", MARK))
                 packed[w] = array("I", ids).tobytes()
+                fresh.append((marked, packed[w]))
                 decoded[w] = b"".join([piece[i] for i in ids])
-            fresh += new
         out = b"".join(map(packed.__getitem__, words)), b"".join(map(decoded.__getitem__, words))[1:]
         for w in new:
             if len(w) > LONG:
@@ -183,7 +183,7 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
         v = vocabulary(model)
         begin, end = array("I", [v.begin]).tobytes(), array("I", [v.end]).tobytes()
         for b in batches:
-            fresh: list[str] = []
+            fresh: list[tuple[str, bytes]] = []
             cols: list[list] = [[] for _ in range(3 + 2 * keep)]
             for i in range(b.num_rows):
                 text = b["text"][i].as_py() or ""
