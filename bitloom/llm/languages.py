@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._text import mix
-from .pieces import MARK
+from .pieces import MARK, release
 
 KEEP = 500_000  # words kept by a worker
 STRANGE = 1e-8  # probability of a character outside the vocabulary
@@ -228,6 +228,7 @@ def identify(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str
     shipped = docs.sparkSession.sparkContext.broadcast((langs, prob))  # vocabulary size x languages, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         scorer = Scorer(*shipped.value, load_pieces(model))
         for b in batches:
             t = b.column(b.schema.get_field_index(text_col))

@@ -14,6 +14,7 @@ pass through, a row in is a row out. Long words and texts are encoded whole.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-KEEP = 1_000_000  # words kept by a worker, and half as many parts of words
+KEEP = 800_000  # words kept by a worker, and half as many parts of words
 SHORT = 32  # characters up to which the agenda is a list, not a heap
 NEVER = float("inf")
 LONG = 64  # longer words are encoded each time
@@ -166,11 +167,17 @@ class Vocabulary:
         return out
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def release() -> None:
+    """Lets go of a worker's word tables: Spark hands workers on to other operators."""
+    vocabulary.cache_clear()
+    gc.collect()
+
+
 def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", check: str = "words", keep: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row; keep: ids and decoded as well.
 
