@@ -60,7 +60,7 @@ class Vocabulary:
         self.lines = not any("\n" in p for p in self.inner)
         self.parts: dict[str, tuple[int, ...]] = {}
         self.packed: dict[str, bytes] = {}
-        self.decoded: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}  # of words that don't decode to themselves
 
     def _agenda(self, word: str) -> list[str]:
         sym: list[str] = list(word)
@@ -145,13 +145,13 @@ class Vocabulary:
         a line's end never merges, from a line's end on, with the marks in front of it as spaces."""
         if not text:
             return b"", b""
-        text = text.replace(MARK, " ").replace("\n", " \n" if self.lines else "\n")
+        plain = text.replace(MARK, " ")
+        text = plain.replace("\n", " \n") if self.lines else plain
         words = text.split(" ") if "  " not in text and text[0] != " " and text[-1] != " " else [w[1:] for w in _WORD.findall(" " + text)]
-        packed, decoded = self.packed, self.decoded
+        packed, odd = self.packed, self.odd
         if new := [w for w in set(words) if w not in packed]:
             if len(packed) > KEEP:  # the words met first are the frequent ones
-                packed, decoded = (dict(islice(d.items(), KEEP // 2)) for d in (packed, decoded))
-                self.packed, self.decoded = packed, decoded
+                packed = self.packed = dict(islice(packed.items(), KEEP // 2))
                 new = [w for w in set(words) if w not in packed]
             piece = self.text
             for w in new:
@@ -159,12 +159,16 @@ class Vocabulary:
                 ids = self.encode_word(marked.replace(" ", MARK))
                 packed[w] = array("I", ids).tobytes()
                 fresh.append((marked, packed[w]))
-                decoded[w] = b"".join([piece[i] for i in ids])
-        out = b"".join(map(packed.__getitem__, words)), b"".join(map(decoded.__getitem__, words))[1:]
+                if (raw := b"".join([piece[i] for i in ids])) != marked.encode():
+                    odd[w] = raw
+        ids = b"".join(map(packed.__getitem__, words))
+        raw = plain.encode()  # what the words decode to, without the first mark
+        if odd and not odd.keys().isdisjoint(words):
+            raw = b"".join(odd.get(w) or (w if w.lstrip(" ")[:1] == "\n" else " " + w).encode() for w in words)[1:]
         for w in new:
             if len(w) > LONG:
-                del packed[w], decoded[w]
-        return out
+                del packed[w]
+        return ids, raw
 
 
 @lru_cache(maxsize=1)
