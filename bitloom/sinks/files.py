@@ -4,12 +4,20 @@ from __future__ import annotations
 
 import csv
 import html
+import json
 import os
 import re
+import sqlite3
+import uuid
+import zipfile
 from collections.abc import Iterable
+from datetime import UTC, datetime
 from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from bitloom.functions.text import fnv1a64
 
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 
@@ -51,27 +59,116 @@ def write_tmx(units: DataFrame, path: str, order: list[str], src_lang: str, tgt_
     return n
 
 
-def write_csv(df: DataFrame, path: str, order: list[str] | None = None, bom: bool = True) -> None:
-    """All rows with a header."""
+def write_csv(df: DataFrame, path: str, order: list[str] | None = None, bom: bool = True, numbered: bool = False) -> int:
+    """All rows with a header; numbered: the first column counts from 1. Gives the number of rows."""
+    n = 0
 
     class Line(list):
         write = list.append
 
     def lines():
+        nonlocal n
         out = Line()
         w = csv.writer(out, lineterminator="\r\n")
         w.writerow(df.columns)
         for r in _rows(df, order or []):
-            w.writerow(["" if x is None else x for x in r])
+            n += 1
+            w.writerow([n, *("" if x is None else x for x in r[1:])] if numbered else ["" if x is None else x for x in r])
             yield from out
             out.clear()
         yield from out
 
     _put(path, lines(), bom)
+    return n
+
+
+def write_jsonl_file(rows: DataFrame, path: str, order: list[str]) -> int:
+    """One JSON object a line, without the columns of the order. Gives the number of lines."""
+    n = 0
+
+    def lines():
+        nonlocal n
+        for r in _rows(rows, order):
+            n += 1
+            yield json.dumps({k: v for k, v in r.asDict().items() if k not in order}, ensure_ascii=False) + "\n"
+
+    _put(path, lines())
+    return n
+
+
+#: Accepted forms of times, and the memory format's constants.
+TIMES = ("%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%dT%H:%M:%SZ", "%Y-%m-%dT%H:%M:%S%z", "%Y-%m-%dT%H:%M:%S.%f", "%Y%m%dT%H%M%SZ")
+PARAMETERS = {"VERSION": "8.06", "FREQUENCYTOP": "1000", "LAST_ANALYZE": "0", "TokenDataVersion": "1", "AlignmentDataVersion": "1", "VERSION_CREATED": "8.12"}
+SETTINGS, INDEXES, FLAGS, EXPIRY = 127, 9, 131073, "9999-12-31 23:59:59"
+XSI, XSD = "http://www.w3.org/2001/XMLSchema-instance", "http://www.w3.org/2001/XMLSchema"
+
+
+def retimed(value: str | None, form: str, otherwise: str) -> str:
+    """A time in another form; otherwise where it is missing or can't be read."""
+    for known in TIMES:
+        try:
+            return datetime.strptime((value or "").strip(), known).strftime(form)
+        except ValueError:
+            continue
+    return otherwise
+
+
+def write_sdltm(units: DataFrame, path: str, order: list[str], src_lang: str, tgt_lang: str, name: str | None = None) -> int:
+    """Units with both sides as an SQLite memory of the tables parameters, translation_memories and
+    translation_units; each unit gets a new id. Gives the number written."""
+    part, form = f"{path}.part", "%Y-%m-%d %H:%M:%S"
+    now, n = datetime.now(UTC).strftime(form), 0
+    full = units.filter(r"src_text rlike '\\S' and tgt_text rlike '\\S'").withColumn("_s", fnv1a64(F.col("src_text"))).withColumn("_t", fnv1a64(F.col("tgt_text")))
+
+    def segment(text: str, lang: str) -> str:
+        return f'<Segment xmlns:xsi="{XSI}" xmlns:xsd="{XSD}"><Elements><Text><Value>{xml_text(text)}</Value></Text></Elements><CultureName>{xml_text(lang)}</CultureName></Segment>'
+
+    if os.path.exists(part):
+        os.remove(part)
+    db = sqlite3.connect(part)
+    try:
+        db.executescript("""
+            CREATE TABLE parameters (translation_memory_id INTEGER, name TEXT NOT NULL, value TEXT NOT NULL);
+            CREATE TABLE translation_memories (id INTEGER PRIMARY KEY, guid BLOB NOT NULL, name TEXT NOT NULL UNIQUE, source_language TEXT NOT NULL, target_language TEXT NOT NULL, settings INTEGER NOT NULL, creation_user TEXT NOT NULL, creation_date TEXT NOT NULL, expiration_date TEXT, fuzzy_indexes INTEGER NOT NULL);
+            CREATE TABLE translation_units (id INTEGER PRIMARY KEY, guid BLOB NOT NULL, translation_memory_id INTEGER NOT NULL REFERENCES translation_memories (id), source_hash INTEGER NOT NULL, source_segment TEXT, target_hash INTEGER NOT NULL, target_segment TEXT, creation_date TEXT NOT NULL, creation_user TEXT NOT NULL, change_date TEXT NOT NULL, change_user TEXT NOT NULL, usage_counter INTEGER NOT NULL, flags INTEGER NOT NULL);
+        """)
+        db.executemany("INSERT INTO parameters VALUES (NULL, ?, ?)", PARAMETERS.items())
+        db.execute("INSERT INTO translation_memories VALUES (1, ?, ?, ?, ?, ?, 'bitloom', ?, ?, ?)", (uuid.uuid4().bytes, name or os.path.splitext(os.path.basename(path))[0][:80], src_lang, tgt_lang, SETTINGS, now, EXPIRY, INDEXES))
+        for r in _rows(full, order):
+            d, n = r.asDict(), n + 1
+            made = retimed(d.get("created_at"), form, now)
+            db.execute("INSERT INTO translation_units VALUES (?, ?, 1, ?, ?, ?, ?, ?, 'bitloom', ?, 'bitloom', 0, ?)", (n, uuid.uuid4().bytes, d["_s"], segment(d["src_text"], src_lang), d["_t"], segment(d["tgt_text"], tgt_lang), made, retimed(d.get("modified_at"), form, made), FLAGS))
+        db.execute("CREATE INDEX source_hashes ON translation_units (translation_memory_id, source_hash)")
+        db.commit()
+    finally:
+        db.close()
+    os.replace(part, path)
+    return n
+
+
+def write_xlsx(df: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """All rows with a header on one sheet, as text."""
+    kinds, main = "application/vnd.openxmlformats-officedocument.spreadsheetml", "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    packed = "http://schemas.openxmlformats.org/package/2006"
+    link = lambda kind, target: f'<Relationships xmlns="{packed}/relationships"><Relationship Id="rId1" Type="{rel}/{kind}" Target="{target}"/></Relationships>'
+    row = lambda values: "<row>" + "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{xml_text("" if v is None else str(v))}</t></is></c>' for v in values) + "</row>"
+    with zipfile.ZipFile(f"{path}.part", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("[Content_Types].xml", f'<Types xmlns="{packed}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kinds}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kinds}.worksheet+xml"/></Types>')
+        z.writestr("_rels/.rels", link("officeDocument", "xl/workbook.xml"))
+        z.writestr("xl/_rels/workbook.xml.rels", link("worksheet", "worksheets/sheet1.xml"))
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="Sheet1" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        with z.open("xl/worksheets/sheet1.xml", "w") as f:
+            f.write(f'<worksheet xmlns="{main}"><sheetData>{row(df.columns)}'.encode())
+            for r in _rows(df, order or []):
+                f.write(row(r).encode())
+            f.write(b"</sheetData></worksheet>")
+    os.replace(f"{path}.part", path)
 
 
 def write_glossary(entries: DataFrame, path: str) -> None:
-    write_csv(entries.selectExpr("entry_ord", "src_term", "tgt_term", "if(status_declared, status, '') as status", "domain", "note").orderBy("entry_ord").drop("entry_ord"), path)
+    """.xlsx, or CSV."""
+    (write_xlsx if path.lower().endswith(".xlsx") else write_csv)(entries.selectExpr("entry_ord", "src_term", "tgt_term", "if(status_declared, status, '') as status", "domain", "note").orderBy("entry_ord").drop("entry_ord"), path)
 
 
 def write_tbx(entries: DataFrame, path: str) -> None:

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bitloom.functions.text import is_cjk
 from bitloom.schema import GLOSSARY, PARAGRAPH, UNIT
 
 Rows = Iterator[dict]
@@ -186,14 +187,37 @@ def document(data: bytes) -> tuple[list[str], list[list[list[str]]]]:
 _NUMBERED = re.compile(r"\A\[(\d+)\]\s*(.*)\Z", re.S)
 
 
+def usable(tables: list[list[list[str]]]) -> list[tuple[list[tuple[int, str, str]], bool]]:
+    """Tables of two columns or more with a full row, as (rows (number, source, target), has a header);
+    the last two columns count."""
+    out = []
+    for t in tables:
+        width = max(map(len, t), default=0)
+        if width >= 2:
+            a, b = columns(width)
+            head = is_header(t[0])
+            rows = [(i, r[a].strip() if a < len(r) else "", r[b].strip() if b < len(r) else "") for i, r in enumerate(t, 1)][head:]
+            if any(s and x for _, s, x in rows):
+                out.append((rows, head))
+    return out
+
+
+def confidences(paragraphs: list[str], tables: list[list[list[str]]]) -> dict[str, float]:
+    """How far a document looks like each layout, in the order in which equal scores win."""
+    found = usable(tables)
+    numbers = [int(m[1]) for p in paragraphs if (m := _NUMBERED.match(p))]
+    filled, ones = sum(map(bool, paragraphs)), numbers.count(1)
+    # The scores of the three layouts.
+    table = 0.0 if not found else 0.95 if len(found) > 1 or sum(bool(s and x) for _, s, x in found[0][0]) >= 4 else 0.85
+    numbered = {0: 0.0, 1: 0.5, 2: 0.95 if len(numbers) >= 4 else 0.85}.get(ones, 0.7)
+    return {"table": table, "numbered": numbered, "alternating": 0.5 if filled and filled % 2 == 0 else 0.0}
+
+
 def layouts(paragraphs: list[str], tables: list[list[list[str]]]) -> dict[str, list[dict]]:
-    """Each layout's pairs: two-column tables, [N] blocks joined on N, alternating paragraphs."""
+    """Each layout's pairs: tables' last two columns, [N] blocks joined on N, alternating paragraphs."""
     out: dict[str, list[dict]] = {"table": [], "numbered": [], "alternating": []}
-    two = [t for t in tables if t and sum(len(r) == 2 for r in t) * 2 > len(t)]
-    for n, t in enumerate(two, 1):
-        for i, r in enumerate(t, 1):
-            if len(r) == 2 and all(r) and not (i == 1 and is_header(r)):
-                out["table"].append({"key": f"t{n}:{i}" if n > 1 else str(i), "src_text": r[0], "tgt_text": r[1]})
+    for n, (rows, _) in enumerate(usable(tables), 1):
+        out["table"] += [{"key": f"t{n}:{i}" if n > 1 else str(i), "src_text": s, "tgt_text": x} for i, s, x in rows if s and x]
     blocks: list[dict[int, str]] = []
     for p in paragraphs:
         if m := _NUMBERED.match(p):
@@ -210,14 +234,43 @@ def layouts(paragraphs: list[str], tables: list[list[list[str]]]) -> dict[str, l
 
 
 def docx_pairs(data: bytes, layout: str = "auto") -> Rows:
-    found = layouts(*document(data))
+    parts = document(data)
+    found = layouts(*parts)
     if layout == "auto":
-        layout = next((k for k in ("table", "numbered", "alternating") if found[k]), "alternating")
+        scores = confidences(*parts)
+        layout = max(scores, key=scores.get)
     if not found[layout]:
         raise ValueError(f"no pairs in the layout {layout}")
     yield from found[layout]
 
 
+#: A best layout below this score is ambiguous; characters of each side that the direction is judged on.
+SURE, SAMPLE = 0.85, 500
+_SCRIPT = re.compile("[一-鿿　-〿＀-￯]")
+
+
+def inspected(data: bytes, src_lang: str | None = None, tgt_lang: str | None = None) -> dict:
+    """What may go wrong with a document: unclear layout, merged cells, empty tables, sides that don't
+    look like their languages."""
+    paragraphs, tables = document(data)
+    scores = confidences(paragraphs, tables)
+    best = max(scores, key=scores.get)
+    body = next(x for x in ET.fromstring(zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml")) if _local(x.tag) == "body")
+    merged = 0
+    for cell in (x for t in body if _local(t.tag) == "tbl" for r in t if _local(r.tag) == "tr" for x in r if _local(x.tag) == "tc"):
+        marks = {_local(m.tag): next(iter(m.attrib.values()), "") for pr in cell if _local(pr.tag) == "tcPr" for m in pr}
+        merged += "vMerge" in marks or int(marks.get("gridSpan") or 1) > 1
+    empty = sum(bool(t) and not any(c.strip() for r in t for c in r) for t in tables)
+    sides = [" ".join(x for r in usable(tables)[:1] for x in (row[k] for row in r[0]) if x)[:SAMPLE] for k in (1, 2)]
+    wrong = []
+    for name, lang, text in zip(("source", "target"), (src_lang, tgt_lang), sides):
+        solid = len(re.sub(r"\s", "", text))
+        if lang and solid and ((cjk := len(_SCRIPT.findall(text)) / solid > 0.3) != is_cjk(lang)):
+            wrong.append(f"the {name} column {'looks' if cjk else 'does not look'} CJK, but its language is {lang}")
+    notes = [f"unclear layout: {best} at {scores[best]:.2f}"] * (scores[best] < SURE) + [f"{merged} merged cells"] * bool(merged) + [f"{empty} empty tables"] * bool(empty) + wrong
+    return {"best_layout": best, "best_score": scores[best], **{f"{k}_score": v for k, v in scores.items()}, "ambiguous": scores[best] < SURE, "merged_cells": merged, "empty_tables": empty, "issues": notes}
+
+
 # glossaries
 
 #: Header names of glossary columns, and statuses of the exchange format.
@@ -283,13 +336,19 @@ def _read(spark: SparkSession, paths: str | list[str], parsers: dict[str, Callab
     if not names:
         raise ValueError(f"no files of the kinds {', '.join(sorted(parsers))}")
     place = spark.createDataFrame(list(zip(names, range(len(names)))), "path string, file_ord int")
+    d = parsed(files.join(F.broadcast(place), "path", "left_semi"), parsers, schema, order, options, errors)
+    d = d.drop("file_ord").join(F.broadcast(place), "path")  # a row a file
+    return d.select("error", *schema.fieldNames()) if errors == "report" else d.select(*schema.fieldNames())
+
+
+def parsed(files: DataFrame, parsers: dict[str, Callable], schema, order: str, options: dict, errors: str) -> DataFrame:
+    """(path, error, *schema) of the rows in files (path, content), of a batch or a stream."""
     fields = ["path", "error", *schema.fieldNames()]
     wide = "path string, error string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for path, data in zip(b["path"], b["content"]):
-                rows, why = [], None
                 try:
                     rows = [dict.fromkeys(fields) | r | {order: i, "path": path} for i, r in enumerate(parsers[path.rsplit(".", 1)[-1].lower()](bytes(data), **options))]
                 except Exception as e:
@@ -298,11 +357,8 @@ def _read(spark: SparkSession, paths: str | list[str], parsers: dict[str, Callab
                     rows = [dict.fromkeys(fields) | {"path": path, "error": f"{type(e).__name__}: {e}"}]
                 yield pd.DataFrame(rows, columns=fields)
 
-    d = files.join(F.broadcast(place), "path", "left_semi").mapInPandas(run, wide)
-    d = d.drop("file_ord").join(F.broadcast(place), "path")  # a row a file
-    if "source_file" in d.columns:
-        d = d.withColumn("source_file", F.coalesce("source_file", "path"))
-    return d.select("error", *schema.fieldNames()) if errors == "report" else d.select(*schema.fieldNames())
+    d = files.select("path", "content").mapInPandas(run, wide)
+    return d.withColumn("source_file", F.coalesce("source_file", "path")) if "source_file" in schema.fieldNames() else d
 
 
 def read_units(spark: SparkSession, paths: str | list[str], errors: str = "fail", **options) -> DataFrame:
@@ -320,3 +376,24 @@ def read_glossary(spark: SparkSession, paths: str | list[str], src_lang: str, tg
     table = lambda data, **kw: glossary_rows(list(csv.reader(io.StringIO(decoded(data)), delimiter="\t" if "\t" in decoded(data)[:200] else ",")), **kw)
     parsers = {"csv": table, "tsv": table, "xlsx": lambda data, **kw: glossary_rows(sheet_rows(data), **kw), "tbx": tbx}
     return _read(spark, paths, parsers, GLOSSARY, "entry_ord", {"src_lang": src_lang, "tgt_lang": tgt_lang}, "fail")
+
+
+def preflight(spark: SparkSession, paths: str | list[str], src_lang: str | None = None, tgt_lang: str | None = None) -> DataFrame:
+    """One row a document (.docx): scores of the layouts, merged cells, empty tables, issues; error where
+    it can't be read."""
+    paths = [paths] if isinstance(paths, str) else paths
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.docx").load(paths).select("path", "content")
+    schema = "path string, error string, best_layout string, best_score double, table_score double, numbered_score double, alternating_score double, ambiguous boolean, merged_cells int, empty_tables int, issues array<string>"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for path, data in zip(b["path"], b["content"]):
+                try:
+                    out.append(dict.fromkeys(names) | {"path": path} | inspected(bytes(data), src_lang, tgt_lang))
+                except Exception as e:
+                    out.append(dict.fromkeys(names) | {"path": path, "error": f"{type(e).__name__}: {e}"})
+            yield pd.DataFrame(out, columns=names).astype(object)
+
+    return files.mapInPandas(run, schema)
