@@ -8,8 +8,8 @@ common) come before difflib's ratio. A block gives one row a candidate, never a
 from __future__ import annotations
 
 import difflib
-from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ from bitloom.functions import text as X
 from bitloom.schema import BANDS
 
 PAIR = ["src_lang", "tgt_lang"]
+BINS = 64
 
 
 def length_steps(ratio: float, longest: int = 1 << 22) -> list[int]:
@@ -33,40 +34,63 @@ def bucket_of(text: str, steps: list[int]):
     return F.expr(f"size(filter(array({', '.join(map(str, steps))}), x -> x <= length({text})))")
 
 
-def _may_reach(a: Counter, n: int, b: Counter, m: int, least: float) -> bool:
-    if 2.0 * min(n, m) < least * (n + m):
-        return False
-    return 2.0 * sum(min(c, b[x]) for x, c in a.items() if x in b) >= least * (n + m)
+class Bounds:
+    """Upper bounds of difflib's ratio against all texts of a block at once: characters in common, counted
+    in ``BINS`` bins. Characters that share a bin only raise a bound."""
 
+    def __init__(self, texts: list[str]):
+        self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        self.bins = np.array([self.of(t) for t in texts], dtype=np.int32).reshape(-1, BINS)
 
-def best_matches(asked: DataFrame, pool: DataFrame, least: float, blocks: int = 8) -> DataFrame:
+    @staticmethod
+    def of(text: str) -> np.ndarray:
+        return np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4") % BINS, minlength=BINS)
+
+    def ratios(self, bins: np.ndarray, length: int, at: slice = slice(None)) -> np.ndarray:
+        """As difflib works its ratio out, so that equal counts give equal numbers."""
+        total, bound = self.lengths[at] + length, np.zeros(len(self.lengths[at]))
+        some = np.flatnonzero(total)
+        bound[some] = 2.0 * np.minimum(self.bins[at][some], bins).sum(axis=1) / total[some]
+        return bound
+
+
+def best_matches(asked: DataFrame, pool: DataFrame, least: float, asked_rows: int = 500, pool_rows: int = 1000) -> DataFrame:
     """(*PAIR, norm, ratio, match): each text's best of the pool, of equal ones the last in text order.
 
-    asked, pool: distinct (*PAIR, norm)."""
-    steps = length_steps((2 - least) / least)
-    salt = F.explode(F.array(*map(F.lit, range(blocks)))).alias("salt")
-    own = asked.select(*PAIR, "norm", bucket_of("norm", steps).alias("b")).select(*PAIR, "norm", F.explode(F.array(F.col("b") - 1, "b", F.col("b") + 1)).alias("b"), F.pmod(F.xxhash64("norm"), F.lit(blocks)).cast("int").alias("salt"))
-    other = pool.select(*PAIR, "norm", bucket_of("norm", steps).alias("b"), salt)
+    asked, pool: distinct (*PAIR, norm). Texts of a length bucket meet in pairs of blocks of about
+    asked_rows and pool_rows; larger buckets give more pairs, not larger ones."""
+    steps, keys = length_steps((2 - least) / least), [*PAIR, "b"]
+    own = asked.select(*PAIR, "norm", bucket_of("norm", steps).alias("b")).select(*PAIR, "norm", F.explode(F.array(F.col("b") - 1, "b", F.col("b") + 1)).alias("b"))
+    other = pool.select(*PAIR, "norm", bucket_of("norm", steps).alias("b"))
+    count = lambda d, rows, name: d.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(rows)).cast("int").alias(name))
+    sizes = F.broadcast(count(own, asked_rows, "n").join(count(other, pool_rows, "k"), keys))  # a row a language pair and length bucket
+    one = lambda n: F.pmod(F.xxhash64("norm"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = own.join(sizes, keys).select(*keys, "norm", one("n").alias("i"), each("k").alias("j"))
+    other = other.join(sizes, keys).select(*keys, "norm", each("n").alias("i"), one("k").alias("j"))
 
     def block(a: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        known = [(t, Counter(t)) for t in p["norm"]]
+        out, known = [], list(p["norm"])
+        bounds = Bounds(known)
         for sl, tl, x in zip(a["src_lang"], a["tgt_lang"], a["norm"]):
-            m, cx, best = difflib.SequenceMatcher(), Counter(x), None
+            m, best = difflib.SequenceMatcher(), None
             m.set_seq2(x)
-            for t, ct in known:
-                if not _may_reach(cx, len(x), ct, len(t), max(least, best[0] if best else 0)):
+            may = bounds.ratios(Bounds.of(x), len(x))
+            for i in np.argsort(-may, kind="stable"):
+                if may[i] < (max(least, best[0]) if best else least):
+                    break
+                m.set_seq1(known[i])
+                if m.quick_ratio() < (max(least, best[0]) if best else least):
                     continue
-                m.set_seq1(t)
                 r = m.ratio()
-                if r >= least and (best is None or (r, t) > best):
-                    best = (r, t)
+                if r >= least and (best is None or (r, known[i]) > best):
+                    best = (r, known[i])
             if best:
                 out.append((sl, tl, x, *best))
         return pd.DataFrame(out, columns=["src_lang", "tgt_lang", "norm", "ratio", "match"])
 
-    keys = [*PAIR, "b", "salt"]
-    got = own.groupBy(*keys).cogroup(other.groupBy(*keys)).applyInPandas(block, "src_lang string, tgt_lang string, norm string, ratio double, match string")
+    met = [*keys, "i", "j"]
+    got = own.groupBy(*met).cogroup(other.groupBy(*met)).applyInPandas(block, "src_lang string, tgt_lang string, norm string, ratio double, match string")
     return got.groupBy(*PAIR, "norm").agg(F.max(F.struct("ratio", "match")).alias("m")).select(*PAIR, "norm", "m.ratio", "m.match")
 
 
