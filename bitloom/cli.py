@@ -106,7 +106,7 @@ def _share(flagged: int, total: int) -> str:
 
 def _report(args, title: str, lines: list[str], table: DataFrame) -> None:
     if args.report:
-        sink.write_html(title, lines, table, args.report)
+        sink.write_report(title, lines, table, args.report)
 
 
 def convert(spark, a) -> int:
@@ -334,6 +334,8 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     try:
+        if getattr(args, "report", None):
+            sink.report_kind(args.report)
         return args.run(SparkSession.builder.appName("bitloom").getOrCreate(), args)
     except (ValueError, OSError, PySparkException) as e:
         lines = [x.strip() for x in str(e).splitlines() if x.strip()]

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.functions.text import fnv1a64
+from bitloom.sinks import pdf
 
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 
@@ -193,3 +194,18 @@ def write_html(title: str, lines: list[str], table: DataFrame, path: str, limit:
     cell = lambda tag, x: f"<{tag}>{html.escape('' if x is None else str(x))}</{tag}>"
     body = "".join(f"<tr>{''.join(cell('td', x) for x in r)}</tr>\n" for r in rows)
     _put(path, [f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>\n', *(cell("p", x) + "\n" for x in lines), f"<table><tr>{''.join(cell('th', c) for c in table.columns)}</tr>\n{body}</table></body></html>\n"])
+
+
+def report_kind(path: str) -> str:
+    kind = os.path.splitext(path)[1].lower()
+    if kind not in (".html", ".htm", ".pdf"):
+        raise ValueError(f"a report is .html or .pdf, not {kind!r}")
+    return kind
+
+
+def write_report(title: str, lines: list[str], table: DataFrame, path: str, limit: int = 500) -> None:
+    """HTML or PDF, by the path's extension."""
+    if report_kind(path) != ".pdf":
+        write_html(title, lines, table, path, limit)
+    else:
+        pdf.put(title, lines, table.columns, [tuple(r) for r in table.limit(limit).collect()], path)

@@ -2,12 +2,14 @@
 
 import io
 import json
+import re
 import zipfile
 
 import pytest
 
 from bitloom import cli
 from bitloom.sinks import files as out
+from bitloom.sinks import pdf
 from bitloom.sources import files as src
 from bitloom.streaming import drop_folder
 
@@ -93,6 +95,31 @@ def test_drop_folder(spark, tmp_path):
     assert run() == ["one", "three", "two"]
 
 
+def _shown(page):
+    return [bytes.fromhex(x).decode("utf-16-be") for x in re.findall(r"<([0-9a-f]*)> Tj", page)]
+
+
+def test_pdf(tmp_path):
+    path = tmp_path / "r.pdf"
+    rows = [(i, "确定 " * 40 if i == 3 else "a (b) \\ \U0001f600", None) for i in range(200)] + [(200, "x" * 30000, "")]
+    pdf.put("Títle 报告", ["one", ""], ["n", "text", "none"], rows, str(path))
+    data = path.read_bytes()
+    at = int(data.rsplit(b"startxref\n", 1)[1].split()[0])
+    starts = [int(x[:10]) for x in data[at:].split(b"\n")[3:] if x.endswith(b" n ")]
+    assert data[at:].startswith(b"xref") and all(data[s:].startswith(f"{i} 0 obj".encode()) for i, s in enumerate(starts, 1))
+    pages = re.findall(rb"stream\n(.*?)\nendstream", data, re.S)
+    text = [t for p in pages for t in _shown(p.decode())]
+    assert len(pages) > 3 and text[:3] == ["Títle 报告", "• one", "• "] and [t for t in text if t.isdigit()] == [str(i) for i in range(201)]
+    assert "".join(text).count("x") == 30000 + 1 and text.count("a (b) \\ �") == 199 and "".join(text).count("确定") == 40
+    assert all(float(y) >= pdf.MARGIN for p in pages for y in re.findall(r" ([\d.]+) Td", p.decode()))
+    pdf.put("", [], [], [], str(path))
+    assert path.read_bytes().count(b"/Type /Page ") == 1
+
+
+def test_pdf_lines():
+    assert pdf.wrapped("", 10) == [""] and pdf.wrapped("ab cd", 4 * 9 * 0.5) == ["ab", "cd"] and pdf.wrapped("甲乙丙", 18) == ["甲乙", "丙"] and pdf.wrapped("abc", 1) == ["a", "b", "c"]
+
+
 def test_labels_and_weights(tmp_path):
     assert cli.labels(["a/x.tmx", "b/x.tmx", "x-2.tmx", "c\\x.tmx"]) == ["x.tmx", "x-2.tmx", "x-2-2.tmx", "x-3.tmx"]
     card = tmp_path / "w.json"
@@ -120,7 +147,8 @@ def test_commands(spark, tmp_path, capsys):
     assert (tmp_path / "k.csv").read_text("utf-8-sig").splitlines() == ["source,a.tmx,b.tmx", "5 cats,6 猫,五猫"]
     assert run("qa", a, "--export", at("q.csv"), "--report", at("q.html"))[0].startswith("Total=4 Flagged=")
     assert [x.split(",")[0] for x in (tmp_path / "q.csv").read_text("utf-8-sig").splitlines()] == ["No", "1", "2", "3", "4"]
-    assert run("stats", a, b)[0].startswith("Total=6 Unique=5 ")
+    assert run("stats", a, b, "--report", at("s.pdf"))[0].startswith("Total=6 Unique=5 ") and (tmp_path / "s.pdf").read_bytes().startswith(b"%PDF-")
+    assert run("stats", a, b, "--report", at("s.txt"), code=1) == []
     assert run("near-dup", a, "--export", at("n.csv")) and run("leverage", b, "--tm", a)[0] == "Total=2 Words=3"
     assert run("quote", a, b, "--tm", b, "--export", at("w.csv"))[0].startswith("Files=2 Segments=6 Words=")
     assert run("term-check", a, "--glossary", at("g.csv"), *langs, "--fail-on-issues", code=2)[1] == "forbidden: 3"
