@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.functions import text as X
-from bitloom.operators import align, corpus, leverage, near_dup, qa, terms
+from bitloom.operators import align, corpus, leverage, near_dup, qa, review, terms
 from bitloom.plans import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,6 +130,11 @@ def qa_confidence(spark, sf_dir):
     return d.select("ord", F.array_join("qa_issues", "|").alias("issues"), F.col("qa_confidence").alias("confidence"), qa.status_of(F.col("qa_issues"), F.col("qa_confidence")).alias("status"))
 
 
+@_query(_checked_sql(V.SEGMENTS, "segments") + " SELECT CASE WHEN len(issues) = 0 THEN 'HIGH' WHEN 1 - 0.25 * len(issues) < 0.5 THEN 'LOW' ELSE 'MEDIUM' END AS status, count(*)::BIGINT AS units FROM checked GROUP BY ALL")
+def qa_status_bucket(spark, sf_dir):
+    return _checked(spark, sf_dir).groupBy(qa.status_of(F.col("qa_issues"), F.col("qa_confidence")).alias("status")).agg(F.count("*").alias("units"))
+
+
 @_query(_checked_sql(V.SEGMENTS, "segments") + " SELECT ord, src_text FROM checked WHERE 1 - 0.25 * len(issues) >= 0.75")
 def min_confidence_filter(spark, sf_dir):
     return qa.confident(_checked(spark, sf_dir), 0.75).select("ord", "src_text")
@@ -307,8 +312,14 @@ def quote_rollup(spark, sf_dir):
     return leverage.quote_of(_exact_only(spark, sf_dir, ["label"]), "label").withColumn("weighted", F.round("weighted", 3))
 
 
-def _short(view, most: int):
-    return view.filter(F.length("src_text").between(1, most))
+#: Weights of a rate card, in percent of a word.
+RATES = {"repetition": 10.0, "exact": 15.0, "no_match": 110.0}
+
+
+@_query(_LEV.format(file="label,") + " SELECT label AS file, sum(words * CASE band WHEN 'repetition' THEN 10 WHEN 'exact' THEN 15 ELSE 110 END)::BIGINT AS percent_words FROM w GROUP BY GROUPING SETS ((label), ())")
+def quote_weighted(spark, sf_dir):
+    d = leverage.quote_of(_exact_only(spark, sf_dir, ["label"]), "label", RATES)
+    return d.groupBy("file").agg(F.round(F.sum("weighted") * 100).cast("long").alias("percent_words"))
 
 
 @_query()
@@ -334,6 +345,11 @@ def adjudicate_keep_first(spark, sf_dir):
     return corpus.keep_one(near_dup.clusters(V.segments(spark, sf_dir), 1.0)).select("ord")
 
 
+@_query(f"WITH {V.SEGMENTS}, c AS (SELECT count(*) AS n FROM (SELECT {_NORM.format(c='src_text')} AS n FROM segments) WHERE n <> '' GROUP BY n HAVING count(*) > 1) SELECT count(*)::BIGINT AS clusters, coalesce(sum(n), 0)::BIGINT AS units FROM c")
+def near_dup_summary(spark, sf_dir):
+    return near_dup.summarize(near_dup.clusters(V.segments(spark, sf_dir), 1.0))
+
+
 # terminology
 
 _TERM = f"""WITH {V.PARTS}, g(entry_ord, st, tt, status) AS (VALUES (0, 'blue', 'LARGE', 'forbidden'), (1, 'green', 'SMALL', 'forbidden'), (2, 'red', 'PROMO', 'approved'), (3, 'small', 'ECONOMY', 'approved')),
@@ -379,6 +395,38 @@ def term_pairs(spark, sf_dir):
     return terms.pairs(V.parts(spark, sf_dir), "en", "en", 5, 2, 20, 2, 1.1)
 
 
+@_query(_TERM + " SELECT st AS src_term, tt AS tgt_term, status, count(*)::BIGINT AS hits FROM h GROUP BY ALL")
+def term_hit_table(spark, sf_dir):
+    return terms.hit_table(_term_checked(spark, sf_dir))
+
+
+_CHARS = "t AS (SELECT replace(p_name, ' ', '') AS t FROM part), f AS (SELECT text, k, count(*) AS freq FROM (SELECT t[i : i + k - 1] AS text, k FROM (SELECT t, k, unnest(range(1, length(t) - k + 2)) AS i FROM t, range(1, 4) r(k))) GROUP BY ALL)"
+
+
+@_query(f"""WITH {_CHARS}, cuts AS (SELECT text, freq, unnest(range(1, k)) AS c FROM f WHERE k > 1 AND freq >= 2),
+loose AS (SELECT DISTINCT cuts.text FROM cuts LEFT JOIN f a ON a.text = cuts.text[1 : c] LEFT JOIN f b ON b.text = cuts.text[c + 1 :] WHERE a.freq IS NULL OR b.freq IS NULL OR cuts.freq < 0.15 * least(a.freq, b.freq))
+SELECT text, k::INT AS length, freq::BIGINT AS freq FROM f ANTI JOIN loose USING (text) WHERE freq >= 2""")
+def cjk_cohesion(spark, sf_dir):
+    return terms.worthy(terms.frequencies(V.parts(spark, sf_dir), True, "src", 3), True, 2, 1, frozenset(), []).select("text", "length", "freq")
+
+
+@_query("SELECT p_name AS src_term, p_type AS tgt_term, CASE p_size % 3 WHEN 0 THEN 'forbidden' ELSE 'approved' END AS status FROM part WHERE p_size % 2 = 0")
+def term_promote(spark, sf_dir):
+    d = V.table(spark, sf_dir, "part").selectExpr("p_name as src_term", "p_type as tgt_term", "if(p_size % 2 = 0, ' Approve ', 'later') as decision", "if(p_size % 3 = 0, 'forbidden', '') as status")
+    return terms.promote(d, "en", "en").select("src_term", "tgt_term", "status")
+
+
+def short_target(unit: dict) -> list[dict]:
+    """A reviewer for the query below: targets shorter than their sources."""
+    gap = len(unit["src_text"]) - len(unit["tgt_text"])
+    return [{"type": "SHORT" if gap < 10 else "VERY_SHORT", "description": f"{gap} characters shorter"}] if gap > 0 else []
+
+
+@_query(f"WITH {V.PARTS} SELECT CASE WHEN length(src_text) - length(tgt_text) < 10 THEN 'SHORT' ELSE 'VERY_SHORT' END AS type, count(*)::BIGINT AS issues FROM parts WHERE length(src_text) > length(tgt_text) GROUP BY ALL")
+def semantic_review(spark, sf_dir):
+    return review.summary(review.attach(V.parts(spark, sf_dir), short_target))
+
+
 # alignment, text functions, exports
 
 def _paragraphs(spark, sf_dir):
@@ -396,6 +444,11 @@ def align_summary(spark, sf_dir):
     return align.moves(align.align(_paragraphs(spark, sf_dir), "en", "en"))
 
 
+@_query()
+def align_report(spark, sf_dir):
+    return align.summarize(qa.check(align.align(_paragraphs(spark, sf_dir), "en", "en").withColumn("ord", F.col("para_ord"))))
+
+
 @_query()
 def qa_number_mismatch(spark, sf_dir):
     return _checked(spark, sf_dir, numbers=True).filter(F.array_contains("qa_issues", "NUMBER_MISMATCH")).select("ord")
@@ -407,7 +460,11 @@ def highlight_spans(spark, sf_dir):
     return d.select("ord", F.to_json(X.highlight_spans("src_text", "qa_issues")).alias("spans"))
 
 
-@_query()
+_BYTES = "list_transform(string_split(src_text, ''), lambda x: ord(x)::HUGEINT)"  # of ASCII texts
+
+
+@_query(f"""WITH {V.PARTS}, h AS (SELECT ord, list_reduce(list_prepend(14695981039346656037::HUGEINT, {_BYTES}), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616) AS h FROM parts)
+SELECT ord, (CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END)::BIGINT AS hash FROM h""")
 def fnv1a64(spark, sf_dir):
     return V.parts(spark, sf_dir).select("ord", X.fnv1a64("src_text").alias("hash"))
 
