@@ -337,6 +337,12 @@ def near_dup_exact(spark, sf_dir):
 
 @_query()
 def near_dup_clusters(spark, sf_dir):
+    return near_dup.clusters(V.segments(spark, sf_dir), 0.85)
+
+
+@_query()
+def near_dup_part_names(spark, sf_dir):
+    """About 64 short texts, whatever the size."""
     return near_dup.clusters(V.parts(spark, sf_dir), 0.85)
 
 
