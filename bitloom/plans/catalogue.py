@@ -303,12 +303,12 @@ _BANDS_SQL = "(VALUES " + ", ".join(f"('{b}', {i}, {w})" for i, (b, w) in enumer
 
 
 @_query(_LEV.format(file="") + f" SELECT b.band, b.band_ord, count(w.ord)::BIGINT AS segments, coalesce(sum(w.words), 0)::BIGINT AS words, round((coalesce(sum(w.words), 0) * b.weight / 100)::DOUBLE, 3) AS weighted FROM {_BANDS_SQL} LEFT JOIN w ON w.band = b.band GROUP BY b.band, b.band_ord, b.weight")
-def report_bands_zero_fill(spark, sf_dir):
+def report_bands_zero_fill_exact(spark, sf_dir):
     return leverage.summarize(_exact_only(spark, sf_dir)).withColumn("weighted", F.round("weighted", 3))
 
 
 @_query(_LEV.format(file="label,") + f" SELECT label AS file, w.band, count(*)::BIGINT AS segments, sum(words)::BIGINT AS words, round((sum(words) * any_value(b.weight) / 100)::DOUBLE, 3) AS weighted FROM w JOIN {_BANDS_SQL} ON w.band = b.band GROUP BY GROUPING SETS ((label, w.band), (w.band))")
-def quote_rollup(spark, sf_dir):
+def quote_rollup_exact(spark, sf_dir):
     return leverage.quote_of(_exact_only(spark, sf_dir, ["label"]), "label").withColumn("weighted", F.round("weighted", 3))
 
 
@@ -317,15 +317,35 @@ RATES = {"repetition": 10.0, "exact": 15.0, "no_match": 110.0}
 
 
 @_query(_LEV.format(file="label,") + " SELECT label AS file, sum(words * CASE band WHEN 'repetition' THEN 10 WHEN 'exact' THEN 15 ELSE 110 END)::BIGINT AS percent_words FROM w GROUP BY GROUPING SETS ((label), ())")
-def quote_weighted(spark, sf_dir):
+def quote_weighted_exact(spark, sf_dir):
     d = leverage.quote_of(_exact_only(spark, sf_dir, ["label"]), "label", RATES)
     return d.groupBy("file").agg(F.round(F.sum("weighted") * 100).cast("long").alias("percent_words"))
 
 
+def _fuzzy(spark, sf_dir, file: list[str] | None = None):
+    """Bands down to the reference's floor of 0.5."""
+    return leverage.analyze(V.memory(spark, sf_dir), V.segments(spark, sf_dir), within=file)
+
+
 @_query()
 def leverage_fuzzy(spark, sf_dir):
-    d = leverage.analyze(V.memory(spark, sf_dir), V.segments(spark, sf_dir), 0.75)
-    return d.select("ord", "leverage_band", "leverage_match_pct", "leverage_repetition")
+    return _fuzzy(spark, sf_dir).select("ord", "leverage_band", "leverage_match_pct", "leverage_repetition")
+
+
+@_query()
+def report_bands_zero_fill(spark, sf_dir):
+    return leverage.summarize(_fuzzy(spark, sf_dir)).withColumn("weighted", F.round("weighted", 3))
+
+
+@_query()
+def quote_rollup(spark, sf_dir):
+    return leverage.quote_of(_fuzzy(spark, sf_dir, ["label"]), "label").withColumn("weighted", F.round("weighted", 3))
+
+
+@_query()
+def quote_weighted(spark, sf_dir):
+    d = leverage.quote_of(_fuzzy(spark, sf_dir, ["label"]), "label", RATES)
+    return d.groupBy("file").agg(F.round(F.sum("weighted") * 100).cast("long").alias("percent_words"))
 
 
 # near duplicates
