@@ -103,11 +103,11 @@ def positions(docs: DataFrame, weights: dict[str, int], id_col: str = "doc_id",
     return d.select("doc_id", "text_hash", "source", "weight", "block", "slot", position.cast("long").alias("position"))
 
 
-def mixed(docs: DataFrame, weights: dict[str, int], id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block_rows: int = 16) -> DataFrame:
-    """All rows of docs, in the order of their positions."""
+def mixed(docs: DataFrame, weights: dict[str, int], id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block_rows: int = 16, position: str | None = None) -> DataFrame:
+    """All rows of docs, in the order of their positions; position: the name of a column for them."""
     at = positions(docs, weights, id_col, source_col, text_col, block_rows)
     name = F.col(source_col).cast("string")
     keyed = docs.withColumn("_mix_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).withColumn("_mix_source", F.when(name.isin(*{OTHER: 1} | weights), name).otherwise(F.lit(OTHER)))
     at = at.select(F.col("doc_id").alias("_mix_id"), F.col("text_hash").alias("_mix_hash"), F.col("source").alias("_mix_source"), F.col("position").alias("_mix_at"))
     both = keyed.join(at, keyed[id_col].cast("long").eqNullSafe(at["_mix_id"]) & (keyed["_mix_hash"] == at["_mix_hash"]) & (keyed["_mix_source"] == at["_mix_source"]))
-    return both.orderBy("_mix_at").select(*(keyed[c] for c in docs.columns))
+    return both.orderBy("_mix_at").select(*(keyed[c] for c in docs.columns), *([F.col("_mix_at").alias(position)] if position else []))

@@ -182,13 +182,15 @@ def release() -> None:
     gc.collect()
 
 
-def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", check: str = "words", keep: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row; keep: ids and decoded as well.
+def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", check: str = "words", keep: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row; keep: ids and decoded as well; carry:
+    columns that go along, last. Rows stay in the order of docs.
 
     model: path of the vocabulary, the same on all machines."""
     if check not in ("words", "texts", "none"):
         raise ValueError(check)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * keep
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
@@ -211,6 +213,6 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 v.check(fresh[at : at + 10_000])
             kinds = [pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int64()), pa.string()] * keep
             names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * keep
-            yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(c, k) for c, k in zip(cols, kinds)), *(b[c] for c in carry)], names=["doc_id", *names, *carry])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry).mapInArrow(run, schema)

@@ -37,7 +37,10 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode_pieces(docs, vocabulary_path())
+    """The mixed order isn't kept by files, so positions are worked out again (they depend on ids, texts and
+    sources alone); rows come in their order and carry them."""
+    docs = mixing.mixed(docs, WEIGHTS, position="position")
+    return pieces.encode_pieces(docs, vocabulary_path(), carry=("position",))
 
 
 STAGES = [("language_id", language_id), ("jaccard_join", near_duplicates), ("substring_dedup", repeated_passages), ("mixing", mixing_sources), ("sentencepiece", encoding)]

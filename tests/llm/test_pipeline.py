@@ -24,3 +24,50 @@ def test_stages(spark, tmp_path):
             assert docs.filter("text like 'the house%'").count() == 1
     assert [n for _, n in counts] == [45, 40, 40, 40, 40]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 40
+
+
+def _brute_force_order(rows, weights, block_rows=16):
+    """Rows (doc_id, text, source) by walking slot after slot."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    d = d.withColumn("turn", F.xxhash64("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))))
+    waiting: dict = {}
+    for r in sorted(d.collect(), key=lambda r: (r.turn, r.doc_id)):
+        waiting.setdefault(r.source if r.source in weights else "other", []).append(r.doc_id)
+    weights, out = {"other": 1} | weights, []
+    while waiting:  # a phase: until a source has no rows left
+        total, served = sum(weights[s] for s in waiting), dict.fromkeys(waiting, 0)
+        for slot in range(1 << 30):
+            free = [s for s in waiting if served[s] * total // weights[s] <= slot]
+            s = min(free, key=lambda s: (-(-(served[s] + 1) * total // weights[s]), s))
+            served[s] += 1
+            out += waiting[s][:block_rows]
+            waiting[s] = waiting[s][block_rows:]
+            if not waiting[s]:
+                del waiting[s]
+                break
+    return out
+
+
+def test_run_gives_the_mixed_order(spark, tmp_path):
+    words = "the house old man river sold young woman city last year small garden behind long wall summer bread market".split()
+    text = lambda i: " ".join(words[(i * 7 + j * (i % 5 + 1)) % len(words)] + ("" if j % 3 else f" word{i}of{j}") for j in range(30 + i % 9 * 40))
+    rows = [(i, text(i), "en", f"src{i % 3 * 6}" if i % 4 else "unnamed", None) for i in range(240)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several part files between stages
+    try:
+        got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) > 200
+    source = {r[0]: r[3] for r in rows}
+    d = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        d = stage(spark, d, str(tmp_path)).localCheckpoint()
+    want = _brute_force_order([(r.doc_id, r.text, source[r.doc_id]) for r in d.collect()], corpus_pipeline.WEIGHTS)
+    assert want != sorted(want)
+    assert [r.doc_id for r in got] == want  # as run() gives them
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.position)] == want and sorted(r.position for r in got) == list(range(len(want)))
