@@ -7,7 +7,9 @@ small CART tree, trained on the labelled table below when a worker starts, decid
 
 Scripts, styles and other raw elements, comments and markup give no blocks. Character references are
 decoded in each run of text; white space inside a block becomes one space. Unclosed, crossed and cut
-off tags are tolerated: a closing tag closes the innermost element of its name if one is open.
+off tags are tolerated: a closing tag closes the innermost element of its name if one is open. What may
+look like a tag inside a script or another element without markup is part of it; without a closing tag it
+runs to the page's end. A head's own elements give no blocks, so it needs no end: other text is the body's.
 
 Null html counts as empty; a page without kept blocks has the text ''. Null ids, null urls and repeated
 rows pass through, one row each. Pages are read whole.
@@ -31,7 +33,10 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b\s*(?:=\
 _NAME = re.compile(r"[a-z]+")
 
 #: Elements of HTML by their role in a page.
-RAW = frozenset("script style noscript template textarea title iframe svg math object select canvas audio video head".split())
+RAW = frozenset("script style noscript template textarea title iframe svg math object select canvas audio video".split())
+#: Of these, the ones without markup inside: whatever comes before their own closing tag is text.
+PLAIN = frozenset("script style noscript textarea title iframe".split())
+_ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in PLAIN}
 FURNITURE = frozenset("nav header footer aside form dialog menu button fieldset".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("address article aside blockquote button center dd details dialog div dl fieldset figure footer form header hgroup main menu nav ol section span table tbody td tr ul li p".split())
@@ -126,6 +131,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     linked = links = furniture = article = 0
     heading = False
     raw = ""
+    endless: set[str] = set()  # elements without a closing tag from here on
 
     def flush() -> None:
         nonlocal linked
@@ -137,7 +143,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         linked = 0
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         if not raw and m.start() > at:
             text = html.unescape(page[at : m.start()])
             runs.append(text)
@@ -148,13 +154,16 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         if not tag:
             continue
         tag, closing = tag.lower(), bool(m[1] or m[4])
-        if raw:
-            if closing and tag == raw:
-                raw = ""
-            continue
-        if tag in RAW:
-            if not closing and not (m[3] or m[6] or "").endswith("/"):
-                raw = tag
+        if raw and closing and tag == raw:
+            raw = ""
+        elif tag in RAW and not closing and not (m[3] or m[6] or "").endswith("/"):
+            end = _ENDS[tag].search(page, at) if tag in PLAIN and tag not in endless else None
+            if end:
+                at = end.end()
+            else:
+                endless.add(tag)
+                raw = raw or tag
+        if raw or tag in RAW:
             continue
         if tag == "a":
             links = 0 if closing else 1

@@ -184,6 +184,17 @@ def test_html(spark):
     assert ("1", want, len(want)) in got and ("2", "", 0) in got and ("3", "", 0) in got and ("None", "cut off te", 10) in got and len(got) == 6
 
 
+def test_html_raw_elements_end_at_their_own_tag():
+    text = "The old house by the river was sold to a young woman from the city last year, and it was not cheap at all."
+    want = [text, text + " Again."]
+    after = f"<article><p>{text}</p><p>{text} Again.</p></article>"
+    for raw in ("<script>for(i=0;i<n;i++){f()}</script>", "<SCRIPT>if(a<b)c='it</Script >", "<script>'<!--'</script>", "<style>a<b{}</style>", "<textarea>1 <b</textarea>", "<svg><style>a<b \"{}</style><title>T</title></svg>", "<svg><!-- </svg> <p>no --></svg>", "<script>a</scripts><p>no</p></script>"):
+        assert html_text.main_text(f"<html><body>{raw}{after}</body></html>").split("\n") == want, raw
+    for head in ("<head><title>T</title>", "<head><meta charset=utf-8><script>if(a<b){}</script><title>T</title><body>", "<head><title>T</title></head>", "<HEAD><style>p{}</style><link rel=x></HEAD><body>"):
+        assert html_text.main_text(f"<html>{head}{after}</html>").split("\n") == want, head
+    assert html_text.main_text(f"{after}<script>for(;i<n;){{}} <p>{text}</p>").split("\n") == want  # to the page's end
+
+
 def test_sharding(docs, none):
     got = sharding.shard_by_bytes(docs, 5).collect()
     assert len(got) == len(_docs())
