@@ -3,6 +3,8 @@
 Each step is aggregations and joins on node ids, so no component is ever gathered in one task: a
 node with very many neighbours is pre-aggregated in its minimum, and the join that hands the minimum
 back is a plain equi-join whose skew adaptive execution may split. The number of edges never grows.
+Rounds go on until every edge ends at its component's smallest node: their number grows with the
+logarithm of the nodes, and a step that changes nothing ends them, so there is no limit to reach.
 """
 
 from __future__ import annotations
@@ -10,23 +12,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.plans.lineage import kept
-
-MOST_ROUNDS = 60
+from bitloom.plans.lineage import dropped, kept
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges (a long, b long), any order, repeats and loops allowed -> (node, root): every node of an
-    edge between two different nodes, with the smallest node that it is connected with."""
+    """edges (a, b) of one orderable type, any order, repeats and loops allowed -> (node, root): every
+    node of an edge between two different nodes, with the smallest node that it is connected with."""
     e = kept(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("p")).filter("u != p").distinct())
-    for _ in range(MOST_ROUNDS):
-        e = kept(_small_star(_large_star(e)))
+    while True:
+        e, old = kept(_small_star(_large_star(e))), e
+        dropped(old)
         roots = e.select(F.col("p").alias("r")).distinct()
         deep = e.join(roots, e.u == roots.r, "left_semi").limit(1).count()
         forked = 0 if deep else e.groupBy("u").count().filter("count > 1").limit(1).count()
         if not deep and not forked:
             return e.select(F.col("u").alias("node"), F.col("p").alias("root")).unionByName(e.select(F.col("p").alias("node"), F.col("p").alias("root")).distinct())
-    raise RuntimeError(f"components are not stable after {MOST_ROUNDS} rounds")
 
 
 def _large_star(e: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,9 +14,12 @@ _written: dict[str, SparkSession] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where that is unset (tests), an own temporary folder."""
+    """spark.checkpoint.dir of the session. Where that is unset, a session on one machine gets an own
+    temporary folder; a cluster must name a folder that its machines share."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="bitloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -27,12 +31,35 @@ def kept(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/bitloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of tables from kept() that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "_kept_at", None):
+            _delete(path, _written.pop(path, t.sparkSession))
+
+
+@contextlib.contextmanager
+def passing() -> Iterator[list[DataFrame]]:
+    """Deletes at its end what kept() wrote inside, but for the tables put into the list."""
+    before, stay = set(_written), []
+    yield stay
+    stays = {getattr(t, "_kept_at", None) for t in stay}
+    for path in [p for p in _written if p not in before and p not in stays]:
+        _delete(path, _written.pop(path))
+
+
+def _delete(path: str, spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @atexit.register
 def _clear() -> None:
     for path, spark in _written.items():
-        with contextlib.suppress(Exception):
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(path, spark)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from bitloom.llm import jaccard, languages, mixing, pieces, substrings
 from bitloom.llm.queries import WEIGHTS, vocabulary_path
-from bitloom.plans.lineage import kept
+from bitloom.plans.lineage import dropped, kept, passing
 
 #: The least score with which a language counts as told: more likely than all others together.
 TOLD = 0.5
@@ -52,8 +52,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages on documents, each one's rows written and read again for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = kept(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        before = docs
+        with passing() as stay:  # a stage's own tables go when its rows are written, and so does its input
+            docs = kept(stage(spark, before, sf_dir))
+            stay.append(docs)
+        dropped(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
