@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._rows import named
+
 ASK = "pid int, bucket int, n int, payload binary"
 LAST = (1 << 63) - 1
 
@@ -33,7 +35,7 @@ def buckets(groups: int) -> int:
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """(doc_id, text, text_hash, *more); null ids become LAST, null texts ''."""
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
+    d = docs.select(F.coalesce(named(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce(named(text_col), F.lit("")).alias("text"), *more)
     return d.withColumn("text_hash", F.xxhash64("text"))
 
 

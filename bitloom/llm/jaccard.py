@@ -17,6 +17,8 @@ No list is capped and no pair left out: every pair of a candidate component is i
 
 Nulls: a null text is empty; an empty set links with nothing and is its own component. Null ids come
 after all others and are given back as null. Repeated rows are equal documents. Ties: all ids count.
+An empty table gives no rows. Other columns are not looked at, whatever their names; ``one_of_each`` gives
+them back as they are.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from bitloom.plans.lineage import kept
 
 from . import _exchange as X
 from . import _text as T
+from ._rows import named, row_of, unpacked
 
 BLOCK = 256
 SCAN = 8  # what one posting costs beside one subset key: it is met again in verification
@@ -207,10 +210,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     linked = _linked(docs, id_col, text_col, k, num, den).select("doc_id", "text_hash", "n", "root")
     low = linked.filter("n > 0").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("d")).select(F.col("d.doc_id").alias("_id"), F.col("d.text_hash").alias("_hash"))
     stay = low.unionByName(linked.filter("n = 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
-    me = docs.withColumn("_at", F.coalesce(F.col(id_col).cast("long"), F.lit(X.LAST))).withColumn("_text", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    me = me.join(stay, (me["_at"] == stay["_id"]) & (me["_text"] == stay["_hash"]), "left_semi")
-    worded = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
-    return me.filter(worded).dropDuplicates(["_at", "_text"]).unionByName(me.filter(~worded)).drop("_at", "_text")
+    worded = F.coalesce(named(text_col), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
+    me = docs.select(F.coalesce(named(id_col).cast("long"), F.lit(X.LAST)).alias("at"), F.xxhash64(F.coalesce(named(text_col), F.lit(""))).alias("hash"), worded.alias("worded"), row_of(docs).alias("row"))
+    me = me.join(stay, (me["at"] == stay["_id"]) & (me["hash"] == stay["_hash"]), "left_semi")
+    return me.filter("worded").dropDuplicates(["at", "hash"]).unionByName(me.filter("not worded")).select(*unpacked(docs))
 
 
 def _linked(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:

@@ -6,13 +6,20 @@ a text's is the product over its words that have a letter (a word, with its word
 where every segmentation breaks, for no piece goes on over a mark). Characters outside the vocabulary
 have the same small probability everywhere. Languages are equally likely beforehand.
 
-Training: piece probabilities are fitted by expectation maximisation (forward-backward counts) on the
-word counts of about ``per_language`` labelled documents of each language, taken by a hash of the row;
-that bound is the only sample, every document is predicted from its whole text.
+Training: piece probabilities are fitted by expectation maximisation (forward-backward counts, in
+logarithms) on the words, of any length, of about ``per_language`` labelled documents of each language,
+taken by a hash of the row; that bound is the only sample, every document is predicted from its whole
+text. The driver gets the sample's word counts and holds vocabulary times languages numbers; more than
+``max_languages`` languages raise.
+
+Long words are taken apart where two characters are side by side in no piece, as every segmentation
+breaks there; in training also after each ``STRETCH`` characters.
 
 A prediction looks at the text alone. ``und`` with score 0: null texts, texts without a letter, and
-all texts if nothing could be learned from. Ties go to the language first in order. Null and repeated
-ids pass through, one row each.
+all texts if nothing could be learned from, an empty table's rows among them. Ties go to the language
+first in order. Null and repeated ids pass through, one row each. Columns of the input that are called
+held_out, lang_pred or score give way to the result's in ``identify``; ``told`` gives all columns back
+as they are.
 """
 
 from __future__ import annotations
@@ -26,9 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._text import mix
-from .pieces import MARK, release
+from ._rows import named, row_of, unpacked
+from ._worker import slim
+from .pieces import EACH, MARK
 
-KEEP = 500_000  # words kept by a worker
+KEPT = 48 << 20  # bytes of words kept by a worker
+LONG = 48  # characters from which a word is taken apart
+STRETCH = 1 << 16  # characters of a word looked at at once
 STRANGE = 1e-8  # probability of a character outside the vocabulary
 SMOOTH = 0.02  # added to each piece's count
 
@@ -41,7 +52,8 @@ def load_pieces(path: str) -> dict[str, int]:
 
 
 class Lattice:
-    """All pieces in words: edges (word, start, length, piece); piece 0 stands for a strange character.
+    """All pieces in marked words or parts of them: edges (part, start, length, piece); piece 0 stands for
+    a strange character.
 
     Substrings are looked up by rolling 64-bit hashes in a sorted table of the pieces' prefixes."""
 
@@ -57,16 +69,26 @@ class Lattice:
         self.keys = np.array(sorted(table), np.uint64)
         self.piece = np.array([table[k] for k in sorted(table)], np.int64)
         self.longest = max(map(len, pieces), default=1)
+        self.inner = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
+
+    def parts(self, word: str) -> list[str]:
+        """A word with its mark; a long one cut between characters that no piece has side by side."""
+        word = MARK + word
+        if len(word) <= LONG:
+            return [word]
+        inner, cuts = self.inner, [0]
+        cuts += (i for i in range(1, len(word)) if word[i - 1 : i + 1] not in inner)
+        return [word[a:b] for a, b in zip(cuts, [*cuts[1:], len(word)])]
 
     @staticmethod
     def _values(codes: np.ndarray) -> np.ndarray:
         return mix(codes.astype(np.uint64) + np.uint64(1))
 
-    def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        size = np.array([len(w) + 1 for w in words])
-        codes = np.frombuffer((MARK + MARK.join(words)).encode("utf-32-le", "surrogatepass"), np.uint32)
+    def edges(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        size = np.array([len(x) for x in parts])
+        codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
         values, ends = self._values(codes), np.cumsum(size)
-        word = np.repeat(np.arange(len(words)), size)
+        word = np.repeat(np.arange(len(parts)), size)
         at, h, out = np.arange(len(codes)), np.zeros(len(codes), np.uint64), []
         single = np.zeros(len(codes), bool)
         for n in range(1, self.longest + 1):
@@ -88,68 +110,98 @@ class Lattice:
         w = word[a]
         return w, a - (ends - size)[w], n, p
 
-    def forward(self, words: list[str], prob: np.ndarray) -> np.ndarray:
-        """Log probabilities (words x languages); prob: (pieces x languages). Rescaled at each
-        character, so that words of any length stay in range."""
-        w, i, n, p = self.edges(words)
-        size = np.array([len(x) + 1 for x in words])
-        order = np.argsort(i, kind="stable")
-        w, i, n, p = w[order], i[order], n[order], p[order]
-        bounds = np.searchsorted(i, np.arange(size.max() + 1))
-        ring = np.zeros((self.longest + 1, len(words), prob.shape[1]))
+    def forward(self, parts: list[str], prob: np.ndarray) -> np.ndarray:
+        """Log probabilities (parts x languages); prob: (pieces x languages). Rescaled at each
+        character, so that parts of any length stay in range; looked up a stretch at a time."""
+        size = np.array([len(x) for x in parts])
+        m, top_size = self.longest + 1, int(size.max())
+        ring = np.zeros((m, len(parts), prob.shape[1]))
         ring[0] = 1.0
-        scale, result, m = np.zeros((len(words), 1)), np.zeros((len(words), prob.shape[1])), self.longest + 1
-        for at in range(int(size.max())):
-            a, b = bounds[at], bounds[at + 1]
-            here = ring[at % m]
-            ww, nn = w[a:b], n[a:b]
-            add = here[ww] * prob[p[a:b]]
-            for k in np.unique(nn):
-                x = nn == k
-                ring[(at + k) % m][ww[x]] += add[x]  # one piece of a length starts here in a word
-            ring[at % m] = 0.0
-            nxt = ring[(at + 1) % m]
-            top = nxt.max(axis=1)
-            live = (top > 0) & (top < 1e-60)
-            if live.any():
-                ring[:, live] /= top[live][None, :, None]
-                scale[live, 0] += np.log(top[live])
-            done = size == at + 1
-            if done.any():
-                result[done] = np.log(np.maximum(ring[(at + 1) % m][done], 1e-300)) + scale[done]
+        scale, result = np.zeros((len(parts), 1)), np.zeros((len(parts), prob.shape[1]))
+        for first in range(0, top_size, STRETCH):
+            w, i, n, p = self.edges([x[first : first + STRETCH + self.longest] for x in parts])
+            order = np.argsort(i, kind="stable")
+            w, i, n, p = w[order], i[order], n[order], p[order]
+            to = min(STRETCH, top_size - first)
+            bounds = np.searchsorted(i, np.arange(to + 1))
+            for at in range(to):
+                a, b = bounds[at], bounds[at + 1]
+                now = (first + at) % m
+                ww, nn = w[a:b], n[a:b]
+                add = ring[now][ww] * prob[p[a:b]]
+                for k in np.unique(nn):
+                    x = nn == k
+                    ring[(now + k) % m][ww[x]] += add[x]  # one piece of a length starts here in a part
+                ring[now] = 0.0
+                nxt = ring[(now + 1) % m]
+                top = nxt.max(axis=1)
+                live = (top > 0) & (top < 1e-60)
+                if live.any():
+                    ring[:, live] /= top[live][None, :, None]
+                    scale[live, 0] += np.log(top[live])
+                done = size == first + at + 1
+                if done.any():
+                    result[done] = np.log(np.maximum(nxt[done], 1e-300)) + scale[done]
         return result
 
 
+class Counter:
+    """Expected piece counts of weighted parts of words, by the forward-backward algorithm in logarithms."""
+
+    def __init__(self, lattice: Lattice, parts: list[str], weight: np.ndarray):
+        w, i, k, self.p = lattice.edges(parts)
+        base = np.concatenate(([0], np.cumsum([len(x) + 1 for x in parts])))
+        self.first, self.last, self.weight = base[:-1], base[1:] - 1, weight
+        self.w, self.a, self.b = w, base[w] + i, base[w] + i + k
+        self.into, self.outof = self._steps(i + k, self.b), self._steps(-i, self.a)
+
+    @staticmethod
+    def _steps(rank: np.ndarray, node: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(edges, where each node's begin, nodes) of one character after another."""
+        order = np.lexsort((node, rank))
+        rank, node = rank[order], node[order]
+        new = np.ones(len(order), bool)
+        new[1:] = node[1:] != node[:-1]  # a node has one rank
+        at = np.flatnonzero(new)
+        cuts = np.append(np.flatnonzero(np.concatenate(([True], rank[1:] != rank[:-1]))), len(rank))
+        spans = np.searchsorted(at, cuts)
+        return [(order[x:y], at[s:t] - x, node[at[s:t]]) for x, y, s, t in zip(cuts[:-1], cuts[1:], spans[:-1], spans[1:])]
+
+    def counts(self, q: np.ndarray) -> np.ndarray:
+        log = np.log(q)[self.p]
+        fwd = np.full(self.last[-1] + 1, -np.inf)
+        bwd = fwd.copy()
+        fwd[self.first] = bwd[self.last] = 0.0
+        for e, at, node in self.into:
+            fwd[node] = np.logaddexp.reduceat(fwd[self.a[e]] + log[e], at)
+        for e, at, node in self.outof:
+            bwd[node] = np.logaddexp.reduceat(bwd[self.b[e]] + log[e], at)
+        share = np.exp(fwd[self.a] + log + bwd[self.b] - fwd[self.last][self.w])
+        return np.bincount(self.p, weights=self.weight[self.w] * share, minlength=len(q))
+
+
 def fit(counts: dict[str, dict[str, int]], pieces: dict[str, int], rounds: int = 4) -> tuple[list[str], np.ndarray]:
     """counts: language -> word -> count. Gives (languages, probabilities)."""
     langs, lattice = sorted(counts), Lattice(pieces)
     n = max(pieces.values(), default=0) + 1
     prob = np.full((n, len(langs)), 1.0 / n)
     for l, lang in enumerate(langs):
-        words = [w for w in counts[lang] if len(w) <= 40]
-        weight = np.array([counts[lang][w] for w in words], dtype=float)
-        if not words:
+        weight: dict[str, int] = {}
+        for word, c in counts[lang].items():
+            for part in lattice.parts(word):
+                for at in range(0, len(part), STRETCH):
+                    x = part[at : at + STRETCH]
+                    weight[x] = weight.get(x, 0) + c
+        if not weight:
             continue
-        w, i, k, p = lattice.edges(words)
-        base = np.concatenate(([0], np.cumsum([len(x) + 2 for x in words])))
-        a, b = base[w] + i, base[w] + i + k
-        by_start, by_end = np.argsort(i, kind="stable"), np.argsort(-(i + k), kind="stable")
-        most = int((i + k).max())
-        starts, ends = np.searchsorted(i[by_start], np.arange(most + 1)), np.searchsorted(-(i + k)[by_end], -np.arange(most, -1, -1))
+        parts = sorted(weight, key=lambda x: (len(x), x))
+        ends = np.cumsum([len(x) for x in parts])
+        cuts = [0, *(int(np.searchsorted(ends, z, "right")) for z in range(2 * STRETCH, int(ends[-1]), 2 * STRETCH)), len(parts)]
+        chunks = [Counter(lattice, parts[a:b], np.array([weight[x] for x in parts[a:b]], float)) for a, b in zip(cuts[:-1], cuts[1:]) if b > a]
         q = np.full(n, 1.0 / n)
         for _ in range(rounds):
             q[0] = STRANGE
-            fwd, bwd = np.zeros(base[-1]), np.zeros(base[-1])
-            fwd[base[:-1]] = 1.0
-            bwd[base[1:] - 1] = 1.0
-            for s in range(most):
-                e = by_start[starts[s] : starts[s + 1]]
-                np.add.at(fwd, b[e], fwd[a[e]] * q[p[e]])
-            for x in range(len(ends)):
-                e = by_end[ends[x] : ends[x + 1] if x + 1 < len(ends) else len(by_end)]
-                np.add.at(bwd, a[e], bwd[b[e]] * q[p[e]])
-            whole = np.maximum(fwd[base[1:] - 1], 1e-300)
-            got = np.bincount(p, weights=weight[w] * fwd[a] * q[p] * bwd[b] / whole[w], minlength=n)
+            got = sum(c.counts(q) for c in chunks)
             got[0] = 0
             q = (got + SMOOTH) / (got.sum() + SMOOTH * n)
         prob[:, l] = q
@@ -162,33 +214,41 @@ class Scorer:
         self.langs, self.prob, self.lattice = langs, prob, Lattice(pieces)
         self.slot: dict[str, int] = {}
         self.rows = np.zeros((0, len(langs)))
-
-    def _learn(self, words: set[str]) -> None:
-        new = sorted(words, key=len)
-        if len(self.slot) + len(new) > KEEP:  # the words met first are the frequent ones
-            self.slot = dict(islice(self.slot.items(), KEEP // 2))
-            new = sorted(words - self.slot.keys(), key=len)
-        base = len(self.slot)
-        rows = np.zeros((len(new), len(self.langs)))
-        real = [j for j, w in enumerate(new) if any(map(str.isalpha, w))]
-        for c in range(0, len(real), 2000):  # of about equal length
-            part = real[c : c + 2000]
-            rows[part] = self.lattice.forward([new[j] for j in part], self.prob)
-        self.slot.update(zip(new, range(base, base + len(new))))
+        self.size = 0
+
+    def _learn(self, new: list[str]) -> None:
+        base, parts = len(self.slot), [self.lattice.parts(w) if any(map(str.isalpha, w)) else [] for w in new]
+        order = sorted({p for x in parts for p in x}, key=len)
+        found: dict[str, np.ndarray] = {}
+        for c in range(0, len(order), 2000):  # of about equal length
+            some = order[c : c + 2000]
+            if len(some[-1]) > 4 * LONG:  # the ones that are much longer go alone
+                alone = [x for x in some if len(x) > 4 * LONG]
+                some = some[: len(some) - len(alone)]
+                found.update((x, self.lattice.forward([x], self.prob)[0]) for x in alone)
+            if some:
+                found.update(zip(some, self.lattice.forward(some, self.prob)))
         if base + len(new) > len(self.rows):
-            self.rows = np.concatenate((self.rows[:base], rows, np.zeros((max(4096, base), len(self.langs)))))
-        else:
-            self.rows[base : base + len(new)] = rows
+            self.rows = np.concatenate((self.rows[:base], np.zeros((len(new) + max(4096, base // 4), len(self.langs)))))
+        for j, x in enumerate(parts, base):
+            self.rows[j] = sum(map(found.__getitem__, x)) if x else 0.0
+        self.slot.update(zip(new, range(base, base + len(new))))
+        self.size += sum(EACH + len(w) + 8 * len(self.langs) for w in new)
+
+    def _forget(self) -> None:
+        """The words met first are the frequent ones."""
+        if self.size > KEPT:
+            self.slot = dict(islice(self.slot.items(), len(self.slot) // 2))
+            self.rows = self.rows[: len(self.slot)].copy()
+            self.size = sum(EACH + len(w) + 8 * len(self.langs) for w in self.slot)
 
     def texts(self, batch: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = [], []
         for at in range(0, len(batch), 200):
+            self._forget()
             split = [(t or "").split() for t in batch[at : at + 200]]
-            new = {w for ws in split for w in ws if w not in self.slot}
-            if new:
-                if len(self.slot) + len(new) > KEEP:
-                    new = {w for ws in split for w in ws}
-                self._learn(new)
+            if self.langs and (new := {w for ws in split for w in ws if w not in self.slot}):
+                self._learn(sorted(new))
             for text, ws in zip(batch[at : at + 200], split):
                 if not self.langs or not text or not any(map(str.isalpha, text)):
                     names.append("und"), scores.append(0.0)
@@ -202,41 +262,58 @@ class Scorer:
 
 def held_out(id_col: str = "doc_id"):
     """Whether crc32 of the id as text is 1 modulo 3; false for a null id, which isn't learned from either."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return F.coalesce(F.crc32(named(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, max_languages: int = 1000) -> tuple[list[str], np.ndarray]:
     """Learns from documents that aren't held out; what reaches the driver are the word counts of
     about per_language documents of each language."""
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
+    rows = docs.select(named(id_col).alias("i"), named(text_col).alias("t"), named(lang_col).cast("string").alias("l"))
     rows = rows.filter("i is not null and t is not null and l is not null").filter(~held_out("i"))
-    sizes = rows.groupBy("l").count()
-    share = F.lit(float(per_language)) / F.col("count")
-    picked = rows.join(F.broadcast(sizes), "l").filter(F.pmod(F.xxhash64("i", "t"), F.lit(1 << 30)) < share * F.lit(float(1 << 30)))
+    sizes = rows.groupBy("l").count().limit(max_languages + 1).collect()
+    if len(sizes) > max_languages:
+        raise ValueError(f"more than {max_languages} languages to learn")
+    shares = docs.sparkSession.createDataFrame([(l, min(1.0, per_language / n)) for l, n in sizes], "l string, share double")
+    picked = rows.join(F.broadcast(shares), "l").filter(F.pmod(F.xxhash64("i", "t"), F.lit(1 << 30)) < F.col("share") * F.lit(float(1 << 30)))  # max_languages rows at most
     words = picked.select("l", F.explode(F.split("t", r"\s+")).alias("w")).filter(F.col("w").rlike(r"\p{L}")).groupBy("l", "w").count()
     counts: dict[str, dict[str, int]] = {}
-    for l, w, n in words.toArrow().to_pandas().itertuples(index=False):
-        counts.setdefault(l, {})[w] = n
+    for b in words.toArrow().to_batches(max_chunksize=50_000):
+        for l, w, n in zip(*(c.to_pylist() for c in b.columns)):
+            counts.setdefault(l, {})[w] = n
     return fit(counts, load_pieces(model))
 
 
-def identify(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, trained: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
-    """docs with the columns held_out, lang_pred and score (0 to 1) added.
-
-    model: path of the vocabulary. trained: from train(); else learned from docs first."""
+def _scored(docs: DataFrame, model: str, id_col: str, text_col: str, lang_col: str, per_language: int, trained: tuple[list[str], np.ndarray] | None) -> DataFrame:
+    """(row, held_out, lang_pred, score)"""
     langs, prob = trained or train(docs, model, id_col, text_col, lang_col, per_language)
     shipped = docs.sparkSession.sparkContext.broadcast((langs, prob))  # vocabulary size x languages, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
+        slim()
         scorer = Scorer(*shipped.value, load_pieces(model))
-        for b in batches:
-            t = b.column(b.schema.get_field_index(text_col))
-            names, scores = scorer.texts(t.to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+        try:
+            for b in batches:
+                for at in range(0, b.num_rows, 400):
+                    part = b.slice(at, 400)
+                    names, scores = scorer.texts(part["text"].to_pylist())
+                    yield pa.RecordBatch.from_arrays([part["held_out"], part["row"], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["held_out", "row", "lang_pred", "score"])
+        finally:
+            del scorer
+            slim()
+
+    d = docs.select(named(text_col).cast("string").alias("text"), held_out(id_col).alias("held_out"), row_of(docs).alias("row"))
+    return d.mapInArrow(run, f"held_out boolean, row {d.schema['row'].dataType.simpleString()}, lang_pred string, score double")
 
-    d = docs.drop("held_out", "lang_pred", "score")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema), "lang_pred string", "score double"])
-    return d.mapInArrow(run, schema).withColumn("held_out", held_out(id_col))
+
+def identify(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, trained: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
+    """docs with the columns held_out, lang_pred and score (0 to 1) added.
+
+    model: path of the vocabulary. trained: from train(); else learned from docs first."""
+    own = ("lang_pred", "score", "held_out")
+    return _scored(docs, model, id_col, text_col, lang_col, per_language, trained).select(*unpacked(docs, leave=own), *own)
 
 
+def told(docs: DataFrame, model: str, least: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, trained: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
+    """The rows of docs, unchanged, whose language is told with a score of at least ``least``."""
+    d = _scored(docs, model, id_col, text_col, lang_col, per_language, trained)
+    return d.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*unpacked(docs))

@@ -8,22 +8,28 @@ When a source has no blocks left, the others go on with a new schedule (a phase)
 same rule. A schedule repeats after W slots, so the driver works out W slots a phase, at most one phase
 a source, whatever the number of rows; rows take their slots from that table by arithmetic.
 
+Weights are brought to lowest terms; such that still add up to more than ``MOST_SLOTS`` raise.
+
 Sources without a weight are pooled under ``other``, null sources too. All rows are kept. Rows of a
 source are taken in order of a hash of id and text; repeated rows share a position. Null ids and texts
-are values like others. Positions are from 0 and, without repeated rows, gapless.
+are values like others. Positions are from 0 and, without repeated rows, gapless. An empty table has no
+positions. ``mixed`` gives all columns back as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitloom.plans.lineage import kept
 
+from ._rows import named, row_of, unpacked
 
 OTHER = "other"
+MOST_SLOTS = 1_000_000  # of a schedule, which the driver walks once a phase
 
 
 def frame(weights: dict[str, int]) -> list[str]:
@@ -68,15 +74,27 @@ def phases(blocks: dict[str, int], weights: dict[str, int]) -> list[tuple[str, i
     return out
 
 
+def _lowest(weights: dict[str, int]) -> dict[str, int]:
+    """The same shares in lowest terms."""
+    low = {s: w // math.gcd(*weights.values()) for s, w in weights.items()}
+    if sum(low.values()) > MOST_SLOTS:
+        raise ValueError(f"weights that add up to more than {MOST_SLOTS}: give coarser ones")
+    return low
+
+
+def _source(c: Column, weights: dict[str, int]) -> Column:
+    name = c.cast("string")
+    return F.when(name.isin(*{OTHER: 1} | weights), name).otherwise(F.lit(OTHER))
+
+
 def positions(docs: DataFrame, weights: dict[str, int], id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block_rows: int = 16) -> DataFrame:
     """(doc_id, text_hash, source, weight, block, slot, position) of each distinct (id, source, text).
 
     weights: positive integers by source; may name ``other``, which counts 1 if it doesn't."""
     if any(w < 1 or int(w) != w for w in weights.values()):
         raise ValueError("weights are positive integers")
-    spark, weights = docs.sparkSession, {OTHER: 1} | {k: int(v) for k, v in weights.items()}
-    name = F.col(source_col).cast("string")
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.when(name.isin(*weights), name).otherwise(F.lit(OTHER)).alias("source")).distinct()
+    spark, weights = docs.sparkSession, _lowest({OTHER: 1} | {k: int(v) for k, v in weights.items()})
+    d = docs.select(named(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(named(text_col), F.lit(""))).alias("text_hash"), _source(named(source_col), weights).alias("source")).distinct()
     d = d.withColumn("turn", F.xxhash64("doc_id", "text_hash"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = kept(d.repartitionByRange(n, "source", "turn", "doc_id").withColumn("part", F.spark_partition_id()))
@@ -104,10 +122,11 @@ def positions(docs: DataFrame, weights: dict[str, int], id_col: str = "doc_id",
 
 
 def mixed(docs: DataFrame, weights: dict[str, int], id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block_rows: int = 16, position: str | None = None) -> DataFrame:
-    """All rows of docs, in the order of their positions; position: the name of a column for them."""
+    """All rows of docs, in the order of their positions; position: the name of a column for them, which
+    takes the place of one of docs that is called so."""
     at = positions(docs, weights, id_col, source_col, text_col, block_rows)
-    name = F.col(source_col).cast("string")
-    keyed = docs.withColumn("_mix_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).withColumn("_mix_source", F.when(name.isin(*{OTHER: 1} | weights), name).otherwise(F.lit(OTHER)))
-    at = at.select(F.col("doc_id").alias("_mix_id"), F.col("text_hash").alias("_mix_hash"), F.col("source").alias("_mix_source"), F.col("position").alias("_mix_at"))
-    both = keyed.join(at, keyed[id_col].cast("long").eqNullSafe(at["_mix_id"]) & (keyed["_mix_hash"] == at["_mix_hash"]) & (keyed["_mix_source"] == at["_mix_source"]))
-    return both.orderBy("_mix_at").select(*(keyed[c] for c in docs.columns), *([F.col("_mix_at").alias(position)] if position else []))
+    text = F.xxhash64(F.coalesce(named(text_col), F.lit("")))
+    mine = docs.select(named(id_col).cast("long").alias("i"), text.alias("h"), _source(named(source_col), weights).alias("s"), row_of(docs).alias("row"))
+    at = at.select("doc_id", "text_hash", "source", "position")
+    both = mine.join(at, mine.i.eqNullSafe(at.doc_id) & (mine.h == at.text_hash) & (mine.s == at.source)).orderBy("position")
+    return both.select(*unpacked(docs, leave=(position,) if position else ()), *([F.col("position").alias(position)] if position else []))

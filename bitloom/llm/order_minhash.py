@@ -10,7 +10,9 @@ edit distance, moves of text included.
 
 Null texts count as empty and have the fingerprint ''. Two empty texts are alike (1), an empty and
 another one aren't (0). Equal texts have equal fingerprints. Equal rows give one row; null ids come
-after all others and are given back as null.
+after all others and are given back as null. An empty table gives no rows. Other columns are not looked
+at, whatever their names. k-mers and their order have ``64 - BITS`` bits of a hash each, so that a position
+fits beside them; of k-mers alike in these the earlier one goes first.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from bitloom.plans.lineage import kept
 
 
 TOKEN = 8
+BITS = 30  # of a position: a text of 2 GB, the longest that Spark holds, has no more tokens
 LAST = (1 << 63) - 1
 _KEY = ["doc_id", "text_hash"]
 
@@ -32,25 +35,25 @@ def fingerprints(texts: DataFrame, keys: list[str], text_col: str = "text", k: i
     tokens = texts.select(*keys, F.expr(rf"regexp_extract_all({text_col}, '([^ \\t\\n\\x0B\\f\\r]{{1,{TOKEN}}})', 1)").alias("tok"))
     gram = ", ".join(f"get(tok, i + {j})" for j in range(k))
     packed = tokens.select(*keys, F.expr(f"""sort_array(if(size(tok) = 0, cast(array() as array<bigint>),
-        transform(sequence(0, greatest(size(tok) - {k}, 0)), i -> shiftleft(xxhash64({gram}), 24) | cast(i as bigint))))""").alias("s"))
+        transform(sequence(0, greatest(size(tok) - {k}, 0)), i -> shiftleft(xxhash64({gram}), {BITS}) | cast(i as bigint))))""").alias("s"))
     # s: k-mers by hash, then position; a k-mer's number is its distance from the first equal one
-    numbered = packed.select(*keys, F.expr("""if(size(s) = 0, array(struct(0L as e, -1L as pos)), transform(s, (x, i) -> struct(
-        xxhash64(shiftright(x, 24), if(i > 0 and shiftright(x, 24) = shiftright(s[greatest(i - 1, 0)], 24),
-            aggregate(sequence(1, 24), struct(0 as lo, i as hi),
-                (a, step) -> if(a.lo >= a.hi, a, if(shiftright(s[(a.lo + a.hi) div 2], 24) < shiftright(x, 24),
+    numbered = packed.select(*keys, F.expr(f"""if(size(s) = 0, array(struct(0L as e, -1L as pos)), transform(s, (x, i) -> struct(
+        xxhash64(shiftright(x, {BITS}), if(i > 0 and shiftright(x, {BITS}) = shiftright(s[greatest(i - 1, 0)], {BITS}),
+            aggregate(sequence(1, {BITS}), struct(0 as lo, i as hi),
+                (a, step) -> if(a.lo >= a.hi, a, if(shiftright(s[(a.lo + a.hi) div 2], {BITS}) < shiftright(x, {BITS}),
                     struct(cast((a.lo + a.hi) div 2 + 1 as int) as lo, a.hi as hi), struct(a.lo as lo, cast((a.lo + a.hi) div 2 as int) as hi))),
-                a -> i - a.lo), 0)) as e, x & 16777215L as pos)))""").alias("e"))
+                a -> i - a.lo), 0)) as e, x & {(1 << BITS) - 1}L as pos)))""").alias("e"))
     # explode would add a filter on the array, and with it compute the array twice
     rows = numbered.select(*keys, F.explode_outer("e").alias("e")).select(*keys, F.coalesce("e.e", F.lit(0)).alias("e"), F.coalesce("e.pos", F.lit(-1)).alias("pos"))
     # each order's value has the position in its low bits and so is there once; orders are columns, not
     # expressions inside the aggregates, which keeps the generated code small
-    orders = rows.select(*keys, "pos", *(F.expr(f"(xxhash64(e, {j}) & -16777216L) | pos").alias(f"o{j}") for j in range(m)))
+    orders = rows.select(*keys, "pos", *(F.expr(f"(xxhash64(e, {j}) & {-(1 << BITS)}L) | pos").alias(f"o{j}") for j in range(m)))
     ends = orders.groupBy(*keys).agg(F.max("pos").alias("top"), *(x for j in range(m) for x in (F.min(f"o{j}").alias(f"a{j}"), F.max(f"o{j}").alias(f"b{j}"))))
 
     def entry(j: int) -> Column:
         a, b = F.col(f"a{j}"), F.col(f"b{j}")
-        first = a.bitwiseAND(16777215) <= b.bitwiseAND(16777215)
-        x, y = F.shiftright(a, 24), F.shiftright(b, 24)
+        first = a.bitwiseAND((1 << BITS) - 1) <= b.bitwiseAND((1 << BITS) - 1)
+        x, y = F.shiftright(a, BITS), F.shiftright(b, BITS)
         return F.when(first, F.xxhash64(x, y)).otherwise(F.xxhash64(y, x))
 
     return ends.select(*keys, F.when(F.col("top") < 0, F.array().cast("array<long>")).otherwise(F.array(*map(entry, range(m)))).alias("omh"))

@@ -5,16 +5,22 @@ the best score is merged first, the leftmost of equals; symbols outside the voca
 their UTF-8 bytes. No piece of the vocabulary has a word mark after another character (checked when it
 is loaded), so merges never cross a word's start and words are encoded one at a time and kept.
 
+Texts are decoded from their ids, by the vocabulary's table.
+
 Every word that a worker meets for the first time is checked against the sentencepiece library, one
-call for an Arrow batch's new words, or (``check="texts"``) every whole text is; a difference raises.
+call for an Arrow batch's new words, and so is the whole of every ``EVERY``-th text, ids and decoded
+text; ``check="texts"`` checks every whole text. A difference raises.
+
+A worker keeps words and parts of words up to ``KEPT`` bytes and lets go of them when its batches end.
 
 Nulls: a null text is an empty one, which has no pieces besides begin and end. Null and repeated ids
-pass through, a row in is a row out. Long words and texts are encoded whole.
+pass through, a row in is a row out; an empty table gives no rows. Long words and texts are encoded
+whole. Other columns are not looked at, whatever their names; ``carry`` names those that go along,
+which may not be called like the result's own.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import heapq
 import re
@@ -27,8 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._rows import named
+from ._worker import slim
+
 MARK = "▁"
-KEEP = 800_000  # words kept by a worker, and half as many parts of words
+KEPT = 64 << 20  # bytes of words kept by a worker, and a quarter as many of parts of words
+EACH = 200  # bytes that a kept word takes besides its characters and ids: two objects and a place in the table
+EVERY = 16  # of so many texts, one is checked whole
+ROWS = 512  # rows taken out of an Arrow batch at once
 SHORT = 32  # characters up to which the agenda is a list, not a heap
 NEVER = float("inf")
 LONG = 64  # longer words are encoded each time
@@ -60,7 +72,7 @@ class Vocabulary:
         self.lines = not any("\n" in p for p in self.inner)
         self.parts: dict[str, tuple[int, ...]] = {}
         self.packed: dict[str, bytes] = {}
-        self.odd: dict[str, bytes] = {}  # of words that don't decode to themselves
+        self.packed_size = self.parts_size = 0
 
     def _agenda(self, word: str) -> list[str]:
         sym: list[str] = list(word)
@@ -119,16 +131,20 @@ class Vocabulary:
                 part = word[start:i]
                 if (ids := known.get(part)) is None:
                     ids = tuple(self._part(part))
-                    if len(part) <= LONG and len(known) < KEEP // 2:
+                    if len(part) <= LONG and self.parts_size < KEPT // 4:
                         known[part] = ids
+                        self.parts_size += EACH + len(part) + 8 * len(ids)
                 out += ids
                 start = i
         return out
 
+    def raw(self, ids: Iterable[int]) -> bytes:
+        """The text of ids in UTF-8; the space that encoding puts first goes."""
+        raw = b"".join(map(self.text.__getitem__, ids))
+        return raw[1:] if raw[:1] == b" " else raw
+
     def decode(self, ids: Iterable[int]) -> str:
-        """The text of ids; the space that encoding puts first goes."""
-        raw = b"".join(self.text[i] for i in ids)
-        return raw[raw[:1] == b" " :].decode(errors="replace")
+        return self.raw(ids).decode(errors="replace")
 
     def check(self, words: list[tuple[str, bytes]]) -> None:
         """Raises where the library encodes one of the words (with marks as spaces, packed ids) otherwise."""
@@ -137,38 +153,33 @@ class Vocabulary:
             if ids != array("I", theirs[one:]).tobytes():
                 raise ValueError(f"{w!r}: {array('I', ids).tolist()}, but the library has {theirs[one:]}")
 
-    def encode_text(self, text: str, fresh: list[tuple[str, bytes]]) -> tuple[bytes, bytes]:
-        """(ids without begin and end as little-endian 32-bit numbers, decoded text in UTF-8); words met
-        for the first time are added to fresh.
+    def encode_text(self, text: str, fresh: list[tuple[str, bytes]]) -> bytes:
+        """Ids without begin and end as little-endian 32-bit numbers; words met for the first time are
+        added to fresh.
 
         Keys of words: the characters after the first word mark, further marks as spaces; and, as
         a line's end never merges, from a line's end on, with the marks in front of it as spaces."""
         if not text:
-            return b"", b""
-        plain = text.replace(MARK, " ")
-        text = plain.replace("\n", " \n") if self.lines else plain
+            return b""
+        text = text.replace(MARK, " ")
+        text = text.replace("\n", " \n") if self.lines else text
         words = text.split(" ") if "  " not in text and text[0] != " " and text[-1] != " " else [w[1:] for w in _WORD.findall(" " + text)]
-        packed, odd = self.packed, self.odd
+        packed = self.packed
         if new := [w for w in set(words) if w not in packed]:
-            if len(packed) > KEEP:  # the words met first are the frequent ones
-                packed = self.packed = dict(islice(packed.items(), KEEP // 2))
+            if self.packed_size > KEPT:  # the words met first are the frequent ones
+                packed = self.packed = dict(islice(packed.items(), len(packed) // 2))
+                self.packed_size = sum(EACH + len(w) + len(x) for w, x in packed.items())
                 new = [w for w in set(words) if w not in packed]
-            piece = self.text
             for w in new:
                 marked = w if w.lstrip(" ")[:1] == "\n" else " " + w
-                ids = self.encode_word(marked.replace(" ", MARK))
-                packed[w] = array("I", ids).tobytes()
+                packed[w] = array("I", self.encode_word(marked.replace(" ", MARK))).tobytes()
+                self.packed_size += EACH + len(w) + len(packed[w])
                 fresh.append((marked, packed[w]))
-                if (raw := b"".join([piece[i] for i in ids])) != marked.encode():
-                    odd[w] = raw
         ids = b"".join(map(packed.__getitem__, words))
-        raw = plain.encode()  # what the words decode to, without the first mark
-        if odd and not odd.keys().isdisjoint(words):
-            raw = b"".join(odd.get(w) or (w if w.lstrip(" ")[:1] == "\n" else " " + w).encode() for w in words)[1:]
         for w in new:
             if len(w) > LONG:
-                del packed[w]
-        return ids, raw
+                self.packed_size -= EACH + len(w) + len(packed.pop(w))
+        return ids
 
 
 @lru_cache(maxsize=1)
@@ -176,12 +187,6 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def release() -> None:
-    """Lets go of a worker's word tables: Spark hands workers on to other operators."""
-    vocabulary.cache_clear()
-    gc.collect()
-
-
 def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", check: str = "words", keep: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row; keep: ids and decoded as well; carry:
     columns that go along, last. Rows stay in the order of docs.
@@ -191,28 +196,39 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
         raise ValueError(check)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * keep
     schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    own = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * keep
+    kinds = [pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int64()), pa.string()] * keep
+    whole = {"words": EVERY, "texts": 1, "none": 0}[check]
+
+    def rows(v: Vocabulary, b: pa.RecordBatch) -> pa.RecordBatch:
+        begin, end = array("I", [v.begin]).tobytes(), array("I", [v.end]).tobytes()
+        fresh: list[tuple[str, bytes]] = []
+        cols: list[list] = [[] for _ in own]
+        for i, text in enumerate(b["text"].to_pylist()):
+            packed = begin + v.encode_text(text or "", fresh) + end
+            ids = array("I", packed)
+            raw = v.raw(ids)
+            if whole and i % whole == 0:
+                theirs = v.library.encode(text or "", add_bos=True, add_eos=True)
+                if ids.tolist() != theirs or raw.decode(errors="replace") != v.library.decode(theirs):
+                    raise ValueError(f"{(text or '')[:80]!r}: other ids or another decoded text than the library's")
+            got = (len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(raw).hexdigest()) + ((ids.tolist(), raw.decode(errors="replace")) if keep else ())
+            for c, x in zip(cols, got):
+                c.append(x)
+        if check == "words":
+            v.check(fresh)
+        return pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(c, k) for c, k in zip(cols, kinds)), *b.columns[2:]], names=["doc_id", *own, *carry])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slim()
         v = vocabulary(model)
-        begin, end = array("I", [v.begin]).tobytes(), array("I", [v.end]).tobytes()
-        for b in batches:
-            fresh: list[tuple[str, bytes]] = []
-            cols: list[list] = [[] for _ in range(3 + 2 * keep)]
-            for i in range(b.num_rows):
-                text = b["text"][i].as_py() or ""
-                packed, raw = v.encode_text(text, fresh)
-                packed = begin + packed + end
-                if check == "texts" and list(array("I", packed)) != v.library.encode(text, add_bos=True, add_eos=True):
-                    raise ValueError(f"{text[:80]!r}: other ids than the library's")
-                cols[0].append(len(packed) // 4)
-                cols[1].append(hashlib.sha256(packed).hexdigest())
-                cols[2].append(hashlib.sha256(raw).hexdigest())
-                if keep:
-                    cols[3].append(array("I", packed).tolist()), cols[4].append(raw.decode(errors="replace"))
-            for at in range(0, len(fresh) if check == "words" else 0, 10_000):
-                v.check(fresh[at : at + 10_000])
-            kinds = [pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int64()), pa.string()] * keep
-            names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * keep
-            yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(c, k) for c, k in zip(cols, kinds)), *(b[c] for c in carry)], names=["doc_id", *names, *carry])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry).mapInArrow(run, schema)
+        try:
+            for b in batches:
+                for at in range(0, b.num_rows, ROWS):
+                    yield rows(v, b.slice(at, ROWS))
+        finally:
+            del v
+            vocabulary.cache_clear()
+            slim()
+
+    return docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"), *map(named, carry)).mapInArrow(run, schema)

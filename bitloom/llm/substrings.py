@@ -28,6 +28,7 @@ from bitloom.plans.lineage import kept
 
 from . import _exchange as X
 from . import _text as T
+from ._rows import row_of, unpacked
 
 _PATH = "pid int, path binary, n_words int, doc_id long, text_hash long, start int"
 _RESULT = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
@@ -159,10 +160,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13) -> DataFrame:
     """docs with the repeated words gone from their texts, which is what other columns say of them left
     alone. Texts that nothing is taken from stay as they are; rows of which nothing is left go."""
-    d, groups = X.dealt(docs, id_col, text_col, F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("row"))
+    d, groups = X.dealt(docs, id_col, text_col, row_of(docs).alias("row"))
     out = _cut(d, groups, k, d.schema["row"].dataType.simpleString()).filter("n_removed = 0 or n_removed < n_words")
-    cut = F.when(F.col("n_removed") > 0, F.col("kept"))
-    return out.select(*(F.coalesce(cut, F.col(f"row.c{i}")).alias(c) if c == text_col else F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(f"row.c{docs.columns.index(text_col)}"))
+    return out.select(*unpacked(docs, instead={text_col: text}))
 
 
 def _cut(d: DataFrame, groups: int, k: int, row: str = "") -> DataFrame:

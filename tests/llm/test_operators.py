@@ -68,8 +68,8 @@ def test_encoding_of_random_texts():
     v, rnd, signs = pieces.vocabulary(MODEL), random.Random(3), "abcde  ▁\n\t éßñ日本😀\x00\r019.,'-THing"
     for _ in range(3000):
         t = "".join(rnd.choice(signs) for _ in range(rnd.randint(0, 60)))
-        ids, raw = v.encode_text(t, [])
-        assert list(array.array("I", ids)) == v.library.encode(t) and raw.decode() == v.library.decode(v.library.encode(t)) == v.decode(v.library.encode(t))
+        ids = array.array("I", v.encode_text(t, [])).tolist()
+        assert ids == v.library.encode(t) and v.decode(ids) == v.library.decode(ids)
 
 
 def test_order_minhash(docs, none):
@@ -97,18 +97,18 @@ def test_order_minhash_entries(spark):
         tok = t.split()
         seen, items = {}, []
         for p in range(max(len(tok) - 1, min(1, len(tok)))):
-            h = hash_of(*(f"'{x}'" for x in tok[p : p + 2])) << 24 >> 24
-            h = ((h & ((1 << 40) - 1)) ^ (1 << 39)) - (1 << 39)
+            h = hash_of(*(f"'{x}'" for x in tok[p : p + 2])) << 30 >> 30
+            h = ((h & ((1 << 34) - 1)) ^ (1 << 33)) - (1 << 33)
             items.append((hash_of(f"{h}L", str(seen.get(h, 0))), p))
             seen[h] = seen.get(h, 0) + 1
         if not items:
             assert got[i] == []
             continue
         for j in range(4):
-            order = sorted((hash_of(f"{e}L", str(j)) & -16777216 | p) for e, p in items)
+            order = sorted((hash_of(f"{e}L", str(j)) & -(1 << 30) | p) for e, p in items)
             a, b = order[0], order[-1]
-            x, y = (a, b) if (a & 16777215) <= (b & 16777215) else (b, a)
-            assert got[i][j] == hash_of(f"{x >> 24}L", f"{y >> 24}L")
+            x, y = (a, b) if a & ((1 << 30) - 1) <= b & ((1 << 30) - 1) else (b, a)
+            assert got[i][j] == hash_of(f"{x >> 30}L", f"{y >> 30}L")
 
 
 def test_order_tells_moved_text(spark):
@@ -168,7 +168,7 @@ def test_forward_sums_all_segmentations():
         return whole + (prob[0, 0] * brute(s[1:]) if s[0] not in table else 0)
 
     words = ["a", "ab", "abba", "axb", "b" * 30]
-    got = languages.Lattice(table).forward(words, prob)
+    got = languages.Lattice(table).forward(["▁" + w for w in words], prob)
     assert np.allclose(got[:, 0], [np.log(brute("▁" + w)) for w in words])
 
 
@@ -309,3 +309,142 @@ def test_toxicity(spark, none):
     assert all(got[i].is_toxic == (i % 6 == 0) for i in range(400, 600)) and got[None].is_toxic and not got[900].is_toxic and not got[903].is_toxic
     empty = toxicity.train(d, lab.filter("false"), ["quality", "toxic"])
     assert toxicity.score_toxicity(d, empty).filter("is_toxic").count() == 0 and toxicity.score_toxicity(none, chain).count() == 0
+
+
+CLASHES = ("score", "held_out", "lang_pred", "_at", "_text", "_id", "_hash", "_mix_hash", "_mix_id", "row", "h", "s", "position", "class", "pid", "kept", "at", "a.b", "word", "c0")
+
+
+def _clashing(spark, n=40):
+    base = "the house of the old man by the river was sold to a young woman from the city last year".split()
+    rows = [(i, " ".join(base[(i + j * (i % 7 + 1)) % len(base)] + f"{i}x" * (j % 3 == 0) for j in range(30)), "en", f"src{i % 3}", None, *(f"{c}{i}" for c in CLASHES)) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES))
+
+
+def test_clashing_columns_come_back_as_they_are(spark):
+    d = _clashing(spark)
+    want = {r.doc_id: tuple(r[5:]) for r in d.collect()}
+    for out in (languages.told(d, MODEL, 0.0), jaccard.one_of_each(d), substrings.without_repeats(d), mixing.mixed(d, WEIGHTS)):
+        assert out.columns == d.columns
+        assert {r.doc_id: tuple(r[5:]) for r in out.collect()} == want
+    got = languages.identify(d, MODEL)
+    assert {"held_out", "lang_pred", "score"} <= set(got.columns) and dict(got.dtypes)["score"] == "double" and got.count() == len(want)
+    for out in (pieces.encode_pieces(d, MODEL), order_minhash.compare_edited(d), sharding.shard_by_bytes(d), jaccard.jaccard_join(d), substrings.dedup_substrings(d), mixing.positions(d, WEIGHTS)):
+        assert out.count() == len(want)
+    assert mixing.mixed(d, WEIGHTS, position="position").filter("position = 0").count() == 1
+
+
+def test_expected_counts_are_those_of_all_segmentations():
+    """One round of training against sums over all segmentations, and words of any length."""
+    table = {"▁": 1, "▁a": 2, "a": 3, "ab": 4, "b": 5, "▁ab": 6, "bb": 7}
+    q = np.array([1e-3, 0.1, 0.2, 0.15, 0.25, 0.05, 0.15, 0.1])
+
+    def ways(s):
+        if not s:
+            yield ()
+        for n in range(1, len(s) + 1):
+            if s[:n] in table or n == 1:
+                yield from ((table.get(s[:n], 0), *w) for w in ways(s[n:]))
+
+    words = {"a": 3, "ab": 1, "abba": 2, "axbb": 5, "bbbbb": 1}
+    want = np.zeros(len(q))
+    for w, n in words.items():
+        found = list(ways("▁" + w))
+        mass = [np.prod(q[list(f)]) for f in found]
+        for f, m in zip(found, mass):
+            np.add.at(want, list(f), n * m / sum(mass))
+    lattice = languages.Lattice(table)
+    assert np.allclose(languages.Counter(lattice, ["▁" + w for w in words], np.array(list(words.values()), float)).counts(q), want)
+    long = "▁" + "ab" * 30_000
+    got = languages.Counter(lattice, [long], np.ones(1)).counts(q)
+    assert np.isfinite(got).all() and abs(sum(got[i] * len(p) for p, i in table.items()) - len(long)) < 0.1
+    assert lattice.parts("abx" * 40) == ["▁ab", *["x", "ab"] * 39, "x"] and lattice.parts("abx") == ["▁abx"]
+
+
+def test_long_words_train_and_are_told(spark):
+    """Languages without spaces: every word is longer than 40 characters, one has 100,000."""
+    rnd, own = random.Random(4), {"xx": "abcdefgh", "yy": "stuvwxyz"}
+    rows = [(i, "".join(rnd.choice(own[("xx", "yy")[i % 2]]) for _ in range(41 + i)), ("xx", "yy")[i % 2]) for i in range(60)]
+    rows += [(100, "abc" * 33_333 + "d", "xx"), (101, "xyz" * 33_333 + "s", None), (102, "hgfe" * 100, None)]
+    got = {r.doc_id: r for r in languages.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), MODEL).collect()}
+    assert all(got[i].lang_pred == lang for i, _, lang in rows if lang) and got[101].lang_pred == "yy" and got[102].lang_pred == "xx"
+
+
+def test_forward_in_stretches(monkeypatch):
+    table = {"▁": 1, "a": 2, "ab": 3, "b": 4, "aba": 5}
+    prob = np.array([[1e-8], [0.1], [0.2], [0.3], [0.1], [0.2]])
+    lattice, words = languages.Lattice(table), ["▁" + "ab" * 40, "▁a", "▁" + "ba" * 17]
+    whole = lattice.forward(words, prob)
+    monkeypatch.setattr(languages, "STRETCH", 7)
+    assert np.allclose(lattice.forward(words, prob), whole)
+
+
+def test_kept_words_are_bounded(monkeypatch):
+    v = pieces.Vocabulary(MODEL)
+    monkeypatch.setattr(pieces, "KEPT", 20_000)
+    rnd = random.Random(9)
+    for _ in range(400):
+        t = " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(1, 12))) for _ in range(20))
+        assert array.array("I", v.encode_text(t, [])).tolist() == v.library.encode(t)
+        assert len(v.packed) < 200 and v.parts_size <= 5500
+
+
+def test_mixing_positions_by_walking_slots(docs):
+    """Every row's position against brute force: one slot after another, earliest deadline first."""
+    rows = {(r.doc_id, r.text_hash): r for r in mixing.positions(docs, {"src0": 6, "src1": 2, "src3": 4, "other": 2}, block_rows=2).collect()}
+    waiting = {}
+    for r in rows.values():
+        waiting.setdefault(r.source, []).append(r)
+    for s in waiting:
+        waiting[s].sort(key=lambda r: r.position)
+    at, start = 0, 0
+    weights = {"src0": 3, "src1": 1, "src3": 2, "other": 1}
+    assert set(waiting) == set(weights)
+    while waiting:
+        total, served = sum(weights[s] for s in waiting), dict.fromkeys(waiting, 0)
+        for slot in range(1 << 20):
+            free = [s for s in waiting if served[s] * total // weights[s] <= slot]
+            s = min(free, key=lambda s: (-(-(served[s] + 1) * total // weights[s]), s))
+            served[s] += 1
+            for r in waiting[s][:2]:
+                assert (r.position, r.slot) == (at, start + slot)
+                at += 1
+            del waiting[s][:2]
+            if not waiting[s]:
+                del waiting[s]
+                start += slot + 1
+                break
+    assert at == len(rows)
+    with pytest.raises(ValueError):
+        mixing.positions(docs, {"a": 10**6 + 1, "b": 10**6})
+
+
+def test_sharding_by_brute_force(docs):
+    """Sizes, checksums, and shards cut from the sorted rows, groups of equal texts no larger than the largest row as one."""
+    import zlib
+
+    got = sharding.shard_by_bytes(docs, 5).collect()
+    want_size = sorted((_no_id(i), len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, *_ in _docs())
+    assert sorted((_no_id(r.doc_id), r.size, r.text_crc32) for r in got) == want_size
+    total, top = sum(r.size for r in got), max(r.size for r in got)
+    order = sorted(got, key=lambda r: (r.shard, r.slot))
+    shards_of, at, size = {}, 0, {}
+    for r in order:
+        size[r.text_crc32] = size.get(r.text_crc32, 0) + r.size
+    for r in order:
+        shards_of.setdefault(r.text_crc32, set()).add(r.shard)
+    assert all(len(s) == 1 for c, s in shards_of.items() if size[c] <= top)
+    seen = set()
+    for r in order:  # the middle of each row, or of its group of equal texts, tells its shard
+        g = size[r.text_crc32] if size[r.text_crc32] <= top else r.size
+        if size[r.text_crc32] > top or r.text_crc32 not in seen:
+            seen.add(r.text_crc32)
+            assert r.shard == min((2 * at + g) * 5 // (2 * total), 4)
+            at += g
+    assert at == total and all(abs(sum(r.size for r in got if r.shard == s) - total / 5) < top for s in range(5))
+
+
+def test_empty_tables(spark, none):
+    e = none
+    assert html_text.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    for out in (languages.told(e, MODEL, 0.5), jaccard.one_of_each(e), substrings.without_repeats(e), mixing.mixed(e, WEIGHTS)):
+        assert out.count() == 0 and out.columns == e.columns
