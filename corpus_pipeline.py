@@ -19,8 +19,7 @@ TOLD = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    told = languages.identify(docs, vocabulary_path())
-    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= TOLD)).select(*docs.columns)
+    return languages.told(docs, vocabulary_path(), TOLD)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
