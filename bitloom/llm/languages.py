@@ -37,7 +37,7 @@ from ._rows import named, row_of, unpacked
 from ._worker import slim
 from .pieces import EACH, MARK
 
-KEPT = 48 << 20  # bytes of words kept by a worker
+KEPT = 64 << 20  # bytes of words kept by a worker
 LONG = 48  # characters from which a word is taken apart
 STRETCH = 1 << 16  # characters of a word looked at at once
 STRANGE = 1e-8  # probability of a character outside the vocabulary
@@ -68,6 +68,10 @@ class Lattice:
                 table[h] = i if n == len(piece) else table.get(h, -1)
         self.keys = np.array(sorted(table), np.uint64)
         self.piece = np.array([table[k] for k in sorted(table)], np.int64)
+        # where the keys with the same first 18 bits begin, and the most of them that are together
+        self.begin = np.searchsorted(self.keys, np.arange((1 << 18) + 1, dtype=np.uint64) << np.uint64(46) if len(table) else [])
+        self.begin[-1:] = len(self.keys)
+        self.deep = int(np.diff(self.begin).max(initial=0))
         self.longest = max(map(len, pieces), default=1)
         self.inner = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
 
@@ -84,6 +88,24 @@ class Lattice:
     def _values(codes: np.ndarray) -> np.ndarray:
         return mix(codes.astype(np.uint64) + np.uint64(1))
 
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in the table, which of h) of those that are in the table."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        bucket = (h >> np.uint64(46)).astype(np.int64)
+        slot, end = self.begin[bucket], self.begin[bucket + 1]
+        left, places, which = np.flatnonzero(slot < end), [], []
+        slot = slot[left]
+        for _ in range(self.deep):
+            same = self.keys[slot] == h[left]
+            places.append(slot[same]), which.append(left[same])
+            slot, left = slot[~same] + 1, left[~same]
+            more = slot < end[left]
+            slot, left = slot[more], left[more]
+        places, which = np.concatenate(places), np.concatenate(which)
+        order = np.argsort(which, kind="stable")
+        return places[order], which[order]
+
     def edges(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         size = np.array([len(x) for x in parts])
         codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -97,9 +119,8 @@ class Lattice:
             if not len(at):
                 break
             h = h * np.uint64(self.BASE) + values[at + n - 1]
-            slot = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            hit = self.keys[slot] == h if len(self.keys) else np.zeros(len(h), bool)
-            at, h, found = at[hit], h[hit], self.piece[slot[hit]]
+            slot, hit = self._find(h)
+            at, h, found = at[hit], h[hit], self.piece[slot]
             whole = at[found >= 0]
             if n == 1:
                 single[whole] = True
@@ -219,19 +240,21 @@ class Scorer:
     def _learn(self, new: list[str]) -> None:
         base, parts = len(self.slot), [self.lattice.parts(w) if any(map(str.isalpha, w)) else [] for w in new]
         order = sorted({p for x in parts for p in x}, key=len)
-        found: dict[str, np.ndarray] = {}
+        found = np.zeros((len(order) + 1, len(self.langs)))  # the last one for words without a letter
         for c in range(0, len(order), 2000):  # of about equal length
             some = order[c : c + 2000]
-            if len(some[-1]) > 4 * LONG:  # the ones that are much longer go alone
-                alone = [x for x in some if len(x) > 4 * LONG]
-                some = some[: len(some) - len(alone)]
-                found.update((x, self.lattice.forward([x], self.prob)[0]) for x in alone)
-            if some:
-                found.update(zip(some, self.lattice.forward(some, self.prob)))
+            short = sum(len(x) <= 4 * LONG for x in some)
+            if short:
+                found[c : c + short] = self.lattice.forward(some[:short], self.prob)
+            for j in range(c + short, c + len(some)):  # the ones that are much longer go alone
+                found[j] = self.lattice.forward([order[j]], self.prob)[0]
         if base + len(new) > len(self.rows):
             self.rows = np.concatenate((self.rows[:base], np.zeros((len(new) + max(4096, base // 4), len(self.langs)))))
+        place = {x: j for j, x in enumerate(order)}
+        self.rows[base : base + len(new)] = found[[place[x[0]] if x else -1 for x in parts]]
         for j, x in enumerate(parts, base):
-            self.rows[j] = sum(map(found.__getitem__, x)) if x else 0.0
+            if len(x) > 1:
+                self.rows[j] = found[[place[y] for y in x]].sum(axis=0)
         self.slot.update(zip(new, range(base, base + len(new))))
         self.size += sum(EACH + len(w) + 8 * len(self.langs) for w in new)
 
