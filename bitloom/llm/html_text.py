@@ -1,18 +1,24 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
-A page is cut into blocks at block-level tags. Features of a block are its word count, its link density
-(share of words inside links), both also for the block before and after, whether it's a heading, and
-what it stands in: an element that is furniture by tag, role, class or id, and an article element. A
-small CART tree, trained on the labelled table below when a worker starts, decides which blocks to keep.
+A page is cut into blocks at block-level tags. Features of a block are its word count and link density
+(share of words inside links), both also for the block before and after; and, weighed like these, whether
+it's a heading, stands in an element that is furniture by tag, role, class or id, and stands in an article
+element. A CART tree is grown from the blocks of the small labelled pages below when a worker starts, most
+of which have neither telling tags nor names; it cuts by words and links where that is nearly as good.
+Of a paragraph's, heading's or list item's class and id only one that is a furniture word alone counts;
+of a container's, names that begin or end in one. A form around an article doesn't make that furniture.
 
-Scripts, styles and other raw elements, comments and markup give no blocks. Character references are
-decoded in each run of text; white space inside a block becomes one space. Unclosed, crossed and cut
-off tags are tolerated: a closing tag closes the innermost element of its name if one is open. What may
-look like a tag inside a script or another element without markup is part of it; without a closing tag it
-runs to the page's end. A head's own elements give no blocks, so it needs no end: other text is the body's.
+Scripts, styles and other raw elements, comments and markup give no blocks, nor do selects, templates and
+noscript. Pictures, formulas and media keep the text inside them. Character references are decoded in each
+run of text; white space inside a block becomes one space. Unclosed, crossed and cut off tags are
+tolerated: a closing tag closes the innermost element of its name if one is open, and what is open in it.
+What may look like a tag inside a script or another element without markup is part of it; without a closing
+tag it runs to the page's end. A head's own elements give no blocks, so it needs no end: other text is the
+body's.
 
 Null html counts as empty; a page without kept blocks has the text ''. Null ids, null urls and repeated
-rows pass through, one row each. Pages are read whole.
+rows pass through, one row each; an empty table gives no rows. Pages are read whole. Other columns are not
+looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,43 +32,60 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from ._rows import named
+from ._worker import slim
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_NAME = re.compile(r"[a-z]+")
+_ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|style|aria-hidden)(?![^\s=>/])\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 #: Elements of HTML by their role in a page.
-RAW = frozenset("script style noscript template textarea title iframe svg math object select canvas audio video".split())
-#: Of these, the ones without markup inside: whatever comes before their own closing tag is text.
-PLAIN = frozenset("script style noscript textarea title iframe".split())
-_ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in PLAIN}
+PLAIN = frozenset("script style textarea title iframe xmp noembed noframes".split())
+UNSEEN = frozenset("noscript template select datalist".split())
 FURNITURE = frozenset("nav header footer aside form dialog menu button fieldset".split())
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-CONTAINERS = frozenset("address article aside blockquote button center dd details dialog div dl fieldset figure footer form header hgroup main menu nav ol section span table tbody td tr ul li p".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+CONTAINERS = frozenset("address article aside blockquote button center dd details dialog div dl fieldset figure footer form header hgroup main menu nav ol section table tbody td tr ul".split()) | UNSEEN
+INNER = frozenset("p li span h1 h2 h3 h4 h5 h6".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-#: Words of class and id attributes that name furniture.
-NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert sidebar side menu menus nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments disqus reply replies respond share sharing social newsletter subscribe subscription signup login popup modal overlay related recommended recommendations widget tags pagination pager toolbar search skip hidden".split())
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+#: Words of class and id attributes that name furniture, and words that say what a page has.
+NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert sidebar side menu menus nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer comment comments commentlist disqus reply replies respond share sharing social newsletter subscribe subscription signup login popup modal overlay related recommended recommendations widget widgets tags pagination pager toolbar search skip hidden copyright".split())
+HAVING = frozenset("has have no not with without is".split())
+_ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in PLAIN}
+_PART = re.compile(r"[a-z]+")
 
 FEATURES = ("words before", "links before", "words", "links", "words after", "links after", "heading", "furniture", "article")
-#: The labelled table: words and link density of the block before, the block, and the block after; heading,
-#: in furniture, in an article; kept or not.
+#: The labelled pages: a number stands for so many words, kept (+) or not (-).
 LABELLED = (
-    (0, 0, 1, 1, 1, 1, 0, 1, 0, 0), (1, 1, 1, 1, 2, 1, 0, 1, 0, 0), (2, 1, 3, 1, 9, 0, 0, 1, 0, 0), (1, 1, 9, 0, 12, 0, 0, 1, 0, 0), (3, 1, 25, 0, 10, 0, 0, 1, 0, 0),
-    (40, 0, 8, 0, 0, 0, 0, 1, 0, 0), (90, 0, 12, 0.2, 0, 0, 0, 1, 0, 0), (60, 0, 14, 0, 30, 0, 0, 1, 0, 0), (55, 0, 35, 0, 80, 0, 0, 1, 0, 0), (70, 0, 60, 0, 1, 0, 0, 1, 0, 0),
-    (50, 0, 45, 0.1, 50, 0, 0, 1, 1, 0), (30, 0, 20, 0, 15, 0, 0, 1, 1, 0), (80, 0, 6, 1, 6, 1, 0, 1, 1, 0), (25, 0, 3, 0, 25, 0, 1, 1, 1, 0), (0, 0, 5, 0, 40, 0, 1, 1, 0, 0),
-    (9, 0, 11, 0, 60, 0, 1, 0, 1, 1), (12, 0, 60, 0, 40, 0, 0, 0, 1, 1), (60, 0, 3, 0, 50, 0, 0, 0, 1, 1), (50, 0, 1, 0, 9, 0, 0, 0, 1, 1), (8, 0, 12, 0, 1, 0, 0, 0, 1, 1),
-    (1, 1, 4, 0, 30, 0, 1, 0, 1, 1), (3, 0, 1, 0, 0, 0, 0, 0, 1, 1), (70, 0, 25, 0.3, 40, 0, 0, 0, 1, 1), (40, 0, 8, 1, 30, 0, 0, 0, 1, 1), (1, 1, 2, 0, 2, 0, 0, 0, 1, 1),
-    (0, 0, 150, 0, 0, 0, 0, 0, 1, 1), (35, 0, 90, 0.05, 8, 0, 0, 0, 1, 1), (2, 0, 6, 0.5, 44, 0, 0, 0, 1, 1), (15, 0, 5, 0, 20, 1, 0, 0, 1, 1), (5, 1, 7, 0, 5, 1, 0, 0, 1, 1),
-    (0, 0, 2, 1, 2, 1, 0, 0, 0, 0), (2, 1, 2, 1, 3, 1, 0, 0, 0, 0), (3, 1, 4, 0.8, 5, 1, 0, 0, 0, 0), (1, 1, 30, 0.9, 1, 1, 0, 0, 0, 0), (50, 0, 10, 1, 4, 1, 0, 0, 0, 0),
-    (40, 0, 20, 0.7, 3, 1, 0, 0, 0, 0), (2, 1, 4, 0, 2, 1, 0, 0, 0, 0), (0, 0, 3, 0, 2, 1, 0, 0, 0, 0), (4, 1, 6, 0, 3, 0, 0, 0, 0, 0), (6, 0, 3, 0, 0, 0, 0, 0, 0, 0),
-    (30, 0.9, 5, 0, 2, 1, 0, 0, 0, 0), (5, 1, 2, 0.5, 6, 0.5, 0, 0, 0, 0), (3, 0, 5, 0, 4, 0, 0, 0, 0, 0), (7, 0.6, 7, 0.4, 3, 0.3, 0, 0, 0, 0), (60, 0, 45, 0.6, 50, 0, 0, 0, 0, 0),
-    (3, 1, 40, 0, 35, 0, 0, 0, 0, 1), (40, 0, 80, 0.02, 60, 0, 0, 0, 0, 1), (80, 0, 25, 0.1, 4, 1, 0, 0, 0, 1), (20, 0, 22, 0, 19, 0, 0, 0, 0, 1), (0, 0, 120, 0.1, 0, 0, 0, 0, 0, 1),
-    (30, 0, 5, 0, 40, 0, 0, 0, 0, 1), (45, 0, 3, 0, 60, 0, 1, 0, 0, 1), (2, 1, 7, 0, 55, 0, 1, 0, 0, 1), (28, 0, 9, 0.2, 33, 0, 0, 0, 0, 1), (60, 0, 12, 0, 50, 0, 0, 0, 0, 1),
-    (15, 1, 18, 0, 2, 1, 0, 0, 0, 1), (0, 0, 16, 0.2, 3, 1, 0, 0, 0, 1), (10, 0, 30, 0.25, 12, 0.5, 0, 0, 0, 1),
+    # no telling tags or names: words and links tell
+    "<div><a>-1</a> <a>-4</a></div><h1>+7</h1><p>+62</p><p>+35 <a>+2</a> +9</p><p>+5</p><p>+48</p><div><a>-2</a> <a>-1</a></div><div>-4</div>",
+    "<ul><li><a>-1</a><li><a>-2</a><li><a>-1</a></ul><h2>+5</h2><p>+30</p><p>+17</p><p>+80</p><p>+12</p><p>+41</p><ul><li><a>-6</a><li><a>-5</a><li><a>-7</a></ul><div>-8</div>",
+    "<table><tr><td><a>-2</a><td><a>-1</a><td><a>-3</a></table><div>+90</div><div>+26 <a>+4</a></div><div>+55</div><table><tr><td><a>-9</a><td>-3</table>",
+    "<div><a>-1</a> | <a>-1</a> | <a>-2</a></div><div>-3</div><div>-5</div><h1>+9</h1><div>+120 <a>+3</a> +40 <a>+2</a></div><div>+70</div><div>-2 <a>-3</a></div><div>-6</div>",
+    "<div>-2</div><p>+24</p><p>+31</p><p>+8</p><p>+65</p><div><a>-12</a></div><div><a>-10</a> -4</div><div><a>-14</a></div>",
+    "<div><a>-30</a></div><div>-6 <a>-25</a></div><h1>+4</h1><p>+38</p><p>+52</p><p>+19</p><div>-3 <a>-4</a> -2 <a>-6</a></div><div><a>-1</a></div>",
+    "<p>+150</p><p>+95</p><p>+60</p><div><a>-1</a></div><div>-1</div>",
+    "<ul><li><a>-3</a><li><a>-2</a></ul><div>-3</div><h2>+6</h2><p>+44</p><ul><li>+11<li>+14<li>+9</ul><p>+27</p><div><a>-8</a></div><div>-2 <a>-2</a></div>",
+    "<div>-4 <a>-9</a></div><div><a>-7</a></div><div>-1</div><div><a>-5</a></div>",
+    "<div><a>-1</a></div><div>-7</div><div><a>-20</a></div><div>-2</div><div><a>-3</a></div><div>-10 <a>-12</a></div>",
+    "<p>+40</p><p>+75</p>", "<div>+130</div>", "<div><a>-2</a> <a>-1</a></div><h1>+6</h1><p>+18</p><p>+34</p>", "<div><a>-3</a></div><p>+52</p>", "<div>-3</div>", "<div><a>-1</a></div><div>-4</div>", "<div>-2</div><div>-6</div>",
+    # articles that are elements: all of them stays, furniture in them doesn't
+    "<ul><li><a>-1</a><li><a>-1</a></ul><article><h1>+9</h1><p>+40</p><p>+3</p><p><a>+6</a></p><p>+1</p><p>+22 <a>+14</a></p><p>+2</p></article><div>-9</div>",
+    "<div>-6</div><article><p>+12</p><p>+2</p><p>+1</p><p>+1</p></article><div>-5</div><div><a>-3</a></div>",
+    "<div><a>-2</a></div><main><h1>+3</h1><p>+2</p><ul><li><a>+2</a><li><a>+5</a><li>+4</ul><p>+70</p><h2>+2</h2><p>+6</p></main><div>-12</div>",
+    "<article><p>+64</p><p>+3</p></article>", "<article><p>+30</p><p>+12</p></article>", "<article><h1>+4</h1><p>+40</p><p>+20</p></article>", "<div>-2</div><article><p>+2</p><p>+16</p></article>", "<article><p><a>+24</a></p><p>+80</p><p><a>+9</a></p></article>", "<main><p>+9</p></main>", "<article>+1</article>", "<article><p><a>+3</a></p><p><a>+16</a></p></article>", "<div><a>-18</a></div><article><p>+26</p></article><div><a>-11</a></div>",
+    "<article><p>+1</p></article><div>-3</div><article><p><a>+1</a></p><p>+5</p></article><div><a>-1</a></div>",
+    "<article><h1>+8</h1><p>+33</p><aside>-28</aside><p>+51</p><aside><h3>-2</h3><p><a>-9</a></p><p>-16</p></aside><p>+4</p><div class=comments><h3>-2</h3><p>-45</p><p>-6</p><p>-72</p></div></article>",
+    "<article><header><h1>+6</h1><p>-4</p></header><p>+58</p><p>+10</p><form><p>-11</p></form><footer>-18</footer></article>",
+    # furniture by element or name, prose of all lengths among it
+    "<nav><ul><li><a>-1</a><li>-2</ul></nav><header>-5</header><div class=cookie-notice>-38</div><article><h1>+7</h1><p>+25</p><p>+90</p></article><div id=comments><p>-50</p><p>-14</p><p>-33</p></div><footer>-21</footer>",
+    "<header><h1>-3</h1><p>-9</p></header><h2>+6</h2><p>+45</p><p>+78</p><p>+20</p><aside><h3>-2</h3><p>-40</p><p>-64</p></aside><footer><p>-30</p></footer>",
+    "<div class=ad>-9</div><p>+37</p><p>+61</p><div class=ad>-24</div><p>+29</p><div class=sidebar><p>-55</p><p>-18</p></div>",
+    "<div class=banner>-70</div><form><p>-22</p><p>-41</p></form><div>+66</div><div>+85</div><div class=newsletter>-26</div><div class=related><p>-31</p><p>-47</p></div>",
+    "<div class=notice>-16</div><p>+57</p><p>+33</p><ol class=commentlist><li>-60<li>-8<li>-110</ol>",
 )
+_NUMBER = re.compile(r"([+-])(\d+)")
 
 
 @dataclass
@@ -80,41 +103,57 @@ class Node:
         return node.keep
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> Node:
-    """A CART classification tree by Gini impurity; of equally good cuts the first feature's lowest."""
+def grow(x: np.ndarray, y: np.ndarray, first: int, enough: float = 0.6, depth: int = 10) -> Node:
+    """A CART classification tree by Gini impurity. A cut by one of the first features is taken if it gains
+    at least ``enough`` of what the best cut does; of equal cuts the first feature's lowest."""
     here = Node(keep=bool(y.mean() >= 0.5))
     if depth == 0 or y.min() == y.max():
         return here
-    best = None
     gini = lambda v: 2 * v.mean() * (1 - v.mean()) * len(v)
+    cuts: list[tuple[float, int, float]] = []
     for f in range(x.shape[1]):
         values = np.unique(x[:, f])
         for cut in (values[1:] + values[:-1]) / 2:
             side = x[:, f] <= cut
-            if min(side.sum(), (~side).sum()) >= least:
-                bad = gini(y[side]) + gini(y[~side])
-                if best is None or bad < best[0] - 1e-12:
-                    best = (bad, f, float(cut), side)
-    if best is None or best[0] >= gini(y) - 1e-12:
+            cuts.append((gini(y) - gini(y[side]) - gini(y[~side]), f, float(cut)))
+    best = max(cuts, key=lambda c: c[0], default=(0.0, 0, 0.0))
+    if best[0] <= 1e-9:
         return here
-    _, here.feature, here.cut, side = best
-    here.low, here.high = grow(x[side], y[side], depth - 1, least), grow(x[~side], y[~side], depth - 1, least)
+    early = max((c for c in cuts if c[1] < first), key=lambda c: c[0], default=(0.0, 0, 0.0))
+    _, here.feature, here.cut = early if early[0] >= enough * best[0] else best
+    side = x[:, here.feature] <= here.cut
+    here.low, here.high = grow(x[side], y[side], first, enough, depth - 1), grow(x[~side], y[~side], first, enough, depth - 1)
     return here
 
 
+def labelled() -> tuple[np.ndarray, np.ndarray]:
+    """(features, kept) of the blocks of the labelled pages."""
+    x, y = [], []
+    for page in LABELLED:
+        found = blocks(_NUMBER.sub(lambda m: " ".join(("K" if m[1] == "+" else "D") * int(m[2])), page))
+        x += features(found)
+        y += [b[0][0] == "K" for b in found]
+    return np.array(x, float), np.array(y, float)
+
+
 @lru_cache(maxsize=1)
 def tree() -> Node:
-    table = np.array(LABELLED, dtype=float)
-    return grow(table[:, :-1], table[:, -1])
+    return grow(*labelled(), first=FEATURES.index("heading"))
 
 
 @lru_cache(maxsize=4096)
-def _is_furniture(attributes: str) -> bool:
+def _is_furniture(tag: str, attributes: str) -> bool:
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            if not NAMES.isdisjoint(_NAME.findall(value)):
-                return True
+            if tag in INNER:
+                if value.strip() in NAMES:
+                    return True
+                continue
+            for token in value.split():
+                parts = _PART.findall(token)
+                if parts and parts[0] not in HAVING and (parts[0] in NAMES or parts[-1] in NAMES):
+                    return True
         elif name == "role":
             if value in ROLES:
                 return True
@@ -123,92 +162,111 @@ def _is_furniture(attributes: str) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
-    """(text, words, words in links, heading, in furniture, in an article) of the page's text blocks."""
-    out: list[tuple[str, int, int, bool, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, furniture, article
-    runs: list[str] = []
-    linked = links = furniture = article = 0
-    heading = False
-    raw = ""
-    endless: set[str] = set()  # elements without a closing tag from here on
-
-    def flush() -> None:
-        nonlocal linked
-        if runs:
-            words = "".join(runs).split()
+Block = tuple[str, int, int, bool, bool, bool]
+
+
+class _Page:
+    """What is open at a place of a page."""
+
+    def __init__(self):
+        self.out: list[Block] = []
+        self.stack: list[tuple[str, int, int, int, int]] = []  # element, and what it adds to the counts:
+        self.furniture = self.article = self.titles = self.unseen = 0
+        self.runs: list[str] = []
+        self.linked = self.link = 0
+        self.heading = False
+
+    def text(self, raw: str) -> None:
+        if not self.unseen:
+            text = html.unescape(raw)
+            self.runs.append(text)
+            if self.link:
+                self.linked += len(text.split())
+
+    def flush(self) -> None:
+        if self.runs:
+            words = "".join(self.runs).split()
             if words:
-                out.append((" ".join(words), len(words), min(linked, len(words)), heading, furniture > 0, article > 0))
-            runs.clear()
-        linked = 0
+                furniture = self.furniture > 0 and not (self.heading and self.furniture == self.titles)
+                self.out.append((" ".join(words), len(words), min(self.linked, len(words)), self.heading, furniture, self.article > 0))
+            self.runs.clear()
+        self.linked = 0
+
+    def _add(self, entry: tuple[str, int, int, int, int], times: int) -> None:
+        self.furniture += times * entry[1]
+        self.article += times * entry[2]
+        self.titles += times * entry[3]
+        self.unseen += times * entry[4]
+
+    def open(self, tag: str, attributes: str) -> None:
+        marked = tag in FURNITURE or bool(attributes) and _is_furniture(tag, attributes)
+        if tag in INNER:
+            if tag in ("p", "li") and any(e[0] == tag for e in self.stack[-1:]):  # a new one ends the one that is open
+                self.close(tag)
+            if not marked:
+                return
+        if marked or tag in UNSEEN:
+            self.flush()
+        article = tag in ("article", "main") and not marked
+        # an article isn't furniture for the forms around it
+        forms = sum(e[1] for e in self.stack if e[0] == "form") if article and all(e[0] == "form" for e in self.stack if e[1] > 0) else 0
+        entry = (tag, 1 if marked else -forms, int(article), int(tag == "header" and self.article > 0), int(tag in UNSEEN))
+        self.stack.append(entry)
+        self._add(entry, 1)
+
+    def close(self, tag: str) -> None:
+        """Closes the innermost element of the name, and what is open in it."""
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i][0] == tag:
+                for e in self.stack[i:]:
+                    if e[4]:
+                        self.flush()
+                    self._add(e, -1)
+                del self.stack[i:]
+                break
 
-    at = 0
+
+def blocks(page: str) -> list[Block]:
+    """(text, words, words in links, heading, in furniture, in an article) of the page's text blocks."""
+    now, at = _Page(), 0
     while m := _TOKEN.search(page, at):
-        if not raw and m.start() > at:
-            text = html.unescape(page[at : m.start()])
-            runs.append(text)
-            if links:
-                linked += len(text.split())
+        if m.start() > at:
+            now.text(page[at : m.start()])
         at = m.end()
-        tag = m[2] or m[5]
-        if not tag:
-            continue
-        tag, closing = tag.lower(), bool(m[1] or m[4])
-        if raw and closing and tag == raw:
-            raw = ""
-        elif tag in RAW and not closing and not (m[3] or m[6] or "").endswith("/"):
-            end = _ENDS[tag].search(page, at) if tag in PLAIN and tag not in endless else None
-            if end:
-                at = end.end()
-            else:
-                endless.add(tag)
-                raw = raw or tag
-        if raw or tag in RAW:
-            continue
-        if tag == "a":
-            links = 0 if closing else 1
+        tag = (m[2] or m[5] or "").lower()
+        closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
+        if tag in PLAIN:
+            if not closing and not (attributes.endswith("/") and tag not in ("script", "style", "title")):
+                end = _ENDS[tag].search(page, at)
+                at = end.end() if end else len(page)
+        elif tag == "a":
+            now.link = not closing
         elif tag == "br":
-            runs.append(" ")
-        elif tag in BLOCKS:
-            flush()
-            links = 0
-            heading = tag in HEADINGS and not closing
-        if tag in VOID or tag not in CONTAINERS:
-            continue
-        if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    flush_at = stack[i:]
-                    del stack[i:]
-                    furniture -= sum(x[1] for x in flush_at)
-                    article -= sum(x[2] for x in flush_at)
-                    break
-            continue
-        attributes = m[3] or m[6] or ""
-        marked = tag in FURNITURE or bool(attributes) and _is_furniture(attributes)
-        if tag in ("p", "li", "span") and not marked:
-            if tag == "p" and stack and stack[-1][0] == "p":  # a new paragraph ends an open one
-                _, f, a = stack.pop()
-                furniture, article = furniture - f, article - a
-            continue
-        if marked:
-            flush()
-        stack.append((tag, marked, tag in ("article", "main")))
-        furniture, article = furniture + marked, article + (tag in ("article", "main"))
-    if not raw and at < len(page):
-        text = html.unescape(page[at:])
-        runs.append(text)
-        if links:
-            linked += len(text.split())
-    flush()
-    return out
+            now.text(" ")
+        elif tag:
+            if tag in BLOCKS:
+                now.flush()
+                now.link = 0
+                now.heading = tag in HEADINGS and not closing
+            if tag in CONTAINERS or tag in INNER:
+                if closing:
+                    now.close(tag)
+                elif not attributes.endswith("/") or tag not in VOID:
+                    now.open(tag, attributes)
+    if at < len(page):
+        now.text(page[at:])
+    now.flush()
+    return now.out
+
+
+def features(found: list[Block]) -> list[tuple]:
+    size = [(0, 0.0), *((b[1], b[2] / b[1]) for b in found), (0, 0.0)]
+    return [(*size[i], *size[i + 1], *size[i + 2], b[3], b[4], b[5]) for i, b in enumerate(found)]
 
 
 def main_text(page: str | None) -> str:
     found, keep = blocks(page or ""), tree()
-    size = [(b[1], b[2] / b[1]) for b in found]
-    none = (0, 0.0)
-    return "\n".join(b[0] for i, b in enumerate(found) if keep.decide((*(size[i - 1] if i else none), *size[i], *(size[i + 1] if i + 1 < len(size) else none), b[3], b[4], b[5])))
+    return "\n".join(b[0] for b, x in zip(found, features(found)) if keep.decide(x))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -218,5 +276,6 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         for b in batches:
             texts = [main_text(b["html"][i].as_py()) for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        slim()
 
-    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(named(id_col).cast("long").alias("page_id"), named(url_col).cast("string").alias("url"), named(html_col).cast("string").alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")

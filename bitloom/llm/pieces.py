@@ -37,7 +37,7 @@ from ._rows import named
 from ._worker import slim
 
 MARK = "▁"
-KEPT = 64 << 20  # bytes of words kept by a worker, and a quarter as many of parts of words
+KEPT = 96 << 20  # bytes of words kept by a worker, and a quarter as many of parts of words
 EACH = 200  # bytes that a kept word takes besides its characters and ids: two objects and a place in the table
 EVERY = 16  # of so many texts, one is checked whole
 ROWS = 512  # rows taken out of an Arrow batch at once

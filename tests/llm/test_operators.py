@@ -448,3 +448,66 @@ def test_empty_tables(spark, none):
     assert html_text.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     for out in (languages.told(e, MODEL, 0.5), jaccard.one_of_each(e), substrings.without_repeats(e), mixing.mixed(e, WEIGHTS)):
         assert out.count() == 0 and out.columns == e.columns
+
+
+W = "the old house by the river was sold to a young woman from the city last year and it was not cheap at all"
+
+
+def test_html_swallows_nothing():
+    article = f"<article><h1>A title</h1><p>{W}.</p><p>One.</p></article>"
+    want = ["A title", W + ".", "One."]
+    pages = {
+        f"<html><head><title>T</title><body>{article}": want,
+        f"<script>for(i=0;i<n;i++){{}}</script>{article}": want,
+        f"<script><!-- x() </script>{article}": want,
+        **{f"<div><{t}>x</div>{article}": want for t in ("select", "template", "noscript", "nav")},
+        f"<article><h1>A title</h1><p>{W}.</p><video src=x><p>One.</p></article>": want,
+        f"<article><h1>A title</h1><p>{W}.</p><canvas>One.</article><p>": want,
+        f"<article><p class='related-work'>{W}.</p><p class='lead skip-intro'>One.</p><p class=ad>{W}</p></article>": [W + ".", "One."],
+        f"<article><p>{W} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> <svg><title>no</title><text>label</text></svg></p></article>": [W + " x=2 label"],
+        f"<form id=aspnetForm><div>{article}</div><p>Your name please</p></form>": want,
+        f"<article><header><h1>A title</h1><p>by someone</p></header><p>{W}.</p><p>One.</p><footer>{W}</footer></article>": want,
+        f"<div class='post has-sidebar'><article class='no-comments'><h1>A title</h1><p>{W}.</p><p>One.</p></article></div>": want,
+        f"<article><ul class=menu><li>a<li>b</ul><h1>A title</h1><p>{W}.</p><p>One.</p></article>": want,
+    }
+    for page, lines in pages.items():
+        assert html_text.main_text(page).split("\n") == lines, page
+
+
+def test_html_density_alone_decides():
+    """No element or name tells here; every decision of the tree's looks at words and links as well."""
+    page = f"<div class=topbar><a>Home</a> <a>Products and services list</a></div><table><tr><td><a>News</a><td><a>All articles</a></table><h2>What happened</h2><p>{W}.<p>{W} <a>here</a>, {W}.<p>{W}.<div><a>Another story that you may want to read</a></div><div><a>One more of them, with a long headline</a></div><div>All rights reserved</div>"
+    assert html_text.main_text(page) == f"What happened\n{W}.\n{W} here, {W}.\n{W}."
+    assert html_text.tree().feature in (2, 3)
+    x, y = html_text.labelled()
+    assert all(html_text.tree().decide(tuple(a)) == bool(b) for a, b in zip(x, y))
+
+
+def test_html_blocks_and_features_by_brute_force():
+    """Random nestings against a plain walk over the same pieces."""
+    rnd = random.Random(11)
+    for _ in range(200):
+        page, want = [], []
+        for _ in range(rnd.randint(1, 9)):
+            tag = rnd.choice(("p", "div", "h2", "li", "td"))
+            out = rnd.choice(("", "article", "aside", "section"))
+            n, m = rnd.randint(0, 9), rnd.randint(0, 3)
+            words = [rnd.choice(("a", "b&amp;c", "&lt;p&gt;", "d\n\te")) for _ in range(n)]
+            links = [rnd.choice(("x", "y &eacute;")) for _ in range(m)]
+            body = " ".join(words) + " " + "".join(f"<a href='#'>{x}</a> " for x in links)
+            page.append(f"<{out}>" * bool(out) + f"<{tag} title=\"a > b\">{body}</{tag}>" + f"</{out}>" * bool(out))
+            plain = " ".join(" ".join(words + links).replace("&amp;", "&").replace("&lt;", "<").replace("&gt;", ">").replace("&eacute;", "é").split())
+            if plain:
+                want.append((plain, len(plain.split()), sum(len(x.split()) for x in links), tag == "h2", out == "aside", out == "article"))
+        got = html_text.blocks("".join(page))
+        assert got == want
+        for i, f in enumerate(html_text.features(got)):
+            near = [got[j] if 0 <= j < len(got) else ("", 0, 0) for j in (i - 1, i, i + 1)]
+            assert f == tuple(v for b in near for v in (b[1], b[2] / b[1] if b[1] else 0.0)) + got[i][3:]
+
+
+def test_html_tree_is_the_best_cut():
+    x = np.array([[0, 1, 0], [1, 1, 0], [2, 0, 1], [3, 1, 1], [4, 0, 1], [5, 0, 0]], float)
+    y = np.array([0, 0, 1, 1, 1, 1], float)
+    t = html_text.grow(x, y, first=1)
+    assert (t.feature, t.cut) == (0, 1.5) and [t.decide(tuple(r)) for r in x] == [False, False, True, True, True, True]
