@@ -266,28 +266,71 @@ def test_substrings(docs, none):
     assert out.columns == docs.columns and out.count() == sum(1 for x in want if x[2] == 0 or x[2] < x[1])
 
 
-def test_neighbours(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_neighbours(spark, monkeypatch, small):
+    """Against brute force; small: many shards, cells of several shards, blocks of few queries."""
+    if small:
+        monkeypatch.setattr(neighbours, "ROWS", 100)
     rng = np.random.default_rng(5)
-    v = rng.standard_normal((1500, 16)).astype(np.float32)
-    v[200:260] = v[100]
-    rows = [(i, [float(x) for x in v[i]]) for i in range(1500)] + [(1600, None), (1700, [0.0] * 16), (1800, [float("nan")] * 16), (None, [1.0] * 16), (1900, [1.0, None] * 8), (2000, [1.0, 2.0]), (3, [float(x) for x in v[3]])]
+    v = rng.standard_normal((1500, 32)).astype(np.float32)
+    v[200:700] = v[100]  # a third of all rows is one vector
+    v[900:1100] = v[900] + 0.01 * v[900:1100]
+    rows = [(i, [float(x) for x in v[i]]) for i in range(1500)] + [(1600, None), (1700, [0.0] * 32), (1800, [float("nan")] * 32), (None, [1.0] * 32), (1900, [1.0, None] * 16), (2000, [1.0, 2.0]), (3, [float(x) for x in v[3]])]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = {}
-    for r in neighbours.nearest(d, shard_rows=400).collect():
+    got, verified = {}, {}
+    for r in neighbours.nearest(d, sample_rows=600 if small else 20_000, block_rows=3 if small else 1000).collect():
         got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+        verified[r.query_id] = r.verified
     assert sorted(got) == [i for i in range(0, 1500, 100)]
     x, hits = v.astype(float), 0
     for q, found in got.items():
         d2 = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
         best = sorted((d2[i], i) for i in range(1500) if i != q)[:10]
         assert sorted(found) == list(range(1, 11)) and all(abs(s - d2[i]) < 1e-9 for i, s in found.values())
+        assert [found[i] for i in range(1, 11)] == sorted(found.values(), key=lambda y: (y[1], y[0]))
+        if d2[best[-1][1]] == 0:
+            assert [i for i, _ in (found[j] for j in range(1, 11))] == [i for _, i in best]  # ties go to the smaller id
         hits += len({i for _, i in best} & {i for i, _ in found.values()})
-    assert hits >= 0.9 * 150
+    assert hits >= 0.9 * 150 and np.mean(list(verified.values())) < 0.8 * 1001
     few = neighbours.nearest(d.filter("vec_id < 4 or vec_id is null")).collect()
     assert len(few) == 3
     assert neighbours.nearest(d.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("n", [300, 3000, 20_000])
+def test_neighbours_recall_and_share(n):
+    """Recall and the share of vectors verified by one shard, on vectors without any structure."""
+    rng = np.random.default_rng(n)
+    v = rng.standard_normal((n, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    p = v @ neighbours.axes(64, 24)
+    shard = neighbours.Shard.build([np.array([i]) for i in range(n)], v, p)
+    stop, hits, looked = neighbours.chi2_quantile(0.95, 24) / 1.02**2, 0, 0
+    for q in range(40):
+        ids, d2, seen = shard.search(v[q], p[q], 11, stop)
+        looked += seen
+        true = ((v - v[q]) ** 2).sum(axis=1)
+        hits += len(set(np.lexsort((np.arange(n), true))[:11].tolist()) & set(ids.tolist())) - 1
+        assert np.allclose(d2, true[ids])
+    assert hits >= 0.9 * 400 and looked <= {300: 0.8, 3000: 0.6, 20_000: 0.5}[n] * 40 * n
+
+
+def test_neighbours_order_is_that_of_projections():
+    """With a stop that never comes every point is verified and the result is exact; with confidence 0, few are."""
+    rng = np.random.default_rng(1)
+    v = rng.standard_normal((500, 8))
+    p = v @ neighbours.axes(8, 4)
+    shard = neighbours.Shard.build([np.array([i]) for i in range(500)], v, p)
+    again = neighbours.Shard.unpacked(shard.packed(), 8, 4)
+    ids, d2, seen = again.search(v[7], p[7], 5, 1e9)
+    assert seen == 500 and ids.tolist() == np.argsort(((v - v[7]) ** 2).sum(axis=1))[:5].tolist()
+    assert shard.search(v[7], p[7], 5, 1e-9)[2] <= 3 * neighbours.CHUNK
+    order, spans, splits = neighbours.cut(p, 32)
+    assert sorted(order.tolist()) == list(range(500)) and max(b - a for a, b in spans) <= 32
+    leaf = neighbours.leaf_of(p, splits)
+    assert all((leaf[order[a:b]] == i).all() for i, (a, b) in enumerate(spans))
+
+
 def test_chi_square():
     assert abs(neighbours.chi2_cdf(15.507, 8) - 0.95) < 1e-4 and abs(neighbours.chi2_quantile(0.95, 8) - 15.507) < 1e-2
 
