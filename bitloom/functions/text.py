@@ -98,16 +98,38 @@ def base_name(c: Column) -> Column:
 # What Catalyst has no expression for: normal forms, case folding, arithmetic inside replacements.
 
 
+# Python gets only the rows that need it: the others are null to it.
+
+
 @F.pandas_udf(T.StringType())
-def nfc_squeezed(s: pd.Series) -> pd.Series:
+def _squeezed(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else squeeze(t))
 
 
 @F.pandas_udf(T.StringType())
-def folded(s: pd.Series) -> pd.Series:
+def _folded(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else fold(t))
 
 
+def _plain_squeezed(c: Column) -> Column:
+    return F.regexp_replace(py_strip(c), rf"(?U){WS}+", " ")
+
+
+def nfc_squeezed(c: Column | str) -> Column:
+    """In normal form C, each run of white space as one space. Below U+0300 every text is in that form."""
+    c = F.col(c) if isinstance(c, str) else c
+    other = c.rlike(r"[^\x00-\x{2FF}]")
+    return F.when(other, _squeezed(F.when(other, c))).otherwise(_plain_squeezed(c))
+
+
+def folded(c: Column | str) -> Column:
+    """nfc_squeezed and case folded, which in Latin-1 is lower case but for two characters."""
+    c = F.col(c) if isinstance(c, str) else c
+    other = c.rlike(r"[^\x00-\xFF]")
+    plain = F.replace(F.replace(F.lower(_plain_squeezed(c)), F.lit("ß"), F.lit("ss")), F.lit("µ"), F.lit("μ"))
+    return F.when(other, _folded(F.when(other, c))).otherwise(plain)
+
+
 def squeeze(t: str) -> str:
     return " ".join(unicodedata.normalize("NFC", t).split())
 
@@ -116,6 +138,7 @@ def fold(t: str) -> str:
     return squeeze(t).casefold()
 
 
+# The patterns of numbers.
 _MONTH = re.compile(r"\b(" + "|".join(sorted(MONTHS, key=len, reverse=True)) + r")\.?\b")
 _MAGNITUDE = re.compile(r"(\d+(?:\.\d+)?)\s*(" + "|".join(m + r"\b" * m.isascii() for m in MAGNITUDES) + ")", re.I)
 _CURRENCY = re.compile(r"(?:\b(?:USD|EUR|CNY|RMB|GBP|JPY)\b|[$€¥£])\s*", re.I)
@@ -141,6 +164,12 @@ def number_set(s: pd.Series) -> pd.Series:
     return s.map(lambda t: numbers(t or ""))
 
 
+def number_set_of(c: Column) -> Column:
+    """number_set, without Python for texts that have neither a digit nor a month."""
+    some = c.rlike(r"(?U)\d|" + "|".join(m for m in MONTHS if len(m) == 3))
+    return F.when(some, number_set(F.when(some, c))).otherwise(F.array().cast("array<string>"))
+
+
 @F.pandas_udf(T.LongType())
 def fnv1a64(s: pd.Series) -> pd.Series:
     """The signed 64-bit FNV-1a hash of the UTF-8 bytes."""

@@ -8,7 +8,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,20 @@ from bitloom.functions import text as X
 #: Moves in the order in which equally cheap ones win, and costs.
 MOVES = ((1, 1), (2, 1), (1, 2), (2, 2), (3, 2), (2, 3), (1, 3), (3, 1), (3, 3), (1, 0), (0, 1))
 SPREAD, PER_SENTENCE, NOT_ONE_TO_ONE, GAP = 0.8, 2.5, 2.0, 60.0
+#: What the moves are called in reports.
+MOVE_LABELS = {
+    "1:1": "一一对应",
+    "2:1": "合并（2→1）",
+    "1:2": "拆分（1→2）",
+    "2:2": "合并+拆分（2→2）",
+    "3:2": "合并+拆分（3→2）",
+    "2:3": "合并+拆分（2→3）",
+    "1:3": "拆分（1→3）",
+    "3:1": "合并（3→1）",
+    "3:3": "合并+拆分（3→3）",
+    "1:0": "跳过（原文无对应）",
+    "0:1": "跳过（译文无对应）",
+}
 ABBREVIATIONS = frozenset("mr mrs ms dr prof sr jr vs etc e.g i.e inc ltd co corp no fig st approx cf al u.s u.k a.m p.m ph.d jan feb mar apr jun jul aug sep sept oct nov dec".split())
 
 _CJK = "一-鿿　-〿＀-￯"
@@ -137,6 +151,11 @@ def align(paragraphs: DataFrame, src_lang: str, tgt_lang: str, rules: dict | Non
     return d.mapInPandas(run, _ALIGNED).withColumn("src_lang", F.lit(src_lang)).withColumn("tgt_lang", F.lit(tgt_lang))
 
 
+def move_label(move: Column) -> Column:
+    """A move by its label in reports; unknown moves stay."""
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in MOVE_LABELS.items() for x in kv))[move], move)
+
+
 def summarize(checked: DataFrame) -> DataFrame:
     return checked.agg(F.count("*").alias("total"), F.count_if("align_gap").alias("gaps"), F.count_if(F.size("qa_issues") > 0).alias("flagged"))
 

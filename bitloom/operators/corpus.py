@@ -31,8 +31,11 @@ def clean(units: DataFrame, normalize: bool = True, dedupe: bool = True, remove_
         why = F.when((s == "") | (t == ""), "empty").otherwise(why)
     d = d.withColumn("removed", why)
     if dedupe:
-        first = F.min(F.when(F.col("removed").isNull(), F.col("ord"))).over(Window.partitionBy(s, t))
-        d = d.withColumn("_first", first).withColumn("removed", F.when(F.col("removed").isNull() & (F.col("ord") != F.col("_first")), "duplicate").otherwise(F.col("removed"))).drop("_first")
+        # the first of equal pairs by an aggregate that is joined back: a very common pair is one row of it
+        pair = (F.xxhash64(s, t), F.xxhash64(t, F.lit(1), s))
+        d = d.withColumn("_a", pair[0]).withColumn("_b", pair[1])
+        first = d.filter("removed is null").groupBy("_a", "_b").agg(F.min("ord").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+        d = d.join(first, ["_a", "_b"], "left").withColumn("removed", F.when(F.col("removed").isNull() & (F.col("ord") != F.col("_first")), "duplicate").otherwise(F.col("removed"))).drop("_first", "_a", "_b")
     return d
 
 

@@ -1,8 +1,8 @@
-"""Quality checks of translation units: twelve predicates, a confidence, summaries."""
+"""Quality checks of translation units: twelve predicates, what differs, a confidence, summaries."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.functions import text as X
@@ -18,46 +18,91 @@ def length_ratio(units: DataFrame) -> DataFrame:
 def _conflicts(units: DataFrame, key: str, other: str, flag: str) -> DataFrame:
     """Adds flag: key stands beside several values of other.
 
-    Smallest and largest value tell that in one window without holding any set."""
-    both = (F.col(key) != "") & (F.col(other) != "")
-    w = Window.partitionBy(key)
-    pair = F.when(both, F.col(other))
-    return units.withColumn(flag, F.coalesce((F.col(key) != "") & (F.min(pair).over(w) != F.max(pair).over(w)), F.lit(False)))
+    Smallest and largest value tell that; they are aggregated by key and joined back, so that a very common
+    text is a row of an aggregate and a key of a join that adaptive execution may split. Only keys in
+    conflict come to the join; blank ones take no part."""
+    full = units.filter((F.col(key) != "") & (F.col(other) != ""))
+    low = full.groupBy(F.col(key).alias("_k")).agg(F.min(other).alias("_l"), F.max(other).alias("_h")).filter("_l != _h").select("_k", F.lit(True).alias(flag))
+    return units.join(low, F.col(key) == F.col("_k"), "left").drop("_k").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
-def check(units: DataFrame, ratio: float | None = None, numbers: bool = True) -> DataFrame:
-    """Adds qa_issues (array in ISSUES order), qa_confidence.
+_SIDES = "struct<src:array<string>,tgt:array<string>>"
 
-    ratio: expected source to target length; None takes the corpus's own. numbers: False leaves out the
-    one check that runs Python."""
-    if ratio is None:
-        units = units.crossJoin(F.broadcast(length_ratio(units).withColumnRenamed("length_ratio", "_ratio")))  # one row
+
+def check(units: DataFrame, ratio: float | None = None, numbers: bool = True, codes: tuple[str, ...] = ISSUES, details: bool = False) -> DataFrame:
+    """Adds qa_issues (array in ISSUES order), qa_confidence and, with details, qa_details: for each check
+    that tells more, what differs on the two sides (null where it found nothing).
+
+    ratio: expected source to target length; None takes the corpus's own. codes: the checks to run; only
+    what they need is worked out. numbers: False leaves out the one check that runs Python."""
+    codes = tuple(c for c in ISSUES if c in codes and (numbers or c != "NUMBER_MISMATCH"))
+    if ratio is not None or "LENGTH_RATIO_OUTLIER" not in codes:
+        units = units.withColumn("_ratio", F.lit(float(ratio or 1.0)))
     else:
-        units = units.withColumn("_ratio", F.lit(float(ratio)))
+        units = units.crossJoin(F.broadcast(length_ratio(units).withColumnRenamed("length_ratio", "_ratio")))  # one row
     raw_s, raw_t = F.coalesce(F.col("src_text"), F.lit("")), F.coalesce(F.col("tgt_text"), F.lit(""))
     d = units.withColumn("_s", X.py_strip(raw_s)).withColumn("_t", X.py_strip(raw_t))
-    d = _conflicts(_conflicts(d, "_s", "_t", "_sc"), "_t", "_s", "_tc")
     s, t = F.col("_s"), F.col("_t")
+    if "SOURCE_CONFLICT" in codes:
+        d = _conflicts(d, "_s", "_t", "_sc")
+    if "TARGET_CONFLICT" in codes:
+        d = _conflicts(d, "_t", "_s", "_tc")
     both = (s != "") & (t != "")
+    told = {"PLACEHOLDER_MISMATCH": X.placeholders, "URL_MISMATCH": X.urls, "PUNCTUATION_UNBALANCED": X.unbalanced, "WIDTH_MIXING": X.width_mixed}
+    for c, find in told.items():
+        if c in codes:
+            d = d.withColumn(f"_{c}", F.when(both, F.struct(find(s).alias("src"), find(t).alias("tgt"))))
+    if "NUMBER_MISMATCH" in codes:
+        d = d.withColumn("_NUMBER_MISMATCH", F.when(both, F.struct(X.number_set_of(s).alias("src"), X.number_set_of(t).alias("tgt"))))
+    differs = lambda c: F.coalesce(F.col(f"_{c}.src") != F.col(f"_{c}.tgt"), F.lit(False))
+    some = lambda c: F.coalesce((F.size(f"_{c}.src") > 0) | (F.size(f"_{c}.tgt") > 0), F.lit(False))
     relative = X.nolen(t) / F.greatest(X.nolen(s) / F.col("_ratio"), F.lit(1e-6))
     markup = "src_markup" in units.columns and "tgt_markup" in units.columns
     found = {
-        "EMPTY_SOURCE": s == "",
-        "EMPTY_TARGET": t == "",
-        "LEADING_TRAILING_SPACE": X.edge_space(raw_s) | X.edge_space(raw_t),
-        "LENGTH_RATIO_OUTLIER": both & (F.col("_ratio") > 0) & ((relative < 0.3) | (relative > 3.0)),
-        "NUMBER_MISMATCH": (both & (X.number_set(s) != X.number_set(t))) if numbers else F.lit(False),
-        "PLACEHOLDER_MISMATCH": both & (X.placeholders(s) != X.placeholders(t)),
-        "URL_MISMATCH": both & (X.urls(s) != X.urls(t)),
-        "TAG_MISMATCH": (both & (X.tag_names(F.col("src_markup")) != X.tag_names(F.col("tgt_markup")))) if markup else F.lit(False),
-        "PUNCTUATION_UNBALANCED": both & ((F.size(X.unbalanced(s)) > 0) | (F.size(X.unbalanced(t)) > 0)),
-        "WIDTH_MIXING": both & ((F.size(X.width_mixed(s)) > 0) | (F.size(X.width_mixed(t)) > 0)),
-        "SOURCE_CONFLICT": F.col("_sc"),
-        "TARGET_CONFLICT": F.col("_tc"),
+        "EMPTY_SOURCE": lambda: s == "",
+        "EMPTY_TARGET": lambda: t == "",
+        "LEADING_TRAILING_SPACE": lambda: X.edge_space(raw_s) | X.edge_space(raw_t),
+        "LENGTH_RATIO_OUTLIER": lambda: both & (F.col("_ratio") > 0) & ((relative < 0.3) | (relative > 3.0)),
+        "NUMBER_MISMATCH": lambda: differs("NUMBER_MISMATCH"),
+        "PLACEHOLDER_MISMATCH": lambda: differs("PLACEHOLDER_MISMATCH"),
+        "URL_MISMATCH": lambda: differs("URL_MISMATCH"),
+        "TAG_MISMATCH": lambda: (both & (X.tag_names(F.col("src_markup")) != X.tag_names(F.col("tgt_markup")))) if markup else F.lit(False),
+        "PUNCTUATION_UNBALANCED": lambda: some("PUNCTUATION_UNBALANCED"),
+        "WIDTH_MIXING": lambda: some("WIDTH_MIXING"),
+        "SOURCE_CONFLICT": lambda: F.col("_sc"),
+        "TARGET_CONFLICT": lambda: F.col("_tc"),
     }
-    issues = F.filter(F.array(*(F.when(found[c], F.lit(c)) for c in ISSUES)), lambda x: x.isNotNull())
+    issues = F.filter(F.array(*(F.when(found[c](), F.lit(c)) for c in codes)), lambda x: x.isNotNull()) if codes else F.array().cast("array<string>")
     d = d.withColumn("qa_issues", issues).withColumn("qa_confidence", F.greatest(F.lit(0.0), 1 - 0.25 * F.size("qa_issues")))
-    return d.drop("_s", "_t", "_sc", "_tc", "_ratio")
+    if details:
+        edge = F.filter(F.array(F.when(X.edge_space(raw_s), F.lit("src")), F.when(X.edge_space(raw_t), F.lit("tgt"))), lambda x: x.isNotNull())
+        sides = F.when(F.array_contains("qa_issues", "LEADING_TRAILING_SPACE"), edge).alias("LEADING_TRAILING_SPACE")
+        more = (F.when(F.array_contains("qa_issues", c), F.col(f"_{c}") if c in codes else F.lit(None).cast(_SIDES)).cast(_SIDES).alias(c) for c in ("NUMBER_MISMATCH", *told))
+        d = d.withColumn("qa_details", F.struct(sides, *more))
+    return d.drop("_s", "_t", "_sc", "_tc", "_ratio", *(f"_{c}" for c in (*told, "NUMBER_MISMATCH")))
+
+
+#: What the issues are called in reports.
+LABELS = {
+    "EMPTY_SOURCE": "原文为空",
+    "EMPTY_TARGET": "译文为空",
+    "LENGTH_RATIO_OUTLIER": "长度比异常",
+    "NUMBER_MISMATCH": "数字不匹配",
+    "PLACEHOLDER_MISMATCH": "占位符不匹配",
+    "URL_MISMATCH": "URL 不匹配",
+    "TAG_MISMATCH": "标签不匹配",
+    "PUNCTUATION_UNBALANCED": "括号/引号不成对",
+    "WIDTH_MIXING": "全半角混用",
+    "LEADING_TRAILING_SPACE": "首尾空格",
+    "SOURCE_CONFLICT": "原文冲突",
+    "TARGET_CONFLICT": "译文冲突",
+}
+
+
+def labelled(issues: Column) -> Column:
+    """Issue codes by their labels in reports; unknown codes stay."""
+    names = F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv))
+    return F.transform(issues, lambda c: F.coalesce(names[c], c))
 
 
 def status_of(issues: Column, confidence: Column) -> Column:

@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.functions import text as X
-from bitloom.operators import align, corpus, leverage, near_dup, qa, review, terms
+from bitloom.operators import corpus, leverage, near_dup, review, terms
+from bitloom.plans import quality  # noqa: F401  it registers its queries
 from bitloom.plans import views as V
-
-Query = Callable[[SparkSession, str], DataFrame]
-_ALL: dict[str, tuple[Query, str | None]] = {}
-
-
-def _query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        _ALL[f.__name__] = (f, sql)
-        return f
-
-    return add
+from bitloom.plans.quality import base as _base
+from bitloom.plans.registry import ALL as _ALL
+from bitloom.plans.registry import Query
+from bitloom.plans.registry import query as _query
 
 
 def queries() -> dict[str, Query]:
@@ -31,125 +23,6 @@ def oracle_sql() -> dict[str, str]:
     return {name: sql for name, (_, sql) in _ALL.items() if sql}
 
 
-def _checked(spark, sf_dir, view=V.segments, **kw):
-    return qa.check(view(spark, sf_dir), **{"ratio": 1.0, "numbers": False} | kw)
-
-
-def _flag(code: str, view=V.segments, **kw) -> Query:
-    return lambda spark, sf_dir: _checked(spark, sf_dir, view, **kw).filter(F.array_contains("qa_issues", code)).select("ord", "src_text", "tgt_text")
-
-
-# SQL building blocks over a view v(ord, src_text, tgt_text, ...): stripped texts and the column checks.
-_BLANK = r"[\s\x1c-\x1f\x{a0}\x{3000}]+"
-
-
-def _strip(c: str) -> str:
-    return f"regexp_replace(regexp_replace(coalesce({c}, ''), '^{_BLANK}', ''), '{_BLANK}$', '')"
-
-
-def _nolen(c: str) -> str:
-    return f"length(regexp_replace({c}, '{_BLANK}', '', 'g'))"
-
-
-def _base(v: str) -> str:
-    return f"base AS (SELECT *, {_strip('src_text')} AS s, {_strip('tgt_text')} AS t FROM {v})"
-
-
-_PH = r"'\{[A-Za-z0-9_.]{1,50}\}|%\(\w+\)[sdfgxX]|%[sdfgxX]'"
-
-
-def _odd(c: str) -> str:
-    n = lambda x: f"(length({c}) - length(replace({c}, '{x}', '')))"
-    return "(" + " OR ".join((f"{n(p[0])} > {n(p[1])}" if p == "‘’" else f"{n(p[0])} <> {n(p[1])}") for p in X.PAIRS) + ")"
-
-
-def _wide(c: str) -> str:
-    return "(" + " OR ".join(f"(contains({c}, '{a}') AND contains({c}, '{b}'))" for a, b in X.WIDTHS) + ")"
-
-
-def _set(c: str, pattern: str) -> str:
-    return f"list_sort(list_distinct(regexp_extract_all({c}, {pattern})))"
-
-
-_TESTS = {
-    "EMPTY_SOURCE": "s = ''",
-    "EMPTY_TARGET": "t = ''",
-    "LEADING_TRAILING_SPACE": "(coalesce(src_text, '') <> s OR coalesce(tgt_text, '') <> t)",
-    "LENGTH_RATIO_OUTLIER": f"(s <> '' AND t <> '' AND ({_nolen('t')} / greatest({_nolen('s')} / {{ratio}}, 1e-6) < 0.3 OR {_nolen('t')} / greatest({_nolen('s')} / {{ratio}}, 1e-6) > 3.0))",
-    "PLACEHOLDER_MISMATCH": f"(s <> '' AND t <> '' AND {_set('s', _PH)} <> {_set('t', _PH)})",
-    "URL_MISMATCH": "(s <> '' AND t <> '' AND list_sort(list_distinct(regexp_extract_all(s, '(?i)https?://\\S+'))) <> list_sort(list_distinct(regexp_extract_all(t, '(?i)https?://\\S+'))))",
-    "PUNCTUATION_UNBALANCED": f"(s <> '' AND t <> '' AND ({_odd('s')} OR {_odd('t')}))",
-    "WIDTH_MIXING": f"(s <> '' AND t <> '' AND ({_wide('s')} OR {_wide('t')}))",
-    "SOURCE_CONFLICT": "(s IN (SELECT s FROM base WHERE s <> '' AND t <> '' GROUP BY s HAVING count(DISTINCT t) > 1))",
-    "TARGET_CONFLICT": "(t IN (SELECT t FROM base WHERE s <> '' AND t <> '' GROUP BY t HAVING count(DISTINCT s) > 1))",
-}
-
-
-def _test(code: str) -> str:
-    return _TESTS[code].replace("{ratio}", "1.0") if code == "LENGTH_RATIO_OUTLIER" else _TESTS[code]
-
-
-def _flag_sql(code: str, view: str = V.SEGMENTS, v: str = "segments") -> str:
-    return f"WITH {view}, {_base(v)} SELECT ord, src_text, tgt_text FROM base WHERE {_test(code)}"
-
-
-for _name, _code, _view, _sql, _v in (
-    ("qa_empty_source", "EMPTY_SOURCE", V.segments, V.SEGMENTS, "segments"),
-    ("qa_empty_target", "EMPTY_TARGET", V.segments, V.SEGMENTS, "segments"),
-    ("qa_edge_space", "LEADING_TRAILING_SPACE", V.segments, V.SEGMENTS, "segments"),
-    ("qa_length_outlier", "LENGTH_RATIO_OUTLIER", V.segments, V.SEGMENTS, "segments"),
-    ("qa_placeholder", "PLACEHOLDER_MISMATCH", V.segments, V.SEGMENTS, "segments"),
-    ("qa_punctuation", "PUNCTUATION_UNBALANCED", V.segments, V.SEGMENTS, "segments"),
-    ("qa_width", "WIDTH_MIXING", V.segments, V.SEGMENTS, "segments"),
-    ("qa_source_conflict", "SOURCE_CONFLICT", V.segments, V.SEGMENTS, "segments"),
-    ("qa_target_conflict", "TARGET_CONFLICT", V.parts, V.PARTS, "parts"),
-):
-    _ALL[_name] = (_flag(_code, _view), _flag_sql(_code, _sql, _v))
-
-_CODES = list(_TESTS)
-_LIST = "list_filter([" + ", ".join(f"CASE WHEN {_test(c)} THEN '{c}' END" for c in _CODES) + "], lambda x: x IS NOT NULL)"
-
-
-def _checked_sql(view: str, v: str) -> str:
-    return f"WITH {view}, {_base(v)}, checked AS (SELECT *, {_LIST} AS issues FROM base)"
-
-
-@_query(_checked_sql(V.PAIRS, "pairs") + " SELECT issue, count(*)::BIGINT AS units FROM (SELECT unnest(issues) AS issue FROM checked) GROUP BY issue")
-def qa_summary(spark, sf_dir):
-    return qa.by_type(_checked(spark, sf_dir, V.pairs))
-
-
-@_query(_checked_sql(V.SEGMENTS, "segments") + " SELECT count(*)::BIGINT AS total, count_if(len(issues) > 0)::BIGINT AS flagged FROM checked")
-def qa_totals(spark, sf_dir):
-    return qa.totals(_checked(spark, sf_dir))
-
-
-@_query(_checked_sql(V.SEGMENTS, "segments") + " SELECT ord, array_to_string(issues, '|') AS issues, greatest(0.0, 1 - 0.25 * len(issues))::DOUBLE AS confidence, CASE WHEN len(issues) = 0 THEN 'HIGH' WHEN 1 - 0.25 * len(issues) < 0.5 THEN 'LOW' ELSE 'MEDIUM' END AS status FROM checked")
-def qa_confidence(spark, sf_dir):
-    d = _checked(spark, sf_dir)
-    return d.select("ord", F.array_join("qa_issues", "|").alias("issues"), F.col("qa_confidence").alias("confidence"), qa.status_of(F.col("qa_issues"), F.col("qa_confidence")).alias("status"))
-
-
-@_query(_checked_sql(V.SEGMENTS, "segments") + " SELECT CASE WHEN len(issues) = 0 THEN 'HIGH' WHEN 1 - 0.25 * len(issues) < 0.5 THEN 'LOW' ELSE 'MEDIUM' END AS status, count(*)::BIGINT AS units FROM checked GROUP BY ALL")
-def qa_status_bucket(spark, sf_dir):
-    return _checked(spark, sf_dir).groupBy(qa.status_of(F.col("qa_issues"), F.col("qa_confidence")).alias("status")).agg(F.count("*").alias("units"))
-
-
-@_query(_checked_sql(V.SEGMENTS, "segments") + " SELECT ord, src_text FROM checked WHERE 1 - 0.25 * len(issues) >= 0.75")
-def min_confidence_filter(spark, sf_dir):
-    return qa.confident(_checked(spark, sf_dir), 0.75).select("ord", "src_text")
-
-
-@_query(_checked_sql(V.SEGMENTS, "segments") + " SELECT ord, array_to_string(issues, '|') AS issues FROM checked WHERE len(issues) > 0 ORDER BY ord LIMIT 500")
-def review_top500(spark, sf_dir):
-    return qa.review(_checked(spark, sf_dir), ["ord"]).select("ord", F.array_join("qa_issues", "|").alias("issues"))
-
-
-@_query(f"WITH {V.PAIRS} SELECT round(sum({_nolen('src_text')}) / greatest(sum({_nolen('tgt_text')}), 1), 6) AS length_ratio FROM pairs")
-def length_ratio(spark, sf_dir):
-    return qa.length_ratio(V.pairs(spark, sf_dir)).select(F.round("length_ratio", 6).alias("length_ratio"))
-
-
 @_query("SELECT page_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(url || ', ' || upper(url) || '.', '(?i)https?://\\S+'), lambda x: rtrim(x, '" + X.URL_TAIL.replace("'", "''") + "')))), ' ') AS urls FROM pages")
 def qa_url(spark, sf_dir):
     return V.table(spark, sf_dir, "pages").select("page_id", F.array_join(X.urls(F.concat("url", F.lit(", "), F.upper("url"), F.lit("."))), " ").alias("urls"))
@@ -453,38 +326,7 @@ def semantic_review(spark, sf_dir):
     return review.summary(review.attach(V.parts(spark, sf_dir), short_target))
 
 
-# alignment, text functions, exports
-
-def _paragraphs(spark, sf_dir):
-    d = V.pairs(spark, sf_dir)
-    return d.select("source_file", F.lit(0).alias("file_ord"), F.col("ord").alias("para_ord"), F.col("ord").cast("string").alias("key"), "src_text", "tgt_text")
-
-
-@_query()
-def align_units(spark, sf_dir):
-    return align.align(_paragraphs(spark, sf_dir), "en", "en").select("para_ord", "unit_ord", "src_text", "tgt_text", "alignment_cost", "align_move", "align_gap")
-
-
-@_query()
-def align_summary(spark, sf_dir):
-    return align.moves(align.align(_paragraphs(spark, sf_dir), "en", "en"))
-
-
-@_query()
-def align_report(spark, sf_dir):
-    return align.summarize(qa.check(align.align(_paragraphs(spark, sf_dir), "en", "en").withColumn("ord", F.col("para_ord"))))
-
-
-@_query()
-def qa_number_mismatch(spark, sf_dir):
-    return _checked(spark, sf_dir, numbers=True).filter(F.array_contains("qa_issues", "NUMBER_MISMATCH")).select("ord")
-
-
-@_query()
-def highlight_spans(spark, sf_dir):
-    d = _checked(spark, sf_dir, numbers=True).filter(F.size("qa_issues") > 0)
-    return d.select("ord", F.to_json(X.highlight_spans("src_text", "qa_issues")).alias("spans"))
-
+# text functions, exports
 
 _BYTES = "list_transform(string_split(src_text, ''), lambda x: ord(x)::HUGEINT)"  # of ASCII texts
 
@@ -500,29 +342,3 @@ def jsonl_export(spark, sf_dir):
     from bitloom.sinks import tables
 
     return tables.jsonl_rows(V.segments(spark, sf_dir), "ord")
-
-
-@_query(_checked_sql(V.SEGMENTS, "segments") + " SELECT ord AS \"No\", src_text AS src, tgt_text AS tgt, printf('%.2f', greatest(0.0, 1 - 0.25 * len(issues))) AS confidence, CASE WHEN len(issues) = 0 THEN 'HIGH' WHEN 1 - 0.25 * len(issues) < 0.5 THEN 'LOW' ELSE 'MEDIUM' END AS status, array_to_string(issues, '; ') AS issues FROM checked")
-def review_csv_projection(spark, sf_dir):
-    from bitloom.sinks import tables
-
-    return tables.review_rows(_checked(spark, sf_dir).withColumn("No", F.col("ord")), "No")
-
-
-@_query("WITH s AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS l FROM documents)) SELECT doc_id, (i - 1) // 2 AS pair, l[i] AS src_text, l[i + 1] AS tgt_text FROM s WHERE i % 2 = 1 AND i < len(l)")
-def alternating_pairs(spark, sf_dir):
-    d = V.table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split("text", "\n"), lambda x: x != "").alias("l"))
-    d = d.select("doc_id", "l", F.explode(F.when(F.size("l") > 1, F.sequence(F.lit(0), F.floor(F.size("l") / 2).cast("long") - 1))).alias("pair"))
-    return d.select("doc_id", "pair", F.expr("l[cast(2 * pair as int)]").alias("src_text"), F.expr("l[cast(2 * pair + 1 as int)]").alias("tgt_text"))
-
-
-@_query("SELECT a.c_custkey AS n, a.c_name AS src_text, b.o_orderpriority AS tgt_text FROM customer a JOIN (SELECT o_custkey, min(o_orderpriority) AS o_orderpriority FROM orders GROUP BY o_custkey) b ON a.c_custkey = b.o_custkey")
-def numbered_join(spark, sf_dir):
-    a, b = V.table(spark, sf_dir, "customer"), V.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderpriority").alias("tgt_text"))
-    return a.join(b, a.c_custkey == b.o_custkey).select(F.col("c_custkey").alias("n"), F.col("c_name").alias("src_text"), "tgt_text")
-
-
-@_query("SELECT p_partkey, (length(p_name) <= 20 AND NOT regexp_matches(p_name, '[.!?。！？]') AND length(p_type) <= 20 AND NOT regexp_matches(p_type, '[.!?。！？]')) AS header FROM part")
-def header_sniff(spark, sf_dir):
-    cells = F.array("p_name", "p_type")
-    return V.table(spark, sf_dir, "part").select("p_partkey", F.forall(cells, lambda c: (F.length(c) <= 20) & ~c.rlike("[.!?。！？]")).alias("header"))

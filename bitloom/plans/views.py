@@ -4,7 +4,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -12,14 +12,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _ord(group: str, place: str) -> Column:
+    """The place of a part in its whole; a whole has less than 2^30 parts, as Spark's arrays and texts do."""
+    return F.col(group).cast("long") * (1 << 30) + F.col(place)
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's turn with the assistant's answer to it."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     d = table(spark, sf_dir, "conversations").withColumn("r2", F.lead("role").over(w)).withColumn("t2", F.lead("text").over(w)).filter("role = 'user' and r2 = 'assistant'")
-    return d.select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.lit("en").alias("src_lang"), F.lit("en").alias("tgt_lang"), F.col("text").alias("src_text"), F.col("t2").alias("tgt_text"), F.concat(F.lit("conv/"), (F.col("conv_id") % 7).cast("string"), F.lit(".tmx")).alias("source_file"), F.lit(None).cast("string").alias("modified_at"), F.lit(None).cast("string").alias("domain"))
+    return d.select(_ord("conv_id", "turn").alias("ord"), F.lit("en").alias("src_lang"), F.lit("en").alias("tgt_lang"), F.col("text").alias("src_text"), F.col("t2").alias("tgt_text"), F.concat(F.lit("conv/"), (F.col("conv_id") % 7).cast("string"), F.lit(".tmx")).alias("source_file"), F.lit(None).cast("string").alias("modified_at"), F.lit(None).cast("string").alias("domain"))
 
 
-PAIRS = """pairs AS (SELECT conv_id * 1000 + turn AS ord, text AS src_text, t2 AS tgt_text, 'conv/' || (conv_id % 7) || '.tmx' AS source_file
+PAIRS = """pairs AS (SELECT conv_id::BIGINT * 1073741824 + turn AS ord, text AS src_text, t2 AS tgt_text, 'conv/' || (conv_id % 7) || '.tmx' AS source_file
   FROM (SELECT *, lead(role) OVER w AS r2, lead(text) OVER w AS t2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND r2 = 'assistant')"""
 
 
@@ -27,10 +32,10 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document's line with the line after it."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.split("text", "\n").alias("l"))
     d = d.select("doc_id", "lang", "source", "l", F.posexplode("l").alias("pos", "src_text")).filter("pos + 1 < size(l)")
-    return d.select((F.col("doc_id") * 100000 + F.col("pos")).alias("ord"), F.col("lang").alias("src_lang"), F.col("lang").alias("tgt_lang"), "src_text", F.expr("l[pos + 1]").alias("tgt_text"), F.col("source").alias("source_file"), F.col("source").alias("label"), F.lit(None).cast("string").alias("modified_at"), F.lit(None).cast("string").alias("domain"))
+    return d.select(_ord("doc_id", "pos").alias("ord"), F.col("lang").alias("src_lang"), F.col("lang").alias("tgt_lang"), "src_text", F.expr("l[pos + 1]").alias("tgt_text"), F.col("source").alias("source_file"), F.col("source").alias("label"), F.lit(None).cast("string").alias("modified_at"), F.lit(None).cast("string").alias("domain"))
 
 
-SEGMENTS = """segments AS (SELECT doc_id * 100000 + i - 1 AS ord, lang AS src_lang, lang AS tgt_lang, l[i] AS src_text, l[i + 1] AS tgt_text, source AS source_file, source AS label
+SEGMENTS = """segments AS (SELECT doc_id::BIGINT * 1073741824 + i - 1 AS ord, lang AS src_lang, lang AS tgt_lang, l[i] AS src_text, l[i + 1] AS tgt_text, source AS source_file, source AS label
   FROM (SELECT doc_id, lang, source, l, unnest(range(1, len(l))) AS i FROM (SELECT doc_id, lang, source, string_split(text, chr(10)) AS l FROM documents)))"""
 
 
@@ -53,6 +58,49 @@ DATED = """dated AS (SELECT o_orderkey AS ord, o_orderpriority || ' ' || (o_cust
   CASE WHEN o_orderkey % 3 = 0 THEN 'legal' END AS domain FROM orders)"""
 
 
+#: Units with one kind of defect after the other, by the key; the same SQL for Spark and DuckDB.
+_NAME = "p_name || ' no ' || CAST(p_partkey AS STRING)"
+_PLANTED = {  # remainder of the key by 16: source, target
+    0: ("''", _NAME),
+    1: (_NAME, "'  '"),
+    2: (f"' ' || {_NAME}", _NAME),
+    3: (_NAME, f"repeat({_NAME} || ' and ', 6) || 'end'"),
+    4: (f"{_NAME} || ' costs 1,250.50 USD'", f"{_NAME} || ' costs 1250.5'"),
+    5: (f"{_NAME} || ' in Sept. 2024'", f"{_NAME} || ' in 10 2024'"),
+    6: (f"{_NAME} || ' {{user.name}} and %s'", f"{_NAME} || ' {{user.name}} and %d'"),
+    7: (f"{_NAME} || ' at https://a.example/x.'", f"{_NAME} || ' at HTTPS://a.example/x'"),
+    8: (f"{_NAME} || ' at https://a.example/x,'", f"{_NAME} || ' at https://a.example/x'"),
+    9: (f"{_NAME} || ' (open'", f"{_NAME} || ' 《open》“'"),
+    10: (f"{_NAME} || ' yes! no！'", f"{_NAME} || ' yes! no!'"),
+    11: ("'twin ' || CAST(CAST(floor(p_partkey / 48) AS INT) AS STRING)", _NAME),
+    12: (_NAME, "'twin ' || CAST(CAST(floor(p_partkey / 48) AS INT) AS STRING)"),
+    13: (f"{_NAME} || ' 3 million, 2.5 bn and 4万'", f"{_NAME} || ' 3,000,000 2500000000 40000'"),
+    14: (f"{_NAME} || ' it’s 12,5 March'", f"{_NAME} || ' it‘s 3, 12.50'"),
+    15: (f"' (' || {_NAME} || ' 7'", f"{_NAME} || ' 8 '"),
+}
+_CASE = {side: "CASE p_partkey % 16 " + " ".join(f"WHEN {r} THEN {x[i]}" for r, x in _PLANTED.items()) + " END" for i, side in enumerate(("src", "tgt"))}
+_CASE = {side: x.replace("{{", "{").replace("}}", "}") for side, x in _CASE.items()}
+#: Content of the tags of a side, by the key.
+_NODES = {"src": {0: ('<b id="1">', "</b>"), 1: ('<i x="1">', "</i>"), 2: ("<br/>",), 3: ("< >",)}, "tgt": {0: ("<b>", "</b>"), 1: ("<b>", "</b>"), 2: ("<br/>",), 4: ("<br/>", "<x>")}}
+
+
+def defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue with defects of all kinds, planted by arithmetic on the key."""
+
+    def nodes(side: str) -> Column:
+        out = F.lit(None).cast("array<struct<kind:string,content:string>>")
+        for r, tags in _NODES[side].items():
+            out = F.when(F.col("ord") % 9 == r, F.array(*(F.struct(F.lit("tag").alias("kind"), F.lit(x).alias("content")) for x in tags))).otherwise(out)
+        return out
+
+    d = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("ord"), F.expr(_CASE["src"]).alias("src_text"), F.expr(_CASE["tgt"]).alias("tgt_text"))
+    return d.select("ord", F.lit("en").alias("src_lang"), F.lit("zh-CN").alias("tgt_lang"), "src_text", "tgt_text", nodes("src").alias("src_markup"), nodes("tgt").alias("tgt_markup"))
+
+
+_LISTS = {side: "CASE p_partkey % 9 " + " ".join(f"WHEN {r} THEN [{', '.join(repr(x) for x in tags)}]" for r, tags in _NODES[side].items()) + " END" for side in _NODES}
+DEFECTS = f"defects AS (SELECT p_partkey::BIGINT AS ord, {_CASE['src']} AS src_text, {_CASE['tgt']} AS tgt_text, {_LISTS['src']} AS src_tags, {_LISTS['tgt']} AS tgt_tags FROM part)"
+
+
 def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the benchmark items as a translation memory of all languages."""
     d = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split("text", "\n")).alias("src_text"))
