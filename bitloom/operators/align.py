@@ -160,5 +160,29 @@ def summarize(checked: DataFrame) -> DataFrame:
     return checked.agg(F.count("*").alias("total"), F.count_if("align_gap").alias("gaps"), F.count_if(F.size("qa_issues") > 0).alias("flagged"))
 
 
+def batch_summary(checked: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """(file, units, gap_count, qa_flagged, status) of each file: ok, review, or what went wrong.
+
+    failed: (path, error) of files that can't be read; they have no counts."""
+    bad = (F.col("gap_count") > 0) | (F.col("qa_flagged") > 0) | (F.col("units") == 0)
+    d = checked.groupBy(F.col("source_file").alias("file")).agg(F.count("*").alias("units"), F.count_if("align_gap").alias("gap_count"), F.count_if(F.size("qa_issues") > 0).alias("qa_flagged"))
+    d = d.withColumn("status", F.when(bad, "review").otherwise("ok"))
+    blank = F.lit(None).cast("long")
+    return d if failed is None else d.unionByName(failed.select(F.col("path").alias("file"), blank.alias("units"), blank.alias("gap_count"), blank.alias("qa_flagged"), F.col("error").alias("status")))
+
+
+def batch_tallies(summary: DataFrame) -> DataFrame:
+    """One row: files checked, failed and in need of review."""
+    return summary.agg(F.count("units").alias("checked"), F.count_if(F.col("units").isNull()).alias("failed"), F.count_if(F.col("status") == "review").alias("needs_review"))
+
+
+def switched(paragraphs: DataFrame, src_lang: str, tgt_lang: str) -> DataFrame:
+    """(file_ord, side, lang): sides that are split as Chinese though their language isn't, by their looks."""
+    first = lambda c: F.min_by(c, F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("para_ord")))
+    files = paragraphs.groupBy("file_ord").agg(X.looks_cjk(first("src_text")).alias("src"), X.looks_cjk(first("tgt_text")).alias("tgt"))
+    sides = [F.when(F.col(side) & F.lit(not X.is_cjk(lang)), F.struct(F.lit(side).alias("side"), F.lit(lang).alias("lang"))) for side, lang in (("src", src_lang), ("tgt", tgt_lang))]
+    return files.select("file_ord", F.explode(F.filter(F.array(*sides), lambda x: x.isNotNull())).alias("s")).select("file_ord", "s.side", "s.lang")
+
+
 def moves(aligned: DataFrame) -> DataFrame:
     return aligned.groupBy("align_move").agg(F.count("*").alias("units"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bitloom.functions import text as X
 from bitloom.operators import corpus, leverage, near_dup, review, terms
-from bitloom.plans import quality  # noqa: F401  it registers its queries
+from bitloom.plans import exchange, quality  # noqa: F401  they register their queries
 from bitloom.plans import views as V
 from bitloom.plans.quality import base as _base
 from bitloom.plans.registry import ALL as _ALL

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
 import csv
 import html
 import json
 import os
 import re
 import sqlite3
+import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime
 from xml.sax.saxutils import escape, quoteattr
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.functions.text import fnv1a64
@@ -27,11 +29,24 @@ def xml_text(t: str) -> str:
     return escape(_CONTROL.sub("�", t))
 
 
+@contextlib.contextmanager
+def placed(path: str) -> Iterator[str]:
+    """A local file to write, which takes the place of path when it is whole; a path with a scheme is in a
+    store, where Spark's file systems put it."""
+    if not re.match(r"[a-zA-Z][a-zA-Z0-9+.\-]+:/", path):
+        yield f"{path}.part"
+        os.replace(f"{path}.part", path)
+        return
+    with tempfile.TemporaryDirectory() as folder:
+        yield (part := os.path.join(folder, "part"))
+        spark = SparkSession.active()
+        of = spark._jvm.org.apache.hadoop.fs.Path
+        of(path).getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(True, True, of(f"file:{part}"), of(path))
+
+
 def _put(path: str, lines: Iterable[str], bom: bool = False) -> None:
-    part = f"{path}.part"
-    with open(part, "w", encoding="utf-8-sig" if bom else "utf-8", newline="") as f:
+    with placed(path) as part, open(part, "w", encoding="utf-8-sig" if bom else "utf-8", newline="") as f:
         f.writelines(lines)
-    os.replace(part, path)
 
 
 def _rows(df: DataFrame, order: list[str]):
@@ -117,33 +132,33 @@ def retimed(value: str | None, form: str, otherwise: str) -> str:
 def write_sdltm(units: DataFrame, path: str, order: list[str], src_lang: str, tgt_lang: str, name: str | None = None) -> int:
     """Units with both sides as an SQLite memory of the tables parameters, translation_memories and
     translation_units; each unit gets a new id. Gives the number written."""
-    part, form = f"{path}.part", "%Y-%m-%d %H:%M:%S"
+    form = "%Y-%m-%d %H:%M:%S"
     now, n = datetime.now(UTC).strftime(form), 0
     full = units.filter(r"src_text rlike '\\S' and tgt_text rlike '\\S'").withColumn("_s", fnv1a64(F.col("src_text"))).withColumn("_t", fnv1a64(F.col("tgt_text")))
 
     def segment(text: str, lang: str) -> str:
         return f'<Segment xmlns:xsi="{XSI}" xmlns:xsd="{XSD}"><Elements><Text><Value>{xml_text(text)}</Value></Text></Elements><CultureName>{xml_text(lang)}</CultureName></Segment>'
 
-    if os.path.exists(part):
-        os.remove(part)
-    db = sqlite3.connect(part)
-    try:
-        db.executescript("""
-            CREATE TABLE parameters (translation_memory_id INTEGER, name TEXT NOT NULL, value TEXT NOT NULL);
-            CREATE TABLE translation_memories (id INTEGER PRIMARY KEY, guid BLOB NOT NULL, name TEXT NOT NULL UNIQUE, source_language TEXT NOT NULL, target_language TEXT NOT NULL, settings INTEGER NOT NULL, creation_user TEXT NOT NULL, creation_date TEXT NOT NULL, expiration_date TEXT, fuzzy_indexes INTEGER NOT NULL);
-            CREATE TABLE translation_units (id INTEGER PRIMARY KEY, guid BLOB NOT NULL, translation_memory_id INTEGER NOT NULL REFERENCES translation_memories (id), source_hash INTEGER NOT NULL, source_segment TEXT, target_hash INTEGER NOT NULL, target_segment TEXT, creation_date TEXT NOT NULL, creation_user TEXT NOT NULL, change_date TEXT NOT NULL, change_user TEXT NOT NULL, usage_counter INTEGER NOT NULL, flags INTEGER NOT NULL);
-        """)
-        db.executemany("INSERT INTO parameters VALUES (NULL, ?, ?)", PARAMETERS.items())
-        db.execute("INSERT INTO translation_memories VALUES (1, ?, ?, ?, ?, ?, 'bitloom', ?, ?, ?)", (uuid.uuid4().bytes, name or os.path.splitext(os.path.basename(path))[0][:80], src_lang, tgt_lang, SETTINGS, now, EXPIRY, INDEXES))
-        for r in _rows(full, order):
-            d, n = r.asDict(), n + 1
-            made = retimed(d.get("created_at"), form, now)
-            db.execute("INSERT INTO translation_units VALUES (?, ?, 1, ?, ?, ?, ?, ?, 'bitloom', ?, 'bitloom', 0, ?)", (n, uuid.uuid4().bytes, d["_s"], segment(d["src_text"], src_lang), d["_t"], segment(d["tgt_text"], tgt_lang), made, retimed(d.get("modified_at"), form, made), FLAGS))
-        db.execute("CREATE INDEX source_hashes ON translation_units (translation_memory_id, source_hash)")
-        db.commit()
-    finally:
-        db.close()
-    os.replace(part, path)
+    with placed(path) as part:
+        if os.path.exists(part):
+            os.remove(part)
+        db = sqlite3.connect(part)
+        try:
+            db.executescript("""
+                CREATE TABLE parameters (translation_memory_id INTEGER, name TEXT NOT NULL, value TEXT NOT NULL);
+                CREATE TABLE translation_memories (id INTEGER PRIMARY KEY, guid BLOB NOT NULL, name TEXT NOT NULL UNIQUE, source_language TEXT NOT NULL, target_language TEXT NOT NULL, settings INTEGER NOT NULL, creation_user TEXT NOT NULL, creation_date TEXT NOT NULL, expiration_date TEXT, fuzzy_indexes INTEGER NOT NULL);
+                CREATE TABLE translation_units (id INTEGER PRIMARY KEY, guid BLOB NOT NULL, translation_memory_id INTEGER NOT NULL REFERENCES translation_memories (id), source_hash INTEGER NOT NULL, source_segment TEXT, target_hash INTEGER NOT NULL, target_segment TEXT, creation_date TEXT NOT NULL, creation_user TEXT NOT NULL, change_date TEXT NOT NULL, change_user TEXT NOT NULL, usage_counter INTEGER NOT NULL, flags INTEGER NOT NULL);
+            """)
+            db.executemany("INSERT INTO parameters VALUES (NULL, ?, ?)", PARAMETERS.items())
+            db.execute("INSERT INTO translation_memories VALUES (1, ?, ?, ?, ?, ?, 'bitloom', ?, ?, ?)", (uuid.uuid4().bytes, name or os.path.splitext(os.path.basename(path))[0][:80], src_lang, tgt_lang, SETTINGS, now, EXPIRY, INDEXES))
+            for r in _rows(full, order):
+                d, n = r.asDict(), n + 1
+                made = retimed(d.get("created_at"), form, now)
+                db.execute("INSERT INTO translation_units VALUES (?, ?, 1, ?, ?, ?, ?, ?, 'bitloom', ?, 'bitloom', 0, ?)", (n, uuid.uuid4().bytes, d["_s"], segment(d["src_text"], src_lang), d["_t"], segment(d["tgt_text"], tgt_lang), made, retimed(d.get("modified_at"), form, made), FLAGS))
+            db.execute("CREATE INDEX source_hashes ON translation_units (translation_memory_id, source_hash)")
+            db.commit()
+        finally:
+            db.close()
     return n
 
 
@@ -154,7 +169,7 @@ def write_xlsx(df: DataFrame, path: str, order: list[str] | None = None) -> None
     packed = "http://schemas.openxmlformats.org/package/2006"
     link = lambda kind, target: f'<Relationships xmlns="{packed}/relationships"><Relationship Id="rId1" Type="{rel}/{kind}" Target="{target}"/></Relationships>'
     row = lambda values: "<row>" + "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{xml_text("" if v is None else str(v))}</t></is></c>' for v in values) + "</row>"
-    with zipfile.ZipFile(f"{path}.part", "w", zipfile.ZIP_DEFLATED) as z:
+    with placed(path) as part, zipfile.ZipFile(part, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("[Content_Types].xml", f'<Types xmlns="{packed}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kinds}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kinds}.worksheet+xml"/></Types>')
         z.writestr("_rels/.rels", link("officeDocument", "xl/workbook.xml"))
         z.writestr("xl/_rels/workbook.xml.rels", link("worksheet", "worksheets/sheet1.xml"))
@@ -164,7 +179,6 @@ def write_xlsx(df: DataFrame, path: str, order: list[str] | None = None) -> None
             for r in _rows(df, order or []):
                 f.write(row(r).encode())
             f.write(b"</sheetData></worksheet>")
-    os.replace(f"{path}.part", path)
 
 
 def write_glossary(entries: DataFrame, path: str) -> None:

@@ -1,8 +1,10 @@
 """Bilingual files as DataFrames.
 
 Files come in through Spark's binaryFile reader, so any store that Spark reads will do and each file is
-parsed by one task; a file's rows are numbered within it, and files by the order of their paths. A file
-that can't be parsed fails the read, or, with errors="report", gives one row with its error.
+parsed by one task, its rows passed on in pieces; they are numbered within it, and files by the order of
+their paths, directory by directory. A file that can't be parsed fails the read, or, with errors="report",
+gives one row with its error. What a file has that isn't taken in is told by ``warnings``, a table of its own.
+Readers of further kinds of files are added by ``register``.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import re
 import sqlite3
 import zipfile
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -23,6 +26,9 @@ from bitloom.functions.text import is_cjk
 from bitloom.schema import GLOSSARY, PARAGRAPH, UNIT
 
 Rows = Iterator[dict]
+#: The name of the value by which a parser's row is a warning and no row of the file's.
+WARNING = "warning"
+PIECE = 5000  # rows of a file that are passed on at once
 
 
 def _local(tag: str) -> str:
@@ -40,7 +46,7 @@ def _segment(seg: ET.Element) -> tuple[str, list[dict] | None]:
     nodes = [{"kind": "text", "content": seg.text or ""}]
     for child in seg:
         tail, child.tail = child.tail or "", None
-        nodes += [{"kind": "tag", "content": ET.tostring(child, encoding="unicode")}, {"kind": "text", "content": tail}]
+        nodes += [{"kind": "tag", "content": ET.tostring(child, encoding="unicode", short_empty_elements=False)}, {"kind": "text", "content": tail}]
     while nodes and nodes[0]["kind"] == "text" and not nodes[0]["content"].strip():
         nodes.pop(0)
     while nodes and nodes[-1]["kind"] == "text" and not nodes[-1]["content"].strip():
@@ -126,9 +132,17 @@ def _pairs(rows: list[list[str]], header: bool | None, src: int | None, tgt: int
     a, b = columns(max(map(len, rows), default=0), src, tgt)
     skip = header if header is not None else bool(rows) and is_header([c for c in rows[0] if c])
     for i, r in enumerate(rows, 1):
-        s, t = ((r[x] if x < len(r) else "").replace(" ", " ").strip() for x in (a, b))
-        if s and t and not (i == 1 and skip):
-            yield {"key": str(i), "src_text": s, "tgt_text": t}
+        if not (i == 1 and skip):
+            yield from _pair(str(i), *(r[x] if x < len(r) else "" for x in (a, b)))
+
+
+def _pair(key: str, s: str, t: str) -> Rows:
+    """A pair, or what is to be told of one with one side."""
+    s, t = s.replace("\xa0", " ").strip(), t.replace("\xa0", " ").strip()
+    if s and t:
+        yield {"key": key, "src_text": s, "tgt_text": t}
+    elif s or t:
+        yield {WARNING: "one side only", "place": key}
 
 
 def csv_pairs(data: bytes, delimiter: str | None = None, header: bool | None = None, src: int | None = None, tgt: int | None = None) -> Rows:
@@ -141,14 +155,45 @@ def csv_pairs(data: bytes, delimiter: str | None = None, header: bool | None = N
     yield from _pairs(list(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter)), header, src, tgt)
 
 
+#: Built-in number formats of workbooks that show days or times.
+_DAYS = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)])
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """The numbers of the cell styles that show days or times."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = ET.fromstring(z.read("xl/styles.xml"))
+    codes = {int(x.get("numFmtId")): x.get("formatCode", "") for x in root.iter() if _local(x.tag) == "numFmt"}
+    shows = lambda n: n in _DAYS or bool(re.search("[dmhysDMHYS]", re.sub(r'"[^"]*"|\\.|\[(?!h+\]|m+\]|s+\])[^\]]*\]|General', "", codes.get(n, ""))))
+    styles = next((x for x in root if _local(x.tag) == "cellXfs"), ())
+    return {i for i, x in enumerate(styles) if shows(int(x.get("numFmtId", 0)))}
+
+
+def _cell(kind: str | None, value: str, dated: bool, epoch: datetime) -> str:
+    """A cell's value as text: numbers, truth values, days and times as Python prints them."""
+    if kind == "b":
+        return {"1": "True", "0": "False"}.get(value, value)
+    if kind in (None, "n") and value:
+        number = float(value)
+        if dated:
+            at = epoch + timedelta(milliseconds=round(number * 86_400_000))
+            return str(at if number >= 1 else at.time())
+        return str(int(number)) if number == int(number) and not re.search("[.eE]", value) else str(number)
+    return value
+
+
 def sheet_rows(data: bytes, sheet: str | None = None) -> list[list[str]]:
     """The cells of a workbook's sheet, the first one by default; rows at their own numbers."""
     z = zipfile.ZipFile(io.BytesIO(data))
     shared = []
     if "xl/sharedStrings.xml" in z.namelist():
         shared = ["".join(t.text or "" for t in si.iter() if _local(t.tag) == "t") for si in ET.fromstring(z.read("xl/sharedStrings.xml")) if _local(si.tag) == "si"]
+    dated, book = _date_styles(z), ET.fromstring(z.read("xl/workbook.xml"))
+    late = any(x.get("date1904") in ("1", "true") for x in book.iter() if _local(x.tag) == "workbookPr")
+    epoch = datetime(1904, 1, 1) if late else datetime(1899, 12, 30)
     targets = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-    names = {s.get("name"): next(v for k, v in s.attrib.items() if _local(k) == "id" and "}" in k) for s in ET.fromstring(z.read("xl/workbook.xml")).iter() if _local(s.tag) == "sheet"}
+    names = {s.get("name"): next(v for k, v in s.attrib.items() if _local(k) == "id" and "}" in k) for s in book.iter() if _local(s.tag) == "sheet"}
     if sheet is not None and sheet not in names:
         raise ValueError(f"no sheet {sheet!r}")
     path = targets[names[sheet] if sheet is not None else next(iter(names.values()))].lstrip("/")
@@ -163,7 +208,8 @@ def sheet_rows(data: bytes, sheet: str | None = None) -> list[list[str]]:
                 at = at * 26 + ord(ch) - 64
             cells += [""] * (at - 1 - len(cells))
             kind, v = c.get("t"), next((x.text or "" for x in c if _local(x.tag) == "v"), "")
-            cells.append(shared[int(v)] if kind == "s" else "".join(t.text or "" for t in c.iter() if _local(t.tag) == "t") if kind == "inlineStr" else v)
+            text = shared[int(v)] if kind == "s" else "".join(t.text or "" for t in c.iter() if _local(t.tag) == "t") if kind == "inlineStr" else None
+            cells.append(_cell(kind, v, int(c.get("s", 0)) in dated, epoch) if text is None else text)
         out.append(cells)
     return out
 
@@ -217,16 +263,14 @@ def layouts(paragraphs: list[str], tables: list[list[list[str]]]) -> dict[str, l
     """Each layout's pairs: tables' last two columns, [N] blocks joined on N, alternating paragraphs."""
     out: dict[str, list[dict]] = {"table": [], "numbered": [], "alternating": []}
     for n, (rows, _) in enumerate(usable(tables), 1):
-        out["table"] += [{"key": f"t{n}:{i}" if n > 1 else str(i), "src_text": s, "tgt_text": x} for i, s, x in rows if s and x]
-    blocks: list[dict[int, str]] = []
-    for p in paragraphs:
-        if m := _NUMBERED.match(p):
-            n = int(m[1])
-            if not blocks or n == 1 and blocks[-1]:
-                blocks.append({})
-            blocks[-1][n] = m[2].strip()
-    if len(blocks) == 2:
-        out["numbered"] = [{"key": str(n), "src_text": blocks[0][n], "tgt_text": blocks[1][n]} for n in blocks[0] if n in blocks[1]]
+        for i, s, x in rows:
+            out["table"] += _pair(f"t{n}:{i}" if n > 1 else str(i), s, x)
+    numbers = [(int(m[1]), m[2].strip()) for p in paragraphs if (m := _NUMBERED.match(p))]
+    # the second language begins where 1 comes again, after the first number
+    if second := next((i for i, (n, _) in enumerate(numbers) if i and n == 1), 0):
+        s, t = dict(numbers[:second]), dict(numbers[second:])
+        out["numbered"] = [{"key": str(n), "src_text": s[n], "tgt_text": t[n]} for n in sorted(s.keys() & t.keys())]
+        out["numbered"] += [{WARNING: "number without a partner", "place": str(n)} for n in sorted(s.keys() ^ t.keys())]
     filled = [p for p in paragraphs if p]
     if filled and len(filled) % 2 == 0:
         out["alternating"] = [{"key": str(i // 2 + 1), "src_text": filled[i], "tgt_text": filled[i + 1]} for i in range(0, len(filled), 2)]
@@ -239,7 +283,7 @@ def docx_pairs(data: bytes, layout: str = "auto") -> Rows:
     if layout == "auto":
         scores = confidences(*parts)
         layout = max(scores, key=scores.get)
-    if not found[layout]:
+    if not any(WARNING not in r for r in found[layout]):
         raise ValueError(f"no pairs in the layout {layout}")
     yield from found[layout]
 
@@ -294,7 +338,9 @@ def glossary_rows(rows: list[list[str]], src_lang: str, tgt_lang: str) -> Rows:
     if at["src_term"] is None or at["tgt_term"] is None:
         raise ValueError("no columns for source and target terms")
     get = lambda r, c: (r[at[c]] or "").strip() if at[c] is not None and at[c] < len(r) else ""
-    for r in rows[1:]:
+    for i, r in enumerate(rows[1:], 2):
+        if get(r, "status") and not _entry(get(r, "status"))["status_declared"]:
+            yield {WARNING: "unknown status", "place": str(i)}
         if get(r, "src_term") or get(r, "tgt_term"):
             yield {"src_lang": src_lang, "tgt_lang": tgt_lang, "src_term": get(r, "src_term"), "tgt_term": get(r, "tgt_term"), "domain": get(r, "domain") or None, "note": get(r, "note") or None, **_entry(get(r, "status"))}
 
@@ -319,70 +365,113 @@ def tbx(data: bytes, src_lang: str, tgt_lang: str) -> Rows:
             return ""
 
         status = first([t[1], s[1]], "termNote", "administrativeStatus")
+        if status and not _entry(status)["status_declared"]:
+            yield {WARNING: "unknown status", "place": first([s[1]], "term")}
         yield {"src_lang": src_lang, "tgt_lang": tgt_lang, "src_term": first([s[1]], "term"), "tgt_term": first([t[1]], "term"), "note": first([t[1], s[1]], "note") or None, "domain": first([t[1], s[1], t[0], s[0], entry], "descrip", "subjectField") or None, **_entry(status)}
 
 
 # reading
 
 UNITS: dict[str, Callable] = {"tmx": tmx, "sdltm": sdltm}
-PARAGRAPHS: dict[str, Callable] = {"csv": csv_pairs, "tsv": csv_pairs, "xlsx": xlsx_pairs, "docx": docx_pairs}
+PARAGRAPHS: dict[str, Callable] = {"csv": csv_pairs, "tsv": csv_pairs, "xlsx": xlsx_pairs, "xlsm": xlsx_pairs, "docx": docx_pairs}
 
 
-def _read(spark: SparkSession, paths: str | list[str], parsers: dict[str, Callable], schema, order: str, options: dict, errors: str) -> DataFrame:
+def register(kind: str, parser: Callable, units: bool = False) -> None:
+    """Adds a reader of files by their extension: parser(content, **options) gives rows as dicts, of units
+    or of paragraph pairs."""
+    if not callable(parser) or not re.fullmatch(r"[a-z0-9]+", kind):
+        raise ValueError("a reader is a function, and a kind the small letters of an extension")
+    (UNITS if units else PARAGRAPHS)[kind] = parser
+
+
+def _files(spark: SparkSession, paths: str | list[str], kinds) -> DataFrame:
     paths = [paths] if isinstance(paths, str) else paths
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "content")
-    kind = F.lower(F.element_at(F.split("path", r"\."), -1))
-    names = sorted(r.path for r in files.select("path").filter(~F.col("path").rlike(r"/[._][^/]*")).filter(kind.isin(*parsers)).collect())  # names only
-    if not names:
-        raise ValueError(f"no files of the kinds {', '.join(sorted(parsers))}")
-    place = spark.createDataFrame(list(zip(names, range(len(names)))), "path string, file_ord int")
-    d = parsed(files.join(F.broadcast(place), "path", "left_semi"), parsers, schema, order, options, errors)
-    d = d.drop("file_ord").join(F.broadcast(place), "path")  # a row a file
+    return files.filter(~F.col("path").rlike(r"/[._][^/]*") & F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*kinds))
+
+
+def _read(spark: SparkSession, paths: str | list[str], parsers: dict[str, Callable], schema, order: str, options: dict, errors: str) -> DataFrame:
+    d = parsed(_files(spark, paths, parsers), parsers, schema, order, options, errors)
+    names = d.sparkSession.createDataFrame(_ordered(_files(spark, paths, parsers)), "path string, file_ord int")
+    d = d.drop("file_ord").join(names, "path").filter(F.col(WARNING).isNull())
     return d.select("error", *schema.fieldNames()) if errors == "report" else d.select(*schema.fieldNames())
 
 
-def parsed(files: DataFrame, parsers: dict[str, Callable], schema, order: str, options: dict, errors: str) -> DataFrame:
-    """(path, error, *schema) of the rows in files (path, content), of a batch or a stream."""
-    fields = ["path", "error", *schema.fieldNames()]
-    wide = "path string, error string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
+def _ordered(files: DataFrame) -> list[tuple[str, int]]:
+    """Names, which a file system's listing brings to the driver anyhow, and their places: by the names of
+    directories from the top, a directory's own files by theirs."""
+    names = sorted((r.path for r in files.select("path").toLocalIterator()), key=lambda p: p.split("/"))
+    if not names:
+        raise ValueError("no files of a kind that can be read")
+    return [(p, i) for i, p in enumerate(names)]
+
+
+def parsed(files: DataFrame, parsers: dict[str, Callable], schema, order: str, options: dict, errors: str = "fail") -> DataFrame:
+    """(path, error, warning, *schema) of the rows in files (path, content), of a batch or a stream; the
+    place of a warning is its row's first text column."""
+    fields = ["path", "error", WARNING, "place", *schema.fieldNames()]
+    wide = "path string, error string, warning string, place string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = lambda rows: pd.DataFrame(rows, columns=fields).astype(object)
         for b in batches:
             for path, data in zip(b["path"], b["content"]):
+                rows, n = [], 0
                 try:
-                    rows = [dict.fromkeys(fields) | r | {order: i, "path": path} for i, r in enumerate(parsers[path.rsplit(".", 1)[-1].lower()](bytes(data), **options))]
+                    for r in parsers[path.rsplit(".", 1)[-1].lower()](bytes(data), **options):
+                        rows.append(dict.fromkeys(fields) | r | {"path": path} | ({} if WARNING in r else {order: n}))
+                        n += WARNING not in r
+                        if len(rows) == PIECE and errors != "report":  # else a later error takes the file's rows back
+                            yield frame(rows)
+                            rows = []
                 except Exception as e:
                     if errors != "report":
                         raise ValueError(f"{path}: {e}") from e
                     rows = [dict.fromkeys(fields) | {"path": path, "error": f"{type(e).__name__}: {e}"}]
-                yield pd.DataFrame(rows, columns=fields)
+                if rows:
+                    yield frame(rows)
 
     d = files.select("path", "content").mapInPandas(run, wide)
     return d.withColumn("source_file", F.coalesce("source_file", "path")) if "source_file" in schema.fieldNames() else d
 
 
+def warnings(spark: SparkSession, paths: str | list[str], src_lang: str = "und", tgt_lang: str = "und", glossary: bool = False, **options) -> DataFrame:
+    """(path, warning, place): rows with one side, numbers without a partner, unknown statuses."""
+    parsers, schema, order = (_glossary_parsers(), GLOSSARY, "entry_ord") if glossary else (PARAGRAPHS, PARAGRAPH, "para_ord")
+    options |= {"src_lang": src_lang, "tgt_lang": tgt_lang} if glossary else {}
+    d = parsed(_files(spark, paths, parsers), parsers, schema, order, options, "report")
+    return d.filter(F.col(WARNING).isNotNull()).select("path", WARNING, "place")
+
+
+def _glossary_parsers() -> dict[str, Callable]:
+    table = lambda data, **kw: glossary_rows(list(csv.reader(io.StringIO(decoded(data)), delimiter="\t" if "\t" in decoded(data)[:200] else ",")), **kw)
+    sheet = lambda data, **kw: glossary_rows(sheet_rows(data), **kw)
+    return {"csv": table, "tsv": table, "xlsx": sheet, "xlsm": sheet, "tbx": tbx}
+
+
 def read_units(spark: SparkSession, paths: str | list[str], errors: str = "fail", **options) -> DataFrame:
     """Units of translation memories (.tmx, .sdltm)."""
     return _read(spark, paths, UNITS, UNIT, "unit_ord", options, errors)
 
 
 def read_paragraphs(spark: SparkSession, paths: str | list[str], errors: str = "fail", **options) -> DataFrame:
-    """Paragraph pairs of bilingual documents (.csv, .tsv, .xlsx, .docx)."""
+    """Paragraph pairs of bilingual documents (.csv, .tsv, .xlsx, .xlsm, .docx)."""
     return _read(spark, paths, PARAGRAPHS, PARAGRAPH, "para_ord", options, errors)
 
 
 def read_glossary(spark: SparkSession, paths: str | list[str], src_lang: str, tgt_lang: str) -> DataFrame:
-    """Entries of glossaries (.csv, .tsv, .xlsx, .tbx)."""
-    table = lambda data, **kw: glossary_rows(list(csv.reader(io.StringIO(decoded(data)), delimiter="\t" if "\t" in decoded(data)[:200] else ",")), **kw)
-    parsers = {"csv": table, "tsv": table, "xlsx": lambda data, **kw: glossary_rows(sheet_rows(data), **kw), "tbx": tbx}
-    return _read(spark, paths, parsers, GLOSSARY, "entry_ord", {"src_lang": src_lang, "tgt_lang": tgt_lang}, "fail")
+    """Entries of glossaries (.csv, .tsv, .xlsx, .xlsm, .tbx)."""
+    return _read(spark, paths, _glossary_parsers(), GLOSSARY, "entry_ord", {"src_lang": src_lang, "tgt_lang": tgt_lang}, "fail")
 
 
 def preflight(spark: SparkSession, paths: str | list[str], src_lang: str | None = None, tgt_lang: str | None = None) -> DataFrame:
     """One row a document (.docx): scores of the layouts, merged cells, empty tables, issues; error where
     it can't be read."""
-    paths = [paths] if isinstance(paths, str) else paths
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.docx").load(paths).select("path", "content")
+    return inspect(_files(spark, paths, ["docx"]), src_lang, tgt_lang)
+
+
+def inspect(files: DataFrame, src_lang: str | None = None, tgt_lang: str | None = None) -> DataFrame:
+    """preflight of files (path, content)."""
     schema = "path string, error string, best_layout string, best_score double, table_score double, numbered_score double, alternating_score double, ambiguous boolean, merged_cells int, empty_tables int, issues array<string>"
     names = [c.split()[0] for c in schema.split(", ")]
 

@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from bitloom.schema import UNIT
-from bitloom.sources.files import UNITS, parsed
+from bitloom.sources.files import UNITS, WARNING, parsed
 
 
 def units(spark: SparkSession, folder: str, files_a_batch: int = 1000, **options) -> DataFrame:
     """(path, error, unit columns) of the memories in the folder, those to come included."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
     files = files.option("pathGlobFilter", "*.{" + ",".join(UNITS) + "}").option("maxFilesPerTrigger", files_a_batch).option("recursiveFileLookup", "true").load(folder)
-    return parsed(files, UNITS, UNIT, "unit_ord", options, "report")
+    return parsed(files, UNITS, UNIT, "unit_ord", options, "report").drop(WARNING, "place")
 
 
 def first_seen(stream: DataFrame) -> DataFrame:
