@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.operators import align, corpus, leverage, near_dup, qa, review, terms
+from bitloom.plans.lineage import numbered
 from bitloom.schema import BANDS, ISSUES
 from bitloom.sinks import files as sink
+from bitloom.sinks import reports
 from bitloom.sinks.tables import jsonl_rows, review_rows
 from bitloom.sources import files as source
 
@@ -57,28 +59,41 @@ def _kind(path: str) -> str:
     return os.path.splitext(path)[1].lower().lstrip(".")
 
 
+def _whole(spark: SparkSession, path: str) -> str:
+    """A path as Spark's readers name it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def read(spark: SparkSession, paths: list[str], src: str | None = None, tgt: str | None = None, rules: dict | None = None, options: dict | None = None) -> DataFrame:
     """Units of memories, and of bilingual documents after alignment, in the order of the paths; label
-    tells the file, ord the place in the whole."""
-    out = None
+    tells the file, ord the place in the whole. Files of a kind are read together."""
+    by_kind: dict[str, list[tuple[str, int, str]]] = {}
     for i, (path, label) in enumerate(zip(paths, labels(paths))):
+        kind = _kind(path)
         if "://" not in path and not os.path.exists(path):
             raise FileNotFoundError(f"no such file: {path}")
-        if _kind(path) in source.UNITS:
-            langs = {k: v for k, v in (("src_lang", src), ("tgt_lang", tgt)) if v} if _kind(path) == "tmx" else {}
-            d = source.read_units(spark, path, **langs)
-        elif _kind(path) in source.PARAGRAPHS:
-            if not src or not tgt:
-                raise ValueError(f"{path}: both languages are needed")
-            d = align.align(source.read_paragraphs(spark, path, **(options or {})), src, tgt, rules)
-            d = d.withColumn("unit_ord", F.col("para_ord") * (1 << 20) + F.col("unit_ord")).drop("para_ord")
-        else:
+        if kind not in source.UNITS and kind not in source.PARAGRAPHS:
             raise ValueError(f"{path}: not a kind of file that can be read")
-        d = d.withColumn("file_ord", F.lit(i)).withColumn("label", F.lit(label))
+        if kind not in source.UNITS and (not src or not tgt):
+            raise ValueError(f"{path}: both languages are needed")
+        by_kind.setdefault(kind, []).append((_whole(spark, path), i, label))
+    out = None
+    for kind, files in by_kind.items():
+        names = sorted({f[0] for f in files})
+        if kind in source.UNITS:
+            langs = {k: v for k, v in (("src_lang", src), ("tgt_lang", tgt)) if v} if kind == "tmx" else {}
+            d = source.read_units(spark, names, **langs)
+        else:
+            d = align.align(source.read_paragraphs(spark, names, **(options or {})), src, tgt, rules)
+        place = spark.createDataFrame([(p.split(":", 1)[-1].lstrip("/"), i, label) for p, i, label in files], "_path string, _ord int, label string")
+        d = d.withColumn("_path", F.regexp_replace("source_file", "^[a-zA-Z0-9+.-]*:/*", "")).drop("file_ord", "label").join(F.broadcast(place), "_path").drop("_path").withColumnRenamed("_ord", "file_ord")  # a row a file
         out = d if out is None else out.unionByName(d, allowMissingColumns=True)
     for c in ("created_at", "modified_at", "domain"):
         out = out if c in out.columns else out.withColumn(c, F.lit(None).cast("string"))
-    return out.withColumn("ord", F.col("file_ord").cast("long") * (1 << 42) + F.col("unit_ord"))
+    out = out if "para_ord" in out.columns else out.withColumn("para_ord", F.lit(0))
+    order = ["file_ord", "para_ord", "unit_ord"]
+    return numbered(out, [F.coalesce(F.col(c), F.lit(0)).cast("long") for c in order], "ord").withColumn("unit_ord", F.col("ord")).drop("para_ord")
 
 
 def write(units: DataFrame, path: str, order: list[str], src: str | None = None, tgt: str | None = None) -> int:
@@ -104,26 +119,35 @@ def _share(flagged: int, total: int) -> str:
     return f"{flagged} ({100 * flagged / max(total, 1):.1f}%)"
 
 
-def _report(args, title: str, lines: list[str], table: DataFrame) -> None:
+def _report(args, make) -> None:
     if args.report:
-        sink.write_report(title, lines, table, args.report)
+        sink.write_report(make(), args.report)
+
+
+def convert_file(spark, path: str, base: str, src: str | None = None, tgt: str | None = None, formats: tuple[str, ...] = ("sdltm", "tmx", "csv"), rules: dict | None = None, options: dict | None = None, check: bool = False, least: float = 0.0) -> dict:
+    """Reads a file, aligns it if it isn't a memory, and writes base.<format> for each format.
+
+    check: tables have the quality checks' columns; least: memories have units of that confidence and more.
+    Gives units, exported, length_ratio, and written: {path: units}."""
+    if any(os.path.abspath(f"{base}.{kind}") == os.path.abspath(path) for kind in formats):
+        raise ValueError(f"the input {path} would be overwritten; give --output")
+    units = read(spark, [path], src, tgt, rules, options)
+    ratio = qa.length_ratio(units).first()[0]
+    d = (qa.check(units, ratio) if check or least > 0 else units).persist()
+    good, written = qa.confident(d, least) if least > 0 else d, {}
+    for kind in formats:
+        written[f"{base}.{kind}"] = write(d if kind == "csv" else good, f"{base}.{kind}", ORDER, src, tgt)
+    return {"units": d.count(), "exported": good.count(), "length_ratio": ratio, "written": written}
 
 
 def convert(spark, a) -> int:
     rules = json.load(open(a.repair, encoding="utf-8")) if a.repair else None
     options = {"layout": a.layout} if _kind(a.input) == "docx" else {}
-    units = read(spark, [a.input], a.src, a.tgt, rules, options)
-    ratio = qa.length_ratio(units).first()[0]
-    d = qa.check(units, ratio) if a.qa or a.min_confidence > 0 else units
-    d = d.persist()
-    good = qa.confident(d, a.min_confidence) if a.min_confidence > 0 else d
     base = a.output or os.path.splitext(a.input)[0]
-    say(Units=d.count(), Exported=good.count(), LengthRatio=f"{ratio:.3f}")
-    for kind in a.formats.split(","):
-        if kind == _kind(a.input) and not a.output:
-            raise ValueError(f"the input would be overwritten by {base}.{kind}; give --output")
-        n = write(d if kind == "csv" else good, f"{base}.{kind}", ORDER, a.src, a.tgt)
-        print(f"Wrote {base}.{kind} ({n} units)")
+    got = convert_file(spark, a.input, base, a.src, a.tgt, tuple(a.formats.split(",")), rules, options, a.qa, a.min_confidence)
+    say(Units=got["units"], Exported=got["exported"], LengthRatio=f"{got['length_ratio']:.3f}")
+    for path, n in got["written"].items():
+        print(f"Wrote {path} ({n} units)")
     return 0
 
 
@@ -140,10 +164,10 @@ def near(spark, a) -> int:
     found = near_dup.clusters(units, a.threshold, a.side, a.min_cluster_size).persist()
     r = near_dup.summarize(found).first()
     say(Clusters=r.clusters, UnitsInClusters=f"{r.units} (of {units.count()} total)")
-    table = found.select("cluster_id", "cluster_size", "ord").join(units.select("ord", "src_text", "tgt_text", "source_file"), "ord").orderBy("cluster_id", "ord").drop("ord")
+    table = found.select("cluster_id", "cluster_size", "ord").join(units.select("ord", "src_text", "tgt_text", "source_file"), "ord").orderBy(F.desc("cluster_size"), "cluster_id", "ord").drop("ord")
     if a.export:
         sink.write_csv(table, a.export)
-    _report(a, "Near duplicates", [f"Clusters: {r.clusters}"], table)
+    _report(a, lambda: reports.of_near_duplicates(found))
     return 0
 
 
@@ -168,7 +192,7 @@ def compare(spark, a) -> int:
     table = corpus.conflict_table(units, names).orderBy("source")
     if a.export:
         sink.write_csv(table, a.export)
-    _report(a, "Conflicts", [], table)
+    _report(a, lambda: reports.of_comparison(units, names))
     return 2 if a.fail_on_conflicts and kinds.get("conflict") else 0
 
 
@@ -181,7 +205,7 @@ def stats(spark, a) -> int:
     table = corpus.by_domain(units).orderBy("pair", "domain")
     for d in table.collect():  # one row a pair and domain
         print(f"{d.pair} {d.domain}: {d.units}")
-    _report(a, "Statistics", [], table)
+    _report(a, lambda: reports.of_statistics(units))
     return 0
 
 
@@ -197,7 +221,7 @@ def check(spark, a) -> int:
         print(f"Semantic flagged={d.filter(F.size('semantic_issues') > 0).count()}")
     if a.export:
         write(d, a.export, ORDER)
-    _report(a, "Quality check", lines, qa.review(d, ORDER).select("src_text", "tgt_text", F.array_join("qa_issues", "; ").alias("issues")))
+    _report(a, lambda: reports.of_review(d, ORDER) if a.bilingual else reports.of_checks(d))
     return 2 if a.fail_on_issues and t.flagged else 0
 
 
@@ -210,15 +234,17 @@ def matches(spark, a) -> int:
             print(f"{b.band}: segments={b.segments} words={b.words}")
     if a.export:
         write(d, a.export, ORDER)
+    _report(a, lambda: reports.of_matches(d))
     return 0
 
 
 def quote(spark, a) -> int:
     card, names = weights(a.weights), labels(a.inputs)
-    got = leverage.quote(read(spark, [a.tm]), read(spark, a.inputs, a.src, a.tgt), "label", card).collect()  # seven rows a file
+    got = leverage.quote(read(spark, [a.tm]), read(spark, a.inputs, a.src, a.tgt), "label", card).persist()
+    each = got.collect()  # seven rows a file
     rows = []
     for name in [*names, None]:
-        mine = {r.band: r for r in got if r.file == name}
+        mine = {r.band: r for r in each if r.file == name}
         sums = [sum(getattr(r, c) for r in mine.values()) for c in ("segments", "words", "weighted")]
         rows.append((name or "TOTAL", sums[0], sums[1], round(float(sums[2]), 1), *(mine[b].segments if b in mine else 0 for b in BANDS)))
     say(Files=len(names), Segments=rows[-1][1], Words=rows[-1][2], WeightedWords=f"{rows[-1][3]:.1f}")
@@ -227,7 +253,7 @@ def quote(spark, a) -> int:
     table = spark.createDataFrame(rows, "file string, segments long, words long, weighted_words double, " + ", ".join(f"`{b}` long" for b in BANDS)).coalesce(1)
     if a.export:
         sink.write_csv(table, a.export)
-    _report(a, "Quote", [], table)
+    _report(a, lambda: reports.of_quote(got, names))
     return 0
 
 
@@ -242,7 +268,7 @@ def term_check(spark, a) -> int:
             print(f"{status}: {by[status]}")
     if a.export:
         write(d, a.export, ORDER)
-    _report(a, "Terms", [], terms.hit_table(d))
+    _report(a, lambda: reports.of_terms(d))
     return 2 if a.fail_on_issues and flagged else 0
 
 
@@ -272,9 +298,24 @@ def alignment(spark, a) -> int:
         print(f"{m.align_move}: {m.units}")
     if a.export:
         write(d, a.export, ORDER)
+    _report(a, lambda: reports.of_alignment(d))
     return 2 if a.fail_on_issues and (r.gaps or r.flagged) else 0
 
 
+def batch(spark, a) -> int:
+    """Alignment checks of many files; one that can't be read doesn't stop the others."""
+    rows = source.read_paragraphs(spark, a.inputs, errors="report").persist()
+    failed = rows.filter("error is not null").select(F.col("source_file").alias("path"), "error")
+    checked = qa.check(align.align(rows.filter("error is null").drop("error"), a.src, a.tgt), within=("source_file",))
+    summary = align.batch_summary(checked, failed, source.listed(spark, a.inputs))
+    summary = summary.persist()
+    r = align.batch_tallies(summary).first()
+    say(Checked=r.checked, Failed=r.failed, NeedsReview=r.needs_review)
+    if a.export:
+        sink.write_csv(summary, a.export, ["file"])
+    return 2 if a.fail_on_issues and (r.failed or r.needs_review) else 0
+
+
 def preflight(spark, a) -> int:
     bad = 0
     for r in source.preflight(spark, a.inputs, a.src, a.tgt).orderBy("path").toLocalIterator():
@@ -313,8 +354,9 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--output", required=True), c.add_argument("--strategy", default="keep-all", choices=["keep-all", "prefer-first", "prefer-last", "prefer-newer"])
     command("compare", compare, "inputs", out="--export --report --fail-on-conflicts")
     command("stats", stats, "inputs", out="--report")
-    command("qa", check, "input", out="--export --report --semantic-review --fail-on-issues")
-    c = command("leverage", matches, "input", langs=False, out="--export")
+    c = command("qa", check, "input", out="--export --report --semantic-review --fail-on-issues")
+    c.add_argument("--bilingual", action="store_true", help="the report shows the flagged units")
+    c = command("leverage", matches, "input", langs=False, out="--export --report")
     c.add_argument("--tm", required=True), c.add_argument("--min-match", type=float, default=50)
     c = command("quote", quote, "inputs", langs=False, out="--export --report --weights")
     c.add_argument("--tm", required=True)
@@ -326,7 +368,8 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument(flag, type=int, default=n)
     c = command("term-extract-promote", promote, "input", langs=True)
     c.add_argument("--output", required=True)
-    command("align", alignment, "input", langs=True, out="--export --fail-on-issues")
+    command("align", alignment, "input", langs=True, out="--export --report --fail-on-issues")
+    command("align-batch", batch, "inputs", langs=True, out="--export --fail-on-issues")
     command("preflight", preflight, "inputs", langs=False, out="--fail-on-issues")
     return p
 

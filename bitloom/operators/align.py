@@ -160,12 +160,17 @@ def summarize(checked: DataFrame) -> DataFrame:
     return checked.agg(F.count("*").alias("total"), F.count_if("align_gap").alias("gaps"), F.count_if(F.size("qa_issues") > 0).alias("flagged"))
 
 
-def batch_summary(checked: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+def batch_summary(checked: DataFrame, failed: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
     """(file, units, gap_count, qa_flagged, status) of each file: ok, review, or what went wrong.
 
-    failed: (path, error) of files that can't be read; they have no counts."""
+    failed: (path, error) of files that can't be read; they have no counts. files: (path) of all files;
+    those that nothing was read from need review."""
     bad = (F.col("gap_count") > 0) | (F.col("qa_flagged") > 0) | (F.col("units") == 0)
     d = checked.groupBy(F.col("source_file").alias("file")).agg(F.count("*").alias("units"), F.count_if("align_gap").alias("gap_count"), F.count_if(F.size("qa_issues") > 0).alias("qa_flagged"))
+    if files is not None:
+        known = files.select(F.col("path").alias("file"))
+        known = known if failed is None else known.join(failed.select(F.col("path").alias("file")), "file", "left_anti")
+        d = known.join(d, "file", "left").na.fill(0, ["units", "gap_count", "qa_flagged"])
     d = d.withColumn("status", F.when(bad, "review").otherwise("ok"))
     blank = F.lit(None).cast("long")
     return d if failed is None else d.unionByName(failed.select(F.col("path").alias("file"), blank.alias("units"), blank.alias("gap_count"), blank.alias("qa_flagged"), F.col("error").alias("status")))

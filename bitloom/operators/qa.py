@@ -9,44 +9,51 @@ from bitloom.functions import text as X
 from bitloom.schema import ISSUES
 
 
-def length_ratio(units: DataFrame) -> DataFrame:
-    """One row: length_ratio, source characters per target character without white space (1 if empty)."""
+def length_ratio(units: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """One row, or one for each value of within: length_ratio, source characters per target character
+    without white space (1 if empty)."""
     s, t = F.sum(X.nolen(F.col("src_text"))), F.sum(X.nolen(F.col("tgt_text")))
-    return units.agg(F.coalesce(s / F.greatest(t, F.lit(1)), F.lit(1.0)).alias("length_ratio"))
+    return units.groupBy(*within).agg(F.coalesce(s / F.greatest(t, F.lit(1)), F.lit(1.0)).alias("length_ratio"))
 
 
-def _conflicts(units: DataFrame, key: str, other: str, flag: str) -> DataFrame:
+def _conflicts(units: DataFrame, key: str, other: str, flag: str, within: tuple[str, ...]) -> DataFrame:
     """Adds flag: key stands beside several values of other.
 
     Smallest and largest value tell that; they are aggregated by key and joined back, so that a very common
     text is a row of an aggregate and a key of a join that adaptive execution may split. Only keys in
     conflict come to the join; blank ones take no part."""
     full = units.filter((F.col(key) != "") & (F.col(other) != ""))
-    low = full.groupBy(F.col(key).alias("_k")).agg(F.min(other).alias("_l"), F.max(other).alias("_h")).filter("_l != _h").select("_k", F.lit(True).alias(flag))
-    return units.join(low, F.col(key) == F.col("_k"), "left").drop("_k").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    own = [F.col(w).alias(f"_k{i}") for i, w in enumerate(within)]
+    low = full.groupBy(F.col(key).alias("_k"), *own).agg(F.min(other).alias("_l"), F.max(other).alias("_h")).filter("_l != _h").drop("_l", "_h").withColumn(flag, F.lit(True))
+    same = [F.col(key) == F.col("_k"), *(F.col(w).eqNullSafe(F.col(f"_k{i}")) for i, w in enumerate(within))]
+    return units.join(low, same, "left").drop("_k", *(f"_k{i}" for i in range(len(within)))).withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
 _SIDES = "struct<src:array<string>,tgt:array<string>>"
 
 
-def check(units: DataFrame, ratio: float | None = None, numbers: bool = True, codes: tuple[str, ...] = ISSUES, details: bool = False) -> DataFrame:
+def check(units: DataFrame, ratio: float | None = None, numbers: bool = True, codes: tuple[str, ...] = ISSUES, details: bool = False, within: tuple[str, ...] = ()) -> DataFrame:
     """Adds qa_issues (array in ISSUES order), qa_confidence and, with details, qa_details: for each check
     that tells more, what differs on the two sides (null where it found nothing).
 
     ratio: expected source to target length; None takes the corpus's own. codes: the checks to run; only
-    what they need is worked out. numbers: False leaves out the one check that runs Python."""
+    what they need is worked out. numbers: False leaves out the one check that runs Python. within: columns,
+    e.g. the file, whose values are corpora of their own: conflicts and the ratio don't reach over them."""
     codes = tuple(c for c in ISSUES if c in codes and (numbers or c != "NUMBER_MISMATCH"))
     if ratio is not None or "LENGTH_RATIO_OUTLIER" not in codes:
         units = units.withColumn("_ratio", F.lit(float(ratio or 1.0)))
+    elif within:
+        each = length_ratio(units, within).select(*(F.col(w).alias(f"_k{i}") for i, w in enumerate(within)), F.col("length_ratio").alias("_ratio"))
+        units = units.join(each, [F.col(w).eqNullSafe(F.col(f"_k{i}")) for i, w in enumerate(within)]).drop(*(f"_k{i}" for i in range(len(within))))
     else:
         units = units.crossJoin(F.broadcast(length_ratio(units).withColumnRenamed("length_ratio", "_ratio")))  # one row
     raw_s, raw_t = F.coalesce(F.col("src_text"), F.lit("")), F.coalesce(F.col("tgt_text"), F.lit(""))
     d = units.withColumn("_s", X.py_strip(raw_s)).withColumn("_t", X.py_strip(raw_t))
     s, t = F.col("_s"), F.col("_t")
     if "SOURCE_CONFLICT" in codes:
-        d = _conflicts(d, "_s", "_t", "_sc")
+        d = _conflicts(d, "_s", "_t", "_sc", within)
     if "TARGET_CONFLICT" in codes:
-        d = _conflicts(d, "_t", "_s", "_tc")
+        d = _conflicts(d, "_t", "_s", "_tc", within)
     both = (s != "") & (t != "")
     told = {"PLACEHOLDER_MISMATCH": X.placeholders, "URL_MISMATCH": X.urls, "PUNCTUATION_UNBALANCED": X.unbalanced, "WIDTH_MIXING": X.width_mixed}
     for c, find in told.items():

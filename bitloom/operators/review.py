@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +13,16 @@ ISSUE = "array<struct<type:string,description:string,span_hint:string>>"
 
 
 def load(spec: str):
-    """A reviewer from module:attribute; a class or factory is called."""
+    """A reviewer from module:attribute, module.attribute or module:call(...). A class is called without
+    arguments; a call is evaluated among the module's names alone."""
     module, _, name = spec.partition(":") if ":" in spec else spec.rpartition(".")
-    found = getattr(importlib.import_module(module), name)
+    try:
+        found = importlib.import_module(module)
+        found = eval(name, {"__builtins__": {}}, vars(found)) if name.endswith(")") else getattr(found, name)  # the user's own module
+    except (ImportError, ValueError) as e:
+        raise ValueError(f"can't import the module {module!r}: {e}") from e
+    except Exception as e:
+        raise ValueError(f"{name!r} can't be had from {module!r}: {e}") from e
     found = found() if isinstance(found, type) else found
     if not callable(getattr(found, "review", found)):
         raise TypeError(f"{spec} has no review method and isn't callable")
@@ -23,15 +30,18 @@ def load(spec: str):
 
 
 def attach(units: DataFrame, reviewer: Callable) -> DataFrame:
-    """units with semantic_issues: what reviewer(unit as dict) gives, a list of dicts; errors propagate."""
+    """units with semantic_issues: what reviewer(unit as dict) gives, a list of dicts; errors propagate.
+    Values of a unit are Python's, None where null."""
     call = getattr(reviewer, "review", reviewer)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in units.schema), f"semantic_issues {ISSUE}"])
+    kind = pa.list_(pa.struct([(c, pa.string()) for c in ("type", "description", "span_hint")]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            yield p.assign(semantic_issues=[[{"type": i["type"], "description": i["description"], "span_hint": i.get("span_hint")} for i in call(u)] for u in p.to_dict("records")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [[{"type": i["type"], "description": i["description"], "span_hint": i.get("span_hint")} for i in call(u)] for u in b.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], names=[*b.schema.names, "semantic_issues"])
 
-    return units.mapInPandas(run, schema)
+    return units.mapInArrow(run, schema)
 
 
 def summary(reviewed: DataFrame) -> DataFrame:

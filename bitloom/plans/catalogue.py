@@ -284,14 +284,30 @@ def cjk_ngram_freq(spark, sf_dir):
     return terms.frequencies(V.parts(spark, sf_dir), True, "src", 3).select("text", "length", "freq")
 
 
-@_query()
+#: Candidates of up to two words: none is longer than two, so a word goes if a pair of words that holds it is
+#: better placed and about as frequent.
+_CANDIDATES = """{head}, t AS (SELECT ord, regexp_extract_all({text}, '[\\p{{L}}]+(?:[''’][\\p{{L}}]+)*') AS t FROM {view} {where}),
+n AS (SELECT array_to_string(t[i : i + k - 1], ' ') AS text, k, ord, i FROM (SELECT t, k, ord, unnest(range(1, len(t) - k + 2)) AS i FROM t, range(1, 3) r(k))),
+f AS (SELECT text, k, count(*) AS freq, min((ord, i)) AS first, count(*) * (CASE k WHEN 1 THEN 1.0 ELSE log2(3.0) END) AS score FROM n GROUP BY text, k),
+w AS (SELECT *, (-score, -freq, -k, first) AS place FROM f WHERE freq >= {least} AND string_split(text, ' ')[1] NOT IN ({stop}) AND string_split(text, ' ')[-1] NOT IN ({stop})),
+gone AS (SELECT DISTINCT a.text FROM w a JOIN (SELECT *, unnest(list_distinct(string_split(text, ' '))) AS part FROM w WHERE k = 2) b ON a.k = 1 AND a.text = b.part WHERE b.place < a.place AND a.freq <= 1.2 * b.freq),
+c AS (SELECT text, k, freq, place, row_number() OVER (ORDER BY place) - 1 AS rank FROM w WHERE text NOT IN (SELECT text FROM gone))"""
+_STOP = ", ".join(f"'{w}'" for w in sorted(terms.EN_STOPWORDS))
+
+
+@_query(_CANDIDATES.format(head=f"WITH {V.SEGMENTS}", text="src_text", view="segments", where="WHERE src_lang = 'en'", least=5, stop=_STOP) + " SELECT rank::INT AS rank, text, freq::BIGINT AS freq, k::INT AS length FROM c")
 def term_candidates(spark, sf_dir):
-    return terms.candidates(V.parts(spark, sf_dir), "en", "src", 5).drop("score")
+    return terms.candidates(V.segments(spark, sf_dir), "en", "src", 5, 1, 2).drop("score")
+
+
+@_query(_CANDIDATES.format(head=f"WITH {V.SEGMENTS}", text="src_text", view="segments", where="WHERE src_lang = 'en'", least=5, stop=_STOP) + " SELECT rank::INT AS rank, text, freq::BIGINT AS freq, k::INT AS length FROM c WHERE rank < 100")
+def term_candidates_top(spark, sf_dir):
+    return terms.candidates(V.segments(spark, sf_dir), "en", "src", 5, 1, 2, None, 100).drop("score")
 
 
 @_query()
 def term_pairs(spark, sf_dir):
-    return terms.pairs(V.parts(spark, sf_dir), "en", "en", 5, 2, 20, 2, 1.1)
+    return terms.pairs(V.segments(spark, sf_dir), "en", "en", 5, 2, 20, 2, 1.1)
 
 
 @_query(_TERM + " SELECT st AS src_term, tt AS tgt_term, status, count(*)::BIGINT AS hits FROM h GROUP BY ALL")

@@ -8,7 +8,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _written: dict[str, SparkSession] = {}
 
@@ -36,6 +37,18 @@ def kept(df: DataFrame) -> DataFrame:
     return out
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with name (long), the number of each row in the order, from 0: ranges of the order are sorted
+    apart, and what is summed over them is one row a range. Rows that are equal in it come in any order."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = F.struct(*(c.alias(f"k{i}") for i, c in enumerate(order)))
+    d = kept(df.withColumn("_order", keys).repartitionByRange(n, "_order").withColumn("_part", F.spark_partition_id()))
+    sums = d.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    d = d.join(F.broadcast(sums.drop("count")), "_part")  # a row a range
+    own = F.row_number().over(Window.partitionBy("_part").orderBy("_order"))
+    return d.withColumn(name, (F.col("_before") + own - 1).cast("long")).drop("_order", "_part", "_before")
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes the files of tables from kept() that nothing reads any more."""
     for t in tables:

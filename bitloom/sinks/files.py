@@ -202,14 +202,6 @@ def write_tbx(entries: DataFrame, path: str) -> None:
     _put(path, lines())
 
 
-def write_html(title: str, lines: list[str], table: DataFrame, path: str, limit: int = 500) -> None:
-    """A report: summary lines and a table of at most limit rows."""
-    rows = table.limit(limit).collect()
-    cell = lambda tag, x: f"<{tag}>{html.escape('' if x is None else str(x))}</{tag}>"
-    body = "".join(f"<tr>{''.join(cell('td', x) for x in r)}</tr>\n" for r in rows)
-    _put(path, [f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>\n', *(cell("p", x) + "\n" for x in lines), f"<table><tr>{''.join(cell('th', c) for c in table.columns)}</tr>\n{body}</table></body></html>\n"])
-
-
 def report_kind(path: str) -> str:
     kind = os.path.splitext(path)[1].lower()
     if kind not in (".html", ".htm", ".pdf"):
@@ -217,9 +209,17 @@ def report_kind(path: str) -> str:
     return kind
 
 
-def write_report(title: str, lines: list[str], table: DataFrame, path: str, limit: int = 500) -> None:
-    """HTML or PDF, by the path's extension."""
-    if report_kind(path) != ".pdf":
-        write_html(title, lines, table, path, limit)
-    else:
-        pdf.put(title, lines, table.columns, [tuple(r) for r in table.limit(limit).collect()], path)
+def write_report(report, path: str) -> None:
+    """A reports.Report as HTML or PDF, by the path's extension."""
+    if report_kind(path) == ".pdf":
+        if report.marked:
+            raise ValueError("this report is HTML only")
+        with placed(path) as part:
+            pdf.put(report.title, report.lines, report.columns, report.rows, part)
+        return
+    text = lambda x: html.escape("" if x is None else str(x))
+    cell = lambda tag, x: f"<{tag}>{x}</{tag}>"
+    body = "".join(f"<tr>{''.join(cell('td', x if report.marked else text(x)) for x in r)}</tr>\n" for r in report.rows)
+    head = f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{text(report.title)}</title><style>.hl{{background:#ffe08a}}</style></head><body><h1>{text(report.title)}</h1>\n'
+    table = f"<table><tr>{''.join(cell('th', text(c)) for c in report.columns)}</tr>\n{body}</table>" if report.rows else ""
+    _put(path, [head, *(cell("p", text(x)) + "\n" for x in report.lines), table, "</body></html>\n"])

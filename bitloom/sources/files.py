@@ -397,6 +397,11 @@ def _read(spark: SparkSession, paths: str | list[str], parsers: dict[str, Callab
     return d.select("error", *schema.fieldNames()) if errors == "report" else d.select(*schema.fieldNames())
 
 
+def listed(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path) of the bilingual documents at the paths."""
+    return _files(spark, paths, PARAGRAPHS).select("path")
+
+
 def _ordered(files: DataFrame) -> list[tuple[str, int]]:
     """Names, which a file system's listing brings to the driver anyhow, and their places: by the names of
     directories from the top, a directory's own files by theirs."""

@@ -2,13 +2,14 @@
 
 import difflib
 import io
+import math
 import random
 import zipfile
 
 import pytest
 
 from bitloom.functions import text as X
-from bitloom.operators import align, corpus, leverage, near_dup, qa, review, terms
+from bitloom.operators import align, corpus, edits, leverage, near_dup, qa, review, terms
 from bitloom.sinks import files as out
 from bitloom.sources import files as src
 
@@ -50,24 +51,160 @@ def test_leverage(spark):
     assert got == [("exact", 100.0), ("95-99" if want >= 95 else "85-94", want), ("repetition", 100.0), ("no_match", 0.0)]
 
 
-def test_near_duplicates_equal_brute_force(spark):
-    rnd = random.Random(1234)
-    words = "the a cat dog sat ran on in mat house big small red blue old new man woman child tree car road sky".split()
-    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(4, 9))) for _ in range(80)]
+def _near(texts, threshold):
+    """Clusters by trying all pairs, the shorter text first; of equal lengths either way counts."""
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in enumerate(texts):
+        for j in range(i):
+            t = texts[j]
+            ways = [(t, s), (s, t)] if len(s) == len(t) else [min((s, t), (t, s), key=lambda p: len(p[0]))]
+            order = ways[:1] if len(s) == len(t) else ways  # the earlier unit comes first
+            if any(difflib.SequenceMatcher(None, *p).ratio() >= threshold for p in order):
+                root[find(i)] = find(j)
+    groups = {}
+    for i in range(len(texts)):
+        groups.setdefault(find(i), []).append(i)
+    return sorted(g for g in groups.values() if len(g) > 1)
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.85])
+def test_near_duplicates_by_all_pairs(spark, threshold):
+    """Lengths at the bounds of what a threshold allows, ties, and texts in which difflib leaves out what is frequent."""
+    rnd, texts = random.Random(threshold), []
+    for n in (1, 3, 17, 20, 40):
+        base = "".join(rnd.choice("abcdefgh ") for _ in range(n)).strip() or "x"
+        texts += [base, base + "q" * round(n * (2 - threshold) / threshold - n), base[:-1] + "z", base[::-1]]
+    for _ in range(4):  # over 200 characters
+        base = " ".join(rnd.choice(("lorem", "ipsum", "dolor", "sit")) for _ in range(60))
+        texts += [base, base.replace("sit", "amet"), base[: len(base) // 2], base[5:] + base[:5]]
+    for _ in range(120):
+        texts.append("".join(rnd.choice("ab ") for _ in range(rnd.randint(2, 12))).strip() or "y")
+    texts = list(dict.fromkeys(X.fold(t) for t in texts))
     got = {}
-    for r in near_dup.clusters(_units(spark, [(t, "x", None) for t in texts]), 0.7).collect():
-        got.setdefault(r.cluster_id, set()).add(r.ord)
-    root = list(range(80))
-    find = lambda i: i if root[i] == i else find(root[i])
-    order = sorted(range(80), key=lambda i: len(texts[i]))
-    for x, i in enumerate(order):
-        for j in order[x + 1 :]:
-            if difflib.SequenceMatcher(None, texts[i], texts[j]).ratio() >= 0.7:
-                root[find(j)] = find(i)
-    want = {}
-    for i in range(80):
-        want.setdefault(find(i), set()).add(i)
-    assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+    for r in near_dup.clusters(_units(spark, [(t, "x", None) for t in texts]), threshold).collect():
+        got.setdefault(r.cluster_id, []).append(r.ord)
+    assert sorted(sorted(g) for g in got.values()) == _near(texts, threshold)
+
+
+def test_numbered_documents_with_restarts():
+    numbers = [f"[{n}] {t}" for n, t in ((2, "before"), (1, "a"), (2, "b"), (1, "甲"), (2, "乙"), (1, "x"))]
+    got = src.layouts(numbers[1:], [])["numbered"]
+    assert [(p["key"], p["src_text"], p["tgt_text"]) for p in got if "key" in p] == [("1", "a", "x"), ("2", "b", "乙")]
+    got = src.layouts(numbers, [])["numbered"]
+    assert [(p.get("key"), p.get("place")) for p in got] == [("2", None), (None, "1")]
+
+
+def test_workbook_values():
+    def book(cells, styles=""):
+        out_file = io.BytesIO()
+        with zipfile.ZipFile(out_file, "w") as z:
+            z.writestr("xl/workbook.xml", '<workbook xmlns:r="r"><sheets><sheet name="S" r:id="rId1"/></sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+            z.writestr("xl/styles.xml", '<styleSheet><numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm"/><numFmt numFmtId="165" formatCode="0.0&quot;day&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/><xf numFmtId="21"/></cellXfs></styleSheet>')
+            z.writestr("xl/worksheets/sheet1.xml", f"<worksheet><sheetData><row>{cells}</row></sheetData></worksheet>")
+        return src.sheet_rows(out_file.getvalue())[0]
+
+    cells = '<c s="1"><v>45296</v></c><c s="2"><v>45296.25</v></c><c s="3"><v>2.5</v></c><c s="4"><v>0.5</v></c><c t="b"><v>1</v></c><c t="b"><v>0</v></c><c><v>7</v></c><c><v>7.0</v></c><c t="str"><v>x</v></c>'
+    assert book(cells) == ["2024-01-05 00:00:00", "2024-01-05 06:00:00", "2.5", "12:00:00", "True", "False", "7", "7.0", "x"]
+
+
+def test_registered_reader(spark, tmp_path):
+    src.register("lines", lambda data: ({"key": str(i), "src_text": x, "tgt_text": x.upper()} for i, x in enumerate(data.decode().split())))
+    try:
+        (tmp_path / "a.lines").write_text("one two")
+        assert [(r.src_text, r.tgt_text) for r in src.read_paragraphs(spark, str(tmp_path)).orderBy("para_ord").collect()] == [("one", "ONE"), ("two", "TWO")]
+    finally:
+        src.PARAGRAPHS.pop("lines")
+    with pytest.raises(ValueError):
+        src.register("no.good", None)
+
+
+def test_reader_warnings(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("EN,ZH\nOne.,\nTwo.,二。\n", encoding="utf-8")
+    got = [(r.path.rsplit("/", 1)[1], r.warning, r.place) for r in src.warnings(spark, str(tmp_path)).collect()]
+    assert got == [("a.csv", "one side only", "2")]
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g" / "g.csv").write_text("source,target,status\nOK,确定,odd\n", encoding="utf-8")
+    assert [(r.warning, r.place) for r in src.warnings(spark, str(tmp_path / "g"), "en", "zh", True).collect()] == [("unknown status", "2")]
+    p = spark.createDataFrame([("f", 0, 0, "k", "你好世界", "x"), ("g", 1, 0, "k", "plain", "x")], "source_file string, file_ord int, para_ord long, key string, src_text string, tgt_text string")
+    assert [tuple(r) for r in align.switched(p, "en", "de").collect()] == [(0, "src", "en")]
+
+
+def test_check_details_and_spans(spark):
+    u = _units(spark, [(" Pay {x} 5", "付 {y} 6", None), ("(a", "“甲", None), ("see http://a.b/c.", "见 http://a.b/d", None), ("a! b！", "x", None)])
+    got = [r.qa_details for r in qa.check(u, 1.0, details=True).orderBy("ord").collect()]
+    assert (got[0].LEADING_TRAILING_SPACE, got[0].NUMBER_MISMATCH.asDict(), got[0].PLACEHOLDER_MISMATCH.asDict()) == (["src"], {"src": ["5"], "tgt": ["6"]}, {"src": ["{x}"], "tgt": ["{y}"]})
+    assert got[1].PUNCTUATION_UNBALANCED.asDict() == {"src": ["()"], "tgt": ["“”"]} and got[2].URL_MISMATCH.asDict() == {"src": ["http://a.b/c"], "tgt": ["http://a.b/d"]} and got[3].WIDTH_MIXING.src == ["!"]
+    assert got[3].NUMBER_MISMATCH is None and got[1].URL_MISMATCH is None
+    assert X.issue_spans("3 million on 5 May", ["NUMBER_MISMATCH"]) == [(0, 9), (13, 14)] and X.issue_spans(" x! ！", ["LEADING_TRAILING_SPACE", "WIDTH_MIXING"]) == [(0, 1), (2, 3), (4, 5)]
+    one = qa.check(u, codes=("NUMBER_MISMATCH",)).orderBy("ord").collect()
+    assert [r.qa_issues for r in one] == [["NUMBER_MISMATCH"], [], [], []]
+
+
+def _greedy(units, lang, min_freq, max_ngram):
+    """Candidates of English texts by a walk over the ranked grams."""
+    freq, first = {}, {}
+    for o, text in units:
+        tokens = terms._TOKEN.findall(text)
+        for n in range(1, max_ngram + 1):
+            for i in range(len(tokens) - n + 1):
+                g = " ".join(tokens[i : i + n])
+                freq[g] = freq.get(g, 0) + 1
+                first[g] = min(first.get(g, (o, n, i)), (o, n, i))
+    stop = terms.EN_STOPWORDS
+    rows = [g for g in freq if freq[g] >= min_freq and g.split()[0] not in stop and g.split()[-1] not in stop]
+    size = lambda g: len(g.split())
+    rows.sort(key=lambda g: (-freq[g] * math.log2(size(g) + 1), -freq[g], -size(g), first[g][0], size(g), first[g][2]))
+    stays = []
+    for g in rows:
+        if not any(freq[g] <= 1.2 * freq[k] and f" {g} " in f" {k} " for k in stays):
+            stays.append(g)
+    return [(i, g, freq[g]) for i, g in enumerate(stays)]
+
+
+def test_candidates_equal_the_greedy_walk(spark):
+    rnd = random.Random(8)
+    words = "alpha beta gamma delta of the epsilon zeta".split()
+    phrases = ["alpha beta gamma delta", "beta gamma", "zeta of epsilon", "delta"]
+    texts = [" ".join(rnd.choice(phrases) if rnd.random() < 0.5 else rnd.choice(words) for _ in range(rnd.randint(1, 6))) for _ in range(80)]
+    for n in (1, 2, 4):
+        got = [(r["rank"], r.text, r.freq) for r in terms.candidates(_units(spark, [(t, "x", None) for t in texts]), "en", "src", 2, 1, n).orderBy("rank").collect()]
+        assert got == _greedy(list(enumerate(texts)), "en", 2, n)
+
+
+def test_terms_in_passes(spark):
+    u = _units(spark, [("Click OK now", "点击确定", None), ("the .NET way İstanbul", "x 伊", None), ("确定 two", "b", None), (None, None, None)])
+    rows = [(0, "en", "zh", "OK", "确定", "forbidden"), (1, "en", "zh", ".net", "x", "forbidden"), (2, "zh", "en", "确定", "b", "forbidden"), (3, "zh", "en", "定", "b", "forbidden"), (4, "en", "zh", "--", "b", "forbidden"), (5, "en", "zh", "now", "点击", "forbidden"), (6, "en", "zh", "i̇stanbul", "伊", "forbidden")]
+    g = spark.createDataFrame([(*r, True, None) for r in rows], "entry_ord int, src_lang string, tgt_lang string, src_term string, tgt_term string, status string, status_declared boolean, note string")
+    want = [[e for e in rows if terms.has_term(r.src_text or "", e[3], e[1]) and terms.has_term(r.tgt_text or "", e[4], e[2])] for r in u.orderBy("ord").collect()]
+    for most in (2, 100):
+        got = [[h.src_term for h in r.term_issues] for r in terms.check(u, g, most=most).orderBy("ord").collect()]
+        assert got == [[e[3] for e in w] for w in want] and sum(map(len, got)) >= 5
+
+
+def test_reviewer_specs():
+    assert review.load("operator:itemgetter(0)")("ab") == "a" and review.load("os.path.basename")("a/b") == "b"
+    for bad in ("no_such_module:x", "operator:nothing", "operator:itemgetter("):
+        with pytest.raises((ValueError, TypeError)):
+            review.load(bad)
+
+
+def test_edits(spark):
+    kind = "array<struct<kind:string,content:string>>"
+    u = spark.createDataFrame([(i, "en", "de", f"s{i}", f"t{i}", None, None, f"g{i}") for i in range(4)], f"ord long, src_lang string, tgt_lang string, src_text string, tgt_text string, src_markup {kind}, tgt_markup {kind}, guid string")
+    node = lambda *xs: [("tag" if x.startswith("<") else "text", x) for x in xs]
+    schema = f"op string, ord long, seq int, src_lang string, tgt_lang string, src_nodes {kind}, tgt_nodes {kind}"
+    e = spark.createDataFrame([("change", 1, 0, None, None, node("old"), node("x")), ("change", 1, 1, None, None, node(" a", "<b/>", " c "), node(" x ")), ("delete", 2, 0, None, None, None, None), ("add", 0, 1, "en", "de", node("second"), node("x")), ("add", 0, 0, "en", "de", node("first"), node("x")), ("delete", 9, 0, None, None, None, None)], schema)
+    got = [(r.src_text, r.tgt_text, r.guid, r.src_markup and [tuple(m) for m in r.src_markup]) for r in edits.apply(u, e).orderBy("place").collect()]
+    assert got == [("s0", "t0", "g0", None), ("first", "x", None, None), ("second", "x", None, None), ("a c", "x", None, node("a", "<b/>", " c")), ("s3", "t3", "g3", None)]
+    with pytest.raises(Exception, match="without both texts"):
+        edits.apply(u, spark.createDataFrame([("change", 1, 0, None, None, node(" "), node("x"))], schema)).collect()
 
 
 def test_alignment(spark):

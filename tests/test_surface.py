@@ -159,4 +159,17 @@ def test_commands(spark, tmp_path, capsys):
     got = run("convert", at("p.csv"), "--src", "en", "--tgt", "zh", "--output", at("z"), "--formats", "sdltm,tmx,csv,jsonl", "--qa")
     assert got[0].startswith("Units=2 Exported=2 LengthRatio=") and [x.rsplit("(", 1)[1] for x in got[1:]] == ["2 units)"] * 4
     assert json.loads((tmp_path / "z.jsonl").read_text("utf-8").splitlines()[0]) == {"src_lang": "en", "tgt_lang": "zh", "src": "One here.", "tgt": "一在这里。"}
-    assert run("qa", at("none.tmx"), code=1) == [] and run("convert", at("p.csv"), "--src", "en", "--tgt", "zh", code=1)
+    assert run("qa", at("none.tmx"), code=1) == [] and run("convert", at("p.csv"), "--src", "en", "--tgt", "zh", code=1) == []
+    assert not (tmp_path / "p.tmx").exists()  # nothing is written where the input would be overwritten
+    (tmp_path / "e.csv").write_text("EN,ZH\n", encoding="utf-8")
+    (tmp_path / "bad.docx").write_bytes(b"no zip")
+    (tmp_path / "half.csv").write_text("EN,ZH\nOne here.,一在这里。\nTwo 2 here.,二在这里。\n", encoding="utf-8")
+    files = [at(n) for n in ("p.csv", "e.csv", "bad.docx", "half.csv")]
+    assert run("align-batch", *files, "--src", "en", "--tgt", "zh", "--export", at("sum.csv"), "--fail-on-issues", code=2) == ["Checked=3 Failed=1 NeedsReview=2"]
+    lines = {x.split(",")[0].rsplit("/", 1)[1]: x.split(",")[1:] for x in (tmp_path / "sum.csv").read_text("utf-8-sig").splitlines()[1:]}
+    assert lines["p.csv"] == ["2", "0", "0", "ok"] and lines["e.csv"] == ["0", "0", "0", "review"] and lines["half.csv"] == ["2", "0", "1", "review"] and lines["bad.docx"][:3] == ["", "", ""]
+    for name, argv in {"qa": ["qa", a], "review": ["qa", a, "--bilingual"], "near": ["near-dup", a], "terms": ["term-check", a, "--glossary", at("g.csv"), *langs], "cmp": ["compare", a, b], "quote": ["quote", a, "--tm", b], "lev": ["leverage", b, "--tm", a], "align": ["align", at("p.csv"), "--src", "en", "--tgt", "zh"], "stats": ["stats", a]}.items():
+        run(*argv, "--report", at(f"{name}.html"))
+        page = (tmp_path / f"{name}.html").read_text("utf-8")
+        assert {"qa": "<td>NUMBER_MISMATCH</td><td>1</td>", "review": '<span class="hl">5</span> cats', "near": "Clusters found: 1", "terms": "<td>Forbidden</td><td>3</td>", "cmp": "<td>5 cats</td><td>6 猫</td><td>五猫</td>", "quote": "Files: 1", "lev": "<td>exact</td><td>1</td>", "align": "1:1（一一对应）", "stats": "<td>Language pair</td>"}[name] in page, name
+    assert run("qa", a, "--bilingual", "--report", at("x.pdf"), code=1)[0].startswith("Total=")
