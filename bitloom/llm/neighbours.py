@@ -11,7 +11,7 @@ would lie as far away in projection with a probability of at most 1 - confidence
 * A kd-tree over the projections of about ``sample_rows`` points (that bound is the only sample) cuts the
   space into cells of about a shard's rows; a cell of more rows is dealt to several shards. Each shard's own
   kd-tree is built once and written: the index is a table of shards.
-* A query searches the shard of its own place first. With the distance found there it goes to those shards
+* A query searches the shard of its own place first, its nearest leaves before the others. With the distance found there it goes to those shards
   alone whose cells' bounding boxes the stopping test doesn't rule out. Vectors aren't copied, but for a
   shard that more than ``block_rows`` queries go to, which is read once for each so many.
 
@@ -24,7 +24,6 @@ not looked at, whatever their names.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -38,7 +37,7 @@ from bitloom.plans.lineage import kept
 from ._rows import named
 
 LEAF = 32
-CHUNK = 32  # points verified between two looks at the stopping test
+CHUNK = 96  # points verified between two looks at the stopping test
 SHARD = 4 << 20  # bytes of vectors in a shard, and
 ROWS = 8192  # rows at most
 LEAST = 8  # sample points of a cell
@@ -132,42 +131,44 @@ class Shard:
         """(ids, squared distances, points verified) of the k nearest; bound2: squared distance of a k-th
         nearest that is known from elsewhere."""
         far = gaps(self.low, self.high, p)
-        leaves = [(f, i) for i, f in enumerate(far.tolist()) if f <= stop * bound2]
-        heapq.heapify(leaves)
-        pool_r, pool = np.zeros(0), np.zeros(0, np.int64)
         ids, best, verified = np.zeros(0, np.int64), np.zeros(0), 0
-        while True:
-            limit = min(bound2, best[-1] if len(best) >= k else np.inf) * stop
-            taken_r, taken = [pool_r], [pool]
-            for _ in range(4):  # the points of the next leaves
-                if not leaves or leaves[0][0] > limit:
-                    break
-                a, b = self.spans[heapq.heappop(leaves)[1]]
-                g = self.points[a:b] - p
-                taken_r.append((g * g).sum(axis=1)), taken.append(np.arange(a, b))
-            pool_r, pool = np.concatenate(taken_r), np.concatenate(taken)
-            order = np.argsort(pool_r, kind="stable")
-            pool_r, pool = pool_r[order], pool[order]
-            ahead = leaves[0][0] if leaves else np.inf  # nearer ones come before any point of other leaves
-            while len(pool) and pool_r[0] <= min(limit, ahead):
-                n = min(CHUNK, int(np.searchsorted(pool_r, min(limit, ahead), "right")))
-                at, pool_r, pool = pool[:n], pool_r[n:], pool[n:]
-                g = self.vectors[at] - q
-                d2 = (g * g).sum(axis=1)
-                verified += n
-                ok = d2 <= min(bound2, best[-1] if len(best) >= k else np.inf)
-                if ok.any():
-                    rows, d2 = at[ok], d2[ok]
-                    n_ids = self.first[rows + 1] - self.first[rows]
-                    which = np.repeat(np.arange(len(rows)), n_ids)
-                    own = self.first[rows][which] + np.arange(len(which)) - np.repeat(np.cumsum(n_ids) - n_ids, n_ids)
-                    ids, best = np.concatenate((ids, self.ids[own])), np.concatenate((best, d2[which]))
-                    order = np.lexsort((ids, best))[:k]
-                    ids, best = ids[order], best[order]
-                    limit = min(bound2, best[-1] if len(best) >= k else np.inf) * stop
-            if len(pool) and pool_r[0] <= limit or leaves and leaves[0][0] <= limit:
-                continue
-            return ids, best, verified
+        seen = np.zeros(len(self.points), bool)
+
+        def verify(at: np.ndarray) -> None:
+            nonlocal ids, best, verified
+            g = self.vectors[at] - q
+            d2 = (g * g).sum(axis=1)
+            verified += len(at)
+            seen[at] = True
+            ok = d2 <= (min(bound2, best[-1]) if len(best) >= k else bound2)
+            if ok.any():
+                rows, d2 = at[ok], d2[ok]
+                n_ids = self.first[rows + 1] - self.first[rows]
+                which = np.repeat(np.arange(len(rows)), n_ids)
+                own = self.first[rows][which] + np.arange(len(which)) - np.repeat(np.cumsum(n_ids) - n_ids, n_ids)
+                ids, best = np.concatenate((ids, self.ids[own])), np.concatenate((best, d2[which]))
+                order = np.lexsort((ids, best))[:k]
+                ids, best = ids[order], best[order]
+
+        if bound2 == np.inf:  # the points of the nearest leaves give a first distance
+            for i in np.argsort(far, kind="stable")[: -(-4 * k // LEAF)]:
+                verify(np.arange(*self.spans[i]))
+        limit = stop * (min(bound2, best[-1]) if len(best) >= k else bound2)
+        inside = np.zeros(len(self.points) + 1, np.int64)
+        use = self.spans[far <= limit]
+        np.add.at(inside, use[:, 0], 1), np.add.at(inside, use[:, 1], -1)
+        at = np.flatnonzero((np.cumsum(inside[:-1]) > 0) & ~seen)
+        g = self.points[at] - p
+        r = (g * g).sum(axis=1)
+        order = np.argsort(r, kind="stable")
+        r, at = r[order], at[order]
+        done = 0
+        while done < len(r) and r[done] <= limit:
+            to = min(done + CHUNK, int(np.searchsorted(r, limit, "right")))
+            verify(at[done:to])
+            done = to
+            limit = stop * (min(bound2, best[-1]) if len(best) >= k else bound2)
+        return ids, best, verified
 
     def packed(self) -> list[bytes]:
         return [np.ascontiguousarray(x).tobytes() for x in (self.ids, self.first, self.vectors, self.points, self.low, self.high, self.spans)]
