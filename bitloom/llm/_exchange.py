@@ -23,13 +23,20 @@ ASK = "pid int, bucket int, n int, payload binary"
 LAST = (1 << 63) - 1
 
 
-def partitions(df: DataFrame) -> int:
-    """Groups to deal into: follows spark.sql.shuffle.partitions, which is sized to the input."""
-    return max(2, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+GROUP = 32 << 20  # bytes of text in a group, about; a longer text is one group's
+
+
+def partitions(d: DataFrame) -> int:
+    """Groups to deal the texts of d into: by their bytes, and at least twice the shuffle partitions. A
+    group is what one task holds, so it must not grow with the input."""
+    size = d.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    return max(2, 2 * int(d.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-size // GROUP))
 
 
 def buckets(groups: int) -> int:
-    """Value buckets: fewer than groups, as each group sends up to one message to each bucket."""
+    """Value buckets: fewer than groups, as each group sends up to one message to each bucket, but never
+    more messages than values: with very many groups a message comes down to a few values, and all of
+    them to what an exchange of single values would be."""
     return max(2, groups // 3)
 
 
@@ -41,8 +48,8 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFra
 
 def dealt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> tuple[DataFrame, int]:
     """(pid, doc_id, text, text_hash, *more) in groups, and their number; pid follows from doc_id and text_hash."""
-    n = partitions(docs)
     d = keyed(docs, id_col, text_col, *more)
+    n = partitions(d)
     return d.select(group_of(n).alias("pid"), "*").repartition(n, "pid"), n
 
 
@@ -68,7 +75,7 @@ def bucket_spans(values: np.ndarray, buckets: int) -> np.ndarray:
 
 def ask(pid: int, values: np.ndarray, buckets: int, extra: np.ndarray | None = None) -> pa.Table:
     """values: sorted and distinct. Without extra, bucket-relative 32 bits stand for a value (a rare
-    clash only makes it look shared); with extra, a uint32 for each value goes along."""
+    clash only makes it look shared); with extra, a uint64 for each value goes along."""
     bounds = bucket_spans(values, buckets)
     at, sizes, loads = [], [], []
     width = np.uint64(((1 << 64) // buckets >> 32) + 1)
@@ -89,7 +96,7 @@ def _asked(t: pa.Table, extra: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray
         cut = int.from_bytes(raw[:4], "little") if extra else None
         values.append(np.cumsum(_unplanes(raw[4 : 4 + cut] if extra else raw, n, np.uint32).astype(np.uint64)))
         if extra:
-            more.append(_unplanes(raw[4 + cut :], n, np.uint32))
+            more.append(_unplanes(raw[4 + cut :], n, np.uint64))
     return np.concatenate(values), sizes, np.concatenate(more) if extra else None, np.concatenate(([0], np.cumsum(sizes)))
 
 
@@ -109,7 +116,7 @@ def answers(asked: DataFrame, judge: Callable[[np.ndarray, np.ndarray | None], n
 
 def none(schema: str) -> pa.Table:
     """No rows of a schema in Spark's short form."""
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}
     return pa.table({c: pa.array([], kinds[t]) for c, t in (x.split() for x in schema.split(", "))})
 
 

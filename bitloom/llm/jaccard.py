@@ -10,10 +10,15 @@ link share at least ``need(s, t)`` of them.
 * Heavy sets put a prefix of their shingles, rarest first, on inverted lists. Frequencies of all
   shingles come from ``_exchange``; a shingle that one class alone has opens no list.
 
-Lists hold no pairs: each member is tied to its list's smallest class, the ties give candidate
-components, and inside these every pair is counted exactly, in blocks of ``BLOCK`` classes at most. A
-block gives back one row a class, with its links and the smallest class that it reaches in the block.
-No list is capped and no pair left out: every pair of a candidate component is in one block.
+Lists hold no pairs: each member is tied to its list's smallest class, and the ties give candidate
+components. A component of more than ``BLOCK`` classes is parted by set size, as sets link only with such
+of their own or a neighbouring size class, so documents of all sizes that common text chains together
+don't all meet. Inside parts every pair is counted exactly, in blocks of about ``BLOCK`` classes. A block
+gives back one row a class, with its links and the smallest class that it reaches in the block. No list
+is capped and no pair that could link is left out.
+
+A class is a 64-bit digest of a set; a second one finds different sets with the same digest, which are
+then named anew until there are none.
 
 Nulls: a null text is empty; an empty set links with nothing and is its own component. Null ids come
 after all others and are given back as null. Repeated rows are equal documents. Ties: all ids count.
@@ -42,8 +47,8 @@ from ._rows import named, row_of, unpacked
 BLOCK = 256
 SCAN = 8  # what one posting costs beside one subset key: it is met again in verification
 
-_DOC = "doc_id long, text_hash long, n int, class long, keys array<long>"
-_SET = "comp long, class long, mult long, n int, blocks int, shingles binary"
+_DOC = "doc_id long, text_hash long, n int, class long, check long, keys array<long>"
+_SET = "comp long, span int, guest boolean, class long, mult long, n int, blocks int, shingles binary"
 _LINKS = "class long, links long, root long"
 
 
@@ -95,6 +100,9 @@ class _Sets:
         total = np.concatenate(([np.uint64(0)], np.cumsum(T.mix(self.v ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)))
         digest = T.mix(total[self.first[1:]] - total[self.first[:-1]] + self.n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         self.cls = np.where(self.n > 0, digest, 0).view(np.int64)
+        # a second digest tells sets apart that the first one doesn't
+        total = np.concatenate(([np.uint64(0)], np.cumsum(T.mix(self.v * np.uint64(0x2545F4914F6CDD1D) + np.uint64(0x9FB21C651E98DF25)), dtype=np.uint64)))
+        self.check = T.mix(total[self.first[1:]] - total[self.first[:-1]]).view(np.int64)
         self.one = np.flatnonzero(self.n > 0)
         self.one = self.one[np.unique(self.cls[self.one], return_index=True)[1]]  # a row for each class
         self.slots = np.concatenate([np.arange(self.first[r], self.first[r + 1]) for r in self.one]) if len(self.one) else np.zeros(0, np.int64)
@@ -162,10 +170,11 @@ def _count(sets: list[np.ndarray]) -> np.ndarray:
 
 def _verify(num: int, den: int):
     def block(t: pa.Table) -> pa.Table:
-        comp, bi, bj, side, cls, mult, n = (t[c].to_numpy() for c in ("comp", "bi", "bj", "block", "class", "mult", "n"))
-        order = np.lexsort((cls, bj, bi, comp))
+        comp, span, bi, bj, side, cls, mult, n = (t[c].to_numpy() for c in ("comp", "span", "bi", "bj", "block", "class", "mult", "n"))
+        guest = np.array(t["guest"].to_pylist(), bool)
+        order = np.lexsort((cls, bj, bi, span, comp))
         new = np.ones(len(order), bool)
-        key = np.stack((comp, bi, bj))[:, order]
+        key = np.stack((comp, span, bi, bj))[:, order]
         new[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
         bounds = np.append(np.flatnonzero(new), len(order))
         raw = t["shingles"]
@@ -180,6 +189,7 @@ def _verify(num: int, den: int):
             np.fill_diagonal(link, False)
             if bi[rows[0]] != bj[rows[0]]:
                 link &= side[rows][:, None] != side[rows][None, :]
+            link &= ~(guest[rows][:, None] & guest[rows][None, :])  # they meet as no guests elsewhere
             mine = cls[rows]
             low = mine.copy()
             top = np.iinfo(np.int64).max
@@ -225,47 +235,66 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
 
     def sign(t: pa.Table, said: pa.Table) -> pa.Table:
         if not t.num_rows:
-            return X.none("doc_id long, text_hash long, n int, class long").append_column("keys", pa.array([], pa.list_(pa.int64())))
+            return X.none("doc_id long, text_hash long, n int, class long, check long").append_column("keys", pa.array([], pa.list_(pa.int64())))
         g = _Sets(t, k)
         keys: list = [None] * t.num_rows
         for r, x in zip(g.one, _keys(g, X.heard(said, g.values, X.buckets(groups)), num, den)):
             keys[r] = x.view(np.int64)
-        return pa.table({"doc_id": t["doc_id"], "text_hash": t["text_hash"], "n": pa.array(g.n, pa.int32()), "class": pa.array(g.cls, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+        return pa.table({"doc_id": t["doc_id"], "text_hash": t["text_hash"], "n": pa.array(g.n, pa.int32()), "class": pa.array(g.cls, pa.int64()), "check": pa.array(g.check, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
 
     by = d.groupBy("pid")
     signed = kept(by.cogroup(X.answers(by.applyInArrow(ask, X.ASK), X.counted).groupBy("pid")).applyInArrow(sign, _DOC))
 
+    # classes, from one document of each; sets that share a class by chance get classes of their own
+    first = F.min(F.struct("doc_id", "text_hash"))
+    for again in range(1 << 30):
+        classes = kept(signed.filter("n > 0").groupBy("class").agg(first.alias("d"), F.count("*").alias("mult"), F.min("doc_id").alias("low_doc"), F.max("n").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1")).select("class", "mult", "low_doc", "n", "d.doc_id", "d.text_hash", "c0", "c1"))
+        clash = classes.filter("c0 != c1").select("class", F.lit(True).alias("clash"))
+        if not clash.limit(1).count():
+            break
+        name = F.when(F.col("clash") & (F.col("n") > 0), F.xxhash64("class", "check", F.lit(again))).otherwise(F.col("class"))
+        signed = kept(signed.join(clash, "class", "left").withColumn("class", name).drop("clash"))
+
     # ties: each member of a list with the list's smallest class
     posted = signed.filter("size(keys) > 0").select(F.explode("keys").alias("key"), "class")
     lists = posted.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low != high").select("key", "low")
     ties = posted.join(lists, "key").filter("class != low").select(F.col("class").alias("a"), F.col("low").alias("b")).distinct()
     near = kept(components(ties).select(F.col("node").alias("class"), F.col("root").alias("comp")))
 
-    # the sets of candidate classes, from one document of each
-    classes = kept(signed.filter("n > 0").groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("d"), F.count("*").alias("mult"), F.min("doc_id").alias("low_doc")).select("class", "mult", "low_doc", "d.doc_id", "d.text_hash"))
-    sizes = near.groupBy("comp").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    wanted = near.join(sizes, "comp").join(classes, "class").select(X.group_of(groups).alias("pid"), "doc_id", "text_hash", "class", "comp", "mult", "blocks")
+    # a component of more than a block is parted by size: what links is of the same size class or the next
+    # one, so a part has the sets of a size class and, as guests, those of the next
+    size_class = F.expr(f"size(filter(array({', '.join(f'{x}L' for x in _steps(num, den).tolist())}), x -> x <= n))").cast("int")
+    near = near.join(classes.drop("c0", "c1"), "class")
+    many = near.groupBy("comp").agg(F.count("*").alias("sets"))
+    near = near.join(many, "comp").withColumn("large", F.col("sets") > BLOCK).drop("sets")
+    span = F.when(F.col("large"), F.array(F.struct(size_class.alias("span"), F.lit(False).alias("guest")), F.struct((size_class - 1).alias("span"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct(F.lit(-1).alias("span"), F.lit(False).alias("guest"))))
+    parts = kept(near.withColumn("p", F.explode(span)).select("comp", "p.span", "p.guest", "class", "mult", "doc_id", "text_hash"))
+    # parts of guests alone have nothing to count
+    sizes = parts.groupBy("comp", "span").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"), F.count_if(~F.col("guest")).alias("own")).filter("own > 0").drop("own")
+    wanted = parts.join(sizes, ["comp", "span"]).select(X.group_of(groups).alias("pid"), "doc_id", "text_hash", "class", "comp", "span", "guest", "mult", "blocks")
 
     def gather(t: pa.Table, want: pa.Table) -> pa.Table:
         if not t.num_rows or not want.num_rows:
             return X.none(_SET)
-        asked = {(i, h): (c, x, m, b) for i, h, c, x, m, b in zip(*(want[c].to_pylist() for c in ("doc_id", "text_hash", "class", "comp", "mult", "blocks")))}
+        asked: dict[tuple[int, int], list[tuple]] = {}
+        for i, h, *info in zip(*(want[c].to_pylist() for c in ("doc_id", "text_hash", "comp", "span", "guest", "class", "mult", "blocks"))):
+            asked.setdefault((i, h), []).append(info)
         rows = [r for r, key in enumerate(zip(t["doc_id"].to_pylist(), t["text_hash"].to_pylist())) if key in asked]
         keys = list(zip(t["doc_id"].take(rows).to_pylist(), t["text_hash"].take(rows).to_pylist()))
         g = _Sets(t.take(pa.array(rows, pa.int64())), k)
         out: dict[str, list] = {c.split()[0]: [] for c in _SET.split(", ")}
         for r, key in enumerate(keys):
-            if (info := asked.pop(key, None)) is None:
-                continue
-            for c, v in zip(out, (info[1], info[0], info[2], int(g.n[r]), info[3], g.v[g.first[r] : g.first[r + 1]].tobytes())):
-                out[c].append(v)
+            raw = g.v[g.first[r] : g.first[r + 1]].tobytes()
+            for comp, span, guest, cls, mult, blocks in asked.pop(key, ()):
+                for c, v in zip(out, (comp, span, guest, cls, mult, int(g.n[r]), blocks, raw)):
+                    out[c].append(v)
         return pa.table(out, schema=X.none(_SET).schema)
 
     sets = by.cogroup(wanted.groupBy("pid")).applyInArrow(gather, _SET)
     sets = sets.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sets = sets.select("comp", "class", "mult", "n", "shingles", "block", F.least("block", "other").cast("int").alias("bi"), F.greatest("block", "other").cast("int").alias("bj"), "blocks")
-    # small components share a task; each pair of blocks of a large one has its own
-    job = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(8 * groups))).otherwise(-1 - F.shiftrightunsigned(F.xxhash64("comp", "bi", "bj"), 1))
+    sets = sets.select("comp", "span", "guest", "class", "mult", "n", "shingles", "block", F.least("block", "other").cast("int").alias("bi"), F.greatest("block", "other").cast("int").alias("bj"), "blocks")
+    # small components share a task; each pair of blocks of a large part has its own
+    job = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp", "span"), F.lit(8 * groups))).otherwise(-1 - F.shiftrightunsigned(F.xxhash64("comp", "span", "bi", "bj"), 1))
     links = kept(sets.withColumn("job", job).drop("blocks").groupBy("job").applyInArrow(_verify(num, den), _LINKS))
 
     joined = components(links.select(F.col("class").alias("a"), F.col("root").alias("b")))

@@ -6,13 +6,15 @@ Every window of ``k`` consecutive words is an edge between two nodes of ``k - 1`
 2. Nodes whose every occurrence has the same edge before and the same edge after are plain; each
    document's runs of repeated edges are cut at all other nodes into nonbranching paths.
 3. Equal paths meet in Spark: aggregations, first within groups of documents, find each path's first
-   source (smallest document, then position), one join gives it back to the groups. The key of a path is a 128-bit digest of
-   its source words, so a path counts as repeated only where the words at both coordinates agree.
+   source (smallest document, then position), one join gives it back to the groups. The key of a path is a
+   128-bit digest of the words at its source coordinates (not of window hashes), so a path counts as
+   repeated only where the words at both coordinates agree; ``repeated_spans`` gives both.
 4. Words under paths whose first source is an earlier document go.
 
 Windows are judged on the input. A word is a run of characters other than U+0020, U+0009..U+000D.
 Nulls: a null text has no words, null ids come after all others (and come back as null). Equal rows
-are separate results. Texts of fewer than k words keep everything. Other columns are not looked at.
+are separate results. Texts of fewer than k words keep everything. An empty table gives no rows. Other
+columns are not looked at, whatever their names; ``without_repeats`` gives them back as they are.
 """
 
 from __future__ import annotations
@@ -65,18 +67,18 @@ class _Group:
         p = self.at[mine]
         before = np.zeros(len(mine), bool)
         before[1:] = (mine[1:] == mine[:-1] + 1) & (self.row[mine[1:]] == self.row[mine[:-1]])
-        pair = np.zeros(len(mine), np.uint32)
-        pair[before] = (T.mix(self.edge[p[before] - 1] * np.uint64(3) + self.edge[p[before]]) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        pair = np.zeros(len(mine), np.uint64)
+        pair[before] = T.mix(self.edge[p[before] - 1] * np.uint64(3) + self.edge[p[before]]) | np.uint64(1)
         # the node after a window that nothing repeated follows: it must not look plain to others
         last = np.ones(len(mine), bool)
         last[:-1] = ~before[1:]
         keys = np.concatenate((self.node[p], self.node[p[last] + 1]))
-        extra = np.concatenate((pair, np.zeros(int(last.sum()), np.uint32)))
+        extra = np.concatenate((pair, np.zeros(int(last.sum()), np.uint64)))
         values, inverse = np.unique(keys, return_inverse=True)
-        low = np.full(len(values), 0xFFFFFFFF, np.uint32)
-        high = np.zeros(len(values), np.uint32)
+        low = np.full(len(values), 0xFFFFFFFFFFFFFFFF, np.uint64)
+        high = np.zeros(len(values), np.uint64)
         np.minimum.at(low, inverse, extra), np.maximum.at(high, inverse, extra)
-        return values, np.where(low == high, low, 0).astype(np.uint32), inverse[: len(mine)], mine
+        return values, np.where(low == high, low, np.uint64(0)), inverse[: len(mine)], mine
 
 
 def _window(h: np.ndarray, k: int) -> np.ndarray:
@@ -151,6 +153,14 @@ def owners(paths: DataFrame) -> DataFrame:
     return asked.join(first, ["path", "n_words"]).select("pid", "path", F.col("first.doc_id").alias("owner"), F.col("first.start").alias("owner_start"))
 
 
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13) -> DataFrame:
+    """(doc_id, text_hash, start, n_words, owner, owner_start) of every path that goes: n_words words from
+    the word start on, which are also those of the document owner from its word owner_start on."""
+    found = kept(repeated_paths(*X.dealt(docs, id_col, text_col), k))
+    d = found.join(owners(found), ["pid", "path"]).filter("owner < doc_id")
+    return d.select(F.when(F.col("doc_id") != X.LAST, F.col("doc_id")).alias("doc_id"), "text_hash", "start", "n_words", "owner", "owner_start")
+
+
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, kept_sha256) for every row: the text without the words of
     windows that also start in a document with a smaller id; kept words are joined by one space."""

@@ -554,3 +554,75 @@ def test_html_tree_is_the_best_cut():
     y = np.array([0, 0, 1, 1, 1, 1], float)
     t = html_text.grow(x, y, first=1)
     assert (t.feature, t.cut) == (0, 1.5) and [t.decide(tuple(r)) for r in x] == [False, False, True, True, True, True]
+
+
+def test_sets_that_share_a_class_by_chance(docs, monkeypatch):
+    """With a first digest of a few bits only, many different sets share a class; the result is the same."""
+    calls, keep = [], jaccard.kept
+    monkeypatch.setattr(jaccard, "kept", lambda d: calls.append(0) or keep(d))
+    want = sorted(map(str, jaccard.jaccard_join(docs).collect()))
+    plain, init = len(calls), jaccard._Sets.__init__
+
+    def few(self, t, k):
+        init(self, t, k)
+        self.cls = np.where(self.n > 0, self.cls % 7 + 1, 0)
+        self.one = np.flatnonzero(self.n > 0)
+        self.one = self.one[np.unique(self.check[self.one], return_index=True)[1]]
+        self.slots = np.concatenate([np.arange(self.first[r], self.first[r + 1]) for r in self.one]) if len(self.one) else np.zeros(0, np.int64)
+        self.values, inverse, self.local = np.unique(self.v[self.slots], return_inverse=True, return_counts=True)
+        self.at = np.zeros(len(self.v), np.int64)
+        self.at[self.slots] = inverse
+
+    # workers get functions by value only where they are defined here
+    monkeypatch.setattr(jaccard, "_Sets", type("_Sets", (), {"__init__": few, "__module__": "__main__"}))
+    assert sorted(map(str, jaccard.jaccard_join(docs).collect())) == want
+    assert len(calls) > 2 * plain  # classes were named anew
+
+
+def test_components_of_many_sizes(spark, monkeypatch):
+    """A chain of documents of all sizes, more than a block, against brute force."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[: 12 + 3 * i])) for i in range(110)] + [(500 + i, " ".join(words[: 30 + i % 3]) + f" e{i}") for i in range(40)]
+    sets = {i: {tuple(t.split()[a : a + 5]) for a in range(len(t.split()) - 4)} for i, t in rows}
+    near = {i: [j for j in sets if j != i and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])] for i in sets}
+
+    def reach(i):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in near[todo.pop()]:
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        return min(seen)
+
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (reach(i), len(near[i])) for i in sets}
+
+
+def test_spans_at_both_coordinates(docs):
+    """The words of every path that goes stand at both of its coordinates, and the paths cover what is removed."""
+    texts: dict = {}
+    for i, t, *_ in _docs():
+        texts.setdefault(i, []).append(_words(t))
+    spans = substrings.repeated_spans(docs).collect()
+    gone: dict = {}
+    for r in spans:
+        a = [w[r.start : r.start + r.n_words] for w in texts[r.doc_id]]
+        b = [w[r.owner_start : r.owner_start + r.n_words] for w in texts[r.owner]]
+        assert any(x == y for x in a for y in b) and r.n_words >= 13 and r.owner < _no_id(r.doc_id)
+        gone.setdefault((r.doc_id, r.text_hash), set()).update(range(r.start, r.start + r.n_words))
+    removed = sum(len(x) * (2 if i == 6 else 1) for (i, _), x in gone.items())  # document 6 is there twice
+    assert removed == sum(r.n_removed for r in substrings.dedup_substrings(docs).collect())
+
+
+def test_groups_follow_the_bytes(spark):
+    from bitloom.llm import _exchange
+
+    d = spark.createDataFrame([("x" * 1000,)] * 50, "text string")
+    assert _exchange.partitions(d) == 8
+    _exchange.GROUP, old = 1000, _exchange.GROUP
+    try:
+        assert _exchange.partitions(d) == 50
+    finally:
+        _exchange.GROUP = old
