@@ -43,6 +43,7 @@ from bitloom.plans.lineage import kept
 from . import _exchange as X
 from . import _text as T
 from ._rows import named, row_of, unpacked
+from ._worker import light
 
 BLOCK = 256
 SCAN = 8  # what one posting costs beside one subset key: it is met again in verification
@@ -230,9 +231,11 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
     """(doc_id, text_hash, n, class, component_id, n_links, root) for every row."""
     d, groups = X.dealt(docs, id_col, text_col)
 
+    @light
     def ask(t: pa.Table) -> pa.Table:
         return X.ask(t["pid"][0].as_py(), _Sets(t, k).values, X.buckets(groups))
 
+    @light
     def sign(t: pa.Table, said: pa.Table) -> pa.Table:
         if not t.num_rows:
             return X.none("doc_id long, text_hash long, n int, class long, check long").append_column("keys", pa.array([], pa.list_(pa.int64())))
@@ -273,6 +276,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
     sizes = parts.groupBy("comp", "span").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"), F.count_if(~F.col("guest")).alias("own")).filter("own > 0").drop("own")
     wanted = parts.join(sizes, ["comp", "span"]).select(X.group_of(groups).alias("pid"), "doc_id", "text_hash", "class", "comp", "span", "guest", "mult", "blocks")
 
+    @light
     def gather(t: pa.Table, want: pa.Table) -> pa.Table:
         if not t.num_rows or not want.num_rows:
             return X.none(_SET)

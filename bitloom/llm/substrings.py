@@ -5,9 +5,8 @@ Every window of ``k`` consecutive words is an edge between two nodes of ``k - 1`
 1. Edges that occur in one group of documents and once there are dropped (``_exchange``).
 2. Nodes whose every occurrence has the same edge before and the same edge after are plain; each
    document's runs of repeated edges are cut at all other nodes into nonbranching paths.
-3. Equal paths meet in Spark: aggregations, first within groups of documents, find each path's first
-   source (smallest document, then position), one join gives it back to the groups. The key of a path is a
-   128-bit digest of the words at its source coordinates (not of window hashes), so a path counts as
+3. Equal paths meet in Spark: an aggregation finds each path's first source (smallest document, then
+   position), a join gives it to the places where the path is. The key of a path is a 128-bit digest of the words at its source coordinates (not of window hashes), so a path counts as
    repeated only where the words at both coordinates agree; ``repeated_spans`` gives both.
 4. Words under paths whose first source is an earlier document go.
 
@@ -31,6 +30,7 @@ from bitloom.plans.lineage import kept
 from . import _exchange as X
 from . import _text as T
 from ._rows import row_of, unpacked
+from ._worker import light
 
 _PATH = "pid int, path binary, n_words int, doc_id long, text_hash long, start int"
 _RESULT = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
@@ -117,9 +117,11 @@ def repeated_paths(dealt: DataFrame, groups: int, k: int = 13) -> DataFrame:
     dealt: (pid, doc_id, text, text_hash) in groups by pid."""
     at_most = X.buckets(groups)
 
+    @light
     def edges(t: pa.Table) -> pa.Table:
         return X.ask(t["pid"][0].as_py(), _Group(t, k).values, at_most)
 
+    @light
     def nodes(t: pa.Table, said: pa.Table) -> pa.Table:
         if not t.num_rows:
             return X.none(X.ASK)
@@ -127,6 +129,7 @@ def repeated_paths(dealt: DataFrame, groups: int, k: int = 13) -> DataFrame:
         values, extra, _, _ = g.junctions(g.repeated(X.heard(said, g.values, at_most)))
         return X.ask(t["pid"][0].as_py(), values, at_most, extra)
 
+    @light
     def paths(t: pa.Table, said: pa.Table) -> pa.Table:
         if not t.num_rows:
             return X.none(_PATH)
@@ -143,21 +146,22 @@ def repeated_paths(dealt: DataFrame, groups: int, k: int = 13) -> DataFrame:
     return by.cogroup(told.groupBy("pid")).applyInArrow(paths, _PATH)
 
 
-def owners(paths: DataFrame) -> DataFrame:
-    """(pid, path, owner, owner_start): the first source of each path, for each group that has the path.
+def repeats(paths: DataFrame) -> DataFrame:
+    """paths with owner and owner_start, their first source, where that is an earlier document.
 
-    A group asks once for a path, however often its documents have it, so a passage in a third of all
-    documents meets in as many rows as there are groups."""
-    asked = paths.groupBy("pid", "path", "n_words").agg(F.min(F.struct("doc_id", "start")).alias("o"))
-    first = asked.groupBy("path", "n_words").agg(F.min("o").alias("first"))
-    return asked.join(first, ["path", "n_words"]).select("pid", "path", F.col("first.doc_id").alias("owner"), F.col("first.start").alias("owner_start"))
+    Partial aggregates make a passage in a third of all documents a row a task. The join that gives the
+    source to its places has one row a path on one side, which is written first: between two exchanges
+    adaptive execution splits the places of a frequent path."""
+    first = paths.groupBy("path", "n_words").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last"))
+    first = kept(first.filter("first.doc_id < last").drop("last"))
+    d = paths.join(first, ["path", "n_words"]).filter("first.doc_id < doc_id")
+    return d.select("pid", "doc_id", "text_hash", "start", "n_words", F.col("first.doc_id").alias("owner"), F.col("first.start").alias("owner_start"))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13) -> DataFrame:
     """(doc_id, text_hash, start, n_words, owner, owner_start) of every path that goes: n_words words from
     the word start on, which are also those of the document owner from its word owner_start on."""
-    found = kept(repeated_paths(*X.dealt(docs, id_col, text_col), k))
-    d = found.join(owners(found), ["pid", "path"]).filter("owner < doc_id")
+    d = repeats(kept(repeated_paths(*X.dealt(docs, id_col, text_col), k)))
     return d.select(F.when(F.col("doc_id") != X.LAST, F.col("doc_id")).alias("doc_id"), "text_hash", "start", "n_words", "owner", "owner_start")
 
 
@@ -177,18 +181,14 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _cut(d: DataFrame, groups: int, k: int, row: str = "") -> DataFrame:
-    found = kept(repeated_paths(d.drop("row"), groups, k))
-    blank = lambda kind: F.lit(None).cast(kind)
-    told = found.withColumn("owner", blank("long")).unionByName(owners(found).select("pid", "path", blank("int").alias("n_words"), blank("long").alias("doc_id"), blank("long").alias("text_hash"), blank("int").alias("start"), "owner"))
+    told = repeats(kept(repeated_paths(d.drop("row"), groups, k))).select("pid", "doc_id", "text_hash", "start", "n_words")
 
+    @light
     def cut(t: pa.Table, spans: pa.Table) -> pa.Table:
         mine: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        if t.num_rows and spans.num_rows:
-            rows = list(zip(*(spans[c].to_pylist() for c in ("path", "owner", "doc_id", "text_hash", "start", "n_words"))))
-            owner = {r[0]: r[1] for r in rows if r[1] is not None}
-            for path, told, i, h, a, n in rows:
-                if told is None and owner[path] < i:
-                    mine.setdefault((i, h), []).append((a, n))
+        if t.num_rows:
+            for i, h, a, n in zip(*(spans[c].to_pylist() for c in ("doc_id", "text_hash", "start", "n_words"))):
+                mine.setdefault((i, h), []).append((a, n))
         ids, hashes, text = (t[c] for c in ("doc_id", "text_hash", "text")) if t.num_rows else ([], [], [])
         out: dict[str, list] = {c.split()[0]: [] for c in _RESULT.split(", ")}
         for r in range(t.num_rows):
