@@ -30,7 +30,7 @@ def kept(df: DataFrame) -> DataFrame:
     """The rows of df, written once: later stages, and stages run again after a loss, read the files."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/bitloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _written[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path
