@@ -626,3 +626,40 @@ def test_groups_follow_the_bytes(spark):
         assert _exchange.partitions(d) == 50
     finally:
         _exchange.GROUP = old
+
+
+def test_chain_by_plain_fit():
+    """Every model of a chain is at the least of its ridge loss, over words and earlier probabilities from
+    models that haven't seen the row; prediction multiplies out."""
+    rng = np.random.default_rng(3)
+    texts = [np.unique(rng.integers(1, 40, 12).astype(np.uint64)) for _ in range(400)]
+    has = lambda w: np.array([w in t for t in texts], float)
+    y = np.stack((np.maximum(has(3), has(7)), np.maximum(has(5), has(3) * has(9))), axis=1)
+    y = np.where(rng.random(y.shape) < 0.05, 1 - y, y)
+    fold = np.arange(400) % 5
+    chain = toxicity.Chain(["a", "b"]).fit(texts, y, fold, 50, 5, 0.3)
+    assert {3, 5, 7} <= set(chain.words.tolist())
+    x = np.array([[float(w in t) for w in chain.words] for t in texts])
+    assert (chain.matrix(texts) == x).all()
+    sigma = lambda z: 1 / (1 + np.exp(-z))
+    one = lambda m: np.hstack((m, np.ones((len(m), 1))))
+
+    def least(z, t):  # by plain gradient steps
+        w, z = np.zeros(z.shape[1] + 1), one(z)
+        for _ in range(20_000):
+            w -= 0.01 * (z.T @ (sigma(z @ w) - t) + np.append(np.full(len(w) - 1, 0.3), 1e-6) * w)
+        return w
+
+    assert np.allclose(chain.weights[0], least(x, y[:, 0]), atol=1e-3)
+    apart = np.zeros(400)
+    for f in range(5):
+        apart[fold == f] = sigma(one(x[fold == f]) @ least(x[fold != f], y[fold != f, 0]))
+    assert np.allclose(chain.weights[1], least(np.hstack((x, apart[:, None])), y[:, 1]), atol=5e-3)
+    p = chain.predict(x)
+    first = sigma(one(x) @ chain.weights[0])
+    assert np.allclose(p[:, 0], first) and np.allclose(p[:, 1], sigma(one(np.hstack((x, first[:, None]))) @ chain.weights[1]))
+    new = [np.unique(rng.integers(1, 40, 12).astype(np.uint64)) for _ in range(300)]
+    sure = np.array([5 in t for t in new])
+    clean = np.array([not {3, 5, 7, 9} & set(t.tolist()) for t in new])
+    caught = chain.predict(chain.matrix(new))[:, 1] >= 0.5
+    assert (caught & sure).sum() >= 0.9 * sure.sum() and (caught & clean).sum() <= 0.1 * clean.sum()
