@@ -1,8 +1,10 @@
 """Order MinHash fingerprints, with DataFrame functions only.
 
-A text's k-mers are ``k`` consecutive tokens (runs of up to ``TOKEN`` characters without white space;
-a shorter text is one k-mer), numbered by occurrence so that each (k-mer, number) is there once. Under
-each of ``m`` random orders the two extreme k-mers are selected: the minimal one under the order and
+A text's k-mers are ``k`` consecutive tokens (a shorter text is one k-mer), numbered by occurrence so
+that each (k-mer, number) is there once. A token is a word of up to ``WORD`` characters; longer runs
+without white space are cut by their content, behind the first of the ``CUT`` characters from the third
+on, or after ``PART`` characters without one, so that a change in a run moves the cuts next to it alone.
+Under each of ``m`` random orders the two extreme k-mers are selected: the minimal one under the order and
 the minimal one under its reverse, which are as likely to be any pair as the two smallest of one order
 are. They're put back in text order and hashed together. Two texts agree in an entry of the
 fingerprint if they share both k-mers in the same order, so the share of equal entries falls with the
@@ -23,16 +25,21 @@ from pyspark.sql import functions as F
 from bitloom.plans.lineage import kept
 
 
-TOKEN = 8
+WORD, PART = 16, 12
+#: Frequent characters of scripts, about a fourth of a run's; one in four parts of Han.
+CUT = "aeioAEIO0-3аеиоαειο\u0E30-\u0E3A\u0EB0-\u0EBC\u102B-\u1032\u17B4-\u17C5\u306E-\u3093" + "".join(f"{chr(b)}-{chr(b + 0x1FF)}" for b in range(0x4E00, 0xA000, 0x800))
+_IN = r"[^ \t\n\x0B\f\r]"
+#: A word that ends in time, the part of a run up to a cut, or one without.
+TOKENS = rf"(?<!{_IN}){_IN}{{1,{WORD}}}+(?!{_IN})|{_IN}{{2,{PART - 1}}}?[{CUT}]|{_IN}{{1,{PART}}}"
 BITS = 30  # of a position: a text of 2 GB, the longest that Spark holds, has no more tokens
 LAST = (1 << 63) - 1
 _KEY = ["doc_id", "text_hash"]
 
 
-def fingerprints(texts: DataFrame, keys: list[str], text_col: str = "text", k: int = 2, m: int = 16) -> DataFrame:
+def fingerprints(texts: DataFrame, keys: list[str], text_col: str = "text", k: int = 2, m: int = 24) -> DataFrame:
     """(*keys, omh array<long>): the entries of each row's fingerprint, empty without k-mers. keys must
     tell rows apart; where rows are dealt by some of keys already, nothing is shuffled."""
-    tokens = texts.select(*keys, F.expr(rf"regexp_extract_all({text_col}, '([^ \\t\\n\\x0B\\f\\r]{{1,{TOKEN}}})', 1)").alias("tok"))
+    tokens = texts.select(*keys, F.regexp_extract_all(text_col, F.lit(TOKENS), F.lit(0)).alias("tok"))
     gram = ", ".join(f"get(tok, i + {j})" for j in range(k))
     packed = tokens.select(*keys, F.expr(f"""sort_array(if(size(tok) = 0, cast(array() as array<bigint>),
         transform(sequence(0, greatest(size(tok) - {k}, 0)), i -> shiftleft(xxhash64({gram}), {BITS}) | cast(i as bigint))))""").alias("s"))
@@ -85,7 +92,7 @@ def _neighbours(ids: DataFrame) -> DataFrame:
     return d.select(*_KEY, "n_chars", F.coalesce("next", "after").alias("next"), F.coalesce("prev", "before").alias("prev"))
 
 
-def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, m: int = 16) -> DataFrame:
+def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, m: int = 24) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each
     distinct (id, text), with the last quarter of the text replaced by the next document's beginning."""
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

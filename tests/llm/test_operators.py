@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("bitloom.llm")
 from bitloom.llm import html_text, jaccard, languages, mixing, neighbours, order_minhash, pieces, sharding, substrings, toxicity
@@ -120,6 +121,24 @@ def test_order_tells_moved_text(spark):
     assert like(0, 2) > like(0, 1) + 0.15
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "一丁三丏世並中丸主乃久乍乏乐乘乙九乡买乱乳予事二于亏五井亚些交亦人什仁今从仓他付代以仰件任份企伊伍休众优会伟传伤伦估伴伸佐体何余你作佩使來例供依侯便俗保信俩俱個倍倒候值假偏做停健", "のをはにがとでもしてれさあるいうえおかきくけこ", "ACGT"])
+def test_change_in_a_run_without_spaces(spark, letters):
+    """A character put in near the start moves the cuts beside it alone; words of up to 16 stay whole."""
+    r = random.Random(3)
+    text = "".join(r.choices(letters, k=3000))
+    other = "".join(r.choices(letters, k=3000))
+    d = spark.createDataFrame([(0, text), (1, text[:5] + letters[1] + text[5:]), (2, other)], "i int, text string")
+    f = {x.i: x.omh for x in order_minhash.fingerprints(d, ["i"], m=64).collect()}
+    like = lambda a, b: sum(x == y for x, y in zip(f[a], f[b])) / 64
+    assert like(0, 1) > 0.85 and like(0, 1) > like(0, 2) + 0.3
+
+
+def test_tokens_of_order_minhash(spark):
+    d = spark.createDataFrame([("internationalise it\tsix", "x" * 30, "bcdfgabcdfgabcdfgabc")], "a string, b string, c string")
+    got = d.select(*(F.regexp_extract_all(c, F.lit(order_minhash.TOKENS), F.lit(0)).alias(c) for c in "abc")).first()
+    assert got.a == ["internationalise", "it", "six"] and got.b == ["x" * 12, "x" * 12, "x" * 6] and got.c == ["bcdfga", "bcdfga", "bcdfga", "bc"]
+
+
 def test_mixing(docs, none):
     got = mixing.positions(docs, WEIGHTS, block_rows=2).collect()
     assert sorted(r.position for r in got) == list(range(len({r[:4] for r in _docs()})))
