@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from bitloom.functions.text import fnv1a64
 from bitloom.sinks import pdf
+from bitloom.sinks.sdltm_tables import SCHEMA
 
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 
@@ -115,7 +116,9 @@ def write_jsonl_file(rows: DataFrame, path: str, order: list[str]) -> int:
 #: Accepted forms of times, and the memory format's constants.
 TIMES = ("%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%dT%H:%M:%SZ", "%Y-%m-%dT%H:%M:%S%z", "%Y-%m-%dT%H:%M:%S.%f", "%Y%m%dT%H%M%SZ")
 PARAMETERS = {"VERSION": "8.06", "FREQUENCYTOP": "1000", "LAST_ANALYZE": "0", "TokenDataVersion": "1", "AlignmentDataVersion": "1", "VERSION_CREATED": "8.12"}
+OF_MEMORY = ("VERSION", "FREQUENCYTOP", "LAST_ANALYZE")  # the others have no memory
 SETTINGS, INDEXES, FLAGS, EXPIRY = 127, 9, 131073, "9999-12-31 23:59:59"
+USER = "bitloom"
 XSI, XSD = "http://www.w3.org/2001/XMLSchema-instance", "http://www.w3.org/2001/XMLSchema"
 
 
@@ -130,11 +133,12 @@ def retimed(value: str | None, form: str, otherwise: str) -> str:
 
 
 def write_sdltm(units: DataFrame, path: str, order: list[str], src_lang: str, tgt_lang: str, name: str | None = None) -> int:
-    """Units with both sides as an SQLite memory of the tables parameters, translation_memories and
-    translation_units; each unit gets a new id. Gives the number written."""
+    """Units with both sides as an SQLite memory with all tables of the format; each unit gets a new id.
+    Gives the number written."""
     form = "%Y-%m-%d %H:%M:%S"
     now, n = datetime.now(UTC).strftime(form), 0
-    full = units.filter(r"src_text rlike '\\S' and tgt_text rlike '\\S'").withColumn("_s", fnv1a64(F.col("src_text"))).withColumn("_t", fnv1a64(F.col("tgt_text")))
+    full = units.filter(r"src_text rlike '\\S' and tgt_text rlike '\\S'")
+    full = full.withColumns({"_s": fnv1a64(F.col("src_text")), "_t": fnv1a64(F.col("tgt_text"))})
 
     def segment(text: str, lang: str) -> str:
         return f'<Segment xmlns:xsi="{XSI}" xmlns:xsd="{XSD}"><Elements><Text><Value>{xml_text(text)}</Value></Text></Elements><CultureName>{xml_text(lang)}</CultureName></Segment>'
@@ -143,19 +147,28 @@ def write_sdltm(units: DataFrame, path: str, order: list[str], src_lang: str, tg
         if os.path.exists(part):
             os.remove(part)
         db = sqlite3.connect(part)
+
+        def put(table: str, row: dict) -> None:
+            db.execute(f"INSERT INTO {table} ({', '.join(row)}) VALUES ({', '.join('?' * len(row))})", (*row.values(),))
+
         try:
-            db.executescript("""
-                CREATE TABLE parameters (translation_memory_id INTEGER, name TEXT NOT NULL, value TEXT NOT NULL);
-                CREATE TABLE translation_memories (id INTEGER PRIMARY KEY, guid BLOB NOT NULL, name TEXT NOT NULL UNIQUE, source_language TEXT NOT NULL, target_language TEXT NOT NULL, settings INTEGER NOT NULL, creation_user TEXT NOT NULL, creation_date TEXT NOT NULL, expiration_date TEXT, fuzzy_indexes INTEGER NOT NULL);
-                CREATE TABLE translation_units (id INTEGER PRIMARY KEY, guid BLOB NOT NULL, translation_memory_id INTEGER NOT NULL REFERENCES translation_memories (id), source_hash INTEGER NOT NULL, source_segment TEXT, target_hash INTEGER NOT NULL, target_segment TEXT, creation_date TEXT NOT NULL, creation_user TEXT NOT NULL, change_date TEXT NOT NULL, change_user TEXT NOT NULL, usage_counter INTEGER NOT NULL, flags INTEGER NOT NULL);
-            """)
-            db.executemany("INSERT INTO parameters VALUES (NULL, ?, ?)", PARAMETERS.items())
-            db.execute("INSERT INTO translation_memories VALUES (1, ?, ?, ?, ?, ?, 'bitloom', ?, ?, ?)", (uuid.uuid4().bytes, name or os.path.splitext(os.path.basename(path))[0][:80], src_lang, tgt_lang, SETTINGS, now, EXPIRY, INDEXES))
+            db.execute("PRAGMA page_size = 8192")
+            db.executescript(SCHEMA)
+            title = name or os.path.splitext(os.path.basename(path))[0][:80]
+            memory = {"id": 1, "guid": uuid.uuid4().bytes, "name": title, "source_language": src_lang, "target_language": tgt_lang, "settings": SETTINGS}
+            put("translation_memories", memory | {"creation_user": USER, "creation_date": now, "expiration_date": EXPIRY, "fuzzy_indexes": INDEXES})
+            for key, value in PARAMETERS.items():
+                put("parameters", {"translation_memory_id": 1 if key in OF_MEMORY else None, "name": key, "value": value})
+            put("attributes", {"guid": uuid.uuid4().bytes, "name": "StructureContext", "type": 2, "tm_id": 1})
             for r in _rows(full, order):
                 d, n = r.asDict(), n + 1
                 made = retimed(d.get("created_at"), form, now)
-                db.execute("INSERT INTO translation_units VALUES (?, ?, 1, ?, ?, ?, ?, ?, 'bitloom', ?, 'bitloom', 0, ?)", (n, uuid.uuid4().bytes, d["_s"], segment(d["src_text"], src_lang), d["_t"], segment(d["tgt_text"], tgt_lang), made, retimed(d.get("modified_at"), form, made), FLAGS))
-            db.execute("CREATE INDEX source_hashes ON translation_units (translation_memory_id, source_hash)")
+                unit = {"id": n, "guid": uuid.uuid4().bytes, "translation_memory_id": 1, "usage_counter": 0, "flags": FLAGS}
+                unit |= {"source_hash": d["_s"], "source_segment": segment(d["src_text"], src_lang)}
+                unit |= {"target_hash": d["_t"], "target_segment": segment(d["tgt_text"], tgt_lang)}
+                unit |= {"creation_date": made, "creation_user": USER, "change_date": retimed(d.get("modified_at"), form, made), "change_user": USER}
+                put("translation_units", unit | {"last_used_date": now, "last_used_user": USER})
+            db.execute("UPDATE translation_memories SET tucount = ?", (n,))
             db.commit()
         finally:
             db.close()

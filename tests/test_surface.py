@@ -1,8 +1,10 @@
 """Memory and workbook writers, document preflight, the drop folder and the command line."""
 
+import contextlib
 import io
 import json
 import re
+import sqlite3
 import zipfile
 
 import pytest
@@ -50,6 +52,16 @@ def test_memory_round_trip(spark, tmp_path):
     got = src.read_units(spark, path).orderBy("unit_ord").collect()
     assert [(r.src_text, r.tgt_text, r.src_lang, r.tgt_lang) for r in got] == [("a <b> & c�", "甲", "en-US", "zh-CN"), ("second", "乙", "en-US", "zh-CN")]
     assert got[0].modified_at == "2024-01-05 08:09:10" and len({r.guid for r in got}) == 2
+    with contextlib.closing(sqlite3.connect(path)) as db:
+        one = lambda q: db.execute(q).fetchall()
+        kinds = dict(one("SELECT type, count(*) FROM sqlite_master WHERE name NOT LIKE 'sqlite_%' GROUP BY type"))
+        assert kinds == {"table": 20, "index": 20} and one("PRAGMA integrity_check") == [("ok",)]
+        assert one("PRAGMA foreign_key_check") == [] and one("PRAGMA page_size") == [(8192,)]
+        assert one("SELECT name, tucount, fga_support, data_version FROM translation_memories") == [("m", 2, 1, 1)]
+        assert one("SELECT name, type, tm_id FROM attributes") == [("StructureContext", 2, 1)]
+        assert dict(one("SELECT translation_memory_id, count(*) FROM parameters GROUP BY 1")) == {None: 3, 1: 3}
+        empty = [t for (t,) in one("SELECT name FROM sqlite_master WHERE type = 'table'") if not one(f"SELECT 1 FROM {t} LIMIT 1")]
+        assert len(empty) == 16
     assert out.write_sdltm(u.limit(0), path, ["unit_ord"], "en", "zh") == 0 and src.read_units(spark, path).count() == 0
 
 
