@@ -26,6 +26,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses; what is written there goes when Python ends."""
+    path = f"{shared_folder(spark)}/bitloom-{name}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    _written.pop(path, None)
+    _delete(path, spark)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The rows of df, written once: later stages, and stages run again after a loss, read the files."""
     spark = df.sparkSession
