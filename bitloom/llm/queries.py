@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, jaccard, languages, mixing, neighbours, order_minhash, pieces, sharding, substrings, toxicity
+from . import html_text, jaccard, languages, leaderboard, mixing, neighbours, oracles, order_minhash, pieces, quality_rules, sharding, spellings, substrings, toxicity
 
 #: Target weights of the sources; others are pooled.
 WEIGHTS = {f"src{i}": 3 if i < 5 else 2 if i < 10 else 1 for i in range(20)}
@@ -66,6 +66,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, chain).select("doc_id", F.col("p_quality"), F.col("p_toxic"), F.col("is_toxic").alias("toxic"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spellings.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op13_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaderboard.leaderboard_changes(*(table(spark, sf_dir, t) for t in ("sale_lines", "items", "vendors")))
+
+
 _WORDS = """docs AS (SELECT doc_id, list_filter(string_split_regex({text}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents)"""
 
 ORACLE_OP7 = f"""WITH RECURSIVE {_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")},
@@ -90,8 +102,9 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_order_minhash, op3_mixing, op4_language_id, op5_html_text, op6_sharding, op7_jaccard_join, op8_substring_dedup, op9_neighbours, op10_toxicity)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_order_minhash, op3_mixing, op4_language_id, op5_html_text, op6_sharding, op7_jaccard_join, op8_substring_dedup, op9_neighbours, op10_toxicity, op11_spelling_variants, op12_quality_rules, op13_leaderboard)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_jaccard_join": ORACLE_OP7, "op8_substring_dedup": ORACLE_OP8}
+    stops = ", ".join(f"'{x}'" for x in quality_rules.forms_of_stop_words())
+    return {"op7_jaccard_join": ORACLE_OP7, "op8_substring_dedup": ORACLE_OP8, "op11_spelling_variants": oracles.OP11, "op12_quality_rules": oracles.OP12.replace("{stops}", stops), "op13_leaderboard": oracles.OP13}
