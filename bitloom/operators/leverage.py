@@ -1,8 +1,9 @@
 """Match bands of candidate units against a translation memory, and quotes from them.
 
 The best match of a text is found in two steps: equal normalised texts by an equi-join; the rest in
-blocks of texts whose lengths allow the least ratio, where cheap exact bounds (length, characters in
-common) come before difflib's ratio. A block gives one row a candidate, never a row a pair.
+blocks of texts whose lengths allow the least ratio, where bounds of all pairs are worked out at once
+(functions.similar) and difflib looks at the most promising first. A block gives one row a candidate, never a
+row a pair.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bitloom.functions import similar
 from bitloom.functions import text as X
 from bitloom.schema import BANDS
 
 PAIR = ["src_lang", "tgt_lang"]
-BINS = 64
+PAIRS = 100_000  # whose bounds are worked out at once
 
 
 def length_steps(ratio: float, longest: int = 1 << 22) -> list[int]:
@@ -34,24 +36,21 @@ def bucket_of(text: str, steps: list[int]):
     return F.expr(f"size(filter(array({', '.join(map(str, steps))}), x -> x <= length({text})))")
 
 
-class Bounds:
-    """Upper bounds of difflib's ratio against all texts of a block at once: characters in common, counted
-    in ``BINS`` bins. Characters that share a bin only raise a bound."""
-
-    def __init__(self, texts: list[str]):
-        self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
-        self.bins = np.array([self.of(t) for t in texts], dtype=np.int32).reshape(-1, BINS)
-
-    @staticmethod
-    def of(text: str) -> np.ndarray:
-        return np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4") % BINS, minlength=BINS)
-
-    def ratios(self, bins: np.ndarray, length: int, at: slice = slice(None)) -> np.ndarray:
-        """As difflib works its ratio out, so that equal counts give equal numbers."""
-        total, bound = self.lengths[at] + length, np.zeros(len(self.lengths[at]))
-        some = np.flatnonzero(total)
-        bound[some] = 2.0 * np.minimum(self.bins[at][some], bins).sum(axis=1) / total[some]
-        return bound
+def _best(text: str, known: list[str], may: np.ndarray, least: float) -> tuple[float, str] | None:
+    """(ratio, match): difflib looks at the texts of highest bound first, until none can be better."""
+    m, best = difflib.SequenceMatcher(), None
+    m.set_seq2(text)
+    for i in np.argsort(-may, kind="stable"):
+        wanted = max(least, best[0]) if best else least
+        if may[i] < wanted:
+            break
+        if 2.0 * similar.common(known[i], text) / max(1, len(known[i]) + len(text)) < wanted:
+            continue
+        m.set_seq1(known[i])
+        r = m.ratio()
+        if r >= least and (best is None or (r, known[i]) > best):
+            best = (r, known[i])
+    return best
 
 
 def best_matches(asked: DataFrame, pool: DataFrame, least: float, asked_rows: int = 500, pool_rows: int = 1000) -> DataFrame:
@@ -70,23 +69,15 @@ def best_matches(asked: DataFrame, pool: DataFrame, least: float, asked_rows: in
     other = other.join(sizes, keys).select(*keys, "norm", each("n").alias("i"), one("k").alias("j"))
 
     def block(a: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        out, known = [], list(p["norm"])
-        bounds = Bounds(known)
-        for sl, tl, x in zip(a["src_lang"], a["tgt_lang"], a["norm"]):
-            m, best = difflib.SequenceMatcher(), None
-            m.set_seq2(x)
-            may = bounds.ratios(Bounds.of(x), len(x))
-            for i in np.argsort(-may, kind="stable"):
-                if may[i] < (max(least, best[0]) if best else least):
-                    break
-                m.set_seq1(known[i])
-                if m.quick_ratio() < (max(least, best[0]) if best else least):
-                    continue
-                r = m.ratio()
-                if r >= least and (best is None or (r, known[i]) > best):
-                    best = (r, known[i])
-            if best:
-                out.append((sl, tl, x, *best))
+        out, texts, known = [], similar.Texts(list(a["norm"])), similar.Texts(list(p["norm"]))
+        langs, size = list(zip(a["src_lang"], a["tgt_lang"])), len(p)
+        for at in range(0, len(a) if size else 0, step := max(1, PAIRS // max(1, size))):
+            xs = np.arange(at, min(at + step, len(a)))
+            i, j = np.repeat(xs, size), np.tile(np.arange(size), len(xs))
+            may = similar.bounds(texts, i, known, j, least).reshape(len(xs), size)
+            for x, row in zip(xs, may):
+                if best := _best(texts.texts[x], known.texts, row, least):
+                    out.append((*langs[x], texts.texts[x], *best))
         return pd.DataFrame(out, columns=["src_lang", "tgt_lang", "norm", "ratio", "match"])
 
     met = [*keys, "i", "j"]
