@@ -12,7 +12,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WS = r"[\s\x1c-\x1f]"
+#: White space as Python's str.split and str.strip know it.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 #: Fixed values.
 CJK_LANGUAGES = ("zh", "ja", "ko")
@@ -27,12 +29,12 @@ MAGNITUDES = {"thousand": 10**3, "million": 10**6, "billion": 10**9, "bn": 10**9
 
 
 def py_strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)\A{WS}+|{WS}+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def nolen(c: Column) -> Column:
     """Length without white space."""
-    return F.length(F.regexp_replace(c, rf"(?U){WS}+", ""))
+    return F.length(c) - F.regexp_count(c, F.lit(WS))
 
 
 def is_cjk_lang(c: Column) -> Column:
@@ -44,7 +46,7 @@ def looks_cjk(c: Column) -> Column:
 
 
 def word_count(text: Column, lang: Column) -> Column:
-    words = F.size(F.filter(F.split(text, rf"(?U){WS}+"), lambda x: x != ""))
+    words = F.size(F.filter(F.split(text, rf"{WS}+"), lambda x: x != ""))
     return F.when(is_cjk_lang(lang), nolen(text)).otherwise(words).cast("long")
 
 
@@ -84,7 +86,7 @@ def width_mixed(c: Column) -> Column:
 
 
 def edge_space(c: Column) -> Column:
-    return c.rlike(rf"(?U)\A{WS}|{WS}\z")
+    return c.rlike(rf"\A{WS}|{WS}\z")
 
 
 def year_of(c: Column) -> Column:
@@ -112,7 +114,7 @@ def _folded(s: pd.Series) -> pd.Series:
 
 
 def _plain_squeezed(c: Column) -> Column:
-    return F.regexp_replace(py_strip(c), rf"(?U){WS}+", " ")
+    return F.trim(F.regexp_replace(c, rf"{WS}+", " "))
 
 
 def nfc_squeezed(c: Column | str) -> Column:

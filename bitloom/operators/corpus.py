@@ -14,29 +14,46 @@ def _blank(c: str) -> Column:
     return X.py_strip(F.coalesce(F.col(c), F.lit("")))
 
 
-def clean(units: DataFrame, normalize: bool = True, dedupe: bool = True, remove_empty: bool = True, remove_identical: bool = False) -> DataFrame:
-    """Adds changed and removed (empty, identical, duplicate or null for units that stay).
-
-    In this order: texts are normalised, empty and then identical units go, then repeats of a kept pair."""
+def _judged(units: DataFrame, normalize: bool, remove_empty: bool, remove_identical: bool) -> DataFrame:
+    """units with normalised texts, changed, removed, and two hashes of the pair for those that may be repeats."""
     d = units
     for c in ("src_text", "tgt_text"):
         d = d.withColumn(f"_{c}", X.nfc_squeezed(c) if normalize else F.col(c))
     d = d.withColumn("changed", ~F.col("_src_text").eqNullSafe(F.col("src_text")) | ~F.col("_tgt_text").eqNullSafe(F.col("tgt_text")))
     d = d.drop("src_text", "tgt_text").withColumnsRenamed({"_src_text": "src_text", "_tgt_text": "tgt_text"})
-    s, t = _blank("src_text"), _blank("tgt_text")
+    s, t = F.col("_s"), F.col("_t")
     why = F.lit(None).cast("string")
     if remove_identical:
         why = F.when((s == t) & (s != ""), "identical").otherwise(why)
     if remove_empty:
         why = F.when((s == "") | (t == ""), "empty").otherwise(why)
-    d = d.withColumn("removed", why)
-    if dedupe:
-        # the first of equal pairs by an aggregate that is joined back: a very common pair is one row of it
-        pair = (F.xxhash64(s, t), F.xxhash64(t, F.lit(1), s))
-        d = d.withColumn("_a", pair[0]).withColumn("_b", pair[1])
-        first = d.filter("removed is null").groupBy("_a", "_b").agg(F.min("ord").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-        d = d.join(first, ["_a", "_b"], "left").withColumn("removed", F.when(F.col("removed").isNull() & (F.col("ord") != F.col("_first")), "duplicate").otherwise(F.col("removed"))).drop("_first", "_a", "_b")
-    return d
+    d = d.withColumn("_s", _blank("src_text")).withColumn("_t", _blank("tgt_text")).withColumn("removed", why)
+    pair = {"_a": F.xxhash64(s, t), "_b": F.xxhash64(t, F.lit(1), s)}
+    return d.withColumns({k: F.when(F.col("removed").isNull(), h) for k, h in pair.items()}).drop("_s", "_t")
+
+
+def clean(units: DataFrame, normalize: bool = True, dedupe: bool = True, remove_empty: bool = True, remove_identical: bool = False) -> DataFrame:
+    """Adds changed and removed (empty, identical, duplicate or null for units that stay).
+
+    In this order: texts are normalised, empty and then identical units go, then repeats of a kept pair."""
+    d = _judged(units, normalize, remove_empty, remove_identical)
+    if not dedupe:
+        return d.drop("_a", "_b")
+    # the first of equal pairs by an aggregate that is joined back: a very common pair is one row of it
+    first = d.filter("removed is null").groupBy("_a", "_b").agg(F.min("ord").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    d = d.join(first, ["_a", "_b"], "left")
+    repeat = F.col("removed").isNull() & (F.col("ord") != F.col("_first"))
+    return d.withColumn("removed", F.when(repeat, "duplicate").otherwise(F.col("removed"))).drop("_first", "_a", "_b")
+
+
+def clean_counts(units: DataFrame, normalize: bool = True, dedupe: bool = True, remove_empty: bool = True, remove_identical: bool = False) -> DataFrame:
+    """The report of clean() without its units: of each pair but one is a duplicate, so pairs are counted, not looked up."""
+    pairs = _judged(units, normalize, remove_empty, remove_identical).groupBy("removed", "_a", "_b").agg(F.count("*").alias("n"), F.count_if("changed").alias("c"))
+    some = lambda c: F.coalesce(c, F.lit(0))
+    n = lambda why: some(F.sum(F.when(F.col("removed") == why, F.col("n"))))
+    stays = some(F.sum(F.when(F.col("removed").isNull(), F.col("n"))))
+    repeats = some(F.sum(F.when(F.col("removed").isNull(), F.col("n") - 1))) if dedupe else F.lit(0).cast("long")
+    return pairs.agg(some(F.sum("n")).alias("input"), some(F.sum("c")).alias("normalized"), n("empty").alias("removed_empty"), n("identical").alias("removed_identical"), repeats.alias("removed_duplicate"), (stays - repeats).alias("output"))
 
 
 def kept(cleaned: DataFrame) -> DataFrame:

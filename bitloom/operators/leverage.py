@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from bitloom.functions import similar
 from bitloom.functions import text as X
+from bitloom.plans.lineage import kept
 from bitloom.schema import BANDS
 
 PAIR = ["src_lang", "tgt_lang"]
@@ -99,12 +100,13 @@ def analyze(tm: DataFrame, candidates: DataFrame, least: float = 0.5, within: li
     """candidates (ord, src_lang, tgt_lang, src_text, ...) with leverage_band, leverage_match_pct,
     leverage_repetition. within: columns inside which repetitions are looked for, e.g. the file."""
     within = within or []
-    c = candidates.withColumn("_norm", X.folded(F.coalesce("src_text", F.lit(""))))
+    c = kept(candidates.withColumn("_norm", X.folded(F.coalesce("src_text", F.lit("")))))  # normal forms are dear
     # the first of equal texts by an aggregate that is joined back, blank ones apart
     first = c.filter("_norm <> ''").groupBy(*within, "_norm").agg(F.min("ord").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     c = c.join(first, [*within, "_norm"], "left") if not within else c.join(first.withColumnsRenamed({w: f"_w{i}" for i, w in enumerate(within)}).withColumnRenamed("_norm", "_same"), [F.col("_norm") == F.col("_same"), *(F.col(w).eqNullSafe(F.col(f"_w{i}")) for i, w in enumerate(within))], "left").drop("_same", *(f"_w{i}" for i in range(len(within))))
     c = c.withColumn("leverage_repetition", F.coalesce(F.col("ord") != F.col("_first"), F.lit(False))).drop("_first")
     pool = tm.select(*PAIR, X.folded(F.coalesce("src_text", F.lit(""))).alias("norm")).distinct()
+    pool = kept(pool)
     asked = c.filter("not leverage_repetition and _norm <> ''").select(*PAIR, F.col("_norm").alias("norm")).distinct()
     exact = asked.join(pool, [*PAIR, "norm"], "left_semi").withColumn("final", F.lit(1.0))
     found = exact.select(*PAIR, "norm", "final")

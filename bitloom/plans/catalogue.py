@@ -79,7 +79,7 @@ def clean_units(spark, sf_dir):
 
 @_query(_CLEAN.format(ident="WHEN s = t THEN 'identical'") + " SELECT count(*)::BIGINT AS input, count_if(s <> s0 OR t <> t0)::BIGINT AS normalized, count_if(removed = 'empty')::BIGINT AS removed_empty, count_if(removed = 'identical')::BIGINT AS removed_identical, count_if(removed = 'duplicate')::BIGINT AS removed_duplicate, count_if(removed IS NULL)::BIGINT AS output FROM done")
 def clean_report(spark, sf_dir):
-    return corpus.clean_report(corpus.clean(V.segments(spark, sf_dir), remove_identical=True))
+    return corpus.clean_counts(V.segments(spark, sf_dir), remove_identical=True)
 
 
 @_query(_CLEAN.format(ident="WHEN s = t THEN 'identical'") + " SELECT ord, s AS src_text FROM done WHERE removed = 'identical'")
