@@ -274,6 +274,25 @@ def term_check_summary(spark, sf_dir):
     return terms.check_summary(_term_checked(spark, sf_dir))
 
 
+#: Every character that bounds a word stands alone, so that terms are found whole; the space has a sign of its own.
+_ALONE = "(' ' || regexp_replace(replace(lower({}), ' ', '§'), '([^\\p{{L}}\\p{{N}}_])', ' \\1 ', 'g') || ' ')"
+
+
+@_query(f"""WITH {V.SEGMENTS}, {V.GLOSSARY_OF_LINES}, u AS (SELECT ord, {_ALONE.format('src_text')} AS s, {_ALONE.format('tgt_text')} AS t FROM segments WHERE trim(tgt_text) <> ''),
+w AS (SELECT DISTINCT ord, unnest(string_split(s, ' ')) AS word FROM u), e AS (SELECT *, string_split(src_term, ' ')[1] AS word, {_ALONE.format('src_term')} AS st, {_ALONE.format('tgt_term')} AS tt FROM entries)
+SELECT ord, src_term, tgt_term, status FROM e JOIN w USING (word) JOIN u USING (ord) WHERE contains(s, st) AND contains(t, tt) = (status = 'forbidden')""")
+def term_check_lines(spark, sf_dir):
+    """Thousands of entries and more, taken from the lines themselves."""
+    d = terms.check(V.segments(spark, sf_dir), V.glossary_of_lines(spark, sf_dir), True)
+    return d.select("ord", F.explode("term_issues").alias("h")).select("ord", "h.src_term", "h.tgt_term", "h.status")
+
+
+@_query(f"WITH {V.SEGMENTS}, {V.HANZI}, {V.GLOSSARY_IN_HANZI} SELECT ord, src_term, e.tgt_term, status FROM hanzi u JOIN entries e ON contains(u.src_text, e.src_term) AND contains(u.tgt_text, e.tgt_term) = (status = 'forbidden') WHERE u.tgt_text <> ''")
+def term_check_hanzi(spark, sf_dir):
+    d = terms.check(V.in_hanzi(spark, sf_dir), V.glossary_in_hanzi(spark, sf_dir), True)
+    return d.select("ord", F.explode("term_issues").alias("h")).select("ord", "h.src_term", "h.tgt_term", "h.status")
+
+
 @_query(f"WITH {V.SEGMENTS}, t AS (SELECT ord, regexp_extract_all(src_text, '[\\p{{L}}]+(?:[''’][\\p{{L}}]+)*') AS t FROM segments), n AS (SELECT array_to_string(t[i : i + k - 1], ' ') AS text, k FROM (SELECT t, k, unnest(range(1, len(t) - k + 2)) AS i FROM t, range(1, 3) r(k))) SELECT text, k::INT AS length, count(*)::BIGINT AS freq FROM n GROUP BY ALL")
 def ngram_freq(spark, sf_dir):
     return terms.frequencies(V.segments(spark, sf_dir), False, "src", 2).select("text", "length", "freq")
@@ -310,6 +329,22 @@ def term_pairs(spark, sf_dir):
     return terms.pairs(V.segments(spark, sf_dir), "en", "en", 5, 2, 20, 2, 1.1)
 
 
+_TOKENS = "regexp_extract_all({}, '[\\p{{L}}]+(?:[''’][\\p{{L}}]+)*')"
+
+
+@_query(f"""WITH {V.SEGMENTS}, both_en AS (SELECT ord, {_TOKENS.format('src_text')} AS s, {_TOKENS.format('tgt_text')} AS t FROM segments WHERE src_lang = 'en'),
+sw AS (SELECT ord, unnest(s) AS w, unnest(range(len(s))) AS i FROM both_en), tw AS (SELECT ord, unnest(t) AS w, unnest(range(len(t))) AS i FROM both_en),
+src AS (SELECT w AS src_term, freq, rank FROM (SELECT w, count(*) AS freq, row_number() OVER (ORDER BY count(*) DESC, min((ord, i))) - 1 AS rank FROM sw WHERE w NOT IN ({{stop}}) GROUP BY w HAVING count(*) >= 5) WHERE rank < 50),
+has AS (SELECT DISTINCT ord, src_term, freq, rank FROM sw JOIN src ON w = src_term), n AS (SELECT src_term, count(*) AS n_local FROM has GROUP BY src_term HAVING count(*) >= 2),
+found AS (SELECT src_term, w AS tgt_term, count(*) AS freq, row_number() OVER (PARTITION BY src_term ORDER BY count(*) DESC, min((tw.ord, i))) - 1 AS rank FROM has JOIN tw ON has.ord = tw.ord WHERE w NOT IN ({{stop}}) GROUP BY src_term, w HAVING count(*) >= 2),
+everywhere AS (SELECT w AS tgt_term, count(*) AS g FROM tw GROUP BY w),
+rated AS (SELECT src_term, tgt_term, f.freq, f.rank, f.freq / n_local / greatest(g / (SELECT count(*) FROM both_en), 1e-6) AS c FROM found f JOIN n USING (src_term) JOIN everywhere USING (tgt_term)),
+best AS (SELECT src_term, arg_max((tgt_term, freq, c), (c, freq, -rank)) AS b FROM rated GROUP BY src_term HAVING max(c) >= 1.1)
+SELECT src.rank::INT AS rank, src_term, src.freq::BIGINT AS src_freq, coalesce(b[1], '') AS tgt_term, coalesce(b[2], 0)::BIGINT AS pair_freq, round(coalesce(b[3], 0.0), 2)::DOUBLE AS concentration FROM src LEFT JOIN best USING (src_term)""".replace("{stop}", _STOP))
+def term_pairs_of_words(spark, sf_dir):
+    return terms.pairs(V.segments(spark, sf_dir), "en", "en", 5, 1, 50, 2, 1.1)
+
+
 @_query(_TERM + " SELECT st AS src_term, tt AS tgt_term, status, count(*)::BIGINT AS hits FROM h GROUP BY ALL")
 def term_hit_table(spark, sf_dir):
     return terms.hit_table(_term_checked(spark, sf_dir))

@@ -114,3 +114,49 @@ def glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A glossary over the catalogue: some types are forbidden for some names, others approved."""
     rows = [(0, "blue", "LARGE", "forbidden"), (1, "green", "SMALL", "forbidden"), (2, "red", "PROMO", "approved"), (3, "small", "ECONOMY", "approved")]
     return spark.createDataFrame([(i, "en", "en", s, t, k, True, None) for i, s, t, k in rows], "entry_ord int, src_lang string, tgt_lang string, src_term string, tgt_term string, status string, status_declared boolean, note string")
+
+
+def _hanzi(text: str) -> Column:
+    """A line in Chinese characters, one a word, by a digest of the word."""
+    place = lambda w: F.conv(F.substring(F.md5(w), 1, 3), 16, 10).cast("int") + 0x4E00
+    return F.array_join(F.transform(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)), lambda w: F.decode(F.unhex(F.hex(place(w.cast("binary")))), "UTF-16BE")), "")
+
+
+def in_hanzi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the documents, a Chinese character for each word."""
+    d = segments(spark, sf_dir)
+    return d.select("ord", F.lit("zh").alias("src_lang"), F.lit("zh").alias("tgt_lang"), _hanzi("src_text").alias("src_text"), _hanzi("tgt_text").alias("tgt_text"))
+
+
+HANZI = """hanzi AS (SELECT ord, array_to_string(list_transform(regexp_extract_all(lower(src_text), '[a-z]+'), lambda w: chr(19968 + ('0x' || md5(w)[1:3])::INT)), '') AS src_text, array_to_string(list_transform(regexp_extract_all(lower(tgt_text), '[a-z]+'), lambda w: chr(19968 + ('0x' || md5(w)[1:3])::INT)), '') AS tgt_text FROM segments)"""
+
+
+def _as_glossary(terms: DataFrame, lang: str) -> DataFrame:
+    """Of (src_term, tgt_term): the smallest target of each term; terms of an even length are forbidden with it, others approved."""
+    d = terms.groupBy("src_term").agg(F.min("tgt_term").alias("tgt_term"))
+    status = F.when(F.length("src_term") % 2 == 0, "forbidden").otherwise("approved")
+    return d.select(F.length("src_term").alias("entry_ord"), F.lit(lang).alias("src_lang"), F.lit(lang).alias("tgt_lang"), "src_term", "tgt_term", status.alias("status"), F.lit(True).alias("status_declared"), F.lit(None).cast("string").alias("note"))
+
+
+_AS_GLOSSARY = "SELECT src_term, min(tgt_term) AS tgt_term, CASE WHEN length(src_term) % 2 = 0 THEN 'forbidden' ELSE 'approved' END AS status FROM {} GROUP BY src_term"
+
+
+def glossary_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An entry for the first two words of each line, with the first word of the next line."""
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))
+    d = segments(spark, sf_dir).select(words("src_text").alias("s"), words("tgt_text").alias("t")).filter("size(s) > 1 and size(t) > 0")
+    return _as_glossary(d.select(F.array_join(F.slice("s", 1, 2), " ").alias("src_term"), F.col("t")[0].alias("tgt_term")), "en")
+
+
+GLOSSARY_OF_LINES = f"""two AS (SELECT array_to_string(s[1:2], ' ') AS src_term, t[1] AS tgt_term FROM (SELECT regexp_extract_all(lower(src_text), '[a-z]+') AS s, regexp_extract_all(lower(tgt_text), '[a-z]+') AS t FROM segments) WHERE len(s) > 1 AND len(t) > 0),
+entries AS ({_AS_GLOSSARY.format('two')})"""
+
+
+def glossary_in_hanzi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An entry for the first characters of each line, two or three by its length, with the first of the next line."""
+    d = in_hanzi(spark, sf_dir).filter("length(src_text) > 2 and tgt_text <> ''")
+    return _as_glossary(d.select(F.substring(F.col("src_text"), F.lit(1), 2 + F.length("src_text") % 2).alias("src_term"), F.substring("tgt_text", 1, 1).alias("tgt_term")), "zh")
+
+
+GLOSSARY_IN_HANZI = f"""three AS (SELECT src_text[1 : 2 + length(src_text) % 2] AS src_term, tgt_text[1:1] AS tgt_term FROM hanzi WHERE length(src_text) > 2 AND tgt_text <> ''),
+entries AS ({_AS_GLOSSARY.format('three')})"""

@@ -178,14 +178,34 @@ def test_candidates_equal_the_greedy_walk(spark):
         assert got == _greedy(list(enumerate(texts)), "en", 2, n)
 
 
-def test_terms_in_passes(spark):
+def test_terms_by_their_rarest_key(spark):
     u = _units(spark, [("Click OK now", "点击确定", None), ("the .NET way İstanbul", "x 伊", None), ("确定 two", "b", None), (None, None, None)])
     rows = [(0, "en", "zh", "OK", "确定", "forbidden"), (1, "en", "zh", ".net", "x", "forbidden"), (2, "zh", "en", "确定", "b", "forbidden"), (3, "zh", "en", "定", "b", "forbidden"), (4, "en", "zh", "--", "b", "forbidden"), (5, "en", "zh", "now", "点击", "forbidden"), (6, "en", "zh", "i̇stanbul", "伊", "forbidden")]
     g = spark.createDataFrame([(*r, True, None) for r in rows], "entry_ord int, src_lang string, tgt_lang string, src_term string, tgt_term string, status string, status_declared boolean, note string")
     want = [[e for e in rows if terms.has_term(r.src_text or "", e[3], e[1]) and terms.has_term(r.tgt_text or "", e[4], e[2])] for r in u.orderBy("ord").collect()]
-    for most in (2, 100):
-        got = [[h.src_term for h in r.term_issues] for r in terms.check(u, g, most=most).orderBy("ord").collect()]
-        assert got == [[e[3] for e in w] for w in want] and sum(map(len, got)) >= 5
+    got = [[h.src_term for h in r.term_issues] for r in terms.check(u, g).orderBy("ord").collect()]
+    assert got == [[e[3] for e in w] for w in want] and sum(map(len, got)) >= 5
+    assert all(r.term_issues == [] for r in terms.check(u, g.limit(0)).collect())
+    assert terms.check(u.limit(0), g).count() == 0
+
+
+def test_terms_by_brute_force(spark):
+    rnd, words = random.Random(5), ["alpha", "Beta", "beta-ray", "ß", "ẞ", "STRASSE", "straße", "İx", "ix", "K", "k", "naïve", "x_1", "½", "10", "日", "日本", "本", "®", "--", "."]
+    text = lambda n: "".join(rnd.choice(words) + rnd.choice((" ", "", ", ", "'", "\u0301")) for _ in range(n))
+    u = _units(spark, [(text(8), text(4), None) for _ in range(60)] + [(None, "x", None), ("alpha", None, None), ("", "", None)])
+    rows = [(i, rnd.choice(("en", "zh", None)), rnd.choice(("en", "ja")), rnd.choice(words) if i % 2 else text(2).strip(), rnd.choice((*words, None)), rnd.choice(("forbidden", "approved"))) for i in range(120)]
+    g = spark.createDataFrame([(*r, i % 7 > 0, None) for i, r in enumerate(rows)], "entry_ord int, src_lang string, tgt_lang string, src_term string, tgt_term string, status string, status_declared boolean, note string")
+    order = [r for r in rows if r[5] == "forbidden"] + [r for r in rows if r[5] == "approved" and r[0] % 7]
+    for r in terms.check(u, g, True).collect():
+        s, t = r.src_text or "", r.tgt_text or ""
+        want = [e[3] for e in order if terms.has_term(s, e[3], e[1]) and terms.has_term(t, e[4] or "", e[2]) == (e[5] == "forbidden") and (e[5] == "forbidden" or (e[4] and t.strip()))]
+        assert [h.src_term for h in r.term_issues] == want, (s, t)
+
+
+def test_all_pairs_of_terms(spark):
+    u = _units(spark, [("Click OK now", "点击确定", None), ("Click OK please", "请点击确定", None), ("Click OK", "点击确定", None), ("other words", "别的", None), ("more words", "更多", None)])
+    some, every = (terms.pairs(u, "en", "zh", top_n=n, floor=1.5).collect() for n in (1, None))
+    assert len(some) == 1 and len(every) > 1 and some[0] in every
 
 
 def test_reviewer_specs():
