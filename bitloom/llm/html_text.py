@@ -6,7 +6,11 @@ it's a heading, stands in an element that is furniture by tag, role, class or id
 element. A CART tree is grown from the blocks of the small labelled pages below when a worker starts, most
 of which have neither telling tags nor names; it cuts by words and links where that is nearly as good.
 Of a paragraph's, heading's or list item's class and id only one that is a furniture word alone counts;
-of a container's, names that begin or end in one. A form around an article doesn't make that furniture.
+of a container's, names that begin or end in one; a name that says how something stands (open, fixed, right)
+counts only where no other name says what the container is. A form around an article doesn't make that
+furniture, a nav ends where an article starts, and where all articles of a page are in furniture, what is
+around them isn't. A section that begins with a heading like "3 comments" is furniture. Lists and short
+paragraphs that the tree would drop stay if no furniture parts them from kept blocks before and after them.
 
 Scripts, styles and other raw elements, comments and markup give no blocks, nor do selects, templates and
 noscript. Pictures, formulas and media keep the text inside them. Character references are decoded in each
@@ -52,6 +56,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 #: Words of class and id attributes that name furniture, and words that say what a page has.
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert sidebar side menu menus nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer comment comments commentlist disqus reply replies respond share sharing social newsletter subscribe subscription signup login popup modal overlay related recommended recommendations widget widgets tags pagination pager toolbar search skip hidden copyright".split())
 HAVING = frozenset("has have no not with without is".split())
+STATES = frozenset("open opened close closed fixed sticky left right top bottom toggle toggled active inactive visible collapsed expanded on off".split())
+_COMMENTS = re.compile(r"(?:\d+ |reader |readers' |your )*(?:comments?|responses|replies)(?: \(\d+\))?:?|(?:leave|post|write|add) an? (?:reply|comment):?", re.I)
 _ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in PLAIN}
 _PART = re.compile(r"[a-z]+")
 
@@ -150,10 +156,11 @@ def _is_furniture(tag: str, attributes: str) -> bool:
                 if value.strip() in NAMES:
                     return True
                 continue
-            for token in value.split():
-                parts = _PART.findall(token)
-                if parts and parts[0] not in HAVING and (parts[0] in NAMES or parts[-1] in NAMES):
-                    return True
+            tokens = [_PART.findall(token) for token in value.split()]
+            named_by = [t for t in tokens if t and t[0] not in HAVING and (t[0] in NAMES or t[-1] in NAMES or t[0] in STATES and NAMES.intersection(t))]
+            plain = len(named_by) < len(tokens)  # another name says what it is
+            if any(not (plain and STATES.intersection(t)) for t in named_by):
+                return True
         elif name == "role":
             if value in ROLES:
                 return True
@@ -168,9 +175,10 @@ Block = tuple[str, int, int, bool, bool, bool]
 class _Page:
     """What is open at a place of a page."""
 
-    def __init__(self):
+    def __init__(self, inside: bool = False):
+        self.inside = inside  # articles are none of the furniture around them
         self.out: list[Block] = []
-        self.stack: list[tuple[str, int, int, int, int]] = []  # element, and what it adds to the counts:
+        self.stack: list[tuple[str, int, int, int, int, int]] = []  # element, what it adds to the counts, and blocks before it:
         self.furniture = self.article = self.titles = self.unseen = 0
         self.runs: list[str] = []
         self.linked = self.link = 0
@@ -187,12 +195,21 @@ class _Page:
         if self.runs:
             words = "".join(self.runs).split()
             if words:
+                if self.heading and _COMMENTS.fullmatch(" ".join(words)):
+                    self.part()
                 furniture = self.furniture > 0 and not (self.heading and self.furniture == self.titles)
                 self.out.append((" ".join(words), len(words), min(self.linked, len(words)), self.heading, furniture, self.article > 0))
             self.runs.clear()
         self.linked = 0
 
-    def _add(self, entry: tuple[str, int, int, int, int], times: int) -> None:
+    def part(self) -> None:
+        """Makes the section furniture that begins here, if one does."""
+        i = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] not in INNER), -1)
+        if i >= 0 and self.stack[i][0] in ("section", "div") and self.stack[i][5] == len(self.out):
+            self.stack[i] = (self.stack[i][0], self.stack[i][1] + 1, *self.stack[i][2:])
+            self.furniture += 1
+
+    def _add(self, entry: tuple[str, int, int, int, int, int], times: int) -> None:
         self.furniture += times * entry[1]
         self.article += times * entry[2]
         self.titles += times * entry[3]
@@ -208,9 +225,13 @@ class _Page:
         if marked or tag in UNSEEN:
             self.flush()
         article = tag in ("article", "main") and not marked
+        if article:
+            while any(e[0] == "nav" for e in self.stack):
+                self.close("nav")
         # an article isn't furniture for the forms around it
         forms = sum(e[1] for e in self.stack if e[0] == "form") if article and all(e[0] == "form" for e in self.stack if e[1] > 0) else 0
-        entry = (tag, 1 if marked else -forms, int(article), int(tag == "header" and self.article > 0), int(tag in UNSEEN))
+        around = self.furniture if article and self.inside else forms
+        entry = (tag, 1 if marked else -around, int(article), int(tag == "header" and self.article > 0), int(tag in UNSEEN), len(self.out))
         self.stack.append(entry)
         self._add(entry, 1)
 
@@ -228,7 +249,13 @@ class _Page:
 
 def blocks(page: str) -> list[Block]:
     """(text, words, words in links, heading, in furniture, in an article) of the page's text blocks."""
-    now, at = _Page(), 0
+    found = _walk(page, False)
+    inner = [b for b in found if b[5]]
+    return found if not inner or not all(b[4] for b in inner) else _walk(page, True)
+
+
+def _walk(page: str, inside: bool) -> list[Block]:
+    now, at = _Page(inside), 0
     while m := _TOKEN.search(page, at):
         if m.start() > at:
             now.text(page[at : m.start()])
@@ -264,9 +291,25 @@ def features(found: list[Block]) -> list[tuple]:
     return [(*size[i], *size[i + 1], *size[i + 2], b[3], b[4], b[5]) for i, b in enumerate(found)]
 
 
+def joined(found: list[Block], keep: list[bool]) -> list[bool]:
+    """Keeps also what lies between kept blocks, if it has no furniture and few links in it."""
+    out, waiting = list(keep), None
+    for i, b in enumerate(found):
+        if keep[i]:
+            for j in waiting or ():
+                out[j] = True
+            waiting = []
+        elif b[4] or 3 * b[2] > b[1]:
+            waiting = None
+        elif waiting is not None:
+            waiting.append(i)
+    return out
+
+
 def main_text(page: str | None) -> str:
-    found, keep = blocks(page or ""), tree()
-    return "\n".join(b[0] for b, x in zip(found, features(found)) if keep.decide(x))
+    found = blocks(page or "")
+    keep = joined(found, [tree().decide(x) for x in features(found)])
+    return "\n".join(b[0] for b, k in zip(found, keep) if k)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
