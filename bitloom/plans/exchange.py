@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import csv
 import io
-import uuid
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from bitloom.operators import align, edits, qa
 from bitloom.plans import views as V
-from bitloom.plans.lineage import shared_folder
+from bitloom.plans.lineage import new_folder
 from bitloom.plans.registry import query
 from bitloom.schema import GLOSSARY, PARAGRAPH
 from bitloom.sinks import files as sink
@@ -23,7 +22,7 @@ from bitloom.sources import files as source
 
 def _place(spark, name: str) -> str:
     """A new path in the folder that all machines share."""
-    folder = f"{shared_folder(spark)}/bitloom-files-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "files")
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
     return f"{folder}/{name}"
@@ -272,22 +271,60 @@ def align_summary(spark, sf_dir):
     return align.moves(_by_file(spark, sf_dir)).withColumn("label", align.move_label(F.col("align_move")))
 
 
-_CODES = ("EMPTY_SOURCE", "EMPTY_TARGET")
+def _checked(spark, sf_dir) -> DataFrame:
+    """All twelve checks, each file a corpus of its own."""
+    return qa.check(_by_file(spark, sf_dir), within=("source_file",))
 
 
-@query(f"WITH {_UNITS} SELECT count(*)::BIGINT AS total, count_if(align_gap)::BIGINT AS gaps, count_if(src_text = '' OR tgt_text = '')::BIGINT AS flagged FROM units")
+#: Of the twelve checks, these texts fail for an empty side, or as a target that several sources have.
+_FLAGGED = f"""{_UNITS}, twins AS (SELECT f, tgt_text FROM units WHERE src_text <> '' AND tgt_text <> '' GROUP BY ALL HAVING count(DISTINCT src_text) > 1),
+flagged AS (SELECT u.*, u.src_text = '' OR u.tgt_text = '' OR t.f IS NOT NULL AS bad FROM units u LEFT JOIN twins t ON u.f = t.f AND u.tgt_text = t.tgt_text)"""
+
+
+@query(f"WITH {_FLAGGED} SELECT count(*)::BIGINT AS total, count_if(align_gap)::BIGINT AS gaps, count_if(bad)::BIGINT AS flagged FROM flagged")
 def align_report(spark, sf_dir):
-    return align.summarize(qa.check(_by_file(spark, sf_dir), codes=_CODES))
+    return align.summarize(_checked(spark, sf_dir))
 
 
-@query(f"WITH {_UNITS}, b AS (SELECT f, count(*) AS n, count_if(align_gap) AS gaps, count_if(src_text = '' OR tgt_text = '') AS flagged FROM units GROUP BY f) SELECT f || '.csv' AS file, n::BIGINT AS units, gaps::BIGINT AS gap_count, flagged::BIGINT AS qa_flagged, CASE WHEN n > 0 AND gaps = 0 AND flagged = 0 THEN 'ok' ELSE 'review' END AS status FROM b")
+@query(f"WITH {_FLAGGED}, b AS (SELECT f, count(*) AS n, count_if(align_gap) AS gaps, count_if(bad) AS flagged FROM flagged GROUP BY f) SELECT f || '.csv' AS file, n::BIGINT AS units, gaps::BIGINT AS gap_count, flagged::BIGINT AS qa_flagged, CASE WHEN n > 0 AND gaps = 0 AND flagged = 0 THEN 'ok' ELSE 'review' END AS status FROM b")
 def batch_summary(spark, sf_dir):
-    return align.batch_summary(qa.check(_by_file(spark, sf_dir), codes=_CODES))
+    return align.batch_summary(_checked(spark, sf_dir))
 
 
-@query(f"WITH {_UNITS}, b AS (SELECT f, count_if(align_gap) + count_if(src_text = '' OR tgt_text = '') AS bad FROM units GROUP BY f) SELECT count(*)::BIGINT AS checked, 0::BIGINT AS failed, count_if(bad > 0)::BIGINT AS needs_review FROM b")
+@query(f"WITH {_FLAGGED}, b AS (SELECT f, count_if(align_gap) + count_if(bad) AS bad FROM flagged GROUP BY f) SELECT count(*)::BIGINT AS checked, 0::BIGINT AS failed, count_if(bad > 0)::BIGINT AS needs_review FROM b")
 def batch_tallies(spark, sf_dir):
-    return align.batch_tallies(align.batch_summary(qa.check(_by_file(spark, sf_dir), codes=_CODES)))
+    return align.batch_tallies(align.batch_summary(_checked(spark, sf_dir)))
+
+
+#: Lengths of the sentences of both sides, of which only one move is cheap, by the key.
+_LENGTHS = (((50,), (50,)), ((50, 50), (100,)), ((100,), (50, 50)), ((10, 90), (90, 10)), ((10, 10, 80), (60, 40)), ((60, 40), (10, 10, 80)), ((90,), (30, 30, 30)), ((30, 30, 30), (90,)), ((10, 10, 80), (50, 40, 10)), ((40,), ()), ((), (40,)))
+_LETTER = "substr('bcdefghjklmnopqrstuvwxyz', CAST(p_partkey % 24 AS INT) + 1, 1)"
+
+
+def _sentences(side: int) -> str:
+    one = lambda n: f"repeat({_LETTER}, {n - 1}) || '.'"
+    return f"CASE p_partkey % {len(_LENGTHS)} " + " ".join(f"WHEN {k} THEN {" || ' ' || ".join(map(one, x[side])) or "''"}" for k, x in enumerate(_LENGTHS)) + " END"
+
+
+_MOVE = f"CASE p_partkey % {len(_LENGTHS)} " + " ".join(f"WHEN {k} THEN '{len(s)}:{len(t)}'" for k, (s, t) in enumerate(_LENGTHS)) + " END"
+#: Both sides are as long, so a move costs what its kind costs; the ratio is that of sides without a partner.
+_MOVE_COST = f"CASE p_partkey % {len(_LENGTHS)} " + " ".join(f"WHEN {k} THEN {60.0 if not (s and t) else 0.0 if len(s) == len(t) == 1 else 2.5 * (len(s) + len(t) - 2) + 2.0}" for k, (s, t) in enumerate(_LENGTHS)) + " END"
+
+
+@query(f"SELECT p_partkey::BIGINT AS para_ord, 0 AS unit_ord, {_MOVE} AS align_move, {_sentences(0)} AS src_text, {_sentences(1)} AS tgt_text, ({_MOVE_COST})::DOUBLE AS base_cost FROM part")
+def align_all_moves(spark, sf_dir):
+    """Each of the eleven moves; what lengths add to a move's own cost is under one here and left out."""
+    d = _part(spark, sf_dir).select(F.lit("f").alias("source_file"), F.lit(0).alias("file_ord"), F.col("p_partkey").cast("long").alias("para_ord"), F.lit("").alias("key"), F.expr(_sentences(0)).alias("src_text"), F.expr(_sentences(1)).alias("tgt_text"))
+    whole = F.floor(F.col("alignment_cost") * 2).cast("double") / 2
+    return align.align(d, "en", "en").select("para_ord", "unit_ord", "align_move", "src_text", "tgt_text", whole.alias("base_cost"))
+
+
+@query("SELECT p_partkey::BIGINT AS para_ord, 'the ' || p_name || ' tehran color.' AS src_text, '好' || p_type || '。' AS tgt_text FROM part")
+def align_repaired(spark, sf_dir):
+    """Texts that repair rules mend before they are split."""
+    rules = {"en": {"teh": "the"}, "zh": {"坏": "好"}, "regex": [["colou?r", "color"]]}
+    d = _part(spark, sf_dir).select(F.lit("f").alias("source_file"), F.lit(0).alias("file_ord"), F.col("p_partkey").cast("long").alias("para_ord"), F.lit("").alias("key"), F.concat(F.lit("teh "), "p_name", F.lit(" tehran colour.")).alias("src_text"), F.concat(F.lit("坏"), "p_type", F.lit("。")).alias("tgt_text"))
+    return align.align(d, "en", "zh", rules).select("para_ord", "src_text", "tgt_text")
 
 
 @query("SELECT '/' || p_brand || '.csv' AS path, (row_number() OVER (ORDER BY '/' || p_brand || '.csv') - 1)::INT AS file_ord, n::BIGINT AS pairs FROM (SELECT p_brand, count(*) AS n FROM part WHERE p_partkey % 7 <> 3 GROUP BY p_brand)")
