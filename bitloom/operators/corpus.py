@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitloom.functions import text as X
+from bitloom.plans.lineage import kept as written
 
 KEY = "_key"
 
@@ -91,18 +92,27 @@ def conflicts_resolved(units: DataFrame, strategy: str) -> DataFrame:
     """How often a source's target changes on the way (n)."""
     if strategy == "keep-all":
         return units.agg(F.lit(0).cast("long").alias("conflicts_resolved"))
-    w = Window.partitionBy(KEY).orderBy(*_walk(strategy))
+    n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     t = _blank("tgt_text")
-    d = units.withColumn(KEY, _blank("src_text")).withColumn("_t", t).withColumn("_p", F.lag("_t").over(w))
-    return d.agg(F.count_if(F.col("_p") != F.col("_t")).alias("conflicts_resolved"))
+    walk = F.struct(*(c.alias(f"w{i}") for i, c in enumerate(_walk(strategy))))
+    d = units.select(_blank("src_text").alias(KEY), F.struct(F.xxhash64(t).alias("a"), F.xxhash64(F.lit(1), t).alias("b")).alias("_t"), walk.alias("_w"))
+    # ranges of (source, way): a very common source takes many of them, and no range is larger for it
+    d = written(d.repartitionByRange(n, KEY, "_w").withColumn("_part", F.spark_partition_id()))
+    d = d.withColumn("_p", F.lag("_t").over(Window.partitionBy("_part", KEY).orderBy("_w")))
+    ranges = d.groupBy("_part", KEY).agg(F.count_if(F.col("_p") != F.col("_t")).alias("n"), F.min_by("_t", "_w").alias("first"), F.max_by("_t", "_w").alias("last"))
+    ranges = ranges.withColumn("before", F.lag("last").over(Window.partitionBy(KEY).orderBy("_part")))  # a row a range at most
+    return ranges.agg(F.coalesce(F.sum(F.col("n") + F.when(F.col("before") != F.col("first"), 1).otherwise(0)), F.lit(0)).alias("conflicts_resolved"))
 
 
 def compare(units: DataFrame, label: str = "label") -> DataFrame:
-    """One row a stripped source: kind (unique, shared, conflict), owners, targets, first ord.
-
-    One aggregation over the union of all corpora; no join."""
-    d = units.select(_blank("src_text").alias("src"), _blank("tgt_text").alias("tgt"), F.col(label).alias("label"), "ord").groupBy("src").agg(F.array_sort(F.collect_set("label")).alias("owners"), F.array_sort(F.collect_set("tgt")).alias("targets"), F.min("ord").alias("first"))
-    kind = F.when(F.size("owners") == 1, "unique").when(F.size("targets") <= 1, "shared").otherwise("conflict")
+    """One row a stripped source: kind (unique, shared, conflict), owners, number of targets, first ord.
+
+    One aggregation over the union of all corpora, no join: targets are counted apart by source and target
+    before their counts meet by source, so that a source keeps its owners' labels and three numbers, however
+    many targets and units it has."""
+    d = units.select(_blank("src_text").alias("src"), _blank("tgt_text").alias("tgt"), F.col(label).alias("label"), "ord")
+    d = d.groupBy("src").agg(F.array_sort(F.collect_set("label")).alias("owners"), F.count_distinct("tgt").alias("targets"), F.min("ord").alias("first"))
+    kind = F.when(F.size("owners") == 1, "unique").when(F.col("targets") <= 1, "shared").otherwise("conflict")
     return d.withColumn("kind", kind)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import importlib
 from collections.abc import Callable, Iterator
 
@@ -13,22 +14,35 @@ ISSUE = "array<struct<type:string,description:string,span_hint:string>>"
 
 
 def load(spec: str):
-    """A reviewer from module:attribute, module.attribute or module:call(...). A class is called without
-    arguments; a call is evaluated among the module's names alone."""
-    module, _, name = spec.partition(":") if ":" in spec else spec.rpartition(".")
+    """A reviewer by its name: module:attribute, module.attribute, or module:name(...) with literals or names of
+    the module as arguments. A class is called without arguments."""
+    head, colon, tail = spec.partition(":")
+    if not colon:
+        head, _, tail = spec.rpartition(".")
     try:
-        found = importlib.import_module(module)
-        found = eval(name, {"__builtins__": {}}, vars(found)) if name.endswith(")") else getattr(found, name)  # the user's own module
-    except (ImportError, ValueError) as e:
-        raise ValueError(f"can't import the module {module!r}: {e}") from e
-    except Exception as e:
-        raise ValueError(f"{name!r} can't be had from {module!r}: {e}") from e
-    found = found() if isinstance(found, type) else found
+        node = ast.parse(tail.strip(), mode="eval").body
+        names = vars(importlib.import_module(head))
+        found = _value(node, names)
+    except (ImportError, ValueError, SyntaxError, KeyError, AttributeError, TypeError) as e:
+        raise ValueError(f"{tail!r} of the module {head!r} is no reviewer: {e}") from e
+    if isinstance(found, type):
+        found = found()
     if not callable(getattr(found, "review", found)):
         raise TypeError(f"{spec} has no review method and isn't callable")
     return found
 
 
+def _value(node: ast.expr, names: dict):
+    """What an expression of names, attributes, literals and calls stands for; nothing else is worked out."""
+    if isinstance(node, ast.Name):
+        return names[node.id]
+    if isinstance(node, ast.Attribute):
+        return getattr(_value(node.value, names), node.attr)
+    if isinstance(node, ast.Call):
+        return _value(node.func, names)(*(_value(x, names) for x in node.args), **{k.arg: _value(k.value, names) for k in node.keywords if k.arg})
+    return ast.literal_eval(node)
+
+
 def attach(units: DataFrame, reviewer: Callable) -> DataFrame:
     """units with semantic_issues: what reviewer(unit as dict) gives, a list of dicts; errors propagate.
     Values of a unit are Python's, None where null."""

@@ -132,15 +132,15 @@ def compare_shared(spark, sf_dir):
 
 @_query(_COMPARE + " SELECT s AS src, owners, n::INT AS targets, first FROM c WHERE o > 1 AND n > 1")
 def compare_conflicts(spark, sf_dir):
-    return corpus.compare(V.segments(spark, sf_dir)).filter("kind = 'conflict'").select("src", F.array_join("owners", ",").alias("owners"), F.size("targets").alias("targets"), "first")
+    return corpus.compare(V.segments(spark, sf_dir)).filter("kind = 'conflict'").select("src", F.array_join("owners", ",").alias("owners"), F.col("targets").cast("int").alias("targets"), "first")
 
 
-_LABELS = ["src0", "src1", "src2"]
+_LABELS = [f"src{i}" for i in range(20)]
 
 
-@_query(f"WITH {V.SEGMENTS}, {_base('segments')} SELECT s AS source, {', '.join(f'''coalesce(string_agg(DISTINCT CASE WHEN label = '{x}' THEN t END, ';' ORDER BY CASE WHEN label = '{x}' THEN t END), '') AS {x}''' for x in _LABELS)} FROM base WHERE label IN ('src0', 'src1', 'src2') GROUP BY s HAVING count(DISTINCT label) > 1 AND count(DISTINCT t) > 1")
+@_query(f"WITH {V.SEGMENTS}, {_base('segments')} SELECT s AS source, {', '.join(f'''coalesce(string_agg(DISTINCT CASE WHEN label = '{x}' THEN t END, ';' ORDER BY CASE WHEN label = '{x}' THEN t END), '') AS {x}''' for x in _LABELS)} FROM base GROUP BY s HAVING count(DISTINCT label) > 1 AND count(DISTINCT t) > 1")
 def compare_pivot(spark, sf_dir):
-    return corpus.conflict_table(V.segments(spark, sf_dir).filter(F.col("label").isin(*_LABELS)), _LABELS)
+    return corpus.conflict_table(V.segments(spark, sf_dir), _LABELS)
 
 
 # leverage and quotes
