@@ -10,9 +10,11 @@ from bitloom.operators import corpus, leverage, near_dup, review, terms
 from bitloom.plans import exchange, quality  # noqa: F401  they register their queries
 from bitloom.plans import views as V
 from bitloom.plans.quality import base as _base
+from bitloom.plans.lineage import new_folder
 from bitloom.plans.registry import ALL as _ALL
 from bitloom.plans.registry import Query
 from bitloom.plans.registry import query as _query
+from bitloom.streaming import drop_folder, maintenance
 
 
 def queries() -> dict[str, Query]:
@@ -117,6 +119,20 @@ def merge_conflicts_resolved(spark, sf_dir):
     return corpus.conflicts_resolved(V.dated(spark, sf_dir), "prefer-newer")
 
 
+@_query(f"""WITH {V.DATED}, w AS (SELECT *, row_number() OVER (PARTITION BY src_text ORDER BY modified_at DESC, ord DESC) AS n, count(*) OVER (PARTITION BY src_text) AS units, count(*) OVER (PARTITION BY src_text, tgt_text) AS alike FROM dated)
+SELECT src_text AS src, tgt_text, modified_at, ord, units::BIGINT AS units, alike < units AS conflict FROM w WHERE n = 1""")
+def stream_newest_wins(spark, sf_dir):
+    """All units in four parts, each fed to a new start of the stream."""
+    at = new_folder(spark, "newest")
+    V.dated(spark, sf_dir).withColumn("part", F.pmod(F.xxhash64("ord"), F.lit(4))).write.partitionBy("part").parquet(f"{at}/parts")
+    units = spark.read.schema("ord long, src_text string, tgt_text string, modified_at string, part int").parquet(f"{at}/parts")
+    for part in range(4):
+        units.filter(F.col("part") == part).drop("part").write.mode("append").parquet(f"{at}/feed")
+        rows = maintenance.newest(spark.readStream.schema(units.drop("part").schema).parquet(f"{at}/feed"))
+        drop_folder.write(rows, f"{at}/rows", f"{at}/checkpoint").awaitTermination()
+    return maintenance.current(spark.read.schema(maintenance.ROW).parquet(f"{at}/rows"))
+
+
 _COMPARE = f"WITH {V.SEGMENTS}, {_base('segments')}, c AS (SELECT s, count(DISTINCT label) AS o, count(DISTINCT t) AS n, min(ord) AS first, min(label) AS label, string_agg(DISTINCT label, ',' ORDER BY label) AS owners FROM base GROUP BY s)"
 
 
