@@ -3,6 +3,11 @@
 Language identification rejects documents without a letter and those whose language can't be told;
 the Jaccard join keeps one document of each group of near copies; substring deduplication takes out
 repeated passages; mixing puts the documents in the order of the target weights; encoding gives ids.
+
+Documents with null or blank texts are rejected by the first stage. Null ids, languages, sources and counts
+pass; a null source is pooled with those that have no weight. Repeated rows are copies, of which one stays.
+Columns beside those of documents pass all stages but the last, whatever their names. An empty table gives no
+rows. A text of any length is worked on whole.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.one_of_each(docs).select(*docs.columns)
+    return jaccard.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
