@@ -8,7 +8,8 @@ their rows. Every shard's size differs from the target by less than the largest
 
 Only one summary row a partition reaches the driver; a text in a third of all rows is spread over as
 many partitions as it fills. Null texts have no bytes, and ``size`` counts ``ROW`` more for each row.
-Null ids come first within equal texts. Repeated rows are rows. An empty table has no shards.
+Null ids come first within equal texts. Repeated rows are rows. An empty table has no shards. Other columns
+are not looked at, whatever their names.
 """
 
 from __future__ import annotations

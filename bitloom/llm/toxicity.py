@@ -12,7 +12,9 @@ only sample); their distinct word hashes and labels are what the driver gets. Ev
 
 Null and empty texts have no features: they get the models' base rate and flag. Null labels leave a row
 out of training; without labels of both kinds a category's probability is the share of ones (0 if there
-are no labels). Repeated ids: each row is scored; a repeated label row counts once more. doc_id passes.
+are no labels). Repeated ids: each row is scored; a label row trains on the smallest text of its id, and a
+repeated one counts once more. doc_id passes. Without documents there are no rows, and without labels or
+labelled documents every probability is 0. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -133,7 +135,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
     n = named.count()
     if n > max_labels:
         named = named.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(max_labels / n * (1 << 30)))
+    named = named.withColumn("n", F.monotonically_increasing_id())
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(named), "doc_id")  # at most about max_labels small rows
+    rows = rows.groupBy("doc_id", "n").agg(F.min("labels").alias("labels"), F.min("text").alias("text")).drop("n")  # a text a label row
+
+    rows = rows.select("doc_id", "labels", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

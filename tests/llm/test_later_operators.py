@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("bitloom.llm")
-from bitloom.llm import html_text, leaderboard, quality_rules, spellings
+from bitloom.llm import html_text, leaderboard, neighbours, quality_rules, sharding, spellings, toxicity
 
 W = "The old house by the river was sold to a young woman from the city last year, and it was not cheap at all"
 
@@ -238,3 +238,30 @@ def test_a_very_long_page(spark):
     d = spark.createDataFrame([(1, "u", page, "t", 1)], "page_id long, url string, html string, text string, n_chars int")
     r = html_text.extract_text(d).select(F.length("text").alias("n"), "n_chars").first()
     assert r.n == r.n_chars == 20_000 * (len(W) + 2) - 1
+
+
+# clashing names, empty tables and repeats of earlier operators
+
+
+def test_toxicity_of_odd_tables(spark):
+    rows = [(i, "you vile fool" if i % 3 == 0 else "a fine day for all", "x", 0.5, True) for i in range(60)]
+    schema = "doc_id long, text string, labels string, p_toxic double, is_toxic boolean"
+    docs = spark.createDataFrame(rows + rows[:1] * 50, schema)  # an id with very many rows
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), "y") for i in range(60)], "doc_id long, toxic int, n string")
+    once = toxicity.train(spark.createDataFrame(rows, schema), labels, ["toxic"])
+    many = toxicity.train(docs, labels, ["toxic"])
+    assert (many.words == once.words).all() and abs(many.weights[0] - once.weights[0]).max() < 1e-9
+    got = toxicity.score_toxicity(docs, many).collect()
+    assert len(got) == 110 and all(r.is_toxic == (r.doc_id % 3 == 0) for r in got)
+    assert toxicity.score_toxicity(docs.limit(0), many).count() == 0
+    for d, n in ((docs, labels.limit(0)), (docs.limit(0), labels)):
+        none = toxicity.train(d, n, ["toxic"])
+        assert {r.p_toxic < 1e-9 for r in toxicity.score_toxicity(docs, none).collect()} == {True}
+
+
+def test_other_columns_dont_matter(spark):
+    d = spark.createDataFrame([(i, [float(i), 1.0], "v", "q", 1) for i in range(150)], "vec_id long, embedding array<double>, v string, q string, dim int")
+    got = neighbours.nearest(d).filter("query_id = 100").orderBy("rank").collect()
+    assert [r.vec_id for r in got][:4] == [99, 101, 98, 102]
+    s = spark.createDataFrame([(i, "t" * i, 9, "x") for i in range(30)], "doc_id long, text string, size int, h string")
+    assert sharding.shard_by_bytes(s, 4).count() == 30 and sharding.shard_by_bytes(s.limit(0), 4).count() == 0

@@ -2,6 +2,8 @@
 
 import pytest
 
+from bitloom.plans.lineage import kept
+
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
@@ -66,8 +68,27 @@ def test_run_gives_the_mixed_order(spark, tmp_path):
     source = {r[0]: r[3] for r in rows}
     d = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for _, stage in corpus_pipeline.STAGES[:3]:
-        d = stage(spark, d, str(tmp_path)).localCheckpoint()
+        d = kept(stage(spark, d, str(tmp_path)))
     want = _brute_force_order([(r.doc_id, r.text, source[r.doc_id]) for r in d.collect()], corpus_pipeline.WEIGHTS)
     assert want != sorted(want)
     assert [r.doc_id for r in got] == want  # as run() gives them
     assert [r.doc_id for r in sorted(got, key=lambda r: r.position)] == want and sorted(r.position for r in got) == list(range(len(want)))
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None), (1, "", "en", None, 0), (2, " ", None, "src0", None)]])
+def test_run_on_nothing(spark, tmp_path, rows):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_other_columns_nulls_and_one_of_repeated_rows(spark, tmp_path):
+    text = "the house of the old man by the river was sold to a young woman from the city last year and it was not cheap"
+    long = " ".join(f"the river{i} of city{i}" for i in range(30_000))
+    rows = [(i, t, "en" if i else None, s, None, f"row {i}", "p") for i, t, s in ((1, text, "src0"), (1, text, "src0"), (None, text + " at all", None), (4, long, "src1"), (5, text[::-1], None))]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, position string, `a.b` string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        d = kept(stage(spark, d, str(tmp_path)))
+        assert d.columns == ["doc_id", "text", "lang", "source", "n_chars", "position", "a.b"], name
+    got = {r.position: (r.doc_id, len(r.text)) for r in d.collect()}
+    assert ("row 4" in got and got["row 4"] == (4, len(long))) and len([p for p in got if p in ("row 1", "row None")]) == 1
