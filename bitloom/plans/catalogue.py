@@ -319,25 +319,37 @@ def cjk_ngram_freq(spark, sf_dir):
     return terms.frequencies(V.parts(spark, sf_dir), True, "src", 3).select("text", "length", "freq")
 
 
-#: Candidates of up to two words: none is longer than two, so a word goes if a pair of words that holds it is
-#: better placed and about as frequent.
-_CANDIDATES = """{head}, t AS (SELECT ord, regexp_extract_all({text}, '[\\p{{L}}]+(?:[''’][\\p{{L}}]+)*') AS t FROM {view} {where}),
-n AS (SELECT array_to_string(t[i : i + k - 1], ' ') AS text, k, ord, i FROM (SELECT t, k, ord, unnest(range(1, len(t) - k + 2)) AS i FROM t, range(1, 3) r(k))),
-f AS (SELECT text, k, count(*) AS freq, min((ord, i)) AS first, count(*) * (CASE k WHEN 1 THEN 1.0 ELSE log2(3.0) END) AS score FROM n GROUP BY text, k),
-w AS (SELECT *, (-score, -freq, -k, first) AS place FROM f WHERE freq >= {least} AND string_split(text, ' ')[1] NOT IN ({stop}) AND string_split(text, ' ')[-1] NOT IN ({stop})),
-gone AS (SELECT DISTINCT a.text FROM w a JOIN (SELECT *, unnest(list_distinct(string_split(text, ' '))) AS part FROM w WHERE k = 2) b ON a.k = 1 AND a.text = b.part WHERE b.place < a.place AND a.freq <= 1.2 * b.freq),
-c AS (SELECT text, k, freq, place, row_number() OVER (ORDER BY place) - 1 AS rank FROM w WHERE text NOT IN (SELECT text FROM gone))"""
 _STOP = ", ".join(f"'{w}'" for w in sorted(terms.EN_STOPWORDS))
 
 
-@_query(_CANDIDATES.format(head=f"WITH {V.SEGMENTS}", text="src_text", view="segments", where="WHERE src_lang = 'en'", least=5, stop=_STOP) + " SELECT rank::INT AS rank, text, freq::BIGINT AS freq, k::INT AS length FROM c")
+def _candidates_sql(longest: int = 4, least: int = 5) -> str:
+    """English candidates. From the longest down, a gram goes if one that holds it, stays and is better placed is
+    about as frequent."""
+    parts = [f"stays{longest} AS (SELECT * FROM w WHERE k = {longest})"]
+    for n in range(longest - 1, 0, -1):
+        above = " UNION ALL ".join(f"SELECT * FROM stays{m}" for m in range(n + 1, longest + 1))
+        parts += [
+            f"parts{n} AS (SELECT DISTINCT array_to_string(l[i : i + {n - 1}], ' ') AS text, place, freq FROM (SELECT string_split(text, ' ') AS l, place, freq, unnest(range(1, k - {n} + 2)) AS i FROM ({above})))",
+            f"stays{n} AS (SELECT * FROM w WHERE k = {n} AND text NOT IN (SELECT a.text FROM w a JOIN parts{n} b ON a.k = {n} AND a.text = b.text WHERE b.place < a.place AND a.freq <= 1.2 * b.freq))",
+        ]
+    logs = " ".join(f"WHEN {k} THEN log2({k + 1}.0)" for k in range(1, longest + 1))
+    every = " UNION ALL ".join(f"SELECT * FROM stays{n}" for n in range(1, longest + 1))
+    return f"""WITH {V.SEGMENTS}, t AS (SELECT ord, regexp_extract_all(src_text, '[\\p{{L}}]+(?:[''’][\\p{{L}}]+)*') AS t FROM segments WHERE src_lang = 'en'),
+n AS (SELECT array_to_string(t[i : i + k - 1], ' ') AS text, k, ord, i FROM (SELECT t, k, ord, unnest(range(1, len(t) - k + 2)) AS i FROM t, range(1, {longest + 1}) r(k))),
+f AS (SELECT text, k, count(*) AS freq, min((ord, i)) AS first, count(*) * (CASE k {logs} END) AS score FROM n GROUP BY text, k),
+w AS (SELECT *, (-score, -freq, -k, first) AS place FROM f WHERE freq >= {least} AND string_split(text, ' ')[1] NOT IN ({_STOP}) AND string_split(text, ' ')[-1] NOT IN ({_STOP})),
+{', '.join(parts)}, c AS (SELECT text, k, freq, row_number() OVER (ORDER BY place) - 1 AS rank FROM ({every}))
+SELECT rank::INT AS rank, text, freq::BIGINT AS freq, k::INT AS length FROM c"""
+
+
+@_query(_candidates_sql())
 def term_candidates(spark, sf_dir):
-    return terms.candidates(V.segments(spark, sf_dir), "en", "src", 5, 1, 2).drop("score")
+    return terms.candidates(V.segments(spark, sf_dir), "en", "src", 5).drop("score")
 
 
-@_query(_CANDIDATES.format(head=f"WITH {V.SEGMENTS}", text="src_text", view="segments", where="WHERE src_lang = 'en'", least=5, stop=_STOP) + " SELECT rank::INT AS rank, text, freq::BIGINT AS freq, k::INT AS length FROM c WHERE rank < 100")
+@_query(_candidates_sql() + " WHERE rank < 100")
 def term_candidates_top(spark, sf_dir):
-    return terms.candidates(V.segments(spark, sf_dir), "en", "src", 5, 1, 2, None, 100).drop("score")
+    return terms.candidates(V.segments(spark, sf_dir), "en", "src", 5, top_n=100).drop("score")
 
 
 @_query()
