@@ -16,17 +16,23 @@ def length_ratio(units: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     return units.groupBy(*within).agg(F.coalesce(s / F.greatest(t, F.lit(1)), F.lit(1.0)).alias("length_ratio"))
 
 
-def _conflicts(units: DataFrame, key: str, other: str, flag: str, within: tuple[str, ...]) -> DataFrame:
-    """Adds flag: key stands beside several values of other.
+def _digests(tag: int, *of: Column) -> list[Column]:
+    """Two digests that stand for texts; a null isn't an empty text."""
+    known = [x for c in of for x in (c.isNull(), c)]
+    return [F.xxhash64(F.lit(tag), *known), F.xxhash64(*known, F.lit(tag))]
 
-    Smallest and largest value tell that; they are aggregated by key and joined back, so that a very common
-    text is a row of an aggregate and a key of a join that adaptive execution may split. Only keys in
-    conflict come to the join; blank ones take no part."""
-    full = units.filter((F.col(key) != "") & (F.col(other) != ""))
-    own = [F.col(w).alias(f"_k{i}") for i, w in enumerate(within)]
-    low = full.groupBy(F.col(key).alias("_k"), *own).agg(F.min(other).alias("_l"), F.max(other).alias("_h")).filter("_l != _h").drop("_l", "_h").withColumn(flag, F.lit(True))
-    same = [F.col(key) == F.col("_k"), *(F.col(w).eqNullSafe(F.col(f"_k{i}")) for i, w in enumerate(within))]
-    return units.join(low, same, "left").drop("_k", *(f"_k{i}" for i in range(len(within)))).withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+def _conflicts(units: DataFrame, within: tuple[str, ...]) -> DataFrame:
+    """(_p1, _p2, _sc, _tc) of the pairs of texts whose source stands beside several targets, or the other way.
+
+    Different pairs are told and counted by digests, so that rows are a few numbers; a very common text is as
+    many rows as it has partners. Blank texts take no part."""
+    s, t, own = F.col("_s"), F.col("_t"), [F.col(w) for w in within]
+    keys = {f"_{k}{i}": h for k, tag, of in (("p", 0, (s, t)), ("s", 1, (s,)), ("t", 2, (t,))) for i, h in enumerate(_digests(tag, *own, *of), 1)}
+    pairs = units.filter((s != "") & (t != "")).select(*(h.alias(k) for k, h in keys.items())).distinct()
+    several = lambda k: pairs.groupBy(f"_{k}1", f"_{k}2").count().filter("count > 1").select(f"_{k}1", f"_{k}2", F.lit(True).alias(f"_{k}c"))
+    marked = pairs.join(several("s"), ["_s1", "_s2"], "left").join(several("t"), ["_t1", "_t2"], "left")
+    return marked.filter("_sc or _tc").select("_p1", "_p2", F.coalesce("_sc", F.lit(False)).alias("_sc"), F.coalesce("_tc", F.lit(False)).alias("_tc"))
 
 
 _SIDES = "struct<src:array<string>,tgt:array<string>>"
@@ -50,10 +56,8 @@ def check(units: DataFrame, ratio: float | None = None, numbers: bool = True, co
     raw_s, raw_t = F.coalesce(F.col("src_text"), F.lit("")), F.coalesce(F.col("tgt_text"), F.lit(""))
     d = units.withColumn("_s", X.py_strip(raw_s)).withColumn("_t", X.py_strip(raw_t))
     s, t = F.col("_s"), F.col("_t")
-    if "SOURCE_CONFLICT" in codes:
-        d = _conflicts(d, "_s", "_t", "_sc", within)
-    if "TARGET_CONFLICT" in codes:
-        d = _conflicts(d, "_t", "_s", "_tc", within)
+    conflicts = [c for c in codes if c in ("SOURCE_CONFLICT", "TARGET_CONFLICT")]
+    pairs = _conflicts(d, within) if conflicts else None
     both = (s != "") & (t != "")
     told = {"PLACEHOLDER_MISMATCH": X.placeholders, "URL_MISMATCH": X.urls, "PUNCTUATION_UNBALANCED": X.unbalanced, "WIDTH_MIXING": X.width_mixed}
     for c, find in told.items():
@@ -63,7 +67,9 @@ def check(units: DataFrame, ratio: float | None = None, numbers: bool = True, co
         d = d.withColumn("_NUMBER_MISMATCH", F.when(both, F.struct(X.number_set_of(s).alias("src"), X.number_set_of(t).alias("tgt"))))
     differs = lambda c: F.coalesce(F.col(f"_{c}.src") != F.col(f"_{c}.tgt"), F.lit(False))
     some = lambda c: F.coalesce((F.size(f"_{c}.src") > 0) | (F.size(f"_{c}.tgt") > 0), F.lit(False))
-    relative = X.nolen(t) / F.greatest(X.nolen(s) / F.col("_ratio"), F.lit(1e-6))
+    if "LENGTH_RATIO_OUTLIER" in codes:
+        d = d.withColumn("_relative", F.when(both & (F.col("_ratio") > 0), X.nolen(t) / F.greatest(X.nolen(s) / F.col("_ratio"), F.lit(1e-6))))
+    relative = F.col("_relative")
     markup = "src_markup" in units.columns and "tgt_markup" in units.columns
     found = {
         "EMPTY_SOURCE": lambda: s == "",
@@ -79,14 +85,20 @@ def check(units: DataFrame, ratio: float | None = None, numbers: bool = True, co
         "SOURCE_CONFLICT": lambda: F.col("_sc"),
         "TARGET_CONFLICT": lambda: F.col("_tc"),
     }
-    issues = F.filter(F.array(*(F.when(found[c](), F.lit(c)) for c in codes)), lambda x: x.isNotNull()) if codes else F.array().cast("array<string>")
+    some_of = lambda cs: F.filter(F.array(*(F.when(found[c](), F.lit(c)) for c in cs)), lambda x: x.isNotNull()) if cs else F.array().cast("array<string>")
+    if conflicts:  # the last ones in order; before the join all else is known, so that it takes along only what is asked for
+        p = dict(zip(("_p1", "_p2"), _digests(0, *(F.col(w) for w in within), s, t)))
+        d = d.withColumns({"_found": some_of([c for c in codes if c not in conflicts])} | p).join(pairs, ["_p1", "_p2"], "left").drop("_p1", "_p2")
+        issues = F.concat("_found", some_of(conflicts))
+    else:
+        issues = some_of(codes)
     d = d.withColumn("qa_issues", issues).withColumn("qa_confidence", F.greatest(F.lit(0.0), 1 - 0.25 * F.size("qa_issues")))
     if details:
         edge = F.filter(F.array(F.when(X.edge_space(raw_s), F.lit("src")), F.when(X.edge_space(raw_t), F.lit("tgt"))), lambda x: x.isNotNull())
         sides = F.when(F.array_contains("qa_issues", "LEADING_TRAILING_SPACE"), edge).alias("LEADING_TRAILING_SPACE")
         more = (F.when(F.array_contains("qa_issues", c), F.col(f"_{c}") if c in codes else F.lit(None).cast(_SIDES)).cast(_SIDES).alias(c) for c in ("NUMBER_MISMATCH", *told))
         d = d.withColumn("qa_details", F.struct(sides, *more))
-    return d.drop("_s", "_t", "_sc", "_tc", "_ratio", *(f"_{c}" for c in (*told, "NUMBER_MISMATCH")))
+    return d.drop("_s", "_t", "_sc", "_tc", "_found", "_ratio", "_relative", *(f"_{c}" for c in (*told, "NUMBER_MISMATCH")))
 
 
 #: What the issues are called in reports.
