@@ -66,3 +66,22 @@ def test_classes_say_what_they_did(spark):
         assert (r.n, r.q, r.e) == (len("".join(r.t.split())), " ".join(unicodedata.normalize("NFC", r.t).split()), True), r.t
         assert (r.k, r.r) == (r.k0, r.r0), r.t
         assert r.u == [p for p in X.PAIRS if (r.t.count(p[0]) > r.t.count(p[1]) if p == "‘’" else r.t.count(p[0]) != r.t.count(p[1]))], r.t
+
+
+@pytest.mark.parametrize("name", ["leverage_exact", "leverage_repetition", "quote_rollup_exact", "quote_weighted_exact", "report_bands_zero_fill_exact", "near_dup_exact"])
+def test_sql_folds_case_as_the_query_does(spark, tmp_path, name):
+    """Sharp s and double s, final sigma, and white space that isn't ASCII's."""
+    import duckdb
+
+    from bitloom.plans import catalogue
+
+    text = "Weiße Straße\nWEISSE STRASSE\nστάσις\nΣΤΆΣΙΣ\na b\na b\nİx\ni̇x\nend"
+    spark.createDataFrame([(1, text, "de", "x"), (2, "weisse strasse\nend", "de", "y")], "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "weisse STRASSE\nother")], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = catalogue.queries()[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalogue.oracle_sql()[name]})").fetchall()
+    order = lambda rows: sorted(map(tuple, rows), key=str)
+    assert order(got.collect()) == order(want)
