@@ -45,11 +45,9 @@ def _best(text: str, known: list[str], may: np.ndarray, least: float) -> tuple[f
         wanted = max(least, best[0]) if best else least
         if may[i] < wanted:
             break
-        if 2.0 * similar.common(known[i], text) / max(1, len(known[i]) + len(text)) < wanted:
-            continue
         m.set_seq1(known[i])
-        r = m.ratio()
-        if r >= least and (best is None or (r, known[i]) > best):
+        r = similar.ratio(m, wanted, may[i])
+        if r is not None and (best is None or (r, known[i]) > best):
             best = (r, known[i])
     return best
 
@@ -70,18 +68,19 @@ def best_matches(asked: DataFrame, pool: DataFrame, least: float, asked_rows: in
     other = other.join(sizes, keys).select(*keys, "norm", each("n").alias("i"), one("k").alias("j"))
 
     def block(a: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        out, texts, known = [], similar.Texts(list(a["norm"])), similar.Texts(list(p["norm"]))
-        langs, size = list(zip(a["src_lang"], a["tgt_lang"])), len(p)
+        out, known, size = [], similar.Texts(list(p["norm"])), len(p)
         for at in range(0, len(a) if size else 0, step := max(1, PAIRS // max(1, size))):
-            xs = np.arange(at, min(at + step, len(a)))
-            i, j = np.repeat(xs, size), np.tile(np.arange(size), len(xs))
-            may = similar.bounds(texts, i, known, j, least).reshape(len(xs), size)
-            for x, row in zip(xs, may):
-                if best := _best(texts.texts[x], known.texts, row, least):
-                    out.append((*langs[x], texts.texts[x], *best))
+            part = a.iloc[at : at + step]
+            texts = similar.Texts(list(part["norm"]))
+            i, j = np.repeat(np.arange(len(part)), size), np.tile(np.arange(size), len(part))
+            may = similar.whole_bounds(texts, i, known, j, least).reshape(len(part), size)
+            for *langs, text, row in zip(part["src_lang"], part["tgt_lang"], texts.texts, may):
+                if best := _best(text, known.texts, row, least):
+                    out.append((*langs, text, *best))
         return pd.DataFrame(out, columns=["src_lang", "tgt_lang", "norm", "ratio", "match"])
 
-    met = [*keys, "i", "j"]
+    met, parts = [*keys, "i", "j"], int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own, other = (d.repartition(parts, *met) for d in (own, other))  # few bytes are much work here: partitions stay apart
     got = own.groupBy(*met).cogroup(other.groupBy(*met)).applyInPandas(block, "src_lang string, tgt_lang string, norm string, ratio double, match string")
     return got.groupBy(*PAIR, "norm").agg(F.max(F.struct("ratio", "match")).alias("m")).select(*PAIR, "norm", "m.ratio", "m.match")
 
