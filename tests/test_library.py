@@ -274,3 +274,30 @@ def test_files(spark, tmp_path):
     out.write_tbx(g, str(tmp_path / "g.tbx"))
     again = src.read_glossary(spark, str(tmp_path / "g.tbx"), "en", "zh").orderBy("entry_ord").collect()
     assert [(x.src_term, x.tgt_term, x.status, x.status_declared, x.note) for x in again] == [("OK", "确定", "forbidden", True, "n"), ("Go", "走", "approved", False, None)]
+
+
+def test_terms_of_many_parts(spark, monkeypatch):
+    """Parts ask once for what their units share, and units of many small parts find the entries that all units do."""
+    import numpy as np
+    import pyarrow as pa
+
+    hashes = pa.array([[1, 2], [2, 1, 3], [], [2, 4]], pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 0, 5, 5]), hashes], names=["_part", "hashes"])
+    bits = np.zeros(terms.MAP, np.int64)
+    bits[[1, 2, 4]] = 1
+    got = [tuple(r.values()) for b in terms._asking(bits)(iter([batch, batch.slice(2)])) for r in b.to_pylist()]
+    assert got == [(0, 1), (0, 2), (5, 2), (5, 4)]
+
+    monkeypatch.setattr(terms, "LEAST", 3)
+    rnd, chars = random.Random(6), "的一是不了人我在有他"
+    text = lambda: "".join(rnd.choice(chars) for _ in range(rnd.randint(0, 12)))
+    rows = [(text(), text()) for _ in range(70)] + [("无此", "x")] * 20 + [(None, None)]
+    u = spark.createDataFrame([(i, "zh", "zh", s, t) for i, (s, t) in enumerate(rows)], "ord long, src_lang string, tgt_lang string, src_text string, tgt_text string")
+    found = sorted({"".join(rnd.choice(chars) for _ in range(n)) for n in (1, 2, 2, 3, 3, 4, 5) for _ in range(6)})
+    g = spark.createDataFrame([(len(x), "zh", "zh", x, x[0], "forbidden" if len(x) % 2 == 0 else "approved", True, None) for x in found], "entry_ord int, src_lang string, tgt_lang string, src_term string, tgt_term string, status string, status_declared boolean, note string")
+    for r in terms.check(u, g, True).collect():
+        s, t = r.src_text or "", r.tgt_text or ""
+        want = {(x, "forbidden") for x in found if len(x) % 2 == 0 and x in s and x[0] in t} | {(x, "approved") for x in found if len(x) % 2 and x in s and t.strip() and x[0] not in t}
+        own = [(h.src_term, h.status) for h in r.term_issues]
+        assert set(own) == want and len(own) == len(want)
+        assert [h[1] == "approved" for h in own] == sorted(h[1] == "approved" for h in own)
