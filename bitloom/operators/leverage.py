@@ -40,6 +40,8 @@ def bucket_of(text: str, steps: list[int]):
 def _best(text: str, known: list[str], may: np.ndarray, least: float) -> tuple[float, str] | None:
     """(ratio, match): difflib looks at the texts of highest bound first, until none can be better."""
     m, best = difflib.SequenceMatcher(), None
+    if not (may >= least).any():
+        return None
     m.set_seq2(text)
     for i in np.argsort(-may, kind="stable"):
         wanted = max(least, best[0]) if best else least
@@ -52,7 +54,7 @@ def _best(text: str, known: list[str], may: np.ndarray, least: float) -> tuple[f
     return best
 
 
-def best_matches(asked: DataFrame, pool: DataFrame, least: float, asked_rows: int = 500, pool_rows: int = 1000) -> DataFrame:
+def best_matches(asked: DataFrame, pool: DataFrame, least: float, asked_rows: int = 2000, pool_rows: int = 1000) -> DataFrame:
     """(*PAIR, norm, ratio, match): each text's best of the pool, of equal ones the last in text order.
 
     asked, pool: distinct (*PAIR, norm). Texts of a length bucket meet in pairs of blocks of about
@@ -69,11 +71,11 @@ def best_matches(asked: DataFrame, pool: DataFrame, least: float, asked_rows: in
 
     def block(a: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         out, known, size = [], similar.Texts(list(p["norm"])), len(p)
+        a = a.sort_values("norm", key=lambda t: t.str.len())
         for at in range(0, len(a) if size else 0, step := max(1, PAIRS // max(1, size))):
             part = a.iloc[at : at + step]
             texts = similar.Texts(list(part["norm"]))
-            i, j = np.repeat(np.arange(len(part)), size), np.tile(np.arange(size), len(part))
-            may = similar.whole_bounds(texts, i, known, j, least).reshape(len(part), size)
+            may = similar.crossed_bounds(texts, known, least)
             for *langs, text, row in zip(part["src_lang"], part["tgt_lang"], texts.texts, may):
                 if best := _best(text, known.texts, row, least):
                     out.append((*langs, text, *best))
