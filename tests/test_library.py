@@ -92,6 +92,25 @@ def test_near_duplicates_by_all_pairs(spark, threshold):
     assert sorted(sorted(g) for g in got.values()) == _near(texts, threshold)
 
 
+def test_near_duplicates_write_a_text_once(spark, monkeypatch):
+    """Whatever the number of blocks that a block meets; where files can't be opened, texts go to the tasks as before."""
+    rnd = random.Random(8)
+    texts = list(dict.fromkeys(X.fold("".join(rnd.choice("abcd ") for _ in range(rnd.randint(20, 26))).strip()) for _ in range(150)))
+    texts += [t[:9] + "x" + t[10:] for t in texts[:30]]
+    monkeypatch.setattr(near_dup, "LEAST", 12)  # 15 blocks, each with most others
+    units, folders, written = _units(spark, [(t, "x", None) for t in texts]), [], near_dup._written
+    monkeypatch.setattr(near_dup, "_written", lambda *a: folders.append(written(*a)) or folders[-1])
+    with monkeypatch.context() as m:
+        m.setattr(near_dup, "_tasks", lambda linker: 1 / 0)
+        got = sorted(map(tuple, near_dup.clusters(units, 0.85).collect()))
+    files = spark.read.parquet(folders[0])
+    assert files.count() == len(set(texts)) and files.select("k").distinct().count() > 10
+    assert {s for _, s, _ in got} and len({c for c, _, _ in got}) == len(_near(texts, 0.85))
+    monkeypatch.setattr(near_dup, "_opens", lambda folder: False)
+    assert sorted(map(tuple, near_dup.clusters(units, 0.85).collect())) == got
+    assert not near_dup._opens("viewfs://nowhere/at/all")
+
+
 def test_numbered_documents_with_restarts():
     numbers = [f"[{n}] {t}" for n, t in ((2, "before"), (1, "a"), (2, "b"), (1, "甲"), (2, "乙"), (1, "x"))]
     got = src.layouts(numbers[1:], [])["numbered"]
