@@ -85,3 +85,33 @@ def test_sql_folds_case_as_the_query_does(spark, tmp_path, name):
     want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalogue.oracle_sql()[name]})").fetchall()
     order = lambda rows: sorted(map(tuple, rows), key=str)
     assert order(got.collect()) == order(want)
+
+
+def test_grams_are_counted_before_they_are_dealt_out(spark):
+    """A gram once a batch; of three words and more only those whose neighbours are frequent together, by group."""
+    import random
+    from collections import Counter
+
+    from bitloom.operators import terms
+
+    rnd = random.Random(5)
+    words = ["the", "term", "rate", "l’eau", "Ünder", "plan", *(f"{a}{b}" for a in "bcdfg" for b in "aeiou")]
+    lines = [(k, rnd.choice("xy"), " ".join(rnd.choice(words[: rnd.choice((6, 31))]) for _ in range(rnd.randint(0, 14)))) for k in range(1, 301)] + [(301, None, None), (302, "x", "plan")]
+    units = spark.createDataFrame([(o, f, t) for o, f, t in lines], "ord long, file string, src_text string")
+    for by in ([], ["file"]):
+        freq, first = Counter(), {}
+        for o, f, t in sorted(lines, key=lambda x: x[0]):
+            w = (t or "").split()
+            for n in range(1, 5):
+                for i in range(len(w) - n + 1):
+                    key = (*([f] if by else []), " ".join(w[i : i + n]), n)
+                    freq[key] += 1
+                    first.setdefault(key, (o, i + 1))
+        for least in (1, 3):
+            got = terms.frequencies(units, False, by=by, least=least).select(*by, "text", "length", "freq", "ord", "pos").collect()
+            assert sorted(map(tuple, got), key=str) == sorted(((*k, n, *first[k]) for k, n in freq.items() if n >= least), key=str)
+    batch = units.select("ord", F.regexp_extract_all(F.coalesce("src_text", F.lit("")), F.lit(terms.TOKEN), F.lit(0)).alias("words"))
+    pairs = terms._bits_of(spark.createDataFrame([(["term", "rate"],), (["rate", "term"],)], "words array<string>").mapInArrow(terms._pairs_of([]), "h long"))
+    long = batch.coalesce(1).mapInArrow(terms._counting([], range(3, 5), pairs), "text string, n int, freq long, ord long, pos int").collect()
+    assert long and len(long) < 30 and {w for r in long for w in r.text.split()} == {"term", "rate"}
+    assert len({r.text for r in long}) == len(long)
