@@ -115,3 +115,25 @@ def test_grams_are_counted_before_they_are_dealt_out(spark):
     long = batch.coalesce(1).mapInArrow(terms._counting([], range(3, 5), pairs), "text string, n int, freq long, ord long, pos int").collect()
     assert long and len(long) < 30 and {w for r in long for w in r.text.split()} == {"term", "rate"}
     assert len({r.text for r in long}) == len(long)
+
+
+def test_terms_of_latin_1_are_found_without_patterns(monkeypatch):
+    """As patterns that ignore case find them: each character of Latin-1, its neighbours, and letters beyond that match them."""
+    import random
+
+    from bitloom.operators import terms
+
+    rnd = random.Random(3)
+    letters = [chr(i) for i in range(1, 256)]
+    few = "aA bB_1-éÉßµÿ.²ªsSkKåÅiI"
+    cases = [(x + y + z, y, lang) for y in letters for x, z in ((" ", " "), (rnd.choice(letters), rnd.choice(letters)), ("", "")) for lang in ("en", "zh")]
+    cases += [(x, y, "en") for y in letters for x in (y.upper(), y.lower(), y.swapcase())]
+    cases += [("".join(rnd.choice(few) for _ in range(rnd.randint(0, 12))), "".join(rnd.choice(few) for _ in range(rnd.randint(0, 3))), "en") for _ in range(4000)]
+    wide = [(x, y, "en") for x in ("ſ", "K", "Å", "ẞ", "μ", "ı", "İ", "Ÿ", "日本") for y in ("s", "k", "å", "ß", "µ", "i", "ÿ", "日")] + [("a s b", "ſ", "en"), ("日本語", "本", "ja"), ("x 日", "日", "en")]
+    want = [terms.has_term(*c) for c in cases + wide]
+    assert 500 < sum(want) < len(want) - 500
+    find = lambda c: terms._Term(c[1], c[2]).inside(terms._Folded(c[0]))
+    assert [find(c) for c in cases + wide] == want
+    monkeypatch.setattr(terms.X, "bounded", lambda *a: 1 / 0)
+    narrow = [k for k, c in enumerate(cases) if max(c[0] + c[1], default="") < "\u0100"]
+    assert len(narrow) > 5000 and [find(cases[k]) for k in narrow] == [want[k] for k in narrow]
