@@ -137,3 +137,37 @@ def test_terms_of_latin_1_are_found_without_patterns(monkeypatch):
     monkeypatch.setattr(terms.X, "bounded", lambda *a: 1 / 0)
     narrow = [k for k, c in enumerate(cases) if max(c[0] + c[1], default="") < "\u0100"]
     assert len(narrow) > 5000 and [find(cases[k]) for k in narrow] == [want[k] for k in narrow]
+
+
+def test_keys_are_hashed_alike_in_units_and_entries(spark):
+    """For each kind what an entry's keys hash to is among what a text with the term hashes to, beside text in another batch."""
+    import pyarrow as pa
+
+    from bitloom.operators import terms
+
+    text = "Le Café «noir», 日本語 und 𠮷野 😀x, the CAFÉ"
+    d = spark.createDataFrame([("", 0), (None, 1), (text, 2), ("other", 3)], "t string, i int").coalesce(1).orderBy("i")
+    having = d.select(*(of(F.coalesce("t", F.lit(""))).alias(name) for name, (of, _) in terms._HASHED.items())).toArrow()
+    keys = {k: d.filter("i = 2").select(F.explode(terms._keys(F.col("t"), k)).alias("key")).toArrow()["key"].to_pylist() for k in terms._KINDS}
+    assert {k: len(v) for k, v in keys.items() if k in "nw"} == {"n": 8, "w": 8} and all(keys.values())
+    for kinds in (["2"], ["3"], ["n"], ["w"], ["2", "3", "n", "w"]):
+        row, h = terms._hashes_of(having, kinds)
+        assert (row[1:] >= row[:-1]).all() and not set(row.tolist()) & {0, 1}
+        own = [k for kind in kinds for k in keys[kind]]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(own))), pa.array([1] * len(own), pa.int32()), pa.array(own)], names=["id", "n", "key"])
+        asked = [r["h"] for b in terms._keys_hashed(iter([batch])) for r in b.to_pylist()]
+        assert len(set(asked)) == len(own) and set(asked) == set(h[row == 2].tolist())
+    row, h = terms._hashes_of(having, ["c"])
+    one = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([1, 1], pa.int32()), pa.array(["c:é", "c:日"])], names=["id", "n", "key"])
+    assert {r["h"] for b in terms._keys_hashed(iter([one])) for r in b.to_pylist()} <= set(h[row == 2].tolist())
+
+
+def test_hanzi_of_words(spark):
+    import hashlib
+
+    import pyarrow as pa
+
+    got = V._hanzi(pa.array([["a", "bc"], [], None, ["a"]], pa.list_(pa.string())).slice(0, 4)).to_pylist()
+    sign = lambda w: chr(int(hashlib.md5(w.encode()).hexdigest()[:3], 16) + 0x4E00)
+    assert got == [sign("a") + sign("bc"), "", None, sign("a")]
+    assert V._hanzi(pa.array([["z"], ["a", "bc"]]).slice(1)).to_pylist() == [sign("a") + sign("bc")]
