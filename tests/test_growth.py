@@ -171,3 +171,22 @@ def test_hanzi_of_words(spark):
     sign = lambda w: chr(int(hashlib.md5(w.encode()).hexdigest()[:3], 16) + 0x4E00)
     assert got == [sign("a") + sign("bc"), "", None, sign("a")]
     assert V._hanzi(pa.array([["z"], ["a", "bc"]]).slice(1)).to_pylist() == [sign("a") + sign("bc")]
+
+
+def test_a_unit_in_several_groups_is_one_row(spark, monkeypatch):
+    """Its words are taken once; counts by group are those of a row a group, and grams that no bitmap has stay out."""
+    import random
+
+    from bitloom.operators import terms
+
+    rnd, names = random.Random(9), ["g one", "h", None, "ü"]
+    rows = [(k, rnd.sample(names, rnd.randint(0, 4)), " ".join(rnd.choice("abcdef") for _ in range(rnd.randint(0, 9)))) for k in range(1, 200)] + [(200, None, "a b c"), (201, ["h"], None)]
+    units = spark.createDataFrame(rows, "ord long, g array<string>, src_text string").coalesce(1)
+    monkeypatch.setattr(terms, "WORDS", 40)
+    for least in (1, 2, 4):
+        got, want = (sorted(map(tuple, terms.frequencies(u, False, by=["g"], least=least).select("g", "text", "length", "freq", "ord", "pos").collect()), key=str) for u in (units, units.withColumn("g", F.explode("g"))))
+        assert got == want and len(got) > 100
+    some = terms._bits_of(spark.createDataFrame([(["a"],), (["a", "b"],)], "words array<string>").mapInArrow(terms._pairs_of([]), "h long"))
+    few = terms.frequencies(units, False, by=["g"], among=some).collect()
+    full = {(r.g, r.text): r.freq for r in terms.frequencies(units, False, by=["g"]).collect() if r.text in ("a", "a b")}
+    assert {(r.g, r.text): r.freq for r in few} == full and len(full) == 8
